@@ -7,12 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 #: Column of packed runs; a name that tables do not have.
 RUNS = "__factloom_runs"
-#: Bytes of runs that may be broadcast, besides the limit on rows.
-BROADCAST_BYTES = 24_000_000
 
 
 def runs(positions: np.ndarray) -> np.ndarray:
@@ -37,7 +33,5 @@ def by_document(rows: DataFrame) -> DataFrame:
 
 
 def with_runs(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame:
-    """Documents joined with their runs; broadcast only if rows and bytes are few."""
-    rows, size = packed.agg(F.count("*"), F.sum(F.length(RUNS))).first()
-    small = rows <= common.BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(packed) if small else packed, "doc_id", how)
+    """Documents joined with their runs; a shuffle join at every size, for runs grow with the input."""
+    return docs.join(packed, "doc_id", how)
