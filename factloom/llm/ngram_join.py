@@ -4,8 +4,10 @@ Documents become sets of word shingles under one global order, rarest first.
 The order comes from a count sketch of fixed size over all documents: any
 order is correct, and this one puts shingles that many documents share last.
 Of each set, only the prefix that every similar set must touch is posted;
-postings that occur in one set alone are dropped, and what shares a posting
-forms a family, joined exactly by trie (see ``prefix_trie``).
+postings that occur in one set alone are dropped.  Sets that share a posting
+are compared by size and by parity bitmap, which never rule out a similar pair;
+what these leave connected forms a family, joined exactly by trie (see
+``prefix_trie``).
 
 Equal sets are one item throughout, whatever the number of their copies.  Sets
 are known by a 64-bit hash, shingles by 56 bits and the class of their count.
@@ -59,7 +61,7 @@ def ordered(found: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.nd
 
 
 def sets_and_sketch(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, sig, n, bucket -1) of documents, and (bucket, n) counts of shingles."""
+    """Rows (doc_id, sig, n, bits, bucket -1) of documents, and (bucket, n) counts of shingles."""
 
     def run(batches):
         kernel, counts = Kernel(SPACED, lower=True), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -67,14 +69,14 @@ def sets_and_sketch(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text"):
                 found, bounds = shingle_sets(part.column("text"), kernel, k)
                 counts += np.bincount((found >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                yield as_rows(part.column("doc_id"), signature(found, bounds), np.diff(bounds), np.full(part.num_rows, -1, dtype=np.int32))
+                yield as_rows(part.column("doc_id"), signature(found, bounds), np.diff(bounds), prefix_trie.bitmaps(found, bounds), np.full(part.num_rows, -1, dtype=np.int32))
         some = np.flatnonzero(counts)
-        yield as_rows(pa.nulls(len(some), pa.int64()), np.zeros(len(some), dtype=np.int64), counts[some], some.astype(np.int32))
+        yield as_rows(pa.nulls(len(some), pa.int64()), np.zeros(len(some), dtype=np.int64), counts[some], [None] * len(some), some.astype(np.int32))
 
-    def as_rows(doc_id, sig, n, bucket):
-        return pa.RecordBatch.from_arrays([doc_id, pa.array(sig), pa.array(n, pa.int64()), pa.array(bucket)], names=["doc_id", "sig", "n", "bucket"])
+    def as_rows(doc_id, sig, n, bits, bucket):
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(sig), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(bucket)], names=["doc_id", "sig", "n", "bits", "bucket"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig long, n long, bucket int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig long, n long, bits binary, bucket int")
 
 
 def classes_of(rows: DataFrame) -> np.ndarray:
@@ -130,11 +132,15 @@ def components_of(docs: DataFrame, shingle: int = 4, numerator: int = 85) -> Dat
     members = common.materialise(posted.join(alive.hint("shuffle_hash"), "key").select("leader", F.col("sig").alias("item")).distinct(), "members")
     common.discard(posted)
 
-    items = common.materialise(first.join(members.select(F.col("item").alias("sig")).distinct(), "sig", "left_semi"), "items")
+    maps = both.where("n > 0 and bucket < 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).withColumnRenamed("sig", "item")
+    possible = common.materialise(prefix_trie.candidates(members, maps, numerator), "candidates")
+    families = common.materialise(components.connected(possible).select(F.col("root").alias("leader"), F.col("node").alias("item")), "families")
+
+    items = common.materialise(first.join(families.select(F.col("item").alias("sig")), "sig", "left_semi"), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = common.sized_join(texts, items.select("rep").distinct(), "rep", "left_semi")
     sets = common.materialise(ordered_sets(texts, shingle, shared).dropDuplicates(["item"]), "sets")
-    links = prefix_trie.join_families(members, sets, numerator, lambda data: [np.frombuffer(d, dtype=np.uint64) for d in data])
+    links = prefix_trie.join_families(families, sets, numerator, lambda data: [np.frombuffer(d, dtype=np.uint64) for d in data])
     links = common.materialise(links, "links")
     a, b = (items.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep")) for x in "ab")
     found = components.connected(links.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))

@@ -156,19 +156,91 @@ def forest_of(items: list[int], blocks: list[int], sets: list[np.ndarray], numer
     return out
 
 
-def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: Callable[[list], list[np.ndarray]], block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among items that share a family.
+def bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: two to four bits per element, a power of two in all.
 
-    ``members``: leader, item, distinct and materialised.  ``sets``: item, data;
-    ``to_set`` turns a list of data into sorted arrays of elements.
+    Sets that differ in d elements have bitmaps that differ in d bits at most,
+    at any common size; a bitmap is halved by folding.
     """
+    n = np.diff(bounds)
+    size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    place = (hashes & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(begin[:-1], n)
+    odd = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a:b].tobytes() for a, b in zip(begin[:-1] // 8, begin[1:] // 8)]
+
+
+def fold(maps: np.ndarray) -> np.ndarray:
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def may_link(n_a: np.ndarray, maps_a: np.ndarray, n_b: np.ndarray, maps_b: np.ndarray, numerator: int):
+    """Pairs that neither sizes nor bitmaps rule out, in parts."""
+    step = max(1, 4_000_000 // max(1, maps_b.size))
+    for at in range(0, len(n_a), step):
+        a = n_a[at : at + step, None]
+        apart = np.bitwise_count(maps_a[at : at + step, None, :] ^ maps_b[None, :, :]).sum(axis=2, dtype=np.int64)
+        total = a + n_b[None, :]
+        shared = -(-numerator * total // (100 + numerator))
+        fits = (100 * np.minimum(a, n_b) >= numerator * np.maximum(a, n_b)) & (apart <= total - 2 * shared)
+        x, y = np.nonzero(fits)
+        yield x + at, y
+
+
+def candidate_forest(items: list[int], blocks: list[int], sizes: list[int], maps: list[bytes], numerator: int) -> list[tuple[int, int]]:
+    """Spanning pairs of one pair of blocks, of those that may link."""
+    forest, out = Forest(len(items)), []
+    side = [np.array([k for k, b in enumerate(blocks) if b == want]) for want in (min(blocks), max(blocks))]
+    n = np.array(sizes)
+    width = np.array([len(m) // 8 for m in maps])
+    for w in np.unique(width):
+        # similar sets have bitmaps of the same width or of twice that
+        own = [s[width[s] == w] for s in side]
+        wide = [s[width[s] == 2 * w] for s in side]
+        table = lambda at: np.frombuffer(b"".join(maps[k] for k in at), dtype=np.uint64).reshape(len(at), -1)
+        for first, second, left, right in ((own[0], own[1], 0, 0), (own[0], wide[1], 0, 1), (wide[0], own[1], 1, 0)):
+            if len(first) and len(second):
+                a, b = (fold(table(k)) if f else table(k) for k, f in ((first, left), (second, right)))
+                for x, y in may_link(n[first], a, n[second], b, numerator):
+                    for i, j in zip(first[x].tolist(), second[y].tolist()):
+                        if i != j and forest.join(i, j):
+                            out.append((items[i], items[j]))
+    return out
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """leader, item, block, low, high: each item goes to the pairs of its block with every block."""
     sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = common.sized_join(members, common.materialise(sizes, "family-sizes"), "leader", "inner")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    # each item goes to the pairs of its block with every block
     rows = rows.select("leader", "item", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("leader", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(sets, "item")
+    return rows.select("leader", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def candidates(members: DataFrame, maps: DataFrame, numerator: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) that span what sizes and bitmaps leave possible.
+
+    Every link lies inside one component of these pairs, so that the components
+    serve as families in which each item stands once.  ``maps``: item, n, bits.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        blocks = group["block"].tolist()
+        found = [] if low != high and len(set(blocks)) < 2 else candidate_forest(group["item"].tolist(), blocks, group["n"].tolist(), group["bits"].tolist(), numerator)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    rows = _dealt(members, block).join(maps, "item")
+    return rows.select("leader", "low", "high", "block", "item", "n", "bits").groupBy("leader", "low", "high").applyInPandas(run, "a long, b long")
+
+
+def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: Callable[[list], list[np.ndarray]], block: int = BLOCK) -> DataFrame:
+    """Links (a, b) among items that share a family.
+
+    ``members``: leader, item, distinct and materialised.  ``sets``: item, data;
+    ``to_set`` turns a list of data into sorted arrays of elements.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
@@ -179,4 +251,5 @@ def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: C
             found = forest_of(group["item"].tolist(), blocks, to_set(group["data"].tolist()), numerator)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
+    rows = _dealt(members, block).join(sets, "item")
     return rows.select("leader", "low", "high", "block", "item", "data").groupBy("leader", "low", "high").applyInPandas(run, "a long, b long")
