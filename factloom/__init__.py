@@ -1 +1,11 @@
-"""factloom: fact-journal analytics on Spark."""
+"""factloom: fact-journal analytics on Spark.
+
+Python functions of the package are pickled by value, so executors need no copy
+of it on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
