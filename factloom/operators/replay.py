@@ -110,7 +110,7 @@ class Branch:
         self.__init__()
         for f in snapshot["facts"]:
             if canonical_key(f["type"], f["text"]) not in self.keys:
-                self._put(f["id"], f)
+                self._put(f["id"], {k: v for k, v in f.items() if k != "id"})
         self.tombs = {k: [t["revision"], t["at"]] for k, t in snapshot["revoked"].items()}
         return "ok"
 
