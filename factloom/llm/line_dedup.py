@@ -29,43 +29,62 @@ from pyspark.sql import functions as F
 
 from . import common, components, prefix_trie
 from .spans import RUNS, by_document, with_runs
-from .textkernel import SPACED, TABLE, U64, Kernel, Powers, buffer_of, mix, slices
+from .textkernel import SPACED, TABLE, U64, Powers, buffer_of, mix, slices
 
 SHINGLE = 9
 BANDS, ROWS = 8, 3
 SIMILARITY = 80
+#: Families of so few lines are compared pair by pair.
+SMALL = 12
 _CODE_BASE = 0xA24BAED4963EE407
+LINE_BASE = 0x9E3779B97F4A7C15
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
 class Lines:
     """The worded lines of a slice of texts: byte range, document, number in it."""
 
-    def __init__(self, texts: pa.Array, kernel: Kernel):
-        words = kernel.words(texts)
+    def __init__(self, texts: pa.Array):
         data, offsets = buffer_of(texts)
+        n = len(offsets) - 1
         cuts = np.flatnonzero(data == 10)
-        # the line of each word, counted over the slice
-        line = np.searchsorted(cuts, words.start) + words.docs()
-        head = np.ones(len(line), dtype=bool)
-        head[1:] = line[1:] != line[:-1]
-        tail = np.ones(len(line), dtype=bool)
-        tail[:-1] = head[1:]
-        self.data, self.offsets = data, offsets
-        self.start, self.end = words.start[head], words.end[tail]
-        self.doc = words.docs()[head]
-        self.number = (line[head] - self.doc - np.searchsorted(cuts, offsets[:-1])[self.doc]).astype(np.int32)
-        up, down = kernel.byte_powers.get(len(data) + 1)
-        total = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(TABLE[data] * up[: len(data)], out=total[1:])
-        self.item = mix((total[self.end] - total[self.start]) * down[self.start]).view(np.int64)
+        # a text's first line starts with it, the others after its newlines
+        owner = np.concatenate([np.arange(n), np.searchsorted(offsets, cuts, side="right") - 1])
+        start = np.concatenate([offsets[:-1], cuts + 1])
+        order = np.lexsort((start, owner))
+        start, doc = start[order], owner[order]
+        end = np.empty_like(start)
+        end[:-1] = start[1:] - 1
+        last = np.ones(len(start), dtype=bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        end[last] = offsets[doc[last] + 1]
+        number = np.arange(len(start)) - np.searchsorted(doc, np.arange(n))[doc]
+        # white space at the ends goes, a character a round
+        space = ~SPACED
+        while len(at := np.flatnonzero((start < end) & space[data[np.minimum(start, len(data) - 1)]] if len(data) else [])):
+            start[at] += 1
+        while len(at := np.flatnonzero((start < end) & space[data[np.maximum(end, 1) - 1]] if len(data) else [])):
+            end[at] -= 1
+        worded = start < end
+        self.data, self.start, self.end, self.doc, self.number = data, start[worded], end[worded], doc[worded], number[worded].astype(np.int32)
+
+    def items(self, powers: Powers) -> np.ndarray:
+        """64-bit hash of each line's bytes."""
+        up, down = powers.get(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, dtype=U64)
+        np.cumsum(TABLE[self.data] * up[: len(self.data)], out=total[1:])
+        return mix((total[self.end] - total[self.start]) * down[self.start]).view(np.int64)
+
+
+def _mixed_codes() -> np.ndarray:
+    return mix(np.arange(1, 65537, dtype=U64))
 
 
 class Shingles:
     """Character shingles of texts given as byte ranges of a buffer."""
 
     def __init__(self, shingle: int = SHINGLE):
-        self.shingle, self.powers = shingle, Powers(_CODE_BASE)
+        self.shingle, self.powers, self.mixed = shingle, Powers(_CODE_BASE), _mixed_codes()
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every shingle, and the range it belongs to."""
@@ -74,7 +93,11 @@ class Shingles:
         start, end = at_code[start], at_code[end]
         up, down = self.powers.get(len(codes) + 1)
         total = np.zeros(len(codes) + 1, dtype=U64)
-        np.cumsum(mix(codes.astype(U64) + U64(1)) * up[: len(codes)], out=total[1:])
+        wide = codes > 65535
+        value = self.mixed[np.where(wide, 0, codes)]
+        if wide.any():
+            value[wide] = mix(codes[wide].astype(U64) + U64(1))
+        np.cumsum(value * up[: len(codes)], out=total[1:])
         n = np.maximum(1, end - start - self.shingle + 1)
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, int)
@@ -110,59 +133,63 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """item, doc_id, pos (line number) of every worded line."""
-
-    def run(batches):
-        kernel = Kernel(SPACED, lower=False)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = Lines(part.column("text"), kernel)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.item), part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number)], names=["item", "doc_id", "pos"])
-
-    return docs.mapInArrow(run, "item long, doc_id long, pos int")
+def lines_and_bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """Rows (item, doc_id, pos) of every worded line, and (item, key) of its bands."""
 
-
-def band_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """key, item: each distinct line of a slice once per band."""
+    def batch(item, doc_id, pos, key):
+        return pa.RecordBatch.from_arrays([pa.array(item), doc_id, pos, key], names=["item", "doc_id", "pos", "key"])
 
     def run(batches):
-        kernel, shingles = Kernel(SPACED, lower=False), Shingles(shingle)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = Lines(part.column("text"), kernel)
-                item, once = np.unique(lines.item, return_index=True)
+        powers, shingles = Powers(LINE_BASE), Shingles(shingle)
+        for b in batches:
+            for part in slices(b, "text"):
+                lines = Lines(part.column("text"))
+                item = lines.items(powers)
+                yield batch(item, part.column("doc_id").take(pa.array(lines.doc)), pa.array(lines.number), pa.nulls(len(item), pa.int64()))
+                item, once = np.unique(item, return_index=True)
                 hashes, owner = shingles.of(lines.data, lines.start[once], lines.end[once])
-                keys = bands_of(signatures(hashes, owner, len(once), bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(item, bands))], names=["key", "item"])
+                keys = bands_of(signatures(hashes, owner, len(once), bands * rows), bands, rows).reshape(-1).view(np.int64)
+                yield batch(np.repeat(item, bands), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int32()), pa.array(keys))
 
-    return docs.mapInArrow(run, "key long, item long")
+    return docs.mapInArrow(run, "item long, doc_id long, pos int, key long")
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """item and data (its UTF-8 bytes), each distinct line of a slice once."""
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item and data (its UTF-8 bytes) of the wanted lines.
+
+    Few wanted items travel to the scan; more are joined.
+    """
+    shared = None
+    if common.is_small(wanted):
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("item").to_numpy()))
 
     def run(batches):
-        kernel = Kernel(SPACED, lower=False)
+        powers = Powers(LINE_BASE)
+        known = shared.value if shared else None
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = Lines(part.column("text"), kernel)
-                item, once = np.unique(lines.item, return_index=True)
+                lines = Lines(part.column("text"))
+                item, once = np.unique(lines.items(powers), return_index=True)
+                if known is not None:
+                    at = np.searchsorted(known, item)
+                    at[at == len(known)] = 0
+                    hit = known[at] == item if len(known) else np.zeros(len(item), bool)
+                    item, once = item[hit], once[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(item), pa.array([lines.data[a:b].tobytes() for a, b in zip(lines.start[once], lines.end[once])], pa.binary())], names=["item", "data"])
 
-    return docs.mapInArrow(run, "item long, data binary")
+    out = docs.select("text").mapInArrow(run, "item long, data binary")
+    return out if shared else out.join(wanted, "item", "left_semi")
 
 
 def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id and the runs of line numbers that repeat an earlier line, exactly or nearly."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = common.materialise(occurrences(docs), "lines")
-    posted = common.materialise(band_keys(docs, shingle, bands, rows), "bands")
+    both = common.materialise(lines_and_bands(docs, shingle, bands, rows), "lines")
+    found, posted = both.where("key is null").select("item", "doc_id", "pos"), both.where("key is not null").select("key", "item")
     alive = posted.groupBy("key").agg(F.min("item").alias("leader"), F.max("item").alias("other")).where("leader != other").select("key", "leader")
     members = common.materialise(posted.join(alive.hint("shuffle_hash"), "key").select("leader", "item").distinct(), "line-members")
-    common.discard(posted)
     wanted = common.materialise(members.select("item").distinct(), "line-items")
-    texts = common.materialise(common.sized_join(line_texts(docs), wanted, "item", "left_semi").dropDuplicates(["item"]), "line-texts")
+    texts = common.materialise(line_texts(docs, wanted).dropDuplicates(["item"]), "line-texts")
 
     def to_sets(data):
         kernel = Shingles(shingle)
@@ -171,7 +198,7 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
         cuts = np.searchsorted(owner, np.arange(len(data) + 1))
         return [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-    links = common.materialise(prefix_trie.join_families(members, texts, similarity, to_sets), "line-links")
+    links = common.materialise(prefix_trie.join_families(members, texts, similarity, to_sets, small=SMALL), "line-links")
     roots = common.materialise(components.connected(links), "line-roots").withColumnRenamed("node", "item")
     grouped = common.sized_join(found, roots, "item", "left").select(F.coalesce("root", "item").alias("group"), "doc_id", "pos")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
@@ -179,9 +206,9 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     return common.materialise(by_document(later.select("doc_id", "pos")), "repeated-lines")
 
 
-def _kept_lines(part: pa.RecordBatch, kernel: Kernel):
+def _kept_lines(part: pa.RecordBatch):
     """Per row: worded lines, removed lines, and the text left."""
-    worded = np.bincount(Lines(part.column("text"), kernel).doc, minlength=part.num_rows)
+    worded = np.bincount(Lines(part.column("text")).doc, minlength=part.num_rows)
     for k, (text, packed) in enumerate(zip(part.column("text").to_pylist(), part.column(RUNS).to_pylist())):
         if not packed:
             yield int(worded[k]), 0, text
@@ -197,10 +224,9 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every row; null text counts as empty."""
 
     def run(batches):
-        kernel = Kernel(SPACED, lower=False)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(n, gone, hashlib.sha256((text or "").encode()).hexdigest()) for n, gone, text in _kept_lines(part, kernel)]
+                rows = [(n, gone, hashlib.sha256((text or "").encode()).hexdigest()) for n, gone, text in _kept_lines(part)]
                 n, gone, sha = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
@@ -216,10 +242,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        kernel = Kernel(SPACED, lower=False)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = list(_kept_lines(part, kernel))
+                rows = list(_kept_lines(part))
                 out = {name: part.column(name) for name in schema.names}
                 out["text"] = pa.array([text for _, _, text in rows], part.column("text").type)
                 if "n_chars" in out:

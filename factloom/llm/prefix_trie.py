@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,9 +145,18 @@ class Forest:
         return a != b
 
 
-def forest_of(items: list[int], blocks: list[int], sets: list[np.ndarray], numerator: int) -> list[tuple[int, int]]:
-    """Spanning links of one pair of blocks."""
+def forest_of(items: list[int], blocks: list[int], sets: list[np.ndarray], numerator: int, small: int = 0) -> list[tuple[int, int]]:
+    """Spanning links of one pair of blocks; up to ``small`` sets are compared pair by pair."""
     forest, out = Forest(len(items)), []
+    if len(items) <= small:
+        for b in range(len(items)):
+            for a in range(b):
+                x, y = sets[a], sets[b]
+                if 100 * min(len(x), len(y)) >= numerator * max(len(x), len(y)) > 0 and forest.find(a) != forest.find(b):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= numerator * (len(x) + len(y) - both) and forest.join(a, b):
+                        out.append((items[a], items[b]))
+        return out
     first = [k for k, b in enumerate(blocks) if b == min(blocks)]
     second = [k for k, b in enumerate(blocks) if b == max(blocks)]
     for a, b in links([sets[k] for k in first], [sets[k] for k in second], numerator):
@@ -218,6 +227,51 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     return rows.select("leader", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
+def _by_group(rows: DataFrame, columns: list[str], prepare, decide) -> DataFrame:
+    """Pairs (a, b) that ``decide`` finds in each group of leader, low, high.
+
+    Groups are sorted runs of a partition, streamed in batches: ``prepare`` sees
+    the whole groups of a batch at once, and no data frame is made per group.
+    """
+    keys = ["leader", "low", "high"]
+
+    def run(batches):
+        waiting = None
+
+        def groups(table: pa.Table):
+            if not table.num_rows:
+                return
+            leader, low, high = (table.column(k).to_numpy() for k in keys)
+            cut = np.flatnonzero((leader[1:] != leader[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            items, blocks = table.column("item").to_pylist(), table.column("block").to_numpy()
+            data = prepare({c: table.column(c).to_pylist() for c in columns})
+            found = []
+            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [table.num_rows]])):
+                own = blocks[a:b]
+                if b - a > 1 and (low[a] == high[a] or (own != own[0]).any()):
+                    found += decide(items[a:b], own.tolist(), data[a:b])
+            x, y = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            if not table.num_rows:
+                continue
+            last = np.ones(table.num_rows, dtype=bool)
+            for k in keys:
+                values = table.column(k).to_numpy()
+                last &= values == values[-1]
+            whole = int(np.flatnonzero(~last)[-1]) + 1 if (~last).any() else 0
+            yield from groups(table.slice(0, whole).combine_chunks())
+            waiting = table.slice(whole)
+        if waiting is not None:
+            yield from groups(waiting.combine_chunks())
+
+    rows = rows.select(*keys, "block", "item", *columns).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def candidates(members: DataFrame, maps: DataFrame, numerator: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) that span what sizes and bitmaps leave possible.
 
@@ -225,31 +279,20 @@ def candidates(members: DataFrame, maps: DataFrame, numerator: int, block: int =
     serve as families in which each item stands once.  ``maps``: item, n, bits.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        blocks = group["block"].tolist()
-        found = [] if low != high and len(set(blocks)) < 2 else candidate_forest(group["item"].tolist(), blocks, group["n"].tolist(), group["bits"].tolist(), numerator)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def decide(items, blocks, data):
+        return candidate_forest(items, blocks, [n for n, _ in data], [m for _, m in data], numerator)
 
-    rows = _dealt(members, block).join(maps, "item")
-    return rows.select("leader", "low", "high", "block", "item", "n", "bits").groupBy("leader", "low", "high").applyInPandas(run, "a long, b long")
+    return _by_group(_dealt(members, block).join(maps, "item"), ["n", "bits"], lambda c: list(zip(c["n"], c["bits"])), decide)
 
 
-def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: Callable[[list], list[np.ndarray]], block: int = BLOCK) -> DataFrame:
+def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: Callable[[list], list[np.ndarray]], block: int = BLOCK, small: int = 0) -> DataFrame:
     """Links (a, b) among items that share a family.
 
     ``members``: leader, item, distinct and materialised.  ``sets``: item, data;
     ``to_set`` turns a list of data into sorted arrays of elements.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        blocks = group["block"].tolist()
-        if low != high and len(set(blocks)) < 2:
-            found = []
-        else:
-            found = forest_of(group["item"].tolist(), blocks, to_set(group["data"].tolist()), numerator)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def decide(items, blocks, data):
+        return forest_of(items, blocks, data, numerator, small)
 
-    rows = _dealt(members, block).join(sets, "item")
-    return rows.select("leader", "low", "high", "block", "item", "data").groupBy("leader", "low", "high").applyInPandas(run, "a long, b long")
+    return _by_group(_dealt(members, block).join(sets, "item"), ["data"], lambda c: to_set(c["data"]), decide)
