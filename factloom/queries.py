@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .functions import rules as R
 from .functions import text as T
-from .operators import audit, evaluate, lineage, pack, replay, transcript
+from .operators import audit, evaluate, legacy, lineage, pack, replay, reports, transcript
 from .plans import fixtures
 from .sources import config
 from .streaming import replay_stream
@@ -657,3 +657,73 @@ def fact_id(spark, sf_dir):
     """Ids from branch and place, so that a retried write makes the same ones."""
     rows = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("branch_id"), F.col("event_id").alias("seq"))
     return rows.select("branch_id", "seq", F.concat(F.lit("cf_"), F.left(F.sha2(F.concat("branch_id", F.lit("#"), F.col("seq").cast("string")), 256), F.lit(32))).alias("id"))
+
+
+# reports and settings
+
+@query(f"{_MEANS} SELECT conv_id, printf('%.1f', round(left_mean, 1)) AS score, CASE WHEN mean_delta > 0 THEN '+' ELSE '' END || printf('%.1f', round(mean_delta, 1)) AS delta FROM md")
+def score_format(spark, sf_dir):
+    rows = evaluate.mean_deltas(*arms(spark, sf_dir), ["conv_id"])
+    return rows.select("conv_id", reports.score_text(F.col("left_mean")).alias("score"), reports.delta_text(F.col("mean_delta")).alias("delta"))
+
+
+@query(f"WITH {SESSIONS} SELECT cwd, id, row_number() OVER (PARTITION BY cwd ORDER BY modified DESC, id) || '. ' || id || ' (' || n_messages || ' messages)' AS line FROM se")
+def session_list(spark, sf_dir):
+    return reports.session_list(fixtures.sessions(spark, sf_dir))
+
+
+@query("SELECT event_id, (least(greatest(event_id % 9 - 1, 1), pages) - 1) * 10 AS \"offset\", pages FROM (SELECT event_id, CAST(greatest(1, ceil((event_id % 57) / 10)) AS BIGINT) AS pages FROM events)")
+def page_offsets(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id")
+    out = reports.page_of(F.col("event_id") % 9 - 1, F.col("event_id") % 57)
+    return rows.select("event_id", *(v.alias(k) for k, v in out.items()))
+
+
+@query("""WITH s AS (SELECT 'k' || (event_id % 50) AS key, arg_max('v' || event_id, event_id) AS value FROM events WHERE event_id % 50 NOT IN (1, 4) GROUP BY 1),
+w AS (SELECT * FROM (VALUES ('evaluator', 'k1', 0), ('evaluator', 'k2', 1), ('replay', 'k3', 0), ('replay', 'k1', 1), ('arbiter', 'k4', 0), ('arbiter', 'k1', 1)) t(role, key, k))
+SELECT role, arg_min(key, k) AS key, arg_min(value, k) AS value, '.env' AS source FROM w JOIN s USING (key) GROUP BY role""")
+def config_status(spark, sf_dir):
+    n = F.col("event_id")
+    rows = fixtures.table(spark, sf_dir, "events").where(~(n % 50).isin(1, 4)).select(F.concat(F.lit("k"), (n % 50).cast("string")).alias("key"), F.concat(F.lit("v"), n.cast("string")).alias("value"), n.alias("layer"), F.lit(".env").alias("source"))
+    return reports.settings_in_force(config.layered(rows), [("evaluator", ["k1", "k2"]), ("replay", ["k3", "k1"]), ("arbiter", ["k4", "k1"])])
+
+
+@query("SELECT event_id, event_id % 5 > 0 AND event_id % 7 > 0 AS valid FROM events")
+def runtime_status(spark, sf_dir):
+    n = F.col("event_id")
+    cost = ",".join(f'"{c}":1' for c in reports.COST)
+    counters = ",".join(f'"{c}":2' for c in reports.COUNTERS)
+    flag = F.when(n % 5 == 0, '"yes"').otherwise("true")
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"runtimeActive":'), flag, F.lit(',"contextApplied":false,"contextCost":{' + cost + "},"), F.when(n % 7 == 0, counters.replace(":2", ":-2")).otherwise(counters), F.lit("}")).alias("status"))
+    return rows.select("event_id", reports.valid_status(F.col("status")).alias("valid"))
+
+
+@query(f"""{_MEANS}, {_USAGE} SELECT conv_id, left_mean, right_mean, mean_delta, base_total, compact_total, saved FROM md JOIN us USING (conv_id)""")
+def counterfactual_report(spark, sf_dir):
+    """The JSON report, read back."""
+    rows = reports.counterfactual(evaluate.mean_deltas(*arms(spark, sf_dir), ["conv_id"]), usages(spark, sf_dir), "conv_id")
+    kind = "struct<quality:struct<left_mean:double,right_mean:double,mean_delta:double>,usage:struct<base_total:bigint,compact_total:bigint,saved:bigint>>"
+    return rows.select("conv_id", F.from_json("report", kind).alias("r")).select("conv_id", "r.quality.*", "r.usage.*")
+
+
+@query(f"{_AUDIT} SELECT branch_id, baseline_chars, compact_chars, tokens_saved FROM au")
+def audit_report(spark, sf_dir):
+    audited = audit.audit(*contexts(spark, sf_dir))
+    rows = reports.audit_report(audited, audit.recommendations(audited))
+    return rows.select("branch_id", F.from_json("report", "baseline_chars bigint, compact_chars bigint, tokens_saved bigint").alias("r")).select("branch_id", "r.*")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 550) || " + q(C.TRUNCATED) + " || right(text, 450) END AS text FROM documents")
+def text_truncate(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 1000).alias("text"))
+
+
+@query("""SELECT 'u_' || user_id AS branch_id, event_id AS seq, CASE WHEN event_id % 6 > 3 THEN 'future' WHEN event_id % 6 = 0 THEN 'invalid' WHEN event_id % 17 = 0 THEN 'invalid' ELSE CASE event_id % 6 WHEN 1 THEN 'v1' WHEN 2 THEN 'v2b' ELSE 'v3' END END AS kind,
+  event_id % 6 BETWEEN 1 AND 3 AND event_id % 17 > 0 AS accepted FROM events""")
+def journal_generations(spark, sf_dir):
+    """Revokes of several schema versions through the raw-journal fold; each names a fact of its own."""
+    n = F.col("event_id")
+    id_ = F.when(n % 17 == 0, "bad id").otherwise(F.concat(F.lit("cf_e"), n.cast("string")))
+    data = F.concat(F.lit('{"version":'), (n % 6).cast("string"), F.lit(',"op":"revoke","id":"'), id_, F.lit('","at":'), (n + 1).cast("string"), F.lit("}"))
+    rows = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("branch_id"), n.alias("seq"), F.lit(legacy.EVENT_ENTRY).alias("entry_type"), data.alias("data"))
+    return legacy.outcomes(rows).select("branch_id", "seq", "kind", "accepted")
