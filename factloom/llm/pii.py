@@ -20,7 +20,8 @@ is no shuffle.
 
 Values that fail validation (a Luhn failure, an octet over 255, 31 February)
 are left as they are.  Defined cases: null text stays null with zero counts,
-all other columns and repeated rows pass through untouched.
+all other columns and repeated rows pass through untouched, but for a column
+named ``found``, whose place the counts take.
 """
 
 from __future__ import annotations

@@ -82,6 +82,20 @@ reach(doc_id, other) AS (
   SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
+    "op2_line_dedup": r"""
+WITH RECURSIVE parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+lines AS (SELECT doc_id, pos, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, doc_id * 1000000 + pos AS place FROM parts),
+u AS (SELECT line, min(place) AS id FROM lines WHERE line <> '' GROUP BY line),
+s AS (SELECT DISTINCT id, hash(substr(line, i, 9)) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 8, 1) + 1)) AS i FROM u)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+common AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT id, id FROM u UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+first AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+judged AS (SELECT l.doc_id, l.pos, l.raw, l.line <> '' AS worded, l.line <> '' AND l.place <> f.root AS gone FROM lines l LEFT JOIN u USING (line) LEFT JOIN first f USING (id))
+SELECT doc_id, count_if(worded) AS n_lines, count_if(gone) AS n_removed, sha256(coalesce(string_agg(CASE WHEN NOT coalesce(gone, FALSE) THEN raw END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
     "op3_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 s AS (
