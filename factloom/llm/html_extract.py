@@ -40,47 +40,51 @@ N_FEATURES = 28
 
 
 def features(nodes: list[Node]) -> np.ndarray:
-    """One row of features per node."""
+    """One row of features per node of one page."""
+    return features_of([nodes])
+
+
+def features_of(trees: list[list[Node]]) -> np.ndarray:
+    """One row of features per node of several pages, a tree level at a time."""
+    nodes = [x for t in trees for x in t]
     n = len(nodes)
-    chars = np.array([len(x.text) for x in nodes], dtype=float)
-    links = np.array([x.link_chars for x in nodes], dtype=float)
-    tags = np.array([x.tags for x in nodes], dtype=float)
-    leaves = np.array([x.tag == "#" for x in nodes], dtype=float)
-    long_leaves = np.array([len(x.text) > 80 for x in nodes], dtype=float)
-    stops = np.array([x.text.count(".") + x.text.count(",") for x in nodes], dtype=float)
-    for k in range(n - 1, 0, -1):
-        up = nodes[k].parent
-        for a in (chars, links, tags, leaves, long_leaves, stops):
-            a[up] += a[k]
-    out = np.zeros((n, N_FEATURES))
-    page = max(1.0, chars[0])
+    sizes = np.array([len(t) for t in trees])
+    base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    depth = np.array([x.depth for x in nodes])
+    up = np.array([x.parent for x in nodes]) + base
+    roots = depth == 0
+    up[roots] = np.flatnonzero(roots)
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if n else []
+
+    text = [len(x.text) for x in nodes]
+    # characters, link characters, tags, runs, long runs, stops; summed over subtrees
+    total = np.array([text, [x.link_chars for x in nodes], [x.tags for x in nodes], [x.tag == "#" for x in nodes], [c > 80 for c in text], [x.text.count(".") + x.text.count(",") for x in nodes]], dtype=float).T.copy()
+    before = np.cumsum(total[:, 0]) - total[:, 0]
+    for level in levels[:0:-1]:
+        np.add.at(total, up[level], total[level])
+    chars, links, tags, leaves, long_leaves, stops = total.T
+    page = np.maximum(1.0, chars[base])
+
     own = np.zeros((n, 4))
     for k, x in enumerate(nodes):
-        t = x.tokens
-        if t:
-            own[k] = [sum(w in words for w in t) for words in (MAIN_TOKENS, SIDE_TOKENS, NOTICE_TOKENS, TALK_TOKENS)]
-    above = np.zeros((n, 6))  # tokens of ancestors, side tags above, main tags above
-    for k in range(1, n):
-        up = nodes[k].parent
-        tag = nodes[up].tag
-        above[k] = above[up]
-        above[k, :4] += own[up]
-        above[k, 4] += tag in SIDE_TAGS
-        above[k, 5] += tag in ("article", "main")
-    position = np.zeros(n)
-    before = 0.0
-    for k, x in enumerate(nodes):
-        position[k] = before / page
-        before += len(x.text)
-    for k, x in enumerate(nodes):
-        up = max(x.parent, 0)
-        brothers = nodes[up].children if k else [0]
-        m = len(brothers)
-        out[k, :8] = TAG_GROUPS.get(x.tag, 0), TAG_GROUPS.get(nodes[up].tag, 0), x.depth, m, len(x.children), x.tag in SIDE_TAGS, x.tag in ("article", "main"), x.hidden
-        out[k, 8] = chars[up] / page
-        out[k, 9] = links[up] / max(1.0, chars[up])
-        out[k, 10] = chars[k] / max(1.0, chars[up])
-        out[k, 11] = m and long_leaves[up] / m
+        if x.tokens:
+            own[k] = [sum(w in words for w in x.tokens) for words in (MAIN_TOKENS, SIDE_TOKENS, NOTICE_TOKENS, TALK_TOKENS)]
+    side = np.array([x.tag in SIDE_TAGS for x in nodes], dtype=float)
+    main = np.array([x.tag in ("article", "main") for x in nodes], dtype=float)
+    mine = np.column_stack([own, side, main])
+    above = np.zeros((n, 6))  # tokens, side tags and main tags of ancestors
+    for level in levels[1:]:
+        above[level] = above[up[level]] + mine[up[level]]
+
+    group = np.array([TAG_GROUPS.get(x.tag, 0) for x in nodes])
+    children = np.array([len(x.children) for x in nodes])
+    brothers = np.where(roots, 1, children[up])
+    out = np.zeros((n, N_FEATURES))
+    out[:, :8] = np.column_stack([group, group[up], depth, brothers, children, side, main, [x.hidden for x in nodes]])
+    out[:, 8] = chars[up] / page
+    out[:, 9] = links[up] / np.maximum(1.0, chars[up])
+    out[:, 10] = chars / np.maximum(1.0, chars[up])
+    out[:, 11] = long_leaves[up] / np.maximum(1, brothers)
     out[:, 12] = np.log1p(chars)
     out[:, 13] = links / np.maximum(1, chars)
     out[:, 14] = chars / (1 + tags + leaves)
@@ -88,7 +92,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     out[:, 16] = long_leaves
     out[:, 17] = stops / np.maximum(1, chars)
     out[:, 18] = chars / page
-    out[:, 19] = position
+    out[:, 19] = (before - before[base]) / page
     out[:, 20:24] = own
     out[:, 24] = above[:, 0]
     out[:, 25] = above[:, 1:4].sum(axis=1)
@@ -174,25 +178,23 @@ def train(pages: int = 300) -> Forest:
 def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
     """The likeliest labelling in which no dropped node has a kept descendant."""
     logit = np.clip(logit, -12, 12)
-    keep, drop = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
-    subtree_drop = drop.copy()
-    best_keep = keep.copy()
+    # plain lists: pages are small and the passes go node by node
+    best_keep, subtree_drop = (-np.logaddexp(0, -logit)).tolist(), (-np.logaddexp(0, logit)).tolist()
     for k in range(len(nodes) - 1, 0, -1):
         up = nodes[k].parent
         subtree_drop[up] += subtree_drop[k]
         best_keep[up] += max(best_keep[k], subtree_drop[k])
-    kept = np.zeros(len(nodes), dtype=bool)
-    kept[0] = True
+    kept = [True] + [False] * (len(nodes) - 1)
     for k in range(1, len(nodes)):
         kept[k] = kept[nodes[k].parent] and best_keep[k] > subtree_drop[k]
-    return kept
+    return np.array(kept)
 
 
 def main_texts(sources: list[str | None], forest: Forest) -> list[str]:
     """Kept runs of each page, one per line."""
     trees = [parse(s) for s in sources]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in trees])])
-    logit = forest.logits(np.concatenate([features(t) for t in trees])) if trees else np.zeros(0)
+    logit = forest.logits(features_of(trees)) if trees else np.zeros(0)
     out = []
     for k, nodes in enumerate(trees):
         kept = decode(nodes, logit[bounds[k] : bounds[k + 1]])
