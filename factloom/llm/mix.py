@@ -63,9 +63,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     # level shared from this source on, if all earlier ones are at their cap
     level = (F.col("total") - F.col("before")) / (F.col("all_weights") - F.col("weights_before"))
     sources = sources.withColumn("full", (F.col("limit") <= level * F.col("weight")))
-    ends = sources.agg(F.max(F.when(~F.col("full"), level)).alias("level"))  # the first one: levels fall from there on
-    target = F.when(F.col("full") | F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.col("level") * F.col("weight"))
-    return sources.crossJoin(F.broadcast(ends)).select("source", "source_size", "documents", target.alias("target"))
+    # the first level below a cap is the highest: levels fall from there on
+    shared = F.max(F.when(~F.col("full"), level)).over(rest)
+    target = F.when(F.col("full") | F.col("shared").isNull(), F.col("limit").cast("double")).otherwise(F.col("shared") * F.col("weight"))
+    return sources.withColumn("shared", shared).select("source", "source_size", "documents", target.alias("target"))
 
 
 def flight(chance: np.ndarray, size: np.ndarray, rng) -> np.ndarray:
