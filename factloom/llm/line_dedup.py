@@ -187,6 +187,7 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     both = common.materialise(lines_and_bands(docs, shingle, bands, rows), "lines")
     found, posted = both.where("key is null").select("item", "doc_id", "pos"), both.where("key is not null").select("key", "item")
     alive = posted.groupBy("key").agg(F.min("item").alias("leader"), F.max("item").alias("other")).where("leader != other").select("key", "leader")
+    alive = common.materialise(alive, "shared-bands")  # so that the join may split hot keys
     members = common.materialise(posted.join(alive.hint("shuffle_hash"), "key").select("leader", "item").distinct(), "line-members")
     wanted = common.materialise(members.select("item").distinct(), "line-items")
     texts = common.materialise(line_texts(docs, wanted).dropDuplicates(["item"]), "line-texts")
@@ -202,6 +203,7 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     roots = common.materialise(components.connected(links), "line-roots").withColumnRenamed("node", "item")
     grouped = common.sized_join(found, roots, "item", "left").select(F.coalesce("root", "item").alias("group"), "doc_id", "pos")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
+    first = common.materialise(first, "first-lines")
     later = grouped.join(first.hint("shuffle_hash"), "group").where(F.struct("doc_id", "pos") > F.col("first"))
     return common.materialise(by_document(later.select("doc_id", "pos")), "repeated-lines")
 

@@ -129,6 +129,7 @@ def components_of(docs: DataFrame, shingle: int = 4, numerator: int = 85) -> Dat
 
     posted = common.materialise(postings(docs, shingle, numerator, shared), "postings")
     alive = posted.groupBy("key").agg(F.min("sig").alias("leader"), F.max("sig").alias("other")).where("leader != other").select("key", "leader")
+    alive = common.materialise(alive, "shared-postings")  # so that the join may split hot keys
     members = common.materialise(posted.join(alive.hint("shuffle_hash"), "key").select("leader", F.col("sig").alias("item")).distinct(), "members")
     common.discard(posted)
 

@@ -134,13 +134,16 @@ class Repeats:
         rest = common.sized_join(self.docs.where("doc_id is not null"), self.copies, "doc_id", "left_anti")
 
         posted = posted_halves(rest, length)
-        halves = posted.join(repeated(posted.select("h", "doc_id")).select("h"), "h", "left_semi")
+        # tables of their own, so that the joins may split hot windows
+        shared = common.materialise(repeated(posted.select("h", "doc_id")).select("h"), "shared-halves")
+        halves = posted.join(shared, "h", "left_semi")
         halves = common.materialise(by_document(halves.select("doc_id", "pos")), "halves")
         self.lengths, self.levels = [], []
         rows = candidate_windows(rest, halves, length)
         while True:
             rows = common.materialise(rows, f"windows-{length}")
-            level = common.materialise(rows.join(repeated(rows.select("h", "doc_id")), "h"), f"repeated-{length}")
+            shared = common.materialise(repeated(rows.select("h", "doc_id")), f"shared-{length}")
+            level = common.materialise(rows.join(shared, "h"), f"repeated-{length}")
             common.discard(rows)
             if level.isEmpty():
                 break

@@ -42,7 +42,7 @@ def corpus():
 
 
 def frame(spark, corpus, n=3):
-    rows = [(d, t, "en" if d % 2 else None, None if d % 5 == 0 else f"s{d % 3}", len(t or ""), "k", None, "b") for d, t in corpus]
+    rows = [(d, t, "en" if (d or 0) % 2 else None, None if (d or 0) % 5 == 0 else f"s{d % 3}", len(t or ""), "k", None, "b") for d, t in corpus]
     return spark.createDataFrame(rows, DOCS).repartition(n)
 
 
