@@ -199,7 +199,7 @@ def may_link(n_a: np.ndarray, maps_a: np.ndarray, n_b: np.ndarray, maps_b: np.nd
 
 def candidate_forest(items: list[int], blocks: list[int], sizes: list[int], maps: list[bytes], numerator: int) -> list[tuple[int, int]]:
     """Spanning pairs of one pair of blocks, of those that may link."""
-    forest, out = Forest(len(items)), []
+    first_ends, second_ends = [], []
     side = [np.array([k for k, b in enumerate(blocks) if b == want]) for want in (min(blocks), max(blocks))]
     n = np.array(sizes)
     width = np.array([len(m) // 8 for m in maps])
@@ -212,10 +212,34 @@ def candidate_forest(items: list[int], blocks: list[int], sizes: list[int], maps
             if len(first) and len(second):
                 a, b = (fold(table(k)) if f else table(k) for k, f in ((first, left), (second, right)))
                 for x, y in may_link(n[first], a, n[second], b, numerator):
-                    for i, j in zip(first[x].tolist(), second[y].tolist()):
-                        if i != j and forest.join(i, j):
-                            out.append((items[i], items[j]))
-    return out
+                    i, j = spanning(len(items), first[x], second[y])
+                    first_ends.append(i)
+                    second_ends.append(j)
+    if not first_ends:
+        return []
+    i, j = spanning(len(items), np.concatenate(first_ends), np.concatenate(second_ends))
+    return [(items[a], items[b]) for a, b in zip(i.tolist(), j.tolist())]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b) that make a spanning forest of them all.
+
+    Each round takes one pair for every component that still has one leading
+    out of it, so that the rounds are logarithmic in n.
+    """
+    forest, label = Forest(n), np.arange(n)
+    left, right = [], []
+    while True:
+        out = label[a] != label[b]
+        a, b = a[out], b[out]
+        if not len(a):
+            return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+        _, first = np.unique(label[a], return_index=True)
+        for k in first.tolist():
+            if forest.join(int(a[k]), int(b[k])):
+                left.append(int(a[k]))
+                right.append(int(b[k]))
+        label = np.array([forest.find(k) for k in range(n)])
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
