@@ -510,7 +510,7 @@ def audit_sets(spark, sf_dir):
 
 @query(f"""{_CONTEXTS}, tiers AS (SELECT DISTINCT branch_id, tier FROM facts, (VALUES ('critical'), ('important'), ('useful'), ('background')) t(tier)),
 g AS (SELECT branch_id, CASE WHEN priority >= 90 THEN 'critical' WHEN priority >= 70 THEN 'important' WHEN priority >= 40 THEN 'useful' ELSE 'background' END AS tier, count(*) AS total, count_if(kept) AS retained, string_agg(CASE WHEN NOT kept THEN id END, ',' ORDER BY id) AS omitted FROM rows_ GROUP BY ALL)
-SELECT branch_id, tier, coalesce(total, 0) AS total, coalesce(retained, 0) AS retained, CASE WHEN total > 0 THEN retained / total ELSE 0.0 END AS recall, coalesce(omitted, '') AS omitted_ids FROM tiers LEFT JOIN g USING (branch_id, tier)""")
+SELECT branch_id, tier, coalesce(total, 0) AS total, coalesce(retained, 0) AS retained, CASE WHEN total > 0 THEN retained / total ELSE CAST(0 AS DOUBLE) END AS recall, coalesce(omitted, '') AS omitted_ids FROM tiers LEFT JOIN g USING (branch_id, tier)""")
 def audit_recall_tiers(spark, sf_dir):
     return audit.recall_by_tier(audit.compared(*contexts(spark, sf_dir)))
 
@@ -532,7 +532,7 @@ def audit_compression(spark, sf_dir):
     return audit.audit(*contexts(spark, sf_dir)).select("branch_id", "baseline_chars", "compact_chars", "compression_ratio", "reduction", "baseline_tokens", "compact_tokens", "tokens_saved", "utilisation", "fact_recall", "expanded_recall", "omission_rate", "payload_chars", "payload_ratio")
 
 
-@query(f"{_AUDIT} SELECT branch_id, 0 AS duplicates, 0 AS unexpected, 0.0 AS contamination, 0.0 AS unexpected_share, 0.0 AS duplicate_rate FROM au")
+@query(f"{_AUDIT} SELECT branch_id, 0 AS duplicates, 0 AS unexpected, CAST(0 AS DOUBLE) AS contamination, CAST(0 AS DOUBLE) AS unexpected_share, CAST(0 AS DOUBLE) AS duplicate_rate FROM au")
 def audit_contamination(spark, sf_dir):
     return audit.audit(*contexts(spark, sf_dir)).select("branch_id", "duplicates", "unexpected", "contamination", "unexpected_share", "duplicate_rate")
 
