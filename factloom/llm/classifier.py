@@ -165,7 +165,7 @@ def scores(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
     def run(batches):
         weight, bias = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", SLICE_BYTES):
                 bucket, row = features(part.column("text"))
                 total = np.bincount(row, weights=weight[bucket], minlength=part.num_rows)
                 logit = total / np.maximum(1, np.bincount(row, minlength=part.num_rows)) + bias

@@ -25,7 +25,7 @@ from . import common
 #: Items of one block of a family.
 BLOCK = 256
 #: Cells of the membership table of the probes that walk together.
-CELLS = 24_000_000
+CELLS = 12_000_000
 
 
 class Trie:
@@ -186,7 +186,7 @@ def fold(maps: np.ndarray) -> np.ndarray:
 
 def may_link(n_a: np.ndarray, maps_a: np.ndarray, n_b: np.ndarray, maps_b: np.ndarray, numerator: int):
     """Pairs that neither sizes nor bitmaps rule out, in parts."""
-    step = max(1, 4_000_000 // max(1, maps_b.size))
+    step = max(1, 2_000_000 // max(1, maps_b.size))
     for at in range(0, len(n_a), step):
         a = n_a[at : at + step, None]
         apart = np.bitwise_count(maps_a[at : at + step, None, :] ^ maps_b[None, :, :]).sum(axis=2, dtype=np.int64)

@@ -24,7 +24,7 @@ _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 
 #: Bytes of text handled at once; a longer single text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _lut(separators) -> np.ndarray:
