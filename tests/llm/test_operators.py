@@ -235,6 +235,21 @@ def test_quality_rules_keep_clean_and_reject_junk(spark):
     assert share[1] > 0.99 and share[0] < 0.3
 
 
+NATURAL = {
+    "en": "The harbour was quiet when the first boats returned. Fishermen carried their baskets up the stone steps, and the women who had waited since before dawn began to sort the catch by size. Nobody spoke about the storm. Later, after the market had closed and the gulls had taken whatever was left, an old man sat on the wall, repaired a torn net with patient fingers and told the children how the lighthouse had once gone dark for three winters.",
+    "de": "Der Hafen lag still, als die ersten Boote zurückkehrten. Die Fischer trugen ihre Körbe die steinernen Stufen hinauf, und die Frauen, die seit dem frühen Morgen gewartet hatten, sortierten den Fang nach Größe. Niemand sprach über das Unwetter. Später, als der Markt geschlossen war, saß ein alter Mann auf der Mauer, flickte geduldig ein zerrissenes Netz und erzählte den Kindern, wie der Leuchtturm einst drei Winter lang dunkel geblieben war.",
+    "fr": "Le port était calme quand les premiers bateaux revinrent. Les pêcheurs montaient leurs paniers par l'escalier de pierre, et les femmes qui attendaient depuis l'aube triaient le poisson selon sa taille. Personne ne parlait de la tempête. Plus tard, une fois le marché fermé, un vieil homme assis sur le mur réparait patiemment un filet déchiré et racontait aux enfants comment le phare était resté éteint pendant trois hivers.",
+    "es": "El puerto estaba tranquilo cuando regresaron los primeros barcos. Los pescadores subían sus cestas por la escalera de piedra, y las mujeres que esperaban desde el amanecer clasificaban la pesca según su tamaño. Nadie hablaba de la tormenta. Más tarde, cuando cerró el mercado, un anciano sentado en el muro remendaba con paciencia una red rota y contaba a los niños cómo el faro había quedado apagado durante tres inviernos.",
+}
+
+
+def test_quality_rules_keep_natural_prose(spark):
+    # whole paragraphs, and halves of them, whatever the language column says of Latin text
+    rows = [(text[: len(text) // part], lang) for lang, text in NATURAL.items() for part in (1, 2)] + [(t, "it") for t in NATURAL.values()]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert [r for r in quality_rules.measures(docs).collect() if not r.kept or r.n_tokens < quality_rules.MIN_TOKENS] == []
+
+
 def test_mix(spark, corpus):
     docs = frame(spark, corpus)
     for block in (1024, 8):
