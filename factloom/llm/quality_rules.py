@@ -61,9 +61,10 @@ def base_counts(texts: pa.Array, kernel: Kernel, repeat: int = 5) -> dict[str, n
     # lines: cut at \n and at the ends of texts
     cuts = np.flatnonzero(data == 10)
     start = np.concatenate([offsets[:-1], cuts + 1])
-    order = np.argsort(start, kind="stable")
-    doc = np.concatenate([np.arange(n_docs), np.searchsorted(offsets, cuts, side="right") - 1])[order]
-    start = start[order]
+    doc = np.concatenate([np.arange(n_docs), np.searchsorted(offsets, cuts, side="right") - 1])
+    # a text's empty last line starts where the next text does
+    order = np.lexsort((start, doc))
+    start, doc = start[order], doc[order]
     stop = np.concatenate([start[1:] - 1, offsets[-1:]]) if len(start) else start
     last = np.concatenate([doc[1:] != doc[:-1], [True]]) if len(doc) else np.zeros(0, bool)
     stop = np.where(last, offsets[doc + 1], stop)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,12 @@ def test_quality_counts(spark, corpus):
     assert quality_rules.keep(empty(spark)).count() == 0
 
 
+def test_duplicate_lines_of_texts_that_end_in_newlines():
+    texts = ["a\n", "b\nc\nb", "x\nx\n", "\n", "", None, "y\n\ny\n\n", "z\nz"]
+    out = quality_rules.base_counts(pa.array(texts), quality_rules.Kernel(quality_rules.SPACED, lower=False))
+    assert out["n_dup_lines"].tolist() == [0, 1, 1, 0, 0, 0, 1, 1]
+
+
 def test_quality_rules_keep_clean_and_reject_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
