@@ -28,6 +28,23 @@ def final_task(messages: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by(F.struct(text.alias("task"), F.col("pos").alias("pos"), F.col("id").alias("id")), "pos").alias("m")).select("session_id", "m.*")
 
 
+class WholeRenderer:
+    """Streams one transcript and writes all of it; holds its text, which is one row."""
+
+    def __init__(self, session):
+        self.session, self.pieces = session, []
+        self.chars = 0
+
+    def add(self, row) -> list:
+        self.chars += len(row["content"])
+        self.pieces.append(f"### {len(self.pieces) + 1}. {row['role'].upper()}\n{row['content']}")
+        return []
+
+    def finish(self) -> list:
+        text = "\n\n".join(self.pieces)
+        return [(self.session, text, len(self.pieces), self.chars, len(text), len(text), False)]
+
+
 class Renderer:
     """Streams one transcript; holds its head, its tail and counters only."""
 
@@ -56,10 +73,10 @@ class Renderer:
 RENDERED = "session_id long, text string, n_messages long, content_chars long, source_chars long, analysed_chars long, truncated boolean"
 
 
-def rendered(messages: DataFrame, limit: int = C.DIALOG_CHARS) -> DataFrame:
-    """Numbered transcript of each session, cut in the middle beyond ``limit``."""
+def rendered(messages: DataFrame, limit: int | None = C.DIALOG_CHARS) -> DataFrame:
+    """Numbered transcript of each session, cut in the middle beyond ``limit``; whole if that is None."""
     rows = messages.select("session_id", "pos", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("content"))
-    return fold(rows, "session_id", ["pos"], lambda s: Renderer(s, limit), RENDERED)
+    return fold(rows, "session_id", ["pos"], lambda s: WholeRenderer(s) if limit is None else Renderer(s, limit), RENDERED)
 
 
 def last_assistant(messages: DataFrame) -> DataFrame:

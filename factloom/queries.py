@@ -443,7 +443,7 @@ _CUT = f"CASE WHEN length(raw) <= 1000 THEN raw ELSE left(raw, 550) || {q(C.TRUN
 
 @query(f"{_RENDER} SELECT session_id, raw AS text FROM t")
 def transcript_render(spark, sf_dir):
-    return transcript.rendered(messages(spark, sf_dir)).select("session_id", "text")
+    return transcript.rendered(messages(spark, sf_dir), None).select("session_id", "text")
 
 
 @query(f"{_RENDER} SELECT session_id, {_CUT} AS text, length(raw) > 1000 AS truncated FROM t")
