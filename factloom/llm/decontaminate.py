@@ -32,8 +32,8 @@ from .textkernel import ALNUM, Kernel, slices
 WINDOW = 13
 #: Characters of benchmark text in one block.
 BLOCK_CHARS = 8_000_000
-#: Terms of a window that a proximity match asks for.
-RARE_TERMS = 3
+#: Share of a window's distinct terms that a proximity match asks for.
+NEAR_SHARE = 0.75
 
 STATE = "doc_id long, text string, bits binary, items array<string>"
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -101,17 +101,36 @@ class Shard:
                 break
         return found
 
+    def possibly_near(self, queries: Queries) -> np.ndarray:
+        """Windows of which the shard holds as many terms as a proximity match asks for."""
+        if not len(queries.windows):
+            return np.zeros(0, dtype=np.int64)
+        terms = np.sort(queries.padded, axis=1)
+        once = np.ones(terms.shape, dtype=bool)
+        once[:, 1:] = terms[:, 1:] != terms[:, :-1]
+        return np.flatnonzero((once & (self.lengths[terms] > 0)).sum(axis=1) >= np.ceil(NEAR_SHARE * once.sum(axis=1)))
+
     def near(self, window: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term that have the next rarest ones within ``slop`` words."""
-        rare = np.unique(window)
-        rare = rare[np.argsort(self.lengths[rare], kind="stable")][:RARE_TERMS]
-        found = self.postings(rare[0])
-        for term in rare[1:]:
-            others = self.postings(term)
-            at = np.searchsorted(others, found - slop)
-            inside = at < len(others)
-            found = found[inside][others[at[inside]] <= found[inside] + slop]
-        return found
+        """Positions of the window's terms from which ``len(window) + slop`` words hold ``NEAR_SHARE`` of its terms.
+
+        Which terms are rare in the shard decides where to look, never what is found.
+        """
+        terms, span = np.unique(window), len(window) + slop
+        need = math.ceil(NEAR_SHARE * len(terms))
+        lists = [self.postings(t) for t in terms[np.argsort(self.lengths[terms], kind="stable")]]
+        # a match lacks len(terms) - need terms at most, so it holds one of the rarest
+        anchors = np.unique(np.concatenate(lists[: len(terms) - need + 1]))
+        held = sum(np.searchsorted(x, anchors + span) > np.searchsorted(x, anchors - span + 1) for x in lists)
+        anchors = anchors[held >= need]
+        if not len(anchors):
+            return anchors
+        starts = []
+        for x in lists:
+            low, high = np.searchsorted(x, anchors - span + 1), np.searchsorted(x, anchors, side="right")
+            n = high - low
+            starts.append(x[np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())])
+        starts = np.unique(np.concatenate(starts))
+        return starts[sum(np.searchsorted(x, starts + span) > np.searchsorted(x, starts) for x in lists) >= need]
 
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first_position, position, side="right") - 1
@@ -233,8 +252,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every exact phrase match and, with ``slop`` words, every proximity match.
 
-    ``start`` is a word number within the document, counted from 0; a proximity
-    match starts at the rarest term.
+    ``start`` is a word number within the document, counted from 0.  A proximity
+    match is each of the window's words from which on as many words as the window
+    has, and ``slop`` more, hold ``NEAR_SHARE`` of its distinct terms, in any order.
     """
 
     def scan(shared):
@@ -243,15 +263,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             for batch in batches:
                 for part in slices(batch, "text"):
                     words = kernel.words(part.column("text"))
-                    shard = Shard(words, queries, max(queries.gap, slop + 1))
+                    shard = Shard(words, queries, queries.gap + slop)
                     ids, out = part.column("doc_id").to_pylist(), []
-                    for k in shard.possible(queries):
+                    kinds = [("exact", k) for k in shard.possible(queries)] + ([("near", k) for k in shard.possibly_near(queries)] if slop else [])
+                    for kind, k in kinds:
                         window = queries.windows[k]
-                        kinds = [("exact", shard.phrase(window))] + ([("near", shard.near(window, slop))] if slop else [])
-                        for kind, found in kinds:
-                            doc = shard.document(found)
-                            start = found - doc * shard.gap - words.first[doc]
-                            out += [(ids[d], queries.ids[i], kind, int(s), len(window)) for d, s in zip(doc, start) for i in sorted(queries.owners[k])]
+                        found = shard.phrase(window) if kind == "exact" else shard.near(window, slop)
+                        doc = shard.document(found)
+                        start = found - doc * shard.gap - words.first[doc]
+                        out += [(ids[d], queries.ids[i], kind, int(s), len(window)) for d, s in zip(doc, start) for i in sorted(queries.owners[k])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "kind", "start", "length"])
 
         return run

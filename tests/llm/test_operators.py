@@ -213,6 +213,34 @@ def test_proximity(spark):
     assert {(r.doc_id, r.kind, r.start) for r in decontaminate.matches(frame(spark, [(5, "Alpha, BETA gamma")]), benchmark).collect()} == {(5, "exact", 0)}
 
 
+def test_proximity_does_not_depend_on_neighbours(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    item = [f"t{k}" for k in range(20)]
+    docs = []
+    for k in range(60):
+        passage = list(item)
+        for _ in range(k % 6):
+            passage[rng.randrange(20)] = rng.choice(words)  # a word replaced
+        if k % 2:
+            passage.insert(rng.randrange(20), "more")
+        docs.append((k, " ".join(rng.choices(words, k=30) + (passage if k % 5 else rng.sample(item, 4)) + rng.choices(words, k=30))))
+    docs += [(100, " ".join(item[:9] + ["x"] + item[10:13])), (101, "unrelated t9 words")]
+    benchmark = spark.createDataFrame([("q", " ".join(item))], "item_id string, text string")
+    want = set()
+    for d, text in docs:
+        w = text.split(" ")
+        for i in range(8):
+            window = set(item[i : i + 13])
+            want |= {(d, s) for s in range(len(w)) if w[s] in window and len(window & set(w[s : s + 15])) >= 10}
+    assert {d for d, _ in want} >= {1, 100}
+    for n in (1, 3, 30):  # slices of other documents
+        rows = decontaminate.matches(frame(spark, docs, n), benchmark, slop=2).where("kind = 'near'").collect()
+        assert {(r.doc_id, r.start) for r in rows} == want
+    alone = decontaminate.matches(frame(spark, docs[-2:-1]), benchmark, slop=2)
+    assert {r.doc_id for r in alone.collect()} == {100}
+
+
 def test_quality_counts(spark, corpus):
     rows = [*corpus, (900, "a#b *|\n a#b *|\n\na#b *|\n<>"), (901, "w " * 12), (902, "x y z w v " * 2 + " ".join(map(str, range(60))))]
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.measures(frame(spark, rows)).collect()}
