@@ -18,6 +18,11 @@ is no shuffle.
 * An IPv4 address is a pair of 16-bit numbers, a date between 1900 and 2099 a
   day number in 319 x 229; both go through a Feistel network on that product.
 
+Digits in groups between single blanks or dashes may hold a card beside other
+numbers (an expiry date, a short number).  Cards in the groups they are printed
+in, or in one group, are looked for first; failing that, the longest run of
+groups of 13 to 19 digits is tried as a whole.
+
 Values that fail validation (a Luhn failure, an octet over 255, 31 February)
 are left as they are.  Defined cases: null text stays null with zero counts,
 all other columns and repeated rows pass through untouched, but for a column
@@ -38,7 +43,10 @@ TOKEN = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![A-Za-z0-9])
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: Groups of digits that may hold cards, up to a value of another kind; ``pieces`` finds the cards.
+CARD = rf"(?<![0-9A-Za-z+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{TOKEN}|{IPV4}|{DATE})[0-9]++(?![A-Za-z]))*+(?![0-9A-Za-z])"
+#: Digits of a card's groups, as cards are printed.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 #: Every match holds one of these.
 HINT = r"[0-9]{2}|@|[0-9]\.[0-9]|[0-9a-fA-F]{32}"
 PATTERN = "|".join((EMAIL, TOKEN, IPV4, DATE, PHONE, CARD))
@@ -207,6 +215,61 @@ def pseudonym(kind: Column, value: Column, key: str) -> Column:
     )
 
 
+def pieces(value: Column) -> Column:
+    """The kind and text of the parts of a match, in order; only groups of digits have several."""
+    one = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
+    run = value.rlike(r"^[0-9]+(?:[ -][0-9]+)*$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 13)
+    # dates and tokens are of digits and dashes too
+    return F.when(run & kind_of(value).isin("card", "none"), _let(F.split(value, "[ -]"), lambda g: _card_pieces(value, g))).otherwise(one)
+
+
+def _card_pieces(value: Column, groups: Column) -> Column:
+    """Cards of a run of digit groups, from left to right, and what stands between them."""
+    digits = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+    valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+    index = F.sequence(F.lit(0), F.size(groups) - 1)
+    # where each group starts in the value, and how many groups from it on have at most 19 digits
+    length = lambda i, n: F.aggregate(F.slice(groups, i + 1, n), F.lit(0), lambda a, g: a + F.length(g))
+
+    def own(i: Column) -> Column:
+        """Groups of the printed card that starts here; 0 if none."""
+        out = F.when((F.length(groups[i]) >= 13) & valid(groups[i]), 1)
+        for shape in CARD_GROUPS:
+            fits = i + len(shape) <= F.size(groups)
+            for k, n in enumerate(shape):
+                fits = fits & (F.length(F.get(groups, i + k)) == n)
+            out = out.when(fits & valid(digits(i, F.lit(len(shape)))), len(shape))
+        return out.otherwise(0)
+
+    def reach(i: Column) -> Column:
+        return F.aggregate(F.slice(groups, i + 1, 19), F.struct(F.lit(0).alias("n"), F.lit(0).alias("digits")), lambda a, g: F.struct(F.when((a["digits"] <= 19) & (a["digits"] + F.length(g) <= 19), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["digits"] + F.length(g)).alias("digits")), lambda a: a["n"])
+
+    def found(owned: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.expr("cast(array() as array<struct<first:int,n:int>>)").alias("cards"))
+
+        def step(s: Column, i: Column) -> Column:
+            def taken(far: Column) -> Column:
+                long = (i == s["free"]) & (far > 0) & (length(i, far) >= 13)
+                whole = long & (F.aggregate(F.slice(owned, i + 1, F.greatest(far, F.lit(1))), F.lit(0), lambda a, x: a + x) == 0) & valid(digits(i, F.greatest(far, F.lit(1))))
+                n = F.when(owned[i] > 0, owned[i]).when(whole, far).otherwise(0)
+                free = F.when(n > 0, i + n).when(long, i + far).when(i == s["free"], i + 1).otherwise(s["free"])
+                return F.struct(F.when(n > 0, i + n).otherwise(i + 1).alias("at"), free.alias("free"), F.when(n > 0, F.concat(s["cards"], F.array(F.struct(i.alias("first"), n.alias("n"))))).otherwise(s["cards"]).alias("cards"))
+
+            return F.when(i < s["at"], s).otherwise(_let(reach(i), taken))
+
+        return F.aggregate(index, start, step, lambda s: s["cards"])
+
+    def cut(cards: Column) -> Column:
+        """Characters before group i: its digits and a separator for each group before."""
+        before = lambda i: length(F.lit(0), i) + i
+        spans = F.transform(cards, lambda c: F.struct(before(c["first"]).alias("start"), (before(c["first"] + c["n"]) - 1).alias("stop")))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,value:string>>)").alias("out"))
+        piece = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.substring(value, a + 1, b - a).alias("value"))
+        return F.aggregate(spans, start, lambda s, c: F.struct(c["stop"].alias("at"), F.concat(s["out"], F.array(piece("none", s["at"], c["start"]), piece("card", c["start"], c["stop"]))).alias("out")), lambda s: F.concat(s["out"], F.array(piece("none", s["at"], F.length(value)))))
+
+    return _let(_let(F.transform(index, own), found), cut)
+
+
 KINDS = ("card", "phone", "ipv4", "date", "email", "token")
 
 
@@ -220,15 +283,15 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     # columns of their own, so that no expression is evaluated twice
     found, values, new = (f"__factloom_{x}" for x in ("found", "values", "new"))
     rows = docs.withColumn(found, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    rows = rows.withColumn(values, F.when(F.size(found) > 0, F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))))
+    rows = rows.withColumn(values, F.when(F.size(found) > 0, F.transform(found, pieces)))
 
     def rewritten(v: Column) -> Column:
         # upper-case tokens are permuted as the lower-case value and keep their case
         out = F.transform(F.array(pseudonym(v["kind"], v["value"], key)), lambda p: F.when((v["kind"] == "token") & (v["value"] == F.upper(v["value"])), F.upper(p)).otherwise(p))
         return out[0]
 
-    rows = rows.withColumn(new, F.when(F.col(values).isNotNull(), F.transform(values, rewritten)))
+    rows = rows.withColumn(new, F.when(F.col(values).isNotNull(), F.transform(values, lambda parts: F.array_join(F.transform(parts, rewritten), ""))))
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col(new), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    count = lambda kind: F.when(F.col(values).isNotNull(), F.size(F.filter(values, lambda v: v["kind"] == kind))).otherwise(0).cast("long")
+    count = lambda kind: F.when(F.col(values).isNotNull(), F.size(F.filter(F.flatten(values), lambda v: v["kind"] == kind))).otherwise(0).cast("long")
     counts = F.struct(*(count(kind).alias(kind) for kind in KINDS))
     return rows.withColumns({column: F.when(F.col(new).isNotNull(), joined).otherwise(text), "found": counts}).drop(found, values, new)

@@ -346,6 +346,22 @@ def test_pseudonyms(spark):
     assert "Python" not in pii.pseudonymise(docs.drop("found"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cards_beside_other_numbers(spark):
+    cases = [
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", 1), ("4111111111111111 123", "4111111111111111", 1), ("no 1 4111111111111111", "4111111111111111", 1),
+        ("1234 4111 1111 1111 1111 99", "4111 1111 1111 1111", 1), ("3782 822463 10005 777", "3782 822463 10005", 1), ("4111-1111-1111-1111-1-2", "4111-1111-1111-1111", 1),
+        ("4111111111111111 5555555555554444", "5555555555554444", 2), ("41111111 11111111", "41111111 11111111", 1), ("4111111111111111 10.0.0.1", "4111111111111111", 1), ("4111111111111111 2020-02-29", "4111111111111111", 1),
+        ("41111111 11111111 55555555 55554444", "55555555 55554444", 2), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", None, 0), ("4111111111111112 123", None, 0),
+    ]
+    out = {r.k: r for r in pii.pseudonymise(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, text string")).collect()}
+    for k, (text, card, n) in enumerate(cases):
+        assert (text, out[k].found.card) == (text, n)
+        assert out[k].text == text if card is None else card not in out[k].text
+        assert out[k].found.ipv4 or re.sub(r"\d", "9", out[k].text) == re.sub(r"\d", "9", text)
+    assert out[0].text.endswith(" 12/27") and out[1].text.endswith(" 123") and out[2].text.startswith("no 1 ") and out[3].text.startswith("1234 ")
+    assert (out[8].found.ipv4, out[9].found.date) == (1, 1)
+
+
 def test_permutations_are_one_to_one(spark):
     days = spark.range(pii.DAYS_HIGH * pii.DAYS_LOW)
     out = pii.permute_pair((F.col("id") / pii.DAYS_LOW).cast("int"), F.col("id") % pii.DAYS_LOW, pii.DAYS_HIGH, pii.DAYS_LOW, "date", "k")
