@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one long key that may be broadcast: 500,000 x 8 bytes.
 BROADCAST_ROWS = 500_000
+#: Column of a row's text hash; a name that tables do not have.
+KEY = "__factloom_key"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,12 +42,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind materialised tables that nothing reads any more.
+
+    A collection in the driver's JVM follows, for Spark deletes the shuffle
+    files of finished queries only once their plans are collected.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def release() -> None:
+    """Give memory that a Python worker holds but no longer uses back to the system.
+
+    Workers live on between tasks, several to an executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``, a hash of the text, which with ``doc_id`` tells rows of one id apart."""
+    return docs.withColumn(KEY, F.xxhash64("text"))
+
+
+def with_short_key(docs: DataFrame) -> DataFrame:
+    """As ``with_key``, but 0 for every ``doc_id`` that has one text only, which tables of positions hold in no space."""
+    own = with_key(docs.select(F.col("doc_id").alias("several"), "text"))
+    several = own.groupBy("several").agg(F.min(KEY).alias("low"), F.max(KEY).alias("high")).where("low < high").select("several")
+    joined = sized_join(docs, materialise(several, "several-texts"), F.expr("doc_id = several"), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.when(F.col("several").isNull(), F.lit(0)).otherwise(F.xxhash64(docs["text"])).cast("long").alias(KEY))
 
 
 def is_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEY, release
+
 #: Column of packed runs; a name that tables do not have.
 RUNS = "__factloom_runs"
 
@@ -20,18 +22,23 @@ def runs(positions: np.ndarray) -> np.ndarray:
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    """doc_id and its positions, packed as sorted runs."""
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    """doc_id, text key and the row's positions, packed as sorted runs."""
+    packed = rows.groupBy("doc_id", KEY).agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
     def run(batches):
         for batch in batches:
             at = batch.column("at")
             flat, offsets = at.values.to_numpy(), at.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([runs(flat[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], names=["doc_id", RUNS])
+            packed = pa.array([runs(flat[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(KEY), packed], names=["doc_id", KEY, RUNS])
+        release()
 
-    return packed.mapInArrow(run, f"doc_id long, {RUNS} binary")
+    return packed.mapInArrow(run, f"doc_id long, {KEY} long, {RUNS} binary")
 
 
 def with_runs(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame:
-    """Documents joined with their runs; a shuffle join at every size, for runs grow with the input."""
-    return docs.join(packed, "doc_id", how)
+    """Documents, which have their text key, joined with their runs.
+
+    A sort-merge join at every size, for runs grow with the input.
+    """
+    return docs.join(packed.hint("merge"), ["doc_id", KEY], how)

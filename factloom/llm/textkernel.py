@@ -22,6 +22,7 @@ _SPACE = [0x20, *range(0x09, 0x0E)]
 # 5 mod 8, so differences of powers keep few factors of two
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
+_CHECK_BASE = 0xAF251AF3B0F025B5
 
 #: Bytes of text handled at once; a longer single text is taken alone.
 SLICE_BYTES = 1 << 19
@@ -107,7 +108,7 @@ class Kernel:
 
     def __init__(self, word_bytes: np.ndarray, lower: bool):
         self.word_bytes, self.lower = word_bytes, lower
-        self.byte_powers, self.word_powers = Powers(_BYTE_BASE), Powers(_WORD_BASE)
+        self.byte_powers, self.word_powers, self.check_powers = Powers(_BYTE_BASE), Powers(_WORD_BASE), Powers(_CHECK_BASE)
 
     def words(self, texts: pa.Array) -> Words:
         data, offsets = buffer_of(texts)
@@ -129,29 +130,35 @@ class Kernel:
         hashed = mix((total[end] - total[start]) * down[start])
         return Words(data, start, end, np.searchsorted(start, offsets), hashed)
 
-    def windows(self, w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each word on, and whether they stay in its text."""
+    def windows(self, w: Words, k: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the k words from each word on, and whether they stay in its text.
+
+        With ``check`` it is a second hash, independent of the first.
+        """
         n = len(w.hash)
         if n == 0:
             return np.zeros(0, dtype=U64), np.zeros(0, dtype=bool)
-        total = self.totals(w)
+        total = self.totals(w, check)
         at = np.arange(n)
         valid = at + k <= np.repeat(w.first[1:], w.counts)
         stop = np.minimum(at + k, n)
-        _, down = self.word_powers.get(n + 1)
+        _, down = self.powers(check).get(n + 1)
         return mix((total[stop] - total[:-1]) * down[:n] + U64(k)), valid
 
-    def totals(self, w: Words) -> np.ndarray:
+    def powers(self, check: bool) -> Powers:
+        return self.check_powers if check else self.word_powers
+
+    def totals(self, w: Words, check: bool = False) -> np.ndarray:
         n = len(w.hash)
-        up, _ = self.word_powers.get(n + 1)
+        up, _ = self.powers(check).get(n + 1)
         total = np.zeros(n + 1, dtype=U64)
         np.cumsum(w.hash * up[:n], out=total[1:])
         return total
 
-    def spans(self, w: Words, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def spans(self, w: Words, begin: np.ndarray, stop: np.ndarray, check: bool = False) -> np.ndarray:
         """Hashes of the word ranges begin:stop, agreeing with windows()."""
-        total = self.totals(w)
-        _, down = self.word_powers.get(len(w.hash) + 1)
+        total = self.totals(w, check)
+        _, down = self.powers(check).get(len(w.hash) + 1)
         return mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U64))
 
 
