@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 All in DataFrame operations; the driver sees one count and one checksum a
-round.  Minima are pre-aggregated before the shuffle and joined back, so a node
-with very many neighbours is split like any skewed join key.
+round.  Minima are pre-aggregated before the shuffle and joined back on the node
+and a salt, so that the rows of a node with very many neighbours are split.
 """
 
 from __future__ import annotations
@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Parts into which the neighbours of every node are dealt.
+SALTS = 4
+
+
+def _with_lowest(rows: DataFrame) -> DataFrame:
+    """u, v and low, the smallest v of each u."""
+    low = rows.groupBy("u").agg(F.min("v").alias("low")).select("u", "low", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "salt"]).select("u", "v", "low")
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root of every node of ``edges`` (a, b); the root is the smallest node reached.
 
@@ -22,12 +32,11 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = common.materialise(pairs, "edges")
     state = _state(pairs)
     for _ in range(max_rounds if state[0] else 0):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        up = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        new = common.materialise(up.unionByName(low.withColumnRenamed("low", "v")).distinct(), "edges")
+        both = _with_lowest(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        stars = _with_lowest(large)
+        up = stars.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        new = common.materialise(up.unionByName(stars.where("v = low").select("u", "v")).distinct(), "edges")
         before, state = state, _state(new)
         common.discard(pairs)
         pairs = new

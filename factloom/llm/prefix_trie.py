@@ -1,14 +1,16 @@
 """Exact set-similarity join by prefix trie, in families of bounded blocks.
 
 A family is a set of items that share a rare element, so every pair that may be
-similar meets in at least one family.  Families are cut into blocks; each pair
-of blocks is one group of bounded size, in which the sets of one block form a
-path-compressed trie over the global element order (most frequent elements
-first, for long shared paths).  All sets of the other block walk down the trie
-together: the overlap of a shared path is counted once, and a subtree is left
-as soon as no remaining length can lift a probe to the threshold.
-
-Groups return a spanning forest of their links, which keeps components whole.
+similar meets in at least one family.  Families are cut into blocks of bounded
+items and bytes, joined in groups of one or two blocks: the sets of a group form
+a path-compressed trie over the global element order (most frequent elements
+first, for long shared paths).  All probing sets walk down the trie together:
+the overlap of a shared path is counted once, and a subtree is left as soon as
+no remaining length can lift a probe to the threshold.
+
+Groups return the components of their links as stars, which keeps them whole,
+and pairs of blocks are only formed for what one block and the family's leader
+leave unconnected.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, components
+from .common import release
 
-#: Items of one block of a family.
-BLOCK = 256
+#: Items of one block of a family, and about the bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 16_000_000
+#: Bytes of sets made ready at once.
+CHUNK = 1 << 19
 #: Cells of the membership table of the probes that walk together.
 CELLS = 12_000_000
 
@@ -129,8 +135,12 @@ def links(sets: list[np.ndarray], probes: list[np.ndarray], numerator: int, deno
 class Forest:
     """Union-find over a few hundred items; says which links are new."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, groups: list[int] | None = None):
+        """Items of one group, if ``groups`` names them, are joined from the start."""
         self.up = list(range(n))
+        if groups:
+            first: dict[int, int] = {}
+            self.up = [first.setdefault(g, k) for k, g in enumerate(groups)]
 
     def find(self, k: int) -> int:
         while self.up[k] != k:
@@ -144,27 +154,72 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def labels(self) -> np.ndarray:
+        return np.array([self.find(k) for k in range(len(self.up))])
 
-def forest_of(items: list[int], blocks: list[int], sets: list[np.ndarray], numerator: int, small: int = 0) -> list[tuple[int, int]]:
-    """Spanning links of one pair of blocks; up to ``small`` sets are compared pair by pair."""
-    forest, out = Forest(len(items)), []
+
+def stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The components of ``pairs`` as pairs of each member with the smallest, which settle in few rounds."""
+    up: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (above := up.setdefault(k, k)) != k:
+            up[k] = up[above]
+            k = above
+        return k
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [(k, find(k)) for k in list(up) if find(k) != k]
+
+
+def sides_of(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the items of side 0 and of side 1; all of them twice if there is one side."""
+    if (sides == sides[0]).all():
+        return np.arange(len(sides)), np.arange(len(sides))
+    return np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+
+
+def forest_of(items: list[int], sides: np.ndarray, groups: list[int], data: list[tuple[np.ndarray, int, int]], numerator: int, small: int = 0) -> list[tuple[int, int]]:
+    """Spanning links of a group, between items of different ``groups`` alone.
+
+    ``data``: set, its parity bitmap as a number, and the bitmap's bits.  Up to
+    ``small`` sets are compared pair by pair.
+    """
+    forest, out = Forest(len(items), groups), []
     if len(items) <= small:
         for b in range(len(items)):
             for a in range(b):
-                x, y = sets[a], sets[b]
-                if 100 * min(len(x), len(y)) >= numerator * max(len(x), len(y)) > 0 and forest.find(a) != forest.find(b):
+                if forest.find(a) != forest.find(b) and may_be_similar(*data[a], *data[b], numerator):
+                    x, y = data[a][0], data[b][0]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= numerator * (len(x) + len(y) - both) and forest.join(a, b):
                         out.append((items[a], items[b]))
         return out
-    first = [k for k, b in enumerate(blocks) if b == min(blocks)]
-    second = [k for k, b in enumerate(blocks) if b == max(blocks)]
-    for a, b in links([sets[k] for k in first], [sets[k] for k in second], numerator):
-        if first[a] != second[b] and forest.join(first[a], second[b]):
+    first, second = sides_of(sides)
+    for a, b in links([data[k][0] for k in first], [data[k][0] for k in second], numerator):
+        if forest.join(int(first[a]), int(second[b])):
             out.append((items[first[a]], items[second[b]]))
     return out
 
 
+def may_be_similar(x: np.ndarray, map_x: int, bits_x: int, y: np.ndarray, map_y: int, bits_y: int, numerator: int) -> bool:
+    """Whether neither sizes nor bitmaps rule out a link of two sets."""
+    if not 100 * min(len(x), len(y)) >= numerator * max(len(x), len(y)) > 0:
+        return False
+    bits = min(bits_x, bits_y)
+    total = len(x) + len(y)
+    return (folded(map_x, bits_x, bits) ^ folded(map_y, bits_y, bits)).bit_count() <= total - 2 * -(-numerator * total // (100 + numerator))
+
+
+def folded(number: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        number = (number >> bits) ^ (number & ((1 << bits) - 1))
+    return number
+
+
 def bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Parity bitmap of each set: two to four bits per element, a power of two in all.
 
@@ -197,10 +252,10 @@ def may_link(n_a: np.ndarray, maps_a: np.ndarray, n_b: np.ndarray, maps_b: np.nd
         yield x + at, y
 
 
-def candidate_forest(items: list[int], blocks: list[int], sizes: list[int], maps: list[bytes], numerator: int) -> list[tuple[int, int]]:
-    """Spanning pairs of one pair of blocks, of those that may link."""
+def candidate_forest(items: list[int], sides: np.ndarray, groups: list[int], sizes: list[int], maps: list[bytes], numerator: int) -> list[tuple[int, int]]:
+    """Spanning pairs of a group, of those that may link items of different ``groups``."""
     first_ends, second_ends = [], []
-    side = [np.array([k for k, b in enumerate(blocks) if b == want]) for want in (min(blocks), max(blocks))]
+    side = sides_of(sides)
     n = np.array(sizes)
     width = np.array([len(m) // 8 for m in maps])
     for w in np.unique(width):
@@ -212,24 +267,24 @@ def candidate_forest(items: list[int], blocks: list[int], sizes: list[int], maps
             if len(first) and len(second):
                 a, b = (fold(table(k)) if f else table(k) for k, f in ((first, left), (second, right)))
                 for x, y in may_link(n[first], a, n[second], b, numerator):
-                    i, j = spanning(len(items), first[x], second[y])
+                    i, j = spanning(Forest(len(items), groups), first[x], second[y])
                     first_ends.append(i)
                     second_ends.append(j)
     if not first_ends:
         return []
-    i, j = spanning(len(items), np.concatenate(first_ends), np.concatenate(second_ends))
+    i, j = spanning(Forest(len(items), groups), np.concatenate(first_ends), np.concatenate(second_ends))
     return [(items[a], items[b]) for a, b in zip(i.tolist(), j.tolist())]
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs (a, b) that make a spanning forest of them all.
+def spanning(forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b) that join what ``forest`` leaves apart, without a circle.
 
     Each round takes one pair for every component that still has one leading
-    out of it, so that the rounds are logarithmic in n.
+    out of it, so that the rounds are logarithmic in the number of items.
     """
-    forest, label = Forest(n), np.arange(n)
     left, right = [], []
     while True:
+        label = forest.labels()
         out = label[a] != label[b]
         a, b = a[out], b[out]
         if not len(a):
@@ -239,23 +294,13 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if forest.join(int(a[k]), int(b[k])):
                 left.append(int(a[k]))
                 right.append(int(b[k]))
-        label = np.array([forest.find(k) for k in range(n)])
-
-
-def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """leader, item, block, low, high: each item goes to the pairs of its block with every block."""
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = common.sized_join(members, common.materialise(sizes, "family-sizes"), "leader", "inner")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    rows = rows.select("leader", "item", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return rows.select("leader", "item", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
 def _by_group(rows: DataFrame, columns: list[str], prepare, decide) -> DataFrame:
     """Pairs (a, b) that ``decide`` finds in each group of leader, low, high.
 
     Groups are sorted runs of a partition, streamed in batches: ``prepare`` sees
-    the whole groups of a batch at once, and no data frame is made per group.
+    whole groups of about ``CHUNK`` bytes at once, and no data frame is made.
     """
     keys = ["leader", "low", "high"]
 
@@ -267,14 +312,19 @@ def _by_group(rows: DataFrame, columns: list[str], prepare, decide) -> DataFrame
                 return
             leader, low, high = (table.column(k).to_numpy() for k in keys)
             cut = np.flatnonzero((leader[1:] != leader[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            items, blocks = table.column("item").to_pylist(), table.column("block").to_numpy()
-            data = prepare({c: table.column(c).to_pylist() for c in columns})
-            found = []
-            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [table.num_rows]])):
-                own = blocks[a:b]
-                if b - a > 1 and (low[a] == high[a] or (own != own[0]).any()):
-                    found += decide(items[a:b], own.tolist(), data[a:b])
-            x, y = zip(*found) if found else ((), ())
+            cut = np.concatenate([[0], cut, [table.num_rows]])
+            weight = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(columns[-1])).to_numpy())])[cut]
+            at, found = 0, []
+            while at < len(cut) - 1:
+                to = max(at + 1, int(np.searchsorted(weight, weight[at] + CHUNK, side="right")) - 1)
+                part = table.slice(cut[at], cut[to] - cut[at])
+                data = prepare({c: part.column(c).to_pylist() for c in columns})
+                items, of, sides = part.column("item").to_pylist(), part.column("grp").to_pylist(), part.column("side").to_numpy()
+                for a, b in zip(cut[at:to] - cut[at], cut[at + 1 : to + 1] - cut[at]):
+                    if b - a > 1:
+                        found += decide(items[a:b], sides[a:b], of[a:b], data[a:b])
+                at = to
+            x, y = zip(*stars(found)) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -291,32 +341,77 @@ def _by_group(rows: DataFrame, columns: list[str], prepare, decide) -> DataFrame
             waiting = table.slice(whole)
         if waiting is not None:
             yield from groups(waiting.combine_chunks())
+        waiting = None
+        release()
 
-    rows = rows.select(*keys, "block", "item", *columns).repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select(*keys, "side", "grp", "item", *columns).repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _joined(members: DataFrame, data: DataFrame, columns: list[str], prepare, decide, block: int) -> DataFrame:
+    """A forest over what ``decide`` links inside families, in two rounds of bounded groups.
+
+    Round one cuts each family into blocks and puts the leader into all of
+    them, so that every item is compared with its block and the leader.  In a
+    family of many copies of one thing that joins nearly all.  Round two
+    compares the items outside a family's largest component with all of it, and
+    pairs inside that component, which can add nothing, are never formed.
+    """
+    heavy = data.select("item", F.length(columns[-1]).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = common.materialise(members.join(heavy, "item").groupBy("leader").agg(blocks.alias("blocks"), F.count("*").alias("n")).where("n > 1").select("leader", "blocks"), "family-sizes")
+    dealt = members.join(sizes, "leader").withColumn("low", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("low", F.explode(F.when(F.col("item") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("low"))))
+    dealt = dealt.select("leader", "item", "low", F.col("low").alias("high"), F.lit(0).alias("side"), F.col("item").alias("grp"))
+    found = common.materialise(_by_group(dealt.join(data, "item"), columns, prepare, decide), "family-links")
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        common.discard(sizes)
+        return found
+    roots = components.connected(found).withColumnRenamed("node", "item")
+    own = members.join(large, "leader").join(heavy, "item").join(roots, "item", "left").withColumn("grp", F.coalesce("root", "item"))
+    own = common.materialise(own.select("leader", "blocks", "item", "bytes", "grp"), "family-groups")
+    parts = own.groupBy("leader", "grp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rest_blocks = F.ceil(F.greatest((F.sum("n") - F.max("n")) / block, (F.sum("bytes") - F.max(F.struct("n", "bytes"))["bytes"]) / BLOCK_BYTES)).cast("int")
+    major = parts.groupBy("leader").agg(F.max(F.struct("n", "grp"))["grp"].alias("major"), F.greatest(rest_blocks, F.lit(1)).alias("rests"), F.count("*").alias("parts")).where("parts > 1")
+    major = common.materialise(major.select("leader", "major", "rests"), "family-majors")
+    open_ = own.join(major, "leader")
+    place = lambda n: F.pmod(F.xxhash64("item"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = open_.where("grp != major").select("leader", "item", place("rests").alias("low"), every("blocks").alias("high"), F.lit(0).alias("side"), "grp")
+    whole = open_.select("leader", "item", every("rests").alias("low"), place("blocks").alias("high"), F.lit(1).alias("side"), "grp")
+    more = common.materialise(_by_group(rest.unionByName(whole).join(data, "item"), columns, prepare, decide), "family-links")
+    common.discard(sizes, own, major)
+    return found.unionByName(more)
+
+
 def candidates(members: DataFrame, maps: DataFrame, numerator: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) that span what sizes and bitmaps leave possible.
+    """Pairs (a, b), as tables, that span what sizes and bitmaps leave possible.
 
     Every link lies inside one component of these pairs, so that the components
-    serve as families in which each item stands once.  ``maps``: item, n, bits.
+    serve as families in which each item stands once.  ``members``: leader, item,
+    distinct, the leader an item of its family.  ``maps``: item, n, bits, materialised.
     """
 
-    def decide(items, blocks, data):
-        return candidate_forest(items, blocks, [n for n, _ in data], [m for _, m in data], numerator)
+    def decide(items, sides, groups, data):
+        return candidate_forest(items, sides, groups, [n for n, _ in data], [m for _, m in data], numerator)
 
-    return _by_group(_dealt(members, block).join(maps, "item"), ["n", "bits"], lambda c: list(zip(c["n"], c["bits"])), decide)
+    return _joined(members, maps, ["n", "bits"], lambda c: list(zip(c["n"], c["bits"])), decide, block)
 
 
 def join_families(members: DataFrame, sets: DataFrame, numerator: int, to_set: Callable[[list], list[np.ndarray]], block: int = BLOCK, small: int = 0) -> DataFrame:
-    """Links (a, b) among items that share a family.
+    """Pairs (a, b), as tables, that span the components which links make of items that share a family.
 
-    ``members``: leader, item, distinct and materialised.  ``sets``: item, data;
+    ``members`` as for ``candidates``.  ``sets``: item, data, materialised;
     ``to_set`` turns a list of data into sorted arrays of elements.
     """
 
-    def decide(items, blocks, data):
-        return forest_of(items, blocks, data, numerator, small)
+    def prepare(columns):
+        sets = to_set(columns["data"])
+        maps = bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        return [(x, int.from_bytes(m, "little"), 8 * len(m)) for x, m in zip(sets, maps)]
+
+    def decide(items, sides, groups, data):
+        return forest_of(items, sides, groups, data, numerator, small)
 
-    return _by_group(_dealt(members, block).join(sets, "item"), ["data"], lambda c: to_set(c["data"]), decide)
+    return _joined(members, sets, ["data"], prepare, decide, block)

@@ -86,7 +86,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_i
 WITH RECURSIVE parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 lines AS (SELECT doc_id, pos, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, doc_id * 1000000 + pos AS place FROM parts),
 u AS (SELECT line, min(place) AS id FROM lines WHERE line <> '' GROUP BY line),
-s AS (SELECT DISTINCT id, hash(substr(line, i, 9)) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 8, 1) + 1)) AS i FROM u)),
+s AS (SELECT DISTINCT id, hash(substr(line, i, 7)) AS g FROM (SELECT id, line, unnest(range(1, greatest(length(line) - 6, 1) + 1)) AS i FROM u)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 common AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
 links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),

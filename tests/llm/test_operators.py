@@ -112,7 +112,7 @@ def test_trie_join_matches_all_pairs():
         hashes = np.concatenate(sets)
         bounds = np.cumsum([0, *map(len, sets)])
         maps = prefix_trie.bitmaps(hashes, bounds)
-        pairs = prefix_trie.candidate_forest(list(range(62)), [0] * 62, [len(s) for s in sets], maps, bar)
+        pairs = prefix_trie.candidate_forest(list(range(62)), np.zeros(62, int), list(range(62)), [len(s) for s in sets], maps, bar)
         root, exact = components(62, pairs), components(62, want)
         assert all(root[a] == root[b] for a, b in want) and len(set(root)) <= len(set(exact))
 
@@ -122,7 +122,7 @@ def test_line_dedup(spark, corpus):
     rows = sorted({(d, t) for d, t in corpus if t}, key=lambda x: x[0])
     lines = [(d, k, x.strip(strip)) for d, t in rows for k, x in enumerate(t.split("\n")) if x.strip(strip)]
     distinct = list(dict.fromkeys(x for _, _, x in lines))
-    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in distinct]
+    sets = [{x[i : i + 7] for i in range(max(1, len(x) - 6))} for x in distinct]
     links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = components(len(distinct), links)
     at = {x: k for k, x in enumerate(distinct)}
@@ -175,6 +175,88 @@ def test_substring_levels_double_until_none_is_left(spark, corpus):
         assert {(r.doc_id, r.pos) for r in level.collect()} == want
 
 
+@pytest.fixture(scope="module")
+def repeated_ids():
+    """Rows of one id whose texts differ, rows repeated whole, and null ids."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q, other, long_ = text(20), text(50), text(50), text(200)
+    rows = [(1, p), (5, long_ + " " + p), (5, text(20)), (7, text(30)), (1, q), (5, q), (5, other), (5, other), (9, q + " " + text(3)), (None, q), (None, text(40)), (8, "")]
+    a, b, c, d = (text(12) for _ in range(4))
+    return rows + [(11, f"{a}\n{b}"), (15, f"{c}\n{a}"), (15, f"{text(9)}\n{d}"), (15, f"{text(9)}\n{d} x"), (11, f"{a}\n{b}")]
+
+
+def test_ngram_join_tells_rows_of_one_id_apart(spark, repeated_ids):
+    kept = sorted(Counter((r.doc_id, r.text) for r in ngram_join.representatives(frame(spark, repeated_ids)).collect()).items(), key=str)
+    sets = {row: shingles(row[1], 5) for row in dict.fromkeys(repeated_ids)}
+    rows = list(sets)
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if sets[rows[a]] and 100 * len(sets[rows[a]] & sets[rows[b]]) >= 80 * len(sets[rows[a]] | sets[rows[b]])]
+    root = components(len(rows), links)
+    gone = set()
+    for group in set(root):
+        own = [rows[k] for k in range(len(rows)) if root[k] == group]
+        known = [r for r in own if r[0] is not None]
+        least = min((r[0] for r in known), default=None)
+        assert sum(r[0] == least for r in own) == 1  # no group here leaves the choice to the hash
+        gone |= {r for r in own if r[0] != least}
+    assert kept == sorted(((r, n) for r, n in Counter(repeated_ids).items() if r not in gone), key=str)
+    assert ((5, repeated_ids[6][1]), 2) in kept
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark, repeated_ids):
+    rows = [r for r in repeated_ids if r[0] is None or r[0] > 9]
+    texts = Counter((r.doc_id, r.text) for r in line_dedup.deduplicated(frame(spark, rows)).collect())
+    for doc, text in rows:
+        lines = text.split("\n")
+        if doc == 15 and text.endswith(lines[-1]) and rows.index((doc, text)) > 0:
+            continue
+        assert texts[(doc, text)] == rows.count((doc, text))
+    left = sorted(x for (doc, text), n in texts.items() if doc == 15 for x in text.split("\n"))
+    a, d = rows[2][1].split("\n")[0], rows[4][1].split("\n")[1]
+    assert a not in left and (d in left) != (d + " x" in left) and len(left) == 4
+
+
+def test_substring_dedup_tells_rows_of_one_id_apart(spark, repeated_ids):
+    rows = [(d, t) for d, t in repeated_ids]
+    first = {}
+    for d, t in rows:
+        w = WORD.findall(t)
+        for i in range(len(w) - 12 if d is not None else 0):
+            g = tuple(w[i : i + 13])
+            first[g] = min(first.get(g, d), d)
+    want = []
+    for d, t in rows:
+        w = WORD.findall(t)
+        gone = {p for i in range(len(w) - 12 if d is not None else 0) if first[tuple(w[i : i + 13])] < d for p in range(i, i + 13)}
+        want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    assert sorted(map(tuple, substring_dedup.removals(frame(spark, rows)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_families_of_many_blocks(spark):
+    # one leader family of chains: blocks of four items must lose no link
+    import numpy as np
+
+    rng = random.Random(9)
+    sets = {1: list(range(1000, 1040))}
+    for k in range(2, 120):
+        base = list(sets[rng.choice(list(sets))])
+        for _ in range(rng.randint(0, 5)):
+            base[rng.randrange(len(base))] = rng.randrange(10**6)
+        sets[k] = sorted(set(base))
+    want = [(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))]
+    exact = components(121, want)
+    members = spark.createDataFrame([(1, k) for k in sets] + [(3, 3), (3, 4)], "leader long, item long")
+    data = {k: np.array(s, dtype=np.uint64) for k, s in sets.items()}
+    table = spark.createDataFrame([(k, s.tobytes()) for k, s in data.items()], "item long, data binary")
+    for block in (4, 1000):
+        links = prefix_trie.join_families(members, table, 85, lambda rows: [np.frombuffer(x, dtype=np.uint64) for x in rows], block=block, small=3).collect()
+        assert components(121, links) == exact
+        bits = [(k, len(s), prefix_trie.bitmaps(s, np.array([0, len(s)]))[0]) for k, s in data.items()]
+        pairs = prefix_trie.candidates(members, spark.createDataFrame(bits, "item long, n long, bits binary"), 85, block=block).collect()
+        root = components(121, pairs)
+        assert all(root[a] == root[b] for a, b in want)
+
+
 def bench_rows(spark, corpus):
     long_ = next(t for d, t in corpus if t and len(t.split()) > 70 and "la la" not in t and d > 8)
     rows = [("a", " ".join(ALNUM.findall(lower(long_))[5:40])), ("b", "one"), ("b", "one"), ("c", ""), (None, "two words"), ("d", None), ("10", "never seen here at all")]
