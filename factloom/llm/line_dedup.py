@@ -109,6 +109,14 @@ class Shingles:
         return mix((total[stop] - total[at]) * down[at]), owner
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of a short array."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
     """One-permutation MinHash with empty bins filled from the next full one."""
     bins = ((hashes >> U64(32)) * U64(size) >> U64(32)).astype(np.int64)
@@ -207,7 +215,7 @@ def repeats(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
         bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
         hashes, owner = kernel.of(np.frombuffer(b"".join(data), dtype=np.uint8), bounds[:-1], bounds[1:])
         cuts = np.searchsorted(owner, np.arange(len(data) + 1))
-        return [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return [distinct(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     links = prefix_trie.join_families(members, texts, similarity, to_sets, small=SMALL)
     roots = components.connected(links).withColumnRenamed("node", "item")
