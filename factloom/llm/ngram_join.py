@@ -11,6 +11,7 @@ what these leave connected forms a family, joined exactly by trie (see
 
 Equal sets are one item throughout, whatever the number of their copies.  Sets
 are known by a 64-bit hash, shingles by 56 bits and the class of their count.
+Rows are told apart by ``doc_id`` and the text's hash.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null texts
 and texts without words have empty sets, are linked with nothing and form
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components, prefix_trie
+from .common import KEY, release, with_key
 from .textkernel import SPACED, U64, Kernel, mix, slices
 
 SKETCH_BITS = 18
@@ -61,7 +63,7 @@ def ordered(found: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.nd
 
 
 def sets_and_sketch(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, sig, n, bits, bucket -1) of documents, and (bucket, n) counts of shingles."""
+    """Rows (doc_id, text key, sig, n, bits, bucket -1) of documents, and (bucket, n) counts of shingles."""
 
     def run(batches):
         kernel, counts = Kernel(SPACED, lower=True), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -69,14 +71,16 @@ def sets_and_sketch(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text"):
                 found, bounds = shingle_sets(part.column("text"), kernel, k)
                 counts += np.bincount((found >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                yield as_rows(part.column("doc_id"), signature(found, bounds), np.diff(bounds), prefix_trie.bitmaps(found, bounds), np.full(part.num_rows, -1, dtype=np.int32))
+                yield as_rows(part.column("doc_id"), part.column(KEY), signature(found, bounds), np.diff(bounds), prefix_trie.bitmaps(found, bounds), np.full(part.num_rows, -1, dtype=np.int32))
         some = np.flatnonzero(counts)
-        yield as_rows(pa.nulls(len(some), pa.int64()), np.zeros(len(some), dtype=np.int64), counts[some], [None] * len(some), some.astype(np.int32))
+        none = pa.nulls(len(some), pa.int64())
+        yield as_rows(none, none, np.zeros(len(some), dtype=np.int64), counts[some], [None] * len(some), some.astype(np.int32))
+        release()
 
-    def as_rows(doc_id, sig, n, bits, bucket):
-        return pa.RecordBatch.from_arrays([doc_id, pa.array(sig), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(bucket)], names=["doc_id", "sig", "n", "bits", "bucket"])
+    def as_rows(doc_id, key, sig, n, bits, bucket):
+        return pa.RecordBatch.from_arrays([doc_id, key, pa.array(sig), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(bucket)], names=["doc_id", KEY, "sig", "n", "bits", "bucket"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig long, n long, bits binary, bucket int")
+    return docs.mapInArrow(run, f"doc_id long, {KEY} long, sig long, n long, bits binary, bucket int")
 
 
 def classes_of(rows: DataFrame) -> np.ndarray:
@@ -100,6 +104,7 @@ def postings(docs: DataFrame, k: int, numerator: int, shared) -> DataFrame:
                 place = np.arange(len(key)) - np.repeat(bounds[:-1], n)
                 kept = place < np.repeat(prefix, n)
                 yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(np.repeat(signature(found, bounds), prefix))], names=["key", "sig"])
+        release()
 
     return docs.select("text").mapInArrow(run, "key long, sig long")
 
@@ -115,43 +120,61 @@ def ordered_sets(docs: DataFrame, k: int, shared) -> DataFrame:
                 key = ordered(found, bounds, classes)
                 data = [key[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(signature(found, bounds)), pa.array(data, pa.binary())], names=["item", "data"])
+        release()
 
     return docs.select("text").mapInArrow(run, "item long, data binary")
 
 
-def components_of(docs: DataFrame, shingle: int = 4, numerator: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def rooted_rows(docs: DataFrame, shingle: int, numerator: int) -> DataFrame:
+    """doc_id, text key, n and first, the first row of its component, of every row of ``docs``.
+
+    ``first`` is the smallest struct (unknown, doc_id, key): null ids come last.
+    """
     sc = docs.sparkSession.sparkContext
+    docs = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     both = common.materialise(sets_and_sketch(docs, shingle), "shingle-sets")
     shared = sc.broadcast(classes_of(both))
-    rows = both.where("bucket < 0").select("doc_id", "sig", "n")
-    first = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    rows = both.where("bucket < 0").select("doc_id", KEY, "sig", "n")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col(KEY).alias("key"))
+    known = both.where("n > 0 and bucket < 0").groupBy("sig").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    known = common.materialise(known.withColumnRenamed("sig", "item"), "distinct-sets")
 
     posted = common.materialise(postings(docs, shingle, numerator, shared), "postings")
     alive = posted.groupBy("key").agg(F.min("sig").alias("leader"), F.max("sig").alias("other")).where("leader != other").select("key", "leader")
     alive = common.materialise(alive, "shared-postings")  # so that the join may split hot keys
-    members = common.materialise(posted.join(alive.hint("shuffle_hash"), "key").select("leader", F.col("sig").alias("item")).distinct(), "members")
-    common.discard(posted)
+    members = common.materialise(posted.join(alive, "key").select("leader", F.col("sig").alias("item")).distinct(), "members")
+    common.discard(posted, alive)
 
-    maps = both.where("n > 0 and bucket < 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).withColumnRenamed("sig", "item")
-    possible = common.materialise(prefix_trie.candidates(members, maps, numerator), "candidates")
+    possible = prefix_trie.candidates(members, known.select("item", "n", "bits"), numerator)
     families = common.materialise(components.connected(possible).select(F.col("root").alias("leader"), F.col("node").alias("item")), "families")
+    common.discard(members)
 
-    items = common.materialise(first.join(families.select(F.col("item").alias("sig")), "sig", "left_semi"), "items")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    texts = common.sized_join(texts, items.select("rep").distinct(), "rep", "left_semi")
+    wanted = known.join(families.select("item"), "item", "left_semi").select(F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"))
+    texts = common.sized_join(docs, common.materialise(wanted.distinct(), "wanted"), F.expr(f"doc_id <=> rep and {KEY} = rep_key"), "left_semi")
     sets = common.materialise(ordered_sets(texts, shingle, shared).dropDuplicates(["item"]), "sets")
     links = prefix_trie.join_families(families, sets, numerator, lambda data: [np.frombuffer(d, dtype=np.uint64) for d in data])
-    links = common.materialise(links, "links")
-    a, b = (items.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep")) for x in "ab")
-    found = components.connected(links.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
+    found = components.connected(links)
+    common.discard(sets, families)
+
+    first = known.select("item", "first").join(found.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root"), "first")
+    firsts = common.materialise(first.groupBy("root").agg(F.min("first").alias("first")), "components")
+    first = first.drop("first").join(firsts, "root").select(F.col("item").alias("sig"), "first")
+    out = rows.where("n > 0").join(first, "sig").select("doc_id", KEY, "n", "first")
+    return out.unionByName(rows.where("n = 0").select("doc_id", KEY, "n", place.alias("first")))
 
-    rooted = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"))
-    out = rows.where("n > 0").join(rooted, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+def components_of(docs: DataFrame, shingle: int = 4, numerator: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    return rooted_rows(docs, shingle, numerator).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, numerator: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that have a near-duplicate of smaller id."""
-    found = components_of(docs, shingle, numerator).where("component_id < doc_id").select("doc_id").distinct()
-    return common.sized_join(docs, common.materialise(found, "near-duplicates"), "doc_id", "left_anti")
+    """The rows of ``docs``, all columns, that come first in their component.
+
+    The first row is that of the smallest ``doc_id``, a null one last; among
+    different texts of one id the text's hash decides, and rows that repeat both
+    stand for one document and go or stay together.  Documents without words stay.
+    """
+    found = rooted_rows(docs, shingle, numerator).where(f"n > 0 and not (doc_id <=> first.doc_id and {KEY} = first.key)")
+    found = common.materialise(found.select(F.col("doc_id").alias("gone"), F.col(KEY).alias("gone_key")).distinct(), "near-duplicates")
+    return common.sized_join(with_key(docs), found, F.expr(f"cast(doc_id as long) <=> gone and {KEY} = gone_key"), "left_anti").select(*docs.columns)
