@@ -287,6 +287,17 @@ def test_decontamination(spark, corpus, block):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block", [4_000_000, 20])
+def test_decontamination_judges_rows_of_one_id_by_their_own_text(spark, block):
+    hit, clean = "a b c d e f g h i j k l m n", "something else"
+    rows = [(None, hit), (None, clean), (3, hit), (3, clean), (3, clean), (4, clean), (5, "x " * 300 + hit), (6, None)]
+    benchmark = spark.createDataFrame([("q", "A b c, d e f g h i j k l m"), ("r", "b c d e f g h i j k l m n"), ("s", "never " * 9)], "item_id string, text string")
+    kept = decontaminate.clean_documents(frame(spark, rows), benchmark, block_chars=block).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, clean), (3, clean), (3, clean), (4, clean), rows[6], (6, None)])
+    got = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(frame(spark, rows), benchmark, block_chars=block).collect()}
+    assert got == {(None, 14, 14, 2), (None, 2, 0, 0), (3, 14, 14, 2), (3, 2, 0, 0), (4, 2, 0, 0), (5, 314, 14, 2), (6, 0, 0, 0)}
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "alpha x beta y gamma"), (2, "gamma alpha beta"), (3, "alpha beta"), (4, "alpha " + "x " * 50 + "beta gamma")])
     benchmark = spark.createDataFrame([("q", "alpha beta gamma")], "item_id string, text string")
