@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -140,16 +142,22 @@ class Digest:
         self.chars = len(begin)
         self.before = None
 
-    def add(self, machine: Machine, formatted: str) -> None:
-        self.chars += len(formatted)
-        for role, text, loss in machine.read(formatted):
+    def add(self, machine: Machine, segments: list[tuple[str, bool]]) -> None:
+        """Turns come from the formatted text alone, the loss from the segments' flags over it."""
+        formatted = "".join(s for s, _ in segments)
+        for role, text, _ in machine.read(formatted):
             self.n += 1
             self.invalid += not machine.allowed(self.before, role)
             self.before = role
             self.turns.update(f"{role}\n{text}\n".encode())
+        at = 0
+        for segment, loss in segments:
             if loss:
+                text = machine.unescape(formatted[at : at + len(segment)])
                 self.loss_chars += len(text)
                 self.loss.update(text.encode())
+            at += len(segment)
+        self.chars += len(formatted)
 
     def row(self):
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.invalid
@@ -166,20 +174,21 @@ def digests(conversations: DataFrame, template: Template = Template(), run_turns
             for conv, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
                 if current is None or current.conv != conv or waiting >= run_turns:
                     if current is not None and pending:
-                        current.add(machine, "".join(pending))
+                        current.add(machine, pending)
                     pending, waiting = [], 0
                     if current is None or current.conv != conv:
                         if current is not None:
                             done.append(current.row())
                         current = Digest(conv, template.begin)
-                pending += [s for s, _ in machine.segments(role, text)]
+                pending += machine.segments(role, text)
                 waiting += 1
             if current is not None and pending:
-                current.add(machine, "".join(pending))
+                current.add(machine, pending)
             if done:
                 yield as_batch(done)
         if current is not None:
             yield as_batch([current.row()])
+        release()
 
     return ordered(conversations).mapInArrow(run, DIGEST)
 
