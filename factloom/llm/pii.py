@@ -1,9 +1,9 @@
 """Format-preserving pseudonyms by keyed Feistel permutations.
 
-Payment card numbers (Luhn-checked), phone numbers (8 to 15 digits), IPv4
-addresses, calendar dates, the local parts of e-mail addresses and long
-hexadecimal tokens are each permuted within their format under a secret key, so
-that the same value gets the same pseudonym in every document, with no table of
+Payment card numbers (Luhn-checked), IBANs (their check digits), US social
+security numbers (their ranges), phone numbers (8 to 15 digits), IPv4 addresses,
+calendar dates, the local parts of e-mail addresses and hexadecimal tokens of 32
+digits or more are each permuted within their format under a secret key, so that the same value gets the same pseudonym in every document, with no table of
 values to keep or to join.
 
 Only built-in SQL expressions are used: each text is split around its matches,
@@ -14,9 +14,13 @@ is no shuffle.
   Feistel network over the two halves of the value: one half is shifted
   position by position, each within its own character class, by a keyed hash of
   the other.  Everything else (blanks, brackets, dashes) stays.
-* A card's check digit is computed anew, so pseudonyms are valid as well.
-* An IPv4 address is a pair of 16-bit numbers, a date between 1900 and 2099 a
-  day number in 319 x 229; both go through a Feistel network on that product.
+* The check digits of cards and IBANs are computed anew, so pseudonyms are valid.
+* An IPv4 address is a pair of 16-bit numbers, a social security number one of
+  898 areas and one of 99 x 9999 numbers, a date between 1900 and 2099 a day number
+  in 319 x 229; they go through a Feistel network on that product.
+* Days that fall outside the dates are permuted again until they fall inside.  So
+  are those of dates written month first, until they cannot be read day first,
+  which keeps the two readings apart.
 
 Digits in groups between single blanks or dashes may hold a card beside other
 numbers (an expiry date, a short number).  Cards in the groups they are printed
@@ -24,9 +28,10 @@ in, or in one group, are looked for first; failing that, the longest run of
 groups of 13 to 19 digits is tried as a whole.
 
 Values that fail validation (a Luhn failure, an octet over 255, 31 February)
-are left as they are.  Defined cases: null text stays null with zero counts,
-all other columns and repeated rows pass through untouched, but for a column
-named ``found``, whose place the counts take.
+are left as they are.  Letters of e-mail names move within Latin, Greek or Cyrillic;
+those of other scripts stay.  Defined cases: null text stays null with zero
+counts, all other columns and repeated rows pass through untouched; the counts
+are named ``found``, with as many underscores as make the name free.
 """
 
 from __future__ import annotations
@@ -35,25 +40,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "factloom-development-key"
-
 #: Alternatives in order; the first that matches at a place is taken.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-TOKEN = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![A-Za-z0-9])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
+TOKEN = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"
+SSN = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}(?![./-][0-9])){2,7}+(?: ?[A-Z0-9]{1,3}(?![A-Za-z0-9]|[./-][0-9]))?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
 #: Groups of digits that may hold cards, up to a value of another kind; ``pieces`` finds the cards.
-CARD = rf"(?<![0-9A-Za-z+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{TOKEN}|{IPV4}|{DATE})[0-9]++(?![A-Za-z]))*+(?![0-9A-Za-z])"
+CARD = rf"(?<![0-9A-Za-z+])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{EMAIL}|{TOKEN}|{IPV4}|{DATE}|{SSN})[0-9]++(?![A-Za-z]))*+(?![0-9A-Za-z])"
 #: Digits of a card's groups, as cards are printed.
 CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 #: Every match holds one of these.
 HINT = r"[0-9]{2}|@|[0-9]\.[0-9]|[0-9a-fA-F]{32}"
-PATTERN = "|".join((EMAIL, TOKEN, IPV4, DATE, PHONE, CARD))
+PATTERN = "|".join((EMAIL, TOKEN, IPV4, DATE, SSN, PHONE, IBAN, CARD))
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
-DAYS_HIGH, DAYS_LOW = 319, 229  # 73,049 days: 1900-01-01 to 2099-12-31
+HEX_LOWER = "0123456789abcdef"
+#: Letters beyond ASCII, by code point: Latin-1, Greek and Cyrillic, each in both cases.
+BEYOND = tuple("".join(map(chr, (c for c in range(a, b) if chr(c).isalpha()))) for a, b in ((0xE0, 0x100), (0xC0, 0xDF), (0x3B1, 0x3CA), (0x391, 0x3AA), (0x430, 0x450), (0x410, 0x430)))
+DAYS = 73_049  # 1900-01-01 to 2099-12-31
+DAYS_HIGH, DAYS_LOW = 319, 229
+#: Areas 001 to 899 without 666, and numbers of groups 01 to 99 by serials 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+#: Times a day is permuted at most until it falls inside; one in 10^26 needs more and stays.
+WALK = 64
 
 
 def _let(value: Column, then) -> Column:
@@ -174,15 +186,74 @@ def parsed_date(value: Column) -> Column:
     return F.when(day.between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")), day)
 
 
+def day_name(number: Column) -> Column:
+    return F.date_add(F.lit("1900-01-01").cast("date"), number.cast("int"))
+
+
+def permute_day(number: Column, month_first: Column, key: str) -> Column:
+    """Cycle-walking permutation of the days, or of those past the twelfth of a month."""
+    start = F.struct(number.cast("long").alias("day"), F.lit(False).alias("done"))
+
+    def step(state: Column, i: Column) -> Column:
+        def taken(p: Column) -> Column:
+            day = p["high"] * DAYS_LOW + p["low"]
+            inside = (day < DAYS) & (~month_first | (F.dayofmonth(day_name(day)) > 12))
+            return F.struct(day.alias("day"), inside.alias("done"))
+
+        moved = permute_pair((state["day"] / DAYS_LOW).cast("long"), state["day"] % DAYS_LOW, DAYS_HIGH, DAYS_LOW, "date", key)
+        return F.when(state["done"], state).otherwise(_let(moved, taken))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: F.when(s["done"], s["day"]).otherwise(number))
+
+
 def date(value: Column, key: str) -> Column:
-    number = F.datediff(parsed_date(value), F.lit("1900-01-01").cast("date"))
-    out = permute_pair((number / DAYS_LOW).cast("int"), number % DAYS_LOW, DAYS_HIGH, DAYS_LOW, "date", key)
-    day = F.transform(F.array(out), lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["high"] * DAYS_LOW + p["low"]).cast("int")))[0]
     order = F.regexp_replace(value, "[./]", "-")
-    month_first = F.concat_ws("-", F.substring(order, F.lit(7), F.lit(4)), F.substring(order, F.lit(4), F.lit(2)), F.substring(order, F.lit(1), F.lit(2))).try_cast("date").isNull()
-    year, month, dom = (F.date_format(day, x) for x in ("yyyy", "MM", "dd"))
+    year_first = value.rlike(r"^[0-9]{4}")
+    month_first = ~year_first & F.concat_ws("-", F.substring(order, F.lit(7), F.lit(4)), F.substring(order, F.lit(4), F.lit(2)), F.substring(order, F.lit(1), F.lit(2))).try_cast("date").isNull()
     mark = F.regexp_extract(value, "[./-]", 0)
-    return F.when(value.rlike(r"^[0-9]{4}"), F.concat(year, mark, month, mark, dom)).when(month_first, F.concat(month, mark, dom, mark, year)).otherwise(F.concat(dom, mark, month, mark, year))
+
+    def written(day: Column) -> Column:
+        year, month, dom = (F.date_format(day, x) for x in ("yyyy", "MM", "dd"))
+        return F.when(year_first, F.concat(year, mark, month, mark, dom)).when(month_first, F.concat(month, mark, dom, mark, year)).otherwise(F.concat(dom, mark, month, mark, year))
+
+    number = F.datediff(parsed_date(value), F.lit("1900-01-01").cast("date"))
+    return _let(_let(number, lambda n: day_name(permute_day(n, month_first, key))), written)
+
+
+def ssn(value: Column, key: str) -> Column:
+    area, group, serial = (F.split(value, "-")[k].cast("long") for k in range(3))
+    out = permute_pair(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * SERIALS + serial - 1, AREAS, GROUPS * SERIALS, "ssn", key)
+    pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+    return _let(out, lambda p: F.concat_ws("-", pad(p["high"] + 1 + F.when(p["high"] >= 665, 1).otherwise(0), 3), pad(F.floor(p["low"] / SERIALS) + 1, 2), pad(p["low"] % SERIALS + 1, 4)))
+
+
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits: 98 less the number of account, country and 00 modulo 97."""
+    figures = F.filter(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: c != "")
+
+    def step(rest: Column, c: Column) -> Column:
+        # letters count from A = 10
+        return F.when(c.between("0", "9"), (rest * 10 + F.ascii(c) - 48) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.lpad((98 - F.aggregate(figures, F.lit(0), step)).cast("string"), 2, "0")
+
+
+def iban_ok(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (iban_check(F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))) == F.substring(plain, 3, 2))
+
+
+def iban(value: Column, key: str) -> Column:
+    """Country and blanks stay; the account is permuted and the check digits follow."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    account = _let(plain, lambda x: permute_characters(F.substring(x, F.lit(5), F.length(x)), "iban", (UPPER, DIGITS), key))
+    new = _let(account, lambda a: F.concat(F.substring(plain, 1, 2), iban_check(F.substring(plain, 1, 2), a), a))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def step(s: Column, c: Column, filled: Column) -> Column:
+        return F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(filled, s["at"], F.lit(1)))).alias("out"), (s["at"] + F.when(c == " ", 0).otherwise(1)).alias("at"))
+
+    return _let(new, lambda n: F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), start, lambda s, c: step(s, c, n), lambda s: s["out"]))
 
 
 def kind_of(value: Column) -> Column:
@@ -193,9 +264,11 @@ def kind_of(value: Column) -> Column:
     ipv4_ok = F.forall(octets, lambda o: (F.length(o) <= 3) & (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     return (
         F.when(value.contains("@"), "email")
-        .when(full("[0-9a-f]{32,128}|[0-9A-F]{32,128}"), "token")
+        .when(full("[0-9a-f]{32,}|[0-9A-F]{32,}"), "token")
         .when(full(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.when(ipv4_ok, "ipv4").otherwise("none"))
         .when(full(r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-./][0-9]{2}[-./][0-9]{4}"), F.when(parsed_date(value).isNotNull(), "date").otherwise("none"))
+        .when(full("[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(value.rlike("^(?!000|666|9)...-(?!00)..-(?!0000)"), "ssn").otherwise("none"))
+        .when(full("[A-Z]{2}[0-9]{2}.*"), F.when(iban_ok(value), "iban").otherwise("none"))
         .when(full(r"[+(].*"), F.when(F.length(digits).between(8, 15), "phone").otherwise("none"))
         .when((luhn_sum(digits) % 10 == 0) & (F.length(digits).between(13, 19)), "card")
         .otherwise("none")
@@ -205,11 +278,13 @@ def kind_of(value: Column) -> Column:
 def pseudonym(kind: Column, value: Column, key: str) -> Column:
     local = F.substring_index(value, "@", 1)
     return (
-        F.when(kind == "email", F.concat(permute_characters(local, "email", (LOWER, UPPER, DIGITS), key), F.substring(value, F.length(local) + 1, F.length(value))))
+        F.when(kind == "email", F.concat(permute_characters(local, "email", (LOWER, UPPER, DIGITS, *BEYOND), key), F.substring(value, F.length(local) + 1, F.length(value))))
         .when(kind == "token", permute_characters(F.lower(value), "token", (HEX_LOWER,), key))
         .when(kind == "ipv4", ipv4(value, key))
         .when(kind == "date", date(value, key))
         .when(kind == "phone", phone(value, key))
+        .when(kind == "ssn", ssn(value, key))
+        .when(kind == "iban", iban(value, key))
         .when(kind == "card", card(value, key))
         .otherwise(value)
     )
@@ -219,8 +294,16 @@ def pieces(value: Column) -> Column:
     """The kind and text of the parts of a match, in order; only groups of digits have several."""
     one = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
     run = value.rlike(r"^[0-9]+(?:[ -][0-9]+)*$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 13)
+    # what has the form of an IBAN and is none may hold a card after its first letters
+    rest = F.regexp_replace(value, "^[A-Z]{2}[0-9]{2} ", "")
+    after = value.rlike(r"^[A-Z]{2}[0-9]{2} [0-9]+(?: [0-9]+)*$") & (kind_of(value) == "none")
+    head = F.array(F.struct(F.lit("none").alias("kind"), F.substring(value, 1, 5).alias("value")))
     # dates and tokens are of digits and dashes too
-    return F.when(run & kind_of(value).isin("card", "none"), _let(F.split(value, "[ -]"), lambda g: _card_pieces(value, g))).otherwise(one)
+    return (
+        F.when(run & kind_of(value).isin("card", "none"), _let(F.split(value, "[ -]"), lambda g: _card_pieces(value, g)))
+        .when(after, F.concat(head, _let(F.split(rest, " "), lambda g: _card_pieces(rest, g))))
+        .otherwise(one)
+    )
 
 
 def _card_pieces(value: Column, groups: Column) -> Column:
@@ -270,11 +353,11 @@ def _card_pieces(value: Column, groups: Column) -> Column:
     return _let(_let(F.transform(index, own), found), cut)
 
 
-KINDS = ("card", "phone", "ipv4", "date", "email", "token")
+KINDS = ("card", "phone", "ipv4", "date", "email", "token", "ssn", "iban")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """``docs`` with ``column`` rewritten; a struct column ``found`` counts values by kind.
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``docs`` with ``column`` rewritten under the secret ``key``; a struct column ``found`` counts values by kind.
 
     Texts without any match are passed on as they are, so the costly
     expressions run only where something was found.
@@ -294,4 +377,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col(new), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     count = lambda kind: F.when(F.col(values).isNotNull(), F.size(F.filter(F.flatten(values), lambda v: v["kind"] == kind))).otherwise(0).cast("long")
     counts = F.struct(*(count(kind).alias(kind) for kind in KINDS))
-    return rows.withColumns({column: F.when(F.col(new).isNotNull(), joined).otherwise(text), "found": counts}).drop(found, values, new)
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    return rows.withColumns({column: F.when(F.col(new).isNotNull(), joined).otherwise(text), name: counts}).drop(found, values, new)

@@ -51,8 +51,13 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+#: Key of the synthetic tables, for runs that set no ``factloom.pii.key``.
+SYNTHETIC_KEY = "synthetic tables only"
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("factloom.pii.key", SYNTHETIC_KEY)
+    rows = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return rows.select("doc_id", "text", *(F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS))
 
 

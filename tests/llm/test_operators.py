@@ -374,8 +374,22 @@ NATURAL = {
 def test_quality_rules_keep_natural_prose(spark):
     # whole paragraphs, and halves of them, whatever the language column says of Latin text
     rows = [(text[: len(text) // part], lang) for lang, text in NATURAL.items() for part in (1, 2)] + [(t, "it") for t in NATURAL.values()]
+    # single sentences too
+    rows += [(sentence, lang) for lang, text in NATURAL.items() for sentence in text.split(". ") if len(sentence.split()) >= 10]
     docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
-    assert [r for r in quality_rules.measures(docs).collect() if not r.kept or r.n_tokens < quality_rules.MIN_TOKENS] == []
+    assert [r for r in quality_rules.measures(docs).collect() if not r.kept] == []
+    junk = [("la la " * 8 + "na na", "en"), ("\x01\x02\x03 " * 12, "en"), ("\u4e00\u0001 " * 15, "en"), ("x1 y2 " * 6, "fr")]
+    assert not any(r.kept for r in quality_rules.measures(spark.createDataFrame([(k, *r) for k, r in enumerate(junk)], "doc_id long, text string, lang string")).collect())
+
+
+def test_quality_bands_are_fitted_and_hold_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").repartition(6)
+    for lang, curve in quality_rules.fitted(docs, labels).items():
+        assert curve == pytest.approx(quality_rules.BANDS[lang], abs=0.002)
+    held = quality_rules.measures(docs).where(f"not base_failed and crc32(cast(doc_id as string)) % 4 = {quality_rules.HELD_OUT}").join(labels, "doc_id")
+    share = {r.quality: r.kept for r in held.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.15
 
 
 def test_mix(spark, corpus):
@@ -421,9 +435,9 @@ def test_targets_fill_up(spark):
 def test_pseudonyms(spark):
     text = 'card 4111 1111 1111 1111, not 4111111111111112. +1 (743) 555-3824!! 10.0.255.1 999.1.1.1 a.Bc9@mail.example.com 2020-02-29 31.02.2020 29.02.2020 "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"'
     docs = spark.createDataFrame([(1, text, 1), (2, "4111-1111-1111-1111 on 2020-02-29", 2), (3, None, 3), (4, "", 4), (5, "no data " * 9000, 5)], "doc_id long, text string, found long")
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs.withColumnRenamed("found", "extra")).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs.withColumnRenamed("found", "extra"), "k").collect()}
     new = rows[1].text
-    assert [rows[1].found[k] for k in pii.KINDS] == [1, 1, 1, 2, 1, 1]
+    assert [rows[1].found[k] for k in pii.KINDS] == [1, 1, 1, 2, 1, 1, 0, 0]
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", t)))
     assert "4111111111111112" in new and "999.1.1.1" in new and "31.02.2020" in new and "@mail.example.com" in new
     for old in ("4111 1111 1111 1111", "555-3824", "10.0.255.1", "a.Bc9@", "2020-02-29", "2321bac4d15e"):
@@ -436,7 +450,7 @@ def test_pseudonyms(spark):
     assert day in rows[2].text and ".".join(reversed(day.split("-"))) in new
     assert rows[3].text is None and rows[4].text == "" and rows[5].text == "no data " * 9000
     assert shape(re.search(r"\+1 [^!]*", new)[0]) == "+9 (999) 999-9999"
-    assert "Python" not in pii.pseudonymise(docs.drop("found"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in pii.pseudonymise(docs.drop("found"), "k")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cards_beside_other_numbers(spark):
@@ -446,7 +460,7 @@ def test_cards_beside_other_numbers(spark):
         ("4111111111111111 5555555555554444", "5555555555554444", 2), ("41111111 11111111", "41111111 11111111", 1), ("4111111111111111 10.0.0.1", "4111111111111111", 1), ("4111111111111111 2020-02-29", "4111111111111111", 1),
         ("41111111 11111111 55555555 55554444", "55555555 55554444", 2), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", None, 0), ("4111111111111112 123", None, 0),
     ]
-    out = {r.k: r for r in pii.pseudonymise(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, text string")).collect()}
+    out = {r.k: r for r in pii.pseudonymise(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, text string"), "k").collect()}
     for k, (text, card, n) in enumerate(cases):
         assert (text, out[k].found.card) == (text, n)
         assert out[k].text == text if card is None else card not in out[k].text
@@ -455,9 +469,59 @@ def test_cards_beside_other_numbers(spark):
     assert (out[8].found.ipv4, out[9].found.date) == (1, 1)
 
 
+def feistel(value, kind, alphabets, key, back=False):
+    """The character network in plain Python, forth or back."""
+    cut = len(value) // 2
+    sides = [value[:cut], value[cut:]]
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        stream = hashlib.sha512(f"{key}|{kind}|{i}|{sides[1 - i % 2]}".encode()).hexdigest()
+        out = ""
+        for k, c in enumerate(sides[i % 2]):
+            by = int(stream[k % 64 * 2 : k % 64 * 2 + 2], 16) * (-1 if back else 1)
+            own = next((a for a in alphabets if c in a), None)
+            out += own[(own.index(c) + by) % len(own)] if own else c
+        sides[i % 2] = out
+    return "".join(sides)
+
+
 def test_permutations_are_one_to_one(spark):
-    days = spark.range(pii.DAYS_HIGH * pii.DAYS_LOW)
-    out = pii.permute_pair((F.col("id") / pii.DAYS_LOW).cast("int"), F.col("id") % pii.DAYS_LOW, pii.DAYS_HIGH, pii.DAYS_LOW, "date", "k")
-    assert days.where("id < 8000").select(out.alias("p")).distinct().count() == 8000
-    digits = spark.range(4000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
-    assert digits.select(pii.permute_characters(F.col("d"), "card", (pii.DIGITS,), "k").alias("p")).distinct().count() == 4000
+    days = spark.range(pii.DAYS).repartition(3)
+    out = days.select("id", pii.permute_day(F.col("id"), F.lit(False), "k").alias("p"))
+    assert out.select("p").distinct().count() == pii.DAYS and out.where(f"p < 0 or p >= {pii.DAYS}").count() == 0
+    late = days.where(F.dayofmonth(pii.day_name(F.col("id"))) > 12)
+    out = late.select(pii.day_name(pii.permute_day(F.col("id"), F.lit(True), "k")).alias("p"))
+    assert out.distinct().count() == late.count() and out.where("dayofmonth(p) <= 12 or year(p) < 1900 or year(p) > 2099").count() == 0
+    every = spark.range(100_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
+    assert every.select(pii.permute_characters(F.col("d"), "card", (pii.DIGITS,), "k").alias("p")).distinct().count() == 100_000
+    numbers = spark.range(0, 898 * 989_901, 17_777).select((F.col("id") / 989_901).cast("long").alias("a"), (F.col("id") % 989_901).alias("b"))
+    text = F.concat_ws("-", F.lpad((F.col("a") + 1 + F.when(F.col("a") >= 665, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad(((F.col("b") / 9999).cast("long") + 1).cast("string"), 2, "0"), F.lpad((F.col("b") % 9999 + 1).cast("string"), 4, "0"))
+    out = numbers.select(text.alias("t")).select("t", pii.ssn(F.col("t"), "k").alias("p"))
+    assert out.select("p").distinct().count() == numbers.count() and out.where("not p rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'").count() == 0
+
+
+def test_networks_agree_with_python_and_back(spark):
+    rng = random.Random(3)
+    alphabets = (pii.LOWER, pii.UPPER, pii.DIGITS, *pii.BEYOND)
+    values = ["".join(rng.choice("abzAZ09._é-ñßÄЖжαΩ") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.permute_characters(F.col("v"), "email", alphabets, "k").alias("p")).collect()
+    for v, p in rows:
+        assert p == feistel(v, "email", alphabets, "k") and feistel(p, "email", alphabets, "k", back=True) == v
+
+
+def test_further_kinds_and_clashing_names(spark):
+    secret = "0123456789abcdef" * 10
+    text = f"josé@example.com 123-45-6789 666-12-3456 DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 DE88 3704 0044 0532 0130 00 {secret} AB12 4111 1111 1111 1111 12/25/2020 4111111111111111 123-45-6789"
+    docs = spark.createDataFrame([(text, "own"), (None, None), ("", "x")], "text string, found string")
+    row, null, blank = pii.pseudonymise(docs, "k").collect()
+    assert row.found == "own" and (null.text, blank.text) == (None, "")
+    assert [row.found_[k] for k in pii.KINDS] == [2, 0, 0, 1, 1, 1, 2, 2]
+    for old in ("josé", "123-45-6789", "3704 0044 0532 0130 00,", "WEST12345698765432", secret, "4111 1111 1111 1111", "12/25/2020"):
+        assert old not in row.text
+    assert "666-12-3456" in row.text and "DE88 3704 0044 0532 0130 00" in row.text
+    ibans = re.findall(r"DE\d\d(?: \d{4}){4} \d\d,|GB\w{20}", row.text)
+    for x in ibans:
+        x = x.strip(",").replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert len(ibans) == 2 and len(set(re.findall(r"\d{3}-\d\d-\d{4}", row.text))) == 2
+    month, day, _ = map(int, re.search(r"(\d\d)/(\d\d)/(\d{4})", row.text).groups())
+    assert month <= 12 < day
