@@ -9,11 +9,13 @@ node has no kept descendant, the one of highest total likelihood is taken, in
 two passes over the tree.
 
 Defined cases: a null or empty page has empty text; pages cut off anywhere are
-read to their end; repeated rows and further columns are passed over.
+read to their end; the content of ``noscript`` counts where a page has no other
+main text; nesting of any depth takes linear time; repeated rows and further columns are passed over.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .html_pages import training_pages
 from .html_tree import SILENT, Node, parse
+from .textkernel import slices
 
+#: Bytes of pages parsed together; a longer page is taken alone.
+PAGE_BYTES = 4_000_000
+NOSCRIPT = re.compile("<noscript", re.I)
 # Words in class, id and role attributes, by what they usually mark.
 MAIN_TOKENS = frozenset("article articlebody body content entry main maincontent post posting prose read reading richtext story text".split())
 SIDE_TOKENS = frozenset("aside breadcrumb breadcrumbs footer header masthead menu menubar nav navbar navigation pagination rail related sidebar sidenav social share sharing tags toc topbar toolbar widget bottom byline meta".split())
@@ -54,7 +61,8 @@ def features_of(trees: list[list[Node]]) -> np.ndarray:
     up = np.array([x.parent for x in nodes]) + base
     roots = depth == 0
     up[roots] = np.flatnonzero(roots)
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if n else []
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1) if n else []
 
     text = [len(x.text) for x in nodes]
     # characters, link characters, tags, runs, long runs, stops; summed over subtrees
@@ -191,14 +199,21 @@ def decode(nodes: list[Node], logit: np.ndarray) -> np.ndarray:
 
 
 def main_texts(sources: list[str | None], forest: Forest) -> list[str]:
-    """Kept runs of each page, one per line."""
-    trees = [parse(s) for s in sources]
+    """Kept runs of each page, one per line; those of ``noscript`` elements where a page has no other."""
+    out = _texts([parse(s) for s in sources], forest)
+    bare = [k for k, s in enumerate(sources) if s and not out[k] and NOSCRIPT.search(s)]
+    for k, text in zip(bare, _texts([parse(sources[k], noscript=True) for k in bare], forest)):
+        out[k] = text
+    return out
+
+
+def _texts(trees: list[list[Node]], forest: Forest) -> list[str]:
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in trees])])
     logit = forest.logits(features_of(trees)) if trees else np.zeros(0)
     out = []
     for k, nodes in enumerate(trees):
         kept = decode(nodes, logit[bounds[k] : bounds[k + 1]])
-        out.append("\n".join(x.text for x, y in zip(nodes, kept) if y and x.tag == "#" and nodes[x.parent].tag not in SILENT))
+        out.append("\n".join(x.text for x, y in zip(nodes, kept) if y and x.tag == "#" and (nodes[x.parent].tag == "noscript" or nodes[x.parent].tag not in SILENT)))
     return out
 
 
@@ -209,9 +224,9 @@ def extract(pages: DataFrame, forest: Forest | None = None, rows: int = 64) -> D
     def run(batches):
         forest = Forest(**shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in (some.slice(at, rows) for some in slices(batch, "html", PAGE_BYTES) for at in range(0, some.num_rows, rows)):
                 texts = main_texts(part.column("html").to_pylist(), forest)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        release()
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -28,9 +28,12 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Between a tag's name and its end: blanks and slashes, a value after an equals
+#: sign (quoted, or up to the next blank), or a name, in which quotes mean nothing.
+ATTRIBUTES = r"(?:[\s/]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?|[^\s/>=]++)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"|<(/?)([A-Za-z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -51,12 +54,18 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def parse(source: str | None) -> list[Node]:
-    """Nodes in document order; the first is the root, text leaves have the tag '#'."""
+def parse(source: str | None, noscript: bool = False) -> list[Node]:
+    """Nodes in document order; the first is the root, text leaves have the tag '#'.
+
+    With ``noscript`` the content of that element is page text, as it is to a
+    reader without scripts.
+    """
+    raw, mute = (RAW - {"noscript"}, SILENT - {"noscript"}) if noscript else (RAW, SILENT)
     nodes = [Node("#root", -1, 0)]
     if not source:
         return nodes
     stack = [0]  # block elements only
+    places: dict[str, list[int]] = {}  # of a tag's open elements on the stack
     run: list[str] = []
     links = marks = open_links = silent = 0
     at = 0
@@ -77,9 +86,14 @@ def parse(source: str | None) -> list[Node]:
         nonlocal silent
         flush()
         for n in stack[k:]:
-            silent -= nodes[n].tag in SILENT
+            silent -= nodes[n].tag in mute
+            places[nodes[n].tag].pop()
         del stack[k:]
 
+    def last(tags) -> int:
+        """The topmost place of an open element of any of the tags; 0 if none is."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     length = len(source)
     while at < length:
         m = TOKEN.search(source, at)
@@ -105,16 +119,12 @@ def parse(source: str | None) -> list[Node]:
                 open_links = max(0, open_links - 1)
             elif name in INLINE:
                 pass
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == name:
-                        close(k)
-                        break
-                else:
-                    if name == "p":
-                        flush()
+            elif k := last((name,)):
+                close(k)
+            elif name == "p":
+                flush()
             continue
-        if name in RAW:
+        if name in raw:
             # its content is not markup
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = end.end() if end else length
@@ -132,19 +142,12 @@ def parse(source: str | None) -> list[Node]:
         # a block element
         flush()
         open_links = 0
-        stack_tags = [nodes[k].tag for k in stack]
-        if "p" in stack_tags and name not in ("td", "th"):
-            k = len(stack_tags) - 1 - stack_tags[::-1].index("p")
+        if name not in ("td", "th") and (k := last(("p",))):
             close(k)
         if name in ENDS:
             ended, stops = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag in stops:
-                    break
-                if tag in ended:
-                    close(k)
-                    break
+            if (k := last(ended)) > last(stops):
+                close(k)
         attributes = m[3]
         tokens: tuple[str, ...] = ()
         if attributes and "=" in attributes:
@@ -154,7 +157,8 @@ def parse(source: str | None) -> list[Node]:
         top.children.append(len(nodes))
         nodes.append(Node(name, stack[-1], top.depth + 1, tokens, bool(attributes and HIDDEN.search(attributes))))
         if name not in VOID and not attributes.endswith("/") or name in ("div", "p", "section", "article"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(nodes) - 1)
-            silent += name in SILENT
+            silent += name in mute
     flush()
     return nodes

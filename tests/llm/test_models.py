@@ -93,3 +93,32 @@ def test_odd_pages(spark, forest):
     assert got[11] == "\n".join(["some words here."] * 3)
     assert [n.text for n in parse("<p>&lt;b&gt; x<br>y &amp;amp; <i>z</i></p>w") if n.tag == "#"] == ["<b> x y &amp; z", "w"]
     assert [n.text for n in parse("<table><tr><td>a<td>b<tr><td>c") if n.tag == "#"] == ["a", "b", "c"]
+
+
+def texts(source, **how):
+    return [n.text for n in parse(source, **how) if n.tag == "#"]
+
+
+def test_attributes_as_browsers_read_them():
+    assert texts("<p data-x=it's>one two</p><p>three</p><p>don't</p><p>four</p>") == ["one two", "three", "don't", "four"]
+    assert texts("<p title='a > b'>x</p><p title=\"it's > \">y</p><p a'b=c>z</p><p x = 'q>'>w</p><p x=>v</p><p/>u") == ["x", "y", "z", "w", "v", "u"]
+    assert texts("<a href=a/b'c>link</a> text <p class=it's id='m'>more") == ["link text", "more"]
+    node = parse("<div data-k=it's class=\"entry-content\">x")[1]
+    assert node.tokens == ("entry", "content")
+
+
+def test_noscript_counts_only_where_nothing_else_does(spark, forest):
+    body = "".join(f"<p>Sentence number {k} of the story, which is long enough to be read.</p>" for k in range(6))
+    pages = [f"<body><script>x()</script><noscript><article>{body}</article></noscript></body>", f"<body><noscript>Please switch scripts on.</noscript><article>{body}</article></body>"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' url", "html")
+    got = {r.page_id: r.text for r in html_extract.extract(rows, forest).collect()}
+    assert got[0] == got[1] and got[0].count("\n") == 5
+
+
+def test_deep_nesting_takes_linear_time(forest):
+    import time
+
+    start = time.monotonic()
+    for page in ("<div>" * 200_000 + "x" + "</div>" * 200_000, "<ul><li>" * 50_000 + "x", "<p><div>" * 50_000 + "<li>y"):
+        assert len(html_extract.main_texts([page], forest)) == 1
+    assert time.monotonic() - start < 60
