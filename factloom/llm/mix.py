@@ -41,8 +41,16 @@ LEVEL = "doc_id long, source string, size long, source_size long, target double,
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size in words and a key of every row, from id, text and copy.
+
+    Rows equal in all are numbered as copies, so that however many there are of
+    one id, or without any, no two share a key and so a block.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text"))
+    rows = rows.groupBy("doc_id", "source", "size", "text").agg((F.count("*") - 1).alias("last"))
+    rows = rows.withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 1000))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("thousand") * 1000, F.least(F.col("last"), F.col("thousand") * 1000 + 999))))
+    return rows.select("doc_id", "source", "size", F.xxhash64("doc_id", "size", "text", "copy").alias("key"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK) ->
     sources = sources.withColumnRenamed("source", "of")
     small = common.is_small(sources, 100_000)
     rows = sizes.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("of")), "left")
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.floor(rate).cast("long").alias("times"), (rate - F.floor(rate)).alias("chance"), F.greatest(F.ceil(F.col("documents") / block), F.lit(1)).cast("long").alias("blocks"), F.xxhash64("doc_id", "size").alias("key"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.floor(rate).cast("long").alias("times"), (rate - F.floor(rate)).alias("chance"), F.greatest(F.ceil(F.col("documents") / block), F.lit(1)).cast("long").alias("blocks"), "key")
     fixed = (F.col("size") == 0) | (F.col("chance") <= 1e-9) | (F.col("chance") >= 1 - 1e-9)
     decided = rows.where(fixed).withColumn("chance", F.round("chance"))
     rows = rows.where(~fixed)

@@ -122,3 +122,14 @@ def test_deep_nesting_takes_linear_time(forest):
     for page in ("<div>" * 200_000 + "x" + "</div>" * 200_000, "<ul><li>" * 50_000 + "x", "<p><div>" * 50_000 + "<li>y"):
         assert len(html_extract.main_texts([page], forest)) == 1
     assert time.monotonic() - start < 60
+
+
+def test_training_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 80} " * (1 + k % 3)) for k in range(400)] + [(41, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(42)] + [(7, None), (9, 3)], "doc_id long, quality int")
+    rows = classifier.sample(docs, labels, 10)
+    assert 0 < len(rows) <= 20 and {label for _, _, label in rows} == {0, 1}
+    again = classifier.sample(docs.repartition(5).unionByName(docs), labels, 10)
+    assert [(a.tolist(), b.tolist(), c) for a, b, c in rows] == [(a.tolist(), b.tolist(), c) for a, b, c in again]
+    few = classifier.sample(docs, labels, 10, 500)
+    assert len(few) < len(rows) and sum(a.nbytes + b.nbytes for a, b, _ in few) <= 500

@@ -412,6 +412,16 @@ def test_mix(spark, corpus):
     assert [r.taken for r in mix.mix(frame(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_mix_deals_repeated_rows_to_blocks(spark):
+    rows = [(1, "a b c d e")] * 2500 + [(None, f"n{k} x y") for k in range(600)] + [(k, "a b") for k in range(300)]
+    docs = spark.createDataFrame([(d, t, "en", "s" if k % 2 else "t", 0, "", "", "") for k, (d, t) in enumerate(rows)], DOCS)
+    sizes = mix.sized(docs).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(64)))
+    assert sizes.count() == len(rows) == sizes.select("source", "key").distinct().count()
+    assert sizes.groupBy("source", "block").count().agg(F.max("count")).first()[0] < 120
+    out = [mix.mix(docs.repartition(n), block=64).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect() for n in (2, 5)]
+    assert sorted(map(tuple, out[0])) == sorted(map(tuple, out[1])) and all(abs(r.taken - r.target) <= 5 for r in out[0])
+
+
 def test_targets_fill_up(spark):
     def want(sizes):
         names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
