@@ -3,8 +3,8 @@
 A document is the average of the learned vectors of its hashed words, character
 n-grams and a bigram mark for a word said twice in a row; a softmax layer over that average gives the class.  Vectors
 and layer are trained together by stochastic gradient descent in numpy, on a
-bounded sample of labelled rows (``ROWS_PER_CLASS``, documented parameter) with
-both classes weighing alike.
+bounded sample of labelled rows (``ROWS_PER_CLASS`` rows of a class,
+``SAMPLE_BYTES`` of features in all, documented parameters) with both classes weighing alike.
 
 Scoring needs no vectors: softmax of a linear layer over an average depends on
 one number per bucket, the difference of the two logits, so that every whole
@@ -12,23 +12,27 @@ text is scored by one gather and one sum over its n-grams.
 
 Defined cases: a null or empty text has no features and gets the score of the
 bias alone; without labels of both classes every score is 0.5; null labels are
-ignored; repeated rows are scored one by one.
+ignored, as are those that are neither 0 nor 1; repeated rows are scored one by
+one and learnt from once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .common import KEY, release, with_key
 from .textkernel import U64, SLICE_BYTES, buffer_of, mix, slices
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4)
 ROWS_PER_CLASS = 1000
+#: Bytes of features that the driver takes at most; a text has up to 1 MB.
+SAMPLE_BYTES = 256_000_000
 EPOCHS = 10
 RATE = 1.0
 _CODE_BASE = U64(0x9E3779B97F4A7C15)
@@ -124,29 +128,36 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of the training rows: per class those first by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Features of the training rows: per class those first by a hash of the id, then of the text.
 
-    Rows are fixed by id alone; remainder 2 of crc32 modulo 4 is held out.
+    Rows are fixed by id and text alone; remainder 2 of crc32 modulo 4 is held
+    out.  Of rows whose features exceed ``sample_bytes`` together, the first are taken.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().distinct()
-    rows = rows.where(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id"))
-    both = None
-    for label in (0, 1):
-        part = rows.where(F.col("quality") == label).orderBy("key", "doc_id").limit(rows_per_class)
-        both = part if both is None else both.unionByName(part)
-    chosen = common.materialise(both.select("doc_id", "quality"), "classifier-labels")  # at most 2 x rows_per_class
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().where("quality in (0, 1)").distinct()
+    rows = rows.where(~held_out(F.col("doc_id")))
+    texts = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    order = [F.xxhash64("doc_id"), "doc_id", KEY]
+    # ids first, then their texts, of which an id may have several
+    first = [rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for label in (0, 1)]
+    labelled = texts.join(F.broadcast(common.materialise(first[0].unionByName(first[1]), "classifier-ids")), "doc_id").select("doc_id", KEY, "quality").distinct()
+    first = [labelled.where(F.col("quality") == label).orderBy(*order).limit(rows_per_class) for label in (0, 1)]
+    chosen = common.materialise(first[0].unionByName(first[1]), "classifier-labels")  # at most 2 x rows_per_class
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = list(counted(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], names=["doc_id", "quality", "buckets", "counts"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = texts.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, buckets binary, counts binary").collect()
+                own = [part.column(c) for c in ("doc_id", KEY, "quality")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], names=["doc_id", KEY, "quality", "buckets", "counts"])
+        release()
+
+    found = texts.join(F.broadcast(chosen), ["doc_id", KEY]).select("doc_id", KEY, "quality", "text").mapInArrow(run, f"doc_id long, {KEY} long, quality int, buckets binary, counts binary")
+    found = common.materialise(found.dropDuplicates(["doc_id", KEY, "quality"]), "classifier-rows")
+    so_far = F.sum(F.length("buckets") + F.length("counts")).over(Window.orderBy(*order, "quality"))  # over the sample alone
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("doc_id", "quality", "buckets", "counts").collect()
     found.sort(key=lambda r: (r[0], r[1], r[2]))
-    return [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32), r[1]) for r in found[: 4 * rows_per_class]]
+    return [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32), r[1]) for r in found]
 
 
 def held_out(doc_id):
@@ -171,6 +182,7 @@ def scores(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
                 logit = total / np.maximum(1, np.bincount(row, minlength=part.num_rows)) + bias
                 score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        release()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
