@@ -73,6 +73,12 @@ def build_index(docs: DataFrame) -> DataFrame:
 SHARD = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch, each made when its turn comes, for rows are large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Queries:
     """The windows of a block of items, as numbers of terms.
 
@@ -216,7 +222,7 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     def run(batches):
         total = np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 own = np.frombuffer(row["terms"], dtype=np.uint64)
                 at = np.searchsorted(shared.value, own)
                 at[at == len(total)] = 0
@@ -251,7 +257,7 @@ def block_hits(index: DataFrame, shared) -> DataFrame:
     def run(batches):
         queries = received(shared)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 shard = Shard(row, queries)
                 cover = np.zeros(shard.size, dtype=np.int64)
                 owners = []
@@ -337,7 +343,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             queries = received(shared)
             gap = queries.window + slop + 1
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in one_by_one(batch):
                     shard, out = Shard(row, queries), []
 
                     def add(kind, window, position):
