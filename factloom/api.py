@@ -17,10 +17,10 @@ class Engine:
         self.spark, self.enabled = spark, enabled
 
     def state(self, events: DataFrame) -> DataFrame:
-        return replay.active(replay.verdicts(events))
+        return replay.active(replay.words(events))
 
     def tombstones(self, events: DataFrame) -> DataFrame:
-        return replay.tombstones(replay.verdicts(events))
+        return replay.tombstones(replay.words(events))
 
     def diagnostics(self, events: DataFrame) -> DataFrame:
         return replay.verdicts(events).where("not accepted").groupBy("branch_id", "code").agg(F.count("*").alias("n"))

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as C
 from . import replay
@@ -85,6 +88,22 @@ def event_class(event) -> str:
     return "invalid"
 
 
+def class_of(data: str) -> Column:
+    """Class of the events in a column of JSON; text that is no JSON is invalid."""
+
+    def one(text) -> str:
+        try:
+            return event_class(json.loads(text))
+        except (TypeError, ValueError):
+            return "invalid"
+
+    # made here, for a module that holds a UDF cannot be sent to executors
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(every, StringType())(data)
+
+
 def base36(n: int) -> str:
     out = ""
     while n:
@@ -177,3 +196,9 @@ def outcomes(entries: DataFrame) -> DataFrame:
     """``entries``: branch_id, seq, entry_type, data (JSON).  One row per journal entry."""
     rows = entries.select("branch_id", "seq", "entry_type", "data")
     return fold(rows, "branch_id", ["seq"], Journal, "branch_id string, seq long, kind string, code string, accepted boolean, n_facts long, n_tombstones long")
+
+
+def diagnostics(outcomes: DataFrame) -> DataFrame:
+    """Per branch: events of older generations, entries that are none, events of a later schema."""
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return outcomes.groupBy("branch_id").agg(count("v1", "v2a", "v2b").alias("migrated"), count("invalid").alias("skipped"), count("future").alias("future"))

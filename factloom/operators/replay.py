@@ -3,8 +3,8 @@
 Whether an event counts depends on those before it and, by the duplicate rule,
 on all active facts of its branch, so the fold runs per branch in sequence
 order.  It streams: its state is the active facts and tombstones, and it emits
-one verdict per event.  Current facts, tombstones and diagnostics follow from
-the verdicts by plain aggregation.
+one verdict per event, and what an accepted snapshot holds.  Current facts,
+tombstones and diagnostics follow from these rows by plain aggregation.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import json
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .. import constants as C
 from .runs import fold
@@ -176,38 +178,68 @@ def fact_of(row: dict) -> dict:
     return fact
 
 
+#: Code of the rows that tell what an accepted snapshot brought in.
+LOADED = "loaded"
+
+
+def words_of(branch, state: Branch, row: dict) -> list[tuple]:
+    """The verdict on one event, and after an accepted snapshot a row for everything it holds."""
+    snapshot = json.loads(row["snapshot"]) if row.get("snapshot") else None
+    code = state.apply(row["op"], row["id"], fact_of(row) if row["op"] in ("add", "supersede") else None, row["at"], snapshot)
+    tomb, ok = state.tombs.get(row["id"]), code.startswith("ok")
+    out = [(branch, row["seq"], row["op"], row["id"], row["text"], row["revision"], row["updated_at"], row["at"], code, ok, tomb[0] if ok and row["op"] == "revoke" else None, state.mutations)]
+    if ok and row["op"] == "snapshot":
+        out += [(branch, row["seq"], "add", i, f["text"], f["revision"], f["updated_at"], row["at"], LOADED, True, None, 0) for i, f in state.facts.items()]
+        out += [(branch, row["seq"], "revoke", i, None, None, None, t[1], LOADED, True, t[0], 0) for i, t in state.tombs.items()]
+    return out
+
+
 class Replay:
     def __init__(self, branch):
         self.branch, self.state = branch, Branch()
 
     def add(self, row) -> list:
-        snapshot = json.loads(row["snapshot"]) if row.get("snapshot") else None
-        code = self.state.apply(row["op"], row["id"], fact_of(row) if row["op"] in ("add", "supersede") else None, row["at"], snapshot)
-        tomb = self.state.tombs.get(row["id"])
-        ok = code.startswith("ok")
-        return [(self.branch, row["seq"], row["op"], row["id"], row["text"], row["revision"], row["updated_at"], row["at"], code, ok, tomb[0] if ok and row["op"] == "revoke" else None, self.state.mutations)]
+        return words_of(self.branch, self.state, row)
 
     def finish(self) -> list:
         return []
 
 
+def words(journal: DataFrame) -> DataFrame:
+    """The verdicts, and the facts and tombstones that accepted snapshots bring in."""
+    return fold(journal, "branch_id", ["seq"], Replay, VERDICTS)
+
+
 def verdicts(journal: DataFrame) -> DataFrame:
     """One row per event: whether it counted, why not, and the mutations since the last snapshot."""
-    return fold(journal, "branch_id", ["seq"], Replay, VERDICTS)
+    return words(journal).where(F.col("code") != LOADED)
 
 
-def last_words(judged: DataFrame) -> DataFrame:
-    """The last event that counted, for every fact of a journal without snapshots."""
+def last_words(words: DataFrame) -> DataFrame:
+    """The last word on every fact: an event that counted, or the latest accepted snapshot, which clears all before it."""
+    told = words.where("accepted")
     last = F.max_by(F.struct("seq", "op", "text", "revision", "updated_at", "at", "tomb_revision"), "seq").alias("last")
-    return judged.where("accepted").groupBy("branch_id", "id").agg(last).select("branch_id", "id", "last.*")
+    last = told.where("op != 'snapshot'").groupBy("branch_id", "id").agg(last).select("branch_id", "id", "last.*")
+    cleared = told.where("op = 'snapshot'").groupBy("branch_id").agg(F.max("seq").alias("cleared"))
+    return last.join(cleared, "branch_id", "left").where("seq >= coalesce(cleared, seq)").drop("cleared")
+
+
+def active(words: DataFrame) -> DataFrame:
+    return last_words(words).where("op != 'revoke'").select("branch_id", "id", "text", "revision", "updated_at")
+
+
+def tombstones(words: DataFrame) -> DataFrame:
+    return last_words(words).where("op = 'revoke'").select("branch_id", "id", F.col("tomb_revision").alias("revision"), "at")
 
 
-def active(judged: DataFrame) -> DataFrame:
-    return last_words(judged).where("op != 'revoke'").select("branch_id", "id", "text", "revision", "updated_at")
+def holds_snapshot(snapshot: str, at: str) -> Column:
+    """Whether the JSON in column ``snapshot`` is one that replay would accept at the time in ``at``."""
 
+    def holds(snapshots: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series([bool(s) and valid_snapshot(json.loads(s), int(t)) for s, t in zip(snapshots, times)], dtype=bool)
 
-def tombstones(judged: DataFrame) -> DataFrame:
-    return last_words(judged).where("op = 'revoke'").select("branch_id", "id", F.col("tomb_revision").alias("revision"), "at")
+    # made here, for a module that holds a UDF cannot be sent to executors
+    return F.pandas_udf(holds, BooleanType())(snapshot, at)
 
 
 def from_last_snapshot(journal: DataFrame, is_snapshot) -> DataFrame:

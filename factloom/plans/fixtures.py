@@ -20,7 +20,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b_"), "source").alias("branch_id"),
         F.concat(F.lit("cf_doc_"), F.col("doc_id").cast("string")).alias("id"),
         F.element_at(F.array(*map(F.lit, C.FACT_TYPES)), (F.col("doc_id") % 4 + 1).cast("int")).alias("type"),
-        F.regexp_replace(F.substring("text", 1, 240), r"\A[ \n\t]+|[ \n\t]+\z", "").alias("text"),
+        F.regexp_replace("text", r"\A[ \n\t]+|[ \n\t]+\z", "").alias("text"),
         (F.col("doc_id") + 1_800_000_000_000).alias("created_at"),
         (F.col("doc_id") + F.col("n_chars") + 1_800_000_000_000).alias("updated_at"),
         ((F.coalesce("quality", F.lit(0)) == 1) & (F.col("doc_id") % 10 == 0)).alias("hot"),
@@ -47,6 +47,18 @@ def journal(events: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_journal(events: DataFrame) -> DataFrame:
+    """The journal with one event in 31 a snapshot, half of them invalid: a fact newer than its snapshot."""
+    rows = journal(events)
+    snap = F.col("seq") % 31 == 7
+    fact = lambda id_, text, revision, later: F.struct(F.lit(id_).alias("id"), F.lit("finding").alias("type"), text.alias("text"), F.col("at").alias("created_at"), (F.col("at") + later).alias("updated_at"), F.lit(False).alias("hot"), F.lit(50).alias("priority"), F.lit(False).alias("priority_explicit"), F.lit(revision).alias("revision"))
+    facts = F.array(fact("cf_k1", F.concat(F.lit("s"), F.col("seq").cast("string")), 2, F.lit(0)), fact("cf_k2", F.lit("v5"), 1, F.col("seq") % 2))
+    revoked = F.create_map(F.lit("cf_k3"), F.struct(F.lit(4).alias("revision"), F.col("at").alias("at")))
+    text = F.to_json(F.struct(facts.alias("facts"), revoked.alias("revoked")))
+    blank = lambda c, value: F.when(snap, F.lit(value)).otherwise(F.col(c)).alias(c)
+    return rows.select("branch_id", "seq", blank("op", "snapshot"), blank("id", ""), blank("text", None), blank("revision", None), "at", blank("updated_at", None), F.when(snap, text).alias("snapshot"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"),

@@ -45,7 +45,7 @@ PRIORITY = lambda x: f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in
 FACTS = r"""facts AS (
   SELECT 'b_' || source AS branch_id, 'cf_doc_' || doc_id AS id,
     CASE doc_id % 4 WHEN 0 THEN 'finding' WHEN 1 THEN 'decision' WHEN 2 THEN 'approved_spec' ELSE 'milestone' END AS type,
-    regexp_replace(substr(text, 1, 240), '\A[ \n\t]+|[ \n\t]+\z', '', 'g') AS text,
+    regexp_replace(text, '\A[ \n\t]+|[ \n\t]+\z', '', 'g') AS text,
     doc_id + 1800000000000 AS created_at, doc_id + n_chars + 1800000000000 AS updated_at,
     coalesce(quality, 0) = 1 AND doc_id % 10 = 0 AS hot, CAST(doc_id * 37 % 101 AS INTEGER) AS priority,
     TRUE AS priority_explicit, 1 AS revision
@@ -153,37 +153,57 @@ def validate_fact(spark, sf_dir):
 
 
 _RAW = """raw AS (
-  SELECT event_id, CAST(event_id % 6 AS INTEGER) AS version, CASE event_id % 4 WHEN 0 THEN 'revoke' WHEN 1 THEN 'add' WHEN 2 THEN 'supersede' ELSE 'merge' END AS op,
-    CASE WHEN event_id % 17 = 0 THEN 'bad id' ELSE 'cf_k' || event_id END AS id, CASE WHEN event_id % 19 = 0 THEN 0 ELSE 1 + event_id END AS "at", CASE WHEN event_id % 23 = 0 THEN repeat('x', 501) WHEN event_id % 2 = 0 THEN 'why' END AS reason FROM events)"""
+  SELECT event_id, 'u_' || user_id AS branch_id, CAST(event_id % 6 AS INTEGER) AS version, CASE event_id // 6 % 4 WHEN 0 THEN 'revoke' WHEN 1 THEN 'add' WHEN 2 THEN 'supersede' ELSE 'merge' END AS op,
+    event_id % 17 = 0 AS bad_id, CASE WHEN event_id % 19 = 0 THEN 0 ELSE 1 + event_id END AS "at", event_id % 23 = 0 AS bad_reason, event_id % 13 = 5 AS standalone FROM events),
+classed AS (
+  SELECT *, CASE WHEN version > 3 THEN 'future' WHEN bad_id OR op = 'merge' OR version = 0 THEN 'invalid'
+    WHEN op = 'revoke' THEN CASE WHEN "at" = 0 OR bad_reason THEN 'invalid' ELSE CASE version WHEN 3 THEN 'v3' WHEN 2 THEN 'v2b' ELSE 'v1' END END
+    WHEN op = 'supersede' AND "at" = 0 THEN 'invalid'
+    WHEN version = 3 THEN CASE WHEN op = 'supersede' AND bad_reason THEN 'invalid' ELSE 'v3' END
+    WHEN version = 2 THEN CASE WHEN event_id % 3 < 2 AND event_id % 5 > 0 THEN 'v2b' ELSE 'v2a' END ELSE 'v1' END AS kind FROM raw)"""
 
 
 def raw_events(spark, sf_dir):
+    """JSON events of every operation and schema version, sound and broken ones."""
     n = F.col("event_id")
-    return fixtures.table(spark, sf_dir, "events").select(
-        "event_id", (n % 6).cast("int").alias("version"),
-        F.element_at(F.array(*map(F.lit, ("revoke", "add", "supersede", "merge"))), (n % 4 + 1).cast("int")).alias("op"),
-        F.when(n % 17 == 0, "bad id").otherwise(F.concat(F.lit("cf_k"), n.cast("string"))).alias("id"),
-        F.when(n % 19 == 0, 0).otherwise(1 + n).alias("at"),
-        F.when(n % 23 == 0, F.repeat(F.lit("x"), 501)).when(n % 2 == 0, "why").alias("reason"),
+    version, op = (n % 6).cast("int"), F.element_at(F.array(*map(F.lit, ("revoke", "add", "supersede", "merge"))), (F.floor(n / 6) % 4 + 1).cast("int"))
+    id_ = F.when(n % 17 == 0, "bad id").otherwise(F.concat(F.lit("cf_k"), n.cast("string")))
+    at = F.when(n % 19 == 0, 0).otherwise(1 + n)
+    late = (version == 3) | ((version == 2) & (n % 3 < 2) & (n % 5 > 0))  # has the later fields
+    body = F.struct(
+        id_.alias("id"), F.when(~late & (n % 7 == 0), C.LEGACY_TYPE[0]).otherwise("decision").alias("type"), F.concat(F.lit("text "), n.cast("string")).alias("text"), F.lit(1).alias("createdAt"), F.lit(1).alias("updatedAt"),
+        F.when(late, n % 2 == 0).alias("hot"), F.when(late, 7).alias("priority"), F.when(late, True).alias("priorityExplicit"), F.when(version == 3, 1).alias("revision"),
     )
+    event = F.struct(version.alias("version"), op.alias("op"), F.when(op != "add", id_).alias("id"), F.when(op != "add", at).alias("at"), F.when(n % 23 == 0, F.repeat(F.lit("x"), 501)).when(n % 2 == 0, "why").alias("reason"), F.when(op == "add", body).alias("fact"), F.when(op == "supersede", body).alias("replacement"))
+    alone = F.to_json(F.struct(F.lit(C.LEGACY_TYPE[0]).alias("type"), F.concat(F.lit("alone "), n.cast("string")).alias("text"), (n + 1).alias("timestamp")))
+    return fixtures.table(spark, sf_dir, "events").select(n, F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("branch_id"), F.to_json(event).alias("data"), F.when(n % 13 == 5, alone).alias("alone"))
 
 
-_VALID = "(regexp_full_match(id, '(?i)cf_[a-z0-9_-]+') AND \"at\" > 0 AND \"at\" <= 8640000000000000 AND (reason IS NULL OR length(reason) <= 500))"
-
-
-@query(f"WITH {_RAW} SELECT event_id, version = 3 AND op = 'revoke' AND {_VALID} AS valid_revoke FROM raw")
+@query(f"WITH {_RAW} SELECT event_id, kind = 'v3' AS valid FROM classed")
 def validate_event(spark, sf_dir):
-    good = R.valid_id(F.col("id")) & R.valid_time(F.col("at")) & R.valid_reason(F.col("reason"))
-    return raw_events(spark, sf_dir).select("event_id", ((F.col("version") == 3) & (F.col("op") == "revoke") & good).alias("valid_revoke"))
+    return raw_events(spark, sf_dir).select("event_id", (legacy.class_of("data") == "v3").alias("valid"))
 
 
-@query(f"WITH {_RAW} SELECT event_id, CASE WHEN version > 3 THEN 'future' WHEN op NOT IN ('add', 'supersede', 'revoke') OR NOT {_VALID} THEN 'invalid' WHEN version = 3 THEN 'v3' WHEN version = 2 AND op = 'revoke' THEN 'v2b' WHEN version = 2 THEN 'v2a' WHEN version = 1 THEN 'v1' ELSE 'invalid' END AS event_class FROM raw")
+@query(f"WITH {_RAW} SELECT event_id, kind AS event_class FROM classed")
 def event_class(spark, sf_dir):
-    """Dispatch by version and validity; revokes of version 2 always read as the later draft."""
-    v, op = F.col("version"), F.col("op")
-    good = R.valid_id(F.col("id")) & R.valid_time(F.col("at")) & R.valid_reason(F.col("reason"))
-    kind = F.when(v > C.SCHEMA_VERSION, "future").when(~op.isin("add", "supersede", "revoke") | ~good, "invalid").when(v == 3, "v3").when((v == 2) & (op == "revoke"), "v2b").when(v == 2, "v2a").when(v == 1, "v1").otherwise("invalid")
-    return raw_events(spark, sf_dir).select("event_id", kind.alias("event_class"))
+    return raw_events(spark, sf_dir).select("event_id", legacy.class_of("data").alias("event_class"))
+
+
+@query(f"""WITH {_RAW} SELECT branch_id, event_id AS seq, CASE WHEN standalone THEN 'standalone' ELSE kind END AS kind,
+  standalone OR (kind NOT IN ('future', 'invalid') AND op IN ('add', 'revoke')) AS accepted FROM classed""")
+def journal_generations(spark, sf_dir):
+    """Events of every operation and generation, and standalone facts, through the raw-journal fold; each names a fact of its own."""
+    entry = F.when(F.col("alone").isNotNull(), legacy.FACT_ENTRY).otherwise(legacy.EVENT_ENTRY)
+    rows = raw_events(spark, sf_dir).select("branch_id", F.col("event_id").alias("seq"), entry.alias("entry_type"), F.coalesce("alone", "data").alias("data"))
+    return legacy.outcomes(rows).select("branch_id", "seq", "kind", "accepted")
+
+
+@query(f"""WITH {_RAW}, o AS (SELECT branch_id, CASE WHEN standalone THEN 'standalone' ELSE kind END AS kind FROM classed)
+SELECT branch_id, CAST(count_if(kind IN ('v1', 'v2a', 'v2b')) AS BIGINT) AS migrated, CAST(count_if(kind = 'invalid') AS BIGINT) AS skipped, CAST(count_if(kind = 'future') AS BIGINT) AS future FROM o GROUP BY branch_id""")
+def journal_diagnostics(spark, sf_dir):
+    entry = F.when(F.col("alone").isNotNull(), legacy.FACT_ENTRY).otherwise(legacy.EVENT_ENTRY)
+    rows = raw_events(spark, sf_dir).select("branch_id", F.col("event_id").alias("seq"), entry.alias("entry_type"), F.coalesce("alone", "data").alias("data"))
+    return legacy.diagnostics(legacy.outcomes(rows))
 
 
 @query(f"WITH {FACTS}, k AS (SELECT branch_id, id, type || chr(31) || {TRIM(COLLAPSE(NORMALISE('text')))} AS key FROM facts) SELECT branch_id, min(id) AS first_id, count(*) AS n FROM k GROUP BY branch_id, key HAVING count(*) > 1")
@@ -337,6 +357,7 @@ f AS (
         WHEN len(list_filter(a.tombs, lambda t: t.id = x.id)) > 0 THEN 'add-revoked'
         WHEN len(list_filter(a.facts, lambda t: t.id = x.id)) > 0 THEN CASE WHEN len(list_filter(a.facts, lambda t: t.id = x.id AND t.text = x.text AND t.up = x.up)) > 0 THEN 'add-identical' ELSE 'add-conflict' END
         WHEN len(list_filter(a.facts, lambda t: t.text = x.text)) > 0 THEN 'add-duplicate' ELSE 'ok' END
+      WHEN x.op = 'snapshot' THEN CASE WHEN x.seq % 2 = 0 THEN 'ok' ELSE 'snapshot-invalid' END
       WHEN x.op = 'supersede' THEN CASE
         WHEN len(list_filter(a.tombs, lambda t: t.id = x.id)) > 0 THEN 'supersede-revoked'
         WHEN len(list_filter(a.facts, lambda t: t.id = x.id)) = 0 THEN 'supersede-missing'
@@ -350,9 +371,10 @@ f AS (
         WHEN len(list_filter(a.tombs, lambda t: t.id = x.id AND x."at" <= t."at")) > 0 THEN 'revoke-duplicate'
         WHEN len(list_filter(a.tombs, lambda t: t.id = x.id)) > 0 THEN 'ok-later' ELSE 'ok-orphan' END END],
     lambda c: {{'seq': x.seq, 'op': x.op, 'id': x.id, 'text': x.text, 'rev': x.rev, 'at': x."at", 'up': x.up,
-      'facts': CASE WHEN NOT starts_with(c, 'ok') THEN a.facts WHEN x.op = 'revoke' THEN list_filter(a.facts, lambda t: t.id <> x.id)
+      'facts': CASE WHEN NOT starts_with(c, 'ok') THEN a.facts WHEN x.op = 'snapshot' THEN [{{'id': 'cf_k1', 'text': 's' || x.seq, 'rev': 2::BIGINT, 'up': x."at"}}, {{'id': 'cf_k2', 'text': 'v5', 'rev': 1::BIGINT, 'up': x."at"}}]
+        WHEN x.op = 'revoke' THEN list_filter(a.facts, lambda t: t.id <> x.id)
         ELSE list_append(list_filter(a.facts, lambda t: t.id <> x.id), {{'id': x.id, 'text': x.text, 'rev': x.rev, 'up': x.up}}) END,
-      'tombs': CASE WHEN NOT starts_with(c, 'ok') OR x.op <> 'revoke' THEN a.tombs
+      'tombs': CASE WHEN c = 'ok' AND x.op = 'snapshot' THEN [{{'id': 'cf_k3', 'rev': 4::BIGINT, 'at': x."at"}}] WHEN NOT starts_with(c, 'ok') OR x.op <> 'revoke' THEN a.tombs
         ELSE list_append(list_filter(a.tombs, lambda t: t.id <> x.id), {{'id': x.id, 'at': x."at", 'rev': CASE c WHEN 'ok-orphan' THEN 1 WHEN 'ok-later' THEN list_filter(a.tombs, lambda t: t.id = x.id)[1].rev
           ELSE greatest(list_filter(a.facts, lambda t: t.id = x.id)[1].rev, coalesce(list_filter(a.tombs, lambda t: t.id = x.id)[1].rev, 0)) + 1 END}}) END,
       'code': c, 'log': list_append(a.log, {{'seq': x.seq, 'code': c}})}})[1],
@@ -362,10 +384,40 @@ _STATE = f"{_FOLD} SELECT branch_id, u.id AS id, u.text AS text, CAST(u.rev AS I
 _TOMBS = f"{_FOLD} SELECT branch_id, u.id AS id, CAST(u.rev AS INTEGER) AS revision, u.\"at\" AS \"at\" FROM (SELECT branch_id, unnest(s.tombs) AS u FROM f)"
 
 
+# the same with one event in 31 a snapshot
+_SNAPPED = JOURNAL + """,
+js AS (SELECT branch_id, seq, CASE WHEN seq % 31 = 7 THEN 'snapshot' ELSE op END AS op, CASE WHEN seq % 31 = 7 THEN '' ELSE id END AS id, text, revision, "at", updated_at FROM j)"""
+_swap = lambda sql: sql.replace(JOURNAL, _SNAPPED).replace("AS es FROM j GROUP BY", "AS es FROM js GROUP BY")
+
+
 def judged(spark, sf_dir):
     return replay.verdicts(fixtures.journal(fixtures.table(spark, sf_dir, "events")))
 
 
+def snapped(spark, sf_dir):
+    return fixtures.snapshot_journal(fixtures.table(spark, sf_dir, "events"))
+
+
+@query(_swap(_STATE))
+def snapshot_state(spark, sf_dir):
+    return replay.active(replay.words(snapped(spark, sf_dir)))
+
+
+@query(_swap(_TOMBS))
+def snapshot_tombstones(spark, sf_dir):
+    return replay.tombstones(replay.words(snapped(spark, sf_dir)))
+
+
+@query(_swap(_STATE))
+def snapshot_stream_state(spark, sf_dir):
+    return replay_stream.state(spark, sf_dir, fixtures.snapshot_journal)
+
+
+@query(_swap(f"{_FOLD} SELECT branch_id, u.seq AS seq, u.code AS code FROM (SELECT branch_id, unnest(s.log) AS u FROM f)"))
+def snapshot_outcomes(spark, sf_dir):
+    return replay.verdicts(snapped(spark, sf_dir)).select("branch_id", "seq", "code")
+
+
 @query(_STATE)
 def replay_state(spark, sf_dir):
     return replay.active(judged(spark, sf_dir))
@@ -405,10 +457,11 @@ def state_invariants(spark, sf_dir):
     return ids("fact_ids").join(ids("tombstone_ids"), ["branch_id", "id"], "left_semi")
 
 
-@query(f"WITH {JOURNAL}, s AS (SELECT branch_id, max(seq) AS snap FROM j WHERE seq % 40 = 0 GROUP BY branch_id) SELECT branch_id, count(*) AS n_events, min(seq) AS first_seq FROM j LEFT JOIN s USING (branch_id) WHERE seq >= coalesce(snap, seq) GROUP BY branch_id")
+@query(f"WITH {_SNAPPED}, s AS (SELECT branch_id, max(seq) AS snap FROM js WHERE op = 'snapshot' AND seq % 2 = 0 GROUP BY branch_id) SELECT branch_id, count(*) AS n_events, min(seq) AS first_seq FROM js LEFT JOIN s USING (branch_id) WHERE seq >= coalesce(snap, seq) GROUP BY branch_id")
 def snapshot_prune(spark, sf_dir):
-    rows = fixtures.journal(fixtures.table(spark, sf_dir, "events"))
-    return replay.from_last_snapshot(rows, F.col("seq") % 40 == 0).groupBy("branch_id").agg(F.count("*").alias("n_events"), F.min("seq").alias("first_seq"))
+    """Events from the latest snapshot that holds."""
+    rows = replay.from_last_snapshot(snapped(spark, sf_dir), (F.col("op") == "snapshot") & replay.holds_snapshot("snapshot", "at"))
+    return rows.groupBy("branch_id").agg(F.count("*").alias("n_events"), F.min("seq").alias("first_seq"))
 
 
 @query(f"WITH {JOURNAL}, g AS (SELECT *, sum(CASE WHEN seq % 40 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY branch_id ORDER BY seq) AS era FROM j) SELECT branch_id, seq, CAST(sum(CASE WHEN op <> 'revoke' AND seq % 40 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY branch_id, era ORDER BY seq) AS BIGINT) AS mutations FROM g")
@@ -638,18 +691,18 @@ def config_layers(spark, sf_dir):
     return config.layered(rows)
 
 
-DOTENV = "# note\nA=1\nexport B = two words # tail\nC='x # y'\nD=\"a\\nb \\\"q\\\"\"\nE=\nF=\"open\nA=2\n  # G=3\nH=a#b\n"
+DOTENV = "# note\nA=1\nexport B = two words # tail\nC='x # y'\nD=\"a\\nb \\\"q\\\"\"\nE=\nF=\"open\nA=2\n  # G=3\nH=a#b\nI=\"x\\ty\\rz\"\n"
 
 
-@query("SELECT * FROM (VALUES ('.env', 'A', '2'), ('.env', 'B', 'two words'), ('.env', 'C', 'x # y'), ('.env', 'D', 'a' || chr(10) || 'b \"q\"'), ('.env', 'E', ''), ('.env', 'H', 'a#b')) t(file, key, value)")
+@query("SELECT * FROM (VALUES ('.env', 'A', '2'), ('.env', 'B', 'two words'), ('.env', 'C', 'x # y'), ('.env', 'D', 'a' || chr(10) || 'b \"q\"'), ('.env', 'E', ''), ('.env', 'H', 'a#b'), ('.env', 'I', 'x' || chr(9) || 'y' || chr(13) || 'z')) t(file, key, value)")
 def dotenv_parse(spark, sf_dir):
     return config.dotenv(spark.createDataFrame([(".env", DOTENV)], "file string, content string"))
 
 
-@query("SELECT 's_' || conv_id AS id FROM conversations WHERE turn % 2 = 0 UNION SELECT 's_' || conv_id FROM conversations WHERE conv_id % 2 = 0")
+@query("SELECT 's_' || conv_id AS id FROM conversations WHERE role = 'assistant' UNION SELECT 's_' || conv_id FROM conversations WHERE role <> 'assistant'")
 def set_union_distinct(spark, sf_dir):
     rows = fixtures.table(spark, sf_dir, "conversations").withColumn("id", F.concat(F.lit("s_"), F.col("conv_id").cast("string")))
-    return rows.where("turn % 2 = 0").select("id").union(rows.where("conv_id % 2 = 0").select("id")).distinct()
+    return rows.where("role = 'assistant'").select("id").union(rows.where("role != 'assistant'").select("id")).distinct()
 
 
 @query("SELECT branch_id, seq, 'cf_' || left(sha256(branch_id || '#' || seq), 32) AS id FROM (SELECT 'u_' || user_id AS branch_id, event_id AS seq FROM events)")
@@ -679,13 +732,13 @@ def page_offsets(spark, sf_dir):
     return rows.select("event_id", *(v.alias(k) for k, v in out.items()))
 
 
-@query("""WITH s AS (SELECT 'k' || (event_id % 50) AS key, arg_max('v' || event_id, event_id) AS value FROM events WHERE event_id % 50 NOT IN (1, 4) GROUP BY 1),
-w AS (SELECT * FROM (VALUES ('evaluator', 'k1', 0), ('evaluator', 'k2', 1), ('replay', 'k3', 0), ('replay', 'k1', 1), ('arbiter', 'k4', 0), ('arbiter', 'k1', 1)) t(role, key, k))
+@query("""WITH s AS (SELECT 'k' || (event_id % 50) AS key, arg_max('v' || event_id, event_id) AS value FROM events GROUP BY 1),
+w AS (SELECT * FROM (VALUES ('evaluator', 'unset', 0), ('evaluator', 'k2', 1), ('replay', 'k3', 0), ('replay', 'unset', 1), ('arbiter', 'absent', 0), ('arbiter', 'unset', 1)) t(role, key, k))
 SELECT role, arg_min(key, k) AS key, arg_min(value, k) AS value, '.env' AS source FROM w JOIN s USING (key) GROUP BY role""")
 def config_status(spark, sf_dir):
     n = F.col("event_id")
-    rows = fixtures.table(spark, sf_dir, "events").where(~(n % 50).isin(1, 4)).select(F.concat(F.lit("k"), (n % 50).cast("string")).alias("key"), F.concat(F.lit("v"), n.cast("string")).alias("value"), n.alias("layer"), F.lit(".env").alias("source"))
-    return reports.settings_in_force(config.layered(rows), [("evaluator", ["k1", "k2"]), ("replay", ["k3", "k1"]), ("arbiter", ["k4", "k1"])])
+    rows = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("k"), (n % 50).cast("string")).alias("key"), F.concat(F.lit("v"), n.cast("string")).alias("value"), n.alias("layer"), F.lit(".env").alias("source"))
+    return reports.settings_in_force(config.layered(rows), [("evaluator", ["unset", "k2"]), ("replay", ["k3", "unset"]), ("arbiter", ["absent", "unset"])])
 
 
 @query("SELECT event_id, event_id % 5 > 0 AND event_id % 7 > 0 AS valid FROM events")
@@ -718,12 +771,3 @@ def text_truncate(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 1000).alias("text"))
 
 
-@query("""SELECT 'u_' || user_id AS branch_id, event_id AS seq, CASE WHEN event_id % 6 > 3 THEN 'future' WHEN event_id % 6 = 0 THEN 'invalid' WHEN event_id % 17 = 0 THEN 'invalid' ELSE CASE event_id % 6 WHEN 1 THEN 'v1' WHEN 2 THEN 'v2b' ELSE 'v3' END END AS kind,
-  event_id % 6 BETWEEN 1 AND 3 AND event_id % 17 > 0 AS accepted FROM events""")
-def journal_generations(spark, sf_dir):
-    """Revokes of several schema versions through the raw-journal fold; each names a fact of its own."""
-    n = F.col("event_id")
-    id_ = F.when(n % 17 == 0, "bad id").otherwise(F.concat(F.lit("cf_e"), n.cast("string")))
-    data = F.concat(F.lit('{"version":'), (n % 6).cast("string"), F.lit(',"op":"revoke","id":"'), id_, F.lit('","at":'), (n + 1).cast("string"), F.lit("}"))
-    rows = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("branch_id"), n.alias("seq"), F.lit(legacy.EVENT_ENTRY).alias("entry_type"), data.alias("data"))
-    return legacy.outcomes(rows).select("branch_id", "seq", "kind", "accepted")

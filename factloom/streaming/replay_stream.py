@@ -11,29 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.replay import VERDICTS, Branch, active, fact_of
+from ..operators.replay import VERDICTS, Branch, active, words_of
 from ..plans import fixtures
 from ..sources.shared import shared_path
 
 
 def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Verdicts of one branch's new events, in sequence order."""
+    """Verdicts on one branch's new events, in sequence order."""
     kept = json.loads(state.get[0]) if state.exists else {"facts": {}, "tombs": {}, "mutations": 0}
     branch = Branch(kept["facts"], kept["tombs"], kept["mutations"])
     rows = pd.concat(batches).sort_values("seq", kind="stable")
     out = []
     for row in rows.to_dict("records"):
-        row |= {k: int(row[k]) for k in ("seq", "revision", "updated_at", "at")}
-        code = branch.apply(row["op"], row["id"], fact_of(row) if row["op"] in ("add", "supersede") else None, row["at"])
-        ok, tomb = code.startswith("ok"), branch.tombs.get(row["id"])
-        out.append((key[0], row["seq"], row["op"], row["id"], row["text"], row["revision"], row["updated_at"], row["at"], code, ok, tomb[0] if ok and row["op"] == "revoke" else None, branch.mutations))
+        # pandas turns whole numbers beside nulls into floats
+        row |= {k: None if pd.isna(row[k]) else int(row[k]) for k in ("seq", "revision", "updated_at", "at")}
+        row |= {k: None if pd.isna(row[k]) else row[k] for k in ("text", "snapshot") if k in row}
+        out += words_of(key[0], branch, row)
     state.update((json.dumps({"facts": branch.facts, "tombs": branch.tombs, "mutations": branch.mutations}),))
     frame = pd.DataFrame(out, columns=[c.split()[0] for c in VERDICTS.split(", ")])
-    yield frame.astype({"tomb_revision": "Int32"}) if out else frame
+    yield frame.astype({"revision": "Int32", "updated_at": "Int64", "tomb_revision": "Int32"}) if out else frame
 
 
-def verdicts(journal: DataFrame) -> DataFrame:
-    """Streaming journal to streaming verdicts.
+def words(journal: DataFrame) -> DataFrame:
+    """Streaming journal to streaming verdicts and snapshot contents.
 
     No watermark: late events are judged by revision and time, and tombstones
     stay for good.
@@ -41,7 +41,7 @@ def verdicts(journal: DataFrame) -> DataFrame:
     return journal.groupBy("branch_id").applyInPandasWithState(judge, VERDICTS, "state string", "append", "NoTimeout")
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state(spark: SparkSession, sf_dir: str, journal=fixtures.journal) -> DataFrame:
     """Current facts after the events table has run through the stream."""
     table = fixtures.table(spark, sf_dir, "events")
     reader = spark.readStream.schema(table.schema).format("parquet")
@@ -49,6 +49,6 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads folders: a table of one file is found in its folder by name
     events = reader.option("pathGlobFilter", "events.parquet").load(sf_dir) if single else reader.load(f"{sf_dir}/events.parquet")
     out = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
-    run = verdicts(fixtures.journal(events)).writeStream.format("parquet").option("path", f"{out}/verdicts").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    run = words(journal(events)).writeStream.format("parquet").option("path", f"{out}/verdicts").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return active(spark.read.parquet(f"{out}/verdicts"))
