@@ -307,8 +307,11 @@ texts AS (
     || CASE WHEN k > 0 THEN chr(10) || chr(10) || {q(C.OMITTED_HEADING)} || chr(10) || array_to_string(s.om[1 : k], chr(10)) ELSE '' END
     || chr(10) || {q(C.COMPACTION_FOOTER)} AS text
   FROM (SELECT *, unnest(range(0, len(s.om) + 1)) AS k FROM step))
-SELECT branch_id, n_facts, n_full, n_preview, n_listed, text, {UNITS('text')} AS total_chars FROM texts WHERE {UNITS('text')} <= {C.COMPACTION_BUDGET}
-QUALIFY row_number() OVER (PARTITION BY branch_id ORDER BY n_listed DESC) = 1"""
+fitting AS (
+  SELECT branch_id, n_facts, n_full, n_preview, n_listed, text FROM texts WHERE {UNITS('text')} <= {C.COMPACTION_BUDGET}
+  UNION ALL SELECT branch_id, n_facts, n_full, n_preview, -1, {q(C.COMPACTION_FALLBACKS[0])} FROM texts WHERE n_listed = 0)
+SELECT branch_id, n_facts, n_full, n_preview, greatest(n_listed, 0) AS n_listed, text, {UNITS('text')} AS total_chars FROM fitting
+QUALIFY row_number() OVER (PARTITION BY branch_id ORDER BY fitting.n_listed DESC) = 1"""
 
 
 @query(_COMPACT)
