@@ -306,7 +306,7 @@ texts AS (
     || CASE WHEN len(s.prev) > 0 THEN chr(10) || chr(10) || {q(C.PREVIEW_HEADING)} || chr(10) || array_to_string(s.prev, chr(10)) ELSE '' END
     || CASE WHEN k > 0 THEN chr(10) || chr(10) || {q(C.OMITTED_HEADING)} || chr(10) || array_to_string(s.om[1 : k], chr(10)) ELSE '' END
     || chr(10) || {q(C.COMPACTION_FOOTER)} AS text
-  FROM (SELECT *, unnest(range(0, len(s.om) + 1)) AS k FROM step))
+  FROM (SELECT *, unnest(range(0, len(s.om) + 1)) AS k FROM step)),
 fitting AS (
   SELECT branch_id, n_facts, n_full, n_preview, n_listed, text FROM texts WHERE {UNITS('text')} <= {C.COMPACTION_BUDGET}
   UNION ALL SELECT branch_id, n_facts, n_full, n_preview, -1, {q(C.COMPACTION_FALLBACKS[0])} FROM texts WHERE n_listed = 0)
