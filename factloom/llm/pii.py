@@ -292,18 +292,17 @@ def pseudonym(kind: Column, value: Column, key: str) -> Column:
 
 def pieces(value: Column) -> Column:
     """The kind and text of the parts of a match, in order; only groups of digits have several."""
-    one = F.array(F.struct(kind_of(value).alias("kind"), value.alias("value")))
-    run = value.rlike(r"^[0-9]+(?:[ -][0-9]+)*$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 13)
-    # what has the form of an IBAN and is none may hold a card after its first letters
-    rest = F.regexp_replace(value, "^[A-Z]{2}[0-9]{2} ", "")
-    after = value.rlike(r"^[A-Z]{2}[0-9]{2} [0-9]+(?: [0-9]+)*$") & (kind_of(value) == "none")
-    head = F.array(F.struct(F.lit("none").alias("kind"), F.substring(value, 1, 5).alias("value")))
+    return _let(kind_of(value), lambda kind: _pieces(value, kind))
+
+
+def _pieces(value: Column, kind: Column) -> Column:
     # dates and tokens are of digits and dashes too
-    return (
-        F.when(run & kind_of(value).isin("card", "none"), _let(F.split(value, "[ -]"), lambda g: _card_pieces(value, g)))
-        .when(after, F.concat(head, _let(F.split(rest, " "), lambda g: _card_pieces(rest, g))))
-        .otherwise(one)
-    )
+    run = value.rlike(r"^[0-9]+(?:[ -][0-9]+)*$") & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 13) & kind.isin("card", "none")
+    # what has the form of an IBAN and is none may hold a card after its first letters
+    after = value.rlike(r"^[A-Z]{2}[0-9]{2} [0-9]+(?: [0-9]+)*$") & (kind == "none")
+    head = F.when(after, F.array(F.struct(F.lit("none").alias("kind"), F.substring(value, 1, 5).alias("value")))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
+    groups = _let(F.when(after, F.substring(value, F.lit(6), F.length(value))).otherwise(value), lambda x: _let(F.split(x, "[ -]"), lambda g: _card_pieces(x, g)))
+    return F.when(run | after, F.concat(head, groups)).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
 
 
 def _card_pieces(value: Column, groups: Column) -> Column:
