@@ -72,6 +72,11 @@ def valid_reason(reason: Column) -> Column:
     return reason.isNull() | ((utf16_length(reason) <= C.MAX_REASON_CHARS) & (reason == normalise(reason)))
 
 
+def reason(raw: Column) -> Column:
+    """A reason as it is stored; a blank one is none. Whether it is too long, ``valid_reason`` tells."""
+    return F.nullif(normalise(raw), F.lit(""))
+
+
 def valid_fact(f: str = "") -> Column:
     c = lambda x: F.col(f + x)
     whole = lambda x: F.coalesce(x, F.lit(False))

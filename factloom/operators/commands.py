@@ -79,6 +79,8 @@ class Desk:
         text = normalise(c["text"]) if c["text"] is not None else old["text"]
         if not text or units(text) > C.MAX_FACT_CHARS:
             return "bad-text", c["id"], None
+        if type_ not in C.FACT_TYPES:
+            return "bad-type", c["id"], None
         hot, priority, explicit = resolve(type_, c["priority"], c["hot"], old)
         fact = old | {"type": type_, "text": text, "hot": hot, "priority": priority, "priority_explicit": explicit}
         if all(fact[k] == old[k] for k in PAYLOAD):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
@@ -59,3 +59,47 @@ def previous(sessions: DataFrame) -> DataFrame:
     order = Window.partitionBy("cwd").orderBy("modified", "id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("n_messages") > 0, F.col("id")), ignorenulls=True).over(order)
     return sessions.select("id", "cwd", last.alias("previous"))
+
+
+def link(value: Column, folder: Column) -> Column:
+    """Absolute path of a session link, read from ``folder`` if it is relative."""
+    parts = F.split(F.when(value.startswith("/"), value).otherwise(F.concat_ws("/", folder, value)), "/")
+    kept = F.aggregate(
+        F.filter(parts, lambda x: ~x.isin("", ".")),
+        F.expr("cast(array() as array<string>)"),
+        lambda found, x: F.when(x == "..", F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(F.array_append(found, x)),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def comparisons(sessions: DataFrame, targets: list[str], cwd: str, folder: str, current: str | None = None) -> DataFrame:
+    """target, path, how: the session each target names, for a user working in ``cwd``.
+
+    ``sessions``: path, cwd, modified, n_messages, all in ``folder``.  A target
+    is the word previous (the newest other session of the same folder with
+    messages), a file, or a part of a file's name (the first by name).  ``how``
+    is previous, path or match, or tells why there is none: missing,
+    other-folder, no-messages.  Targets are what a user typed, so they travel
+    as literals and every session is looked at once.
+    """
+    spark = sessions.sparkSession
+    name = F.substring_index("path", "/", -1)
+    state = F.when(~F.col("cwd").eqNullSafe(cwd), "other-folder").when(F.coalesce("n_messages", F.lit(0)) == 0, "no-messages").otherwise("ok")
+    rows = sessions.withColumns({"name": name, "state": state})
+    asked = F.explode(F.array(*(F.struct(F.lit(x).alias("target"), (F.lit(x) if x.endswith(".jsonl") else F.lit(f"{folder}/{x}")).alias("file")) for x in dict.fromkeys(targets))))
+    rows = rows.select("path", "name", "state", "modified", asked.alias("t")).withColumn("file", link(F.col("t.file"), F.lit(cwd)))
+    newest = F.lower("t.target") == "previous"
+    rank = (
+        F.when(newest, F.when((F.col("state") == "ok") & ~F.col("path").eqNullSafe(F.lit(current)), 1))
+        .when((F.col("path") == F.col("file")), F.when(F.col("state") == "ok", 2).otherwise(4))
+        .when(F.col("name").endswith(".jsonl") & F.contains("name", F.col("t.target")), 3)
+    )
+    # a match that fails its own checks stands before the file that failed
+    rows = rows.withColumn("rank", rank).where("rank is not null")
+    matches = rows.where((F.col("rank") == 4) & F.contains("name", F.col("t.target"))).withColumn("rank", F.lit(3))
+    rows = rows.unionByName(matches)
+    order = F.struct("rank", F.when(F.col("rank") == 1, -F.col("modified")), "name", "path")
+    best = rows.groupBy("t.target").agg(F.min_by(F.struct("path", "state", "rank"), order).alias("b")).select("target", "b.*")
+    how = F.when(F.col("state") != "ok", F.col("state")).when(F.col("rank") == 1, "previous").when(F.col("rank") == 2, "path").otherwise("match")
+    wanted = spark.createDataFrame([(x,) for x in dict.fromkeys(targets)], "target string")
+    return wanted.join(best.select("target", F.when(F.col("state") == "ok", F.col("path")).alias("path"), how.alias("how")), "target", "left").select("target", "path", F.coalesce("how", F.lit("missing")).alias("how"))

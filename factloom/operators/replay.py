@@ -257,8 +257,40 @@ def since_snapshot(journal: DataFrame, is_snapshot, counts) -> DataFrame:
     return rows.withColumn("mutations", F.sum(F.when(counts & ~is_snapshot, 1).otherwise(0)).over(run))
 
 
+class AutoSnapshot(Replay):
+    """A snapshot event after every ``every`` mutations that counted since the last one."""
+
+    def __init__(self, branch, every: int):
+        super().__init__(branch)
+        self.every = every
+
+    def add(self, row) -> list:
+        super().add(row)
+        if self.state.mutations < self.every:
+            return []
+        snap = self.state.to_snapshot(row["at"])
+        if not valid_snapshot(snap, snap["at"]):
+            return []  # a state beyond the limits has no snapshot that would replay
+        self.state.mutations = 0
+        return [(self.branch, row["seq"], snap["at"], len(snap["facts"]), len(snap["revoked"]), json.dumps(snap, sort_keys=True, ensure_ascii=False))]
+
+
+def auto_snapshots(journal: DataFrame, every: int = C.SNAPSHOT_EVERY) -> DataFrame:
+    """The snapshots a writer adds to its journal; each belongs right after the event ``seq``."""
+    return fold(journal, "branch_id", ["seq"], lambda branch: AutoSnapshot(branch, every), "branch_id string, seq long, at long, n_facts long, n_tombstones long, snapshot string")
+
+
+def tombstone_order(tombs: DataFrame) -> DataFrame:
+    """Tombstones of each branch numbered as snapshots list them: latest first, then by id."""
+    return tombs.withColumn("place", F.row_number().over(Window.partitionBy("branch_id").orderBy(F.col("at").desc(), "id")).cast("long"))
+
+
 class Compaction(Replay):
-    """The branch's state as one snapshot event."""
+    """The branch's state as one snapshot event, and whether writing it has a point.
+
+    ``action`` is empty (nothing stored), current (no mutation since the last
+    snapshot) or written.
+    """
 
     def add(self, row) -> list:
         super().add(row)
@@ -267,8 +299,9 @@ class Compaction(Replay):
 
     def finish(self) -> list:
         snap = self.state.to_snapshot(self.last)
-        return [(self.branch, snap["at"], len(snap["facts"]), len(snap["revoked"]), ",".join(f["id"] for f in snap["facts"]), ",".join(sorted(snap["revoked"])), json.dumps(snap, sort_keys=True, ensure_ascii=False), len(self.state.check()))]
+        action = "empty" if not (snap["facts"] or snap["revoked"]) else "written" if self.state.mutations else "current"
+        return [(self.branch, snap["at"], len(snap["facts"]), len(snap["revoked"]), ",".join(f["id"] for f in snap["facts"]), ",".join(sorted(snap["revoked"])), json.dumps(snap, sort_keys=True, ensure_ascii=False), len(self.state.check()), action)]
 
 
 def compacted(journal: DataFrame) -> DataFrame:
-    return fold(journal, "branch_id", ["seq"], Compaction, "branch_id string, at long, n_facts long, n_tombstones long, fact_ids string, tombstone_ids string, snapshot string, broken long")
+    return fold(journal, "branch_id", ["seq"], Compaction, "branch_id string, at long, n_facts long, n_tombstones long, fact_ids string, tombstone_ids string, snapshot string, broken long, action string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -59,6 +59,26 @@ def snapshot_journal(events: DataFrame) -> DataFrame:
     return rows.select("branch_id", "seq", blank("op", "snapshot"), blank("id", ""), blank("text", None), blank("revision", None), "at", blank("updated_at", None), F.when(snap, text).alias("snapshot"))
 
 
+def commands(events: DataFrame) -> DataFrame:
+    """Write commands of each user: adds, and revisions and revocations of what one to three events before made."""
+    n = F.col("event_id")
+    branch, k = F.concat(F.lit("u_"), F.col("user_id").cast("string")), F.get_json_object("props", "$.k").cast("long")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    before = F.when(n % 3 == 0, F.lag(n, 1).over(order)).when(n % 3 == 1, F.lag(n, 2).over(order)).otherwise(F.lag(n, 3).over(order))
+    name = F.when(n % 29 == 0, "merge").when(n % 5 == 0, "revise").when(n % 10 == 1, "forget").otherwise("add")
+    made = F.concat(F.lit("cf_"), F.left(F.sha2(F.concat(branch, F.lit("#"), before.cast("string")), 256), F.lit(32)))
+    type_ = F.when(n % 11 == 0, "rumour").otherwise(F.element_at(F.array(*map(F.lit, C.FACT_TYPES)), (n % 4 + 1).cast("int")))
+    text = F.when(n % 37 == 0, F.repeat(F.lit("y"), 2001)).otherwise(F.concat(F.lit("v"), ((k * 7 + n) % 40).cast("string"), F.lit(" "), F.repeat(F.lit("x"), 600)))
+    return events.select(
+        branch.alias("branch_id"), n.alias("seq"), name.alias("command"),
+        F.when(name == "add", None).when(n % 17 == 0, "bad id").otherwise(made).alias("id"),
+        F.when((name != "revise") | (n % 2 == 0), type_).alias("type"),
+        F.when((n % 13 != 0) & ((name != "revise") | (n % 10 != 5)), text).alias("text"),
+        F.when(n % 3 == 0, n % 101).cast("int").alias("priority"), F.when(n % 4 < 2, n % 4 == 1).alias("hot"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"),

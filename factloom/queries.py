@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .api import Engine
 from .functions import rules as R
 from .functions import text as T
-from .operators import audit, evaluate, legacy, lineage, pack, replay, reports, transcript
+from .operators import audit, commands, evaluate, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
 from .plans import fixtures
-from .sources import config
+from .sources import config, journal
 from .streaming import replay_stream
 
 QUERIES: dict = {}
@@ -446,10 +447,10 @@ def replay_stream_state(spark, sf_dir):
     return replay_stream.state(spark, sf_dir)
 
 
-@query(f"{_FOLD} SELECT branch_id, len(s.facts) AS n_facts, len(s.tombs) AS n_tombstones, array_to_string(list_sort(list_transform(s.tombs, lambda t: t.id)), ',') AS tombstone_ids, 0 AS broken FROM f")
+@query(f"{_FOLD} SELECT branch_id, len(s.facts) AS n_facts, len(s.tombs) AS n_tombstones, array_to_string(list_sort(list_transform(s.tombs, lambda t: t.id)), ',') AS tombstone_ids, 0 AS broken, es[len(es)].\"at\" AS \"at\", CASE WHEN len(s.facts) + len(s.tombs) = 0 THEN 'empty' WHEN len(list_filter(s.log, lambda t: starts_with(t.code, 'ok'))) = 0 THEN 'current' ELSE 'written' END AS action FROM f")
 def journal_compact(spark, sf_dir):
     out = replay.compacted(fixtures.journal(fixtures.table(spark, sf_dir, "events")))
-    return out.select("branch_id", "n_facts", "n_tombstones", "tombstone_ids", "broken")
+    return out.select("branch_id", "n_facts", "n_tombstones", "tombstone_ids", "broken", "at", "action")
 
 
 @query(f"{_FOLD} SELECT branch_id, id FROM (SELECT branch_id, unnest(s.facts).id AS id FROM f INTERSECT SELECT branch_id, unnest(s.tombs).id AS id FROM f)")
@@ -774,3 +775,274 @@ def text_truncate(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 1000).alias("text"))
 
 
+
+# writing
+
+_SHA = lambda branch, seq: f"('cf_' || left(sha256({branch} || '#' || {seq}), 32))"
+_KNOWN = "('finding', 'decision', 'approved_spec', 'milestone')"
+_DESK = f"""WITH d0 AS (SELECT 'u_' || user_id AS branch_id, event_id AS n, CAST(json_extract(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS at_ FROM events),
+d1 AS (
+  SELECT *, CASE n % 3 WHEN 0 THEN lag(n, 1) OVER w WHEN 1 THEN lag(n, 2) OVER w ELSE lag(n, 3) OVER w END AS before,
+    CASE WHEN n % 29 = 0 THEN 'merge' WHEN n % 5 = 0 THEN 'revise' WHEN n % 10 = 1 THEN 'forget' ELSE 'add' END AS cmd FROM d0 WINDOW w AS (PARTITION BY branch_id ORDER BY n)),
+d2 AS (
+  SELECT branch_id, n, cmd, at_, CASE WHEN cmd = 'add' THEN {_SHA('branch_id', 'n')} WHEN n % 17 = 0 THEN 'bad id' ELSE {_SHA('branch_id', 'before')} END AS id,
+    CASE WHEN cmd <> 'revise' OR n % 2 = 0 THEN CASE WHEN n % 11 = 0 THEN 'rumour' ELSE CASE n % 4 WHEN 0 THEN 'finding' WHEN 1 THEN 'decision' WHEN 2 THEN 'approved_spec' ELSE 'milestone' END END END AS type,
+    CASE WHEN n % 13 <> 0 AND (cmd <> 'revise' OR n % 10 <> 5) THEN CASE WHEN n % 37 = 0 THEN repeat('y', 2001) ELSE 'v' || ((k * 7 + n) % 40) || ' ' || repeat('x', 600) END END AS text,
+    CASE WHEN n % 3 = 0 THEN n % 101 END AS want, CASE WHEN n % 4 < 2 THEN n % 4 = 1 END AS hot FROM d1),
+dl AS (
+  SELECT branch_id, list({{'seq': n, 'cmd': cmd, 'id': id, 'type': type, 'text': text, 'want': want::BIGINT, 'hot': hot, 'at': at_,
+    'facts': []::STRUCT(id VARCHAR, type VARCHAR, text VARCHAR, hot BOOLEAN, pri BIGINT, ex BOOLEAN, rev BIGINT)[],
+    'log': []::STRUCT(seq BIGINT, cmd VARCHAR, id VARCHAR, code VARCHAR, n_facts BIGINT, n_chars BIGINT, op VARCHAR, rev BIGINT, pri BIGINT)[]}} ORDER BY n) AS es FROM d2 GROUP BY branch_id),
+df AS (
+  SELECT branch_id, list_reduce(es, lambda a, x: list_transform(list_transform(list_transform(list_transform(
+    [list_filter(a.facts, lambda t: t.id = x.id)],
+    lambda found: {{'o': found[1], 'type': coalesce(x.type, found[1].type), 'text': coalesce(x.text, found[1].text), 'hot': coalesce(x.hot, found[1].hot, FALSE), 'chars': CAST(coalesce(list_sum(list_transform(a.facts, lambda t: length(t.text))), 0) AS BIGINT)}}),
+    lambda n: {{'n': n,
+      'pri': CASE WHEN x.want IS NOT NULL THEN x.want WHEN n.o.id IS NULL THEN CASE WHEN n.hot THEN 80 ELSE {PRIORITY('n.type')} END WHEN n.o.ex THEN n.o.pri
+        WHEN n.hot AND NOT n.o.hot AND n.o.pri < 80 THEN 80 WHEN NOT n.hot AND n.o.hot AND n.o.pri = 80 THEN {PRIORITY('n.type')}
+        WHEN n.type <> n.o.type AND n.o.pri = {PRIORITY('n.o.type')} THEN {PRIORITY('n.type')} ELSE n.o.pri END,
+      'ex': x.want IS NOT NULL OR coalesce(n.o.ex, FALSE)}}),
+    lambda m: {{'m': m, 'code': CASE WHEN x.cmd = 'merge' THEN 'bad-command'
+      WHEN x.cmd = 'add' THEN CASE WHEN x.text IS NULL OR length(x.text) > 2000 THEN 'bad-text' WHEN x.type NOT IN {_KNOWN} THEN 'bad-type'
+        WHEN len(list_filter(a.facts, lambda t: t.type = x.type AND t.text = x.text)) > 0 THEN 'duplicate'
+        WHEN len(a.facts) >= {C.MAX_FACTS} OR m.n.chars + length(x.text) > {C.MAX_TOTAL_CHARS} THEN 'full' ELSE 'ok' END
+      WHEN x.id IS NULL OR x.id = 'bad id' THEN 'bad-id' WHEN m.n.o.id IS NULL THEN 'missing' WHEN x.cmd = 'forget' THEN 'ok'
+      WHEN length(m.n.text) > 2000 THEN 'bad-text' WHEN m.n.type NOT IN {_KNOWN} THEN 'bad-type'
+      WHEN m.n.type = m.n.o.type AND m.n.text = m.n.o.text AND m.n.hot = m.n.o.hot AND m.pri = m.n.o.pri AND m.ex = m.n.o.ex THEN 'unchanged'
+      WHEN m.n.chars - length(m.n.o.text) + length(m.n.text) > {C.MAX_TOTAL_CHARS} THEN 'full'
+      WHEN len(list_filter(a.facts, lambda t: t.id <> x.id AND t.type = m.n.type AND t.text = m.n.text)) > 0 THEN 'duplicate' ELSE 'ok' END}}),
+    lambda c: {{'seq': x.seq, 'cmd': x.cmd, 'id': x.id, 'type': x.type, 'text': x.text, 'want': x.want, 'hot': x.hot, 'at': x."at",
+      'facts': CASE WHEN c.code <> 'ok' THEN a.facts WHEN x.cmd = 'forget' THEN list_filter(a.facts, lambda t: t.id <> x.id)
+        ELSE list_append(list_filter(a.facts, lambda t: t.id <> x.id), {{'id': x.id, 'type': c.m.n.type, 'text': c.m.n.text, 'hot': c.m.n.hot, 'pri': c.m.pri, 'ex': c.m.ex, 'rev': coalesce(c.m.n.o.rev, 0) + 1}}) END,
+      'log': list_append(a.log, {{'seq': x.seq, 'cmd': x.cmd, 'code': c.code,
+        'id': CASE WHEN c.code IN ('bad-command', 'bad-id') OR (x.cmd = 'add' AND c.code NOT IN ('ok', 'duplicate')) THEN NULL
+          WHEN x.cmd = 'add' AND c.code = 'duplicate' THEN list_filter(a.facts, lambda t: t.type = x.type AND t.text = x.text)[1].id ELSE x.id END,
+        'n_facts': len(a.facts) + CASE WHEN c.code <> 'ok' OR x.cmd = 'revise' THEN 0 WHEN x.cmd = 'forget' THEN -1 ELSE 1 END,
+        'n_chars': c.m.n.chars + CASE WHEN c.code <> 'ok' THEN 0 ELSE CASE WHEN x.cmd = 'forget' THEN 0 ELSE length(c.m.n.text) END - coalesce(length(c.m.n.o.text), 0) END,
+        'op': CASE WHEN c.code = 'ok' THEN CASE x.cmd WHEN 'add' THEN 'add' WHEN 'forget' THEN 'revoke' ELSE 'supersede' END END,
+        'rev': CASE WHEN c.code = 'ok' AND x.cmd <> 'forget' THEN coalesce(c.m.n.o.rev, 0) + 1 END, 'pri': CASE WHEN c.code = 'ok' AND x.cmd <> 'forget' THEN c.m.pri END}})}})[1], es[1]) AS s FROM dl),
+wrote AS (SELECT branch_id, u.seq AS seq, u.cmd AS command, u.id AS id, u.code AS outcome, u.n_facts AS n_facts, u.n_chars AS n_chars, u.op AS op, u.rev AS revision, u.pri AS priority FROM (SELECT branch_id, unnest(s.log) AS u FROM df))"""
+
+
+def written(spark, sf_dir):
+    rows = commands.outcomes(fixtures.commands(fixtures.table(spark, sf_dir, "events")))
+    said = lambda path: F.get_json_object("event", path)
+    return rows.select("branch_id", "seq", "command", "id", "outcome", "n_facts", "n_chars", said("$.op").alias("op"), said("$.fact.revision").cast("long").alias("revision"), said("$.fact.priority").cast("long").alias("priority"))
+
+
+@query(f"{_DESK} SELECT * FROM wrote")
+def write_outcomes(spark, sf_dir):
+    """What becomes of each add, revise and forget command, and the event it makes."""
+    return written(spark, sf_dir)
+
+
+@query(f"{_DESK} SELECT branch_id, seq FROM (SELECT *, n_facts >= {C.WARN_FACTS} OR n_chars >= {C.WARN_CHARS} AS near, lag(n_facts >= {C.WARN_FACTS} OR n_chars >= {C.WARN_CHARS}, 1, FALSE) OVER (PARTITION BY branch_id ORDER BY seq) AS before FROM wrote) WHERE near AND NOT before")
+def near_limit_notices(spark, sf_dir):
+    return notices.near_limit_notices(written(spark, sf_dir))
+
+
+_SNAP_AFTER = 8
+
+
+@query(f"""{_FOLD}, l AS (SELECT branch_id, u.seq AS seq, u.code AS code FROM (SELECT branch_id, unnest(s.log) AS u FROM f) WHERE starts_with(u.code, 'ok')),
+n AS (SELECT branch_id, seq, "at", row_number() OVER w AS place, CAST(sum(CASE WHEN code <> 'ok' THEN 0 WHEN op = 'add' THEN 1 WHEN op = 'revoke' THEN -1 ELSE 0 END) OVER w AS BIGINT) AS n_facts,
+  CAST(sum(CASE WHEN op = 'revoke' AND code <> 'ok-later' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_tombstones FROM l JOIN j USING (branch_id, seq) WINDOW w AS (PARTITION BY branch_id ORDER BY seq))
+SELECT branch_id, seq, "at", n_facts, n_tombstones FROM n WHERE place % {_SNAP_AFTER} = 0""")
+def auto_snapshot(spark, sf_dir):
+    """Snapshots after every eighth mutation, for the branches here are short."""
+    return replay.auto_snapshots(fixtures.journal(fixtures.table(spark, sf_dir, "events")), _SNAP_AFTER).drop("snapshot")
+
+
+@query(_swap(f"""{_FOLD}, a AS (SELECT branch_id, len(s.facts) + len(s.tombs) AS n, list_filter(s.log, lambda t: starts_with(t.code, 'ok')) AS good FROM f)
+SELECT branch_id, CASE WHEN n = 0 THEN 'empty' WHEN len(good) = 0 OR good[len(good)].seq % 31 = 7 THEN 'current' ELSE 'written' END AS action FROM a"""))
+def journal_compact_action(spark, sf_dir):
+    """Whether writing a snapshot by hand has a point, over a journal that has snapshots."""
+    return replay.compacted(snapped(spark, sf_dir)).select("branch_id", "action")
+
+
+@query(f"WITH t AS ({_TOMBS}) SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY \"at\" DESC, id) AS place FROM t")
+def tombstone_order(spark, sf_dir):
+    return replay.tombstone_order(replay.tombstones(judged(spark, sf_dir)))
+
+
+@query(f"{_FOLD}, c AS (SELECT branch_id, u.seq AS seq, u.code AS code FROM (SELECT branch_id, unnest(s.log) AS u FROM f) WHERE NOT starts_with(u.code, 'ok')), n AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY seq) AS place, count(*) OVER (PARTITION BY branch_id) AS n FROM c) SELECT branch_id, any_value(n) || ' warning(s).' || chr(10) || string_agg('• ' || seq || ' ' || code, chr(10) ORDER BY seq) || CASE WHEN any_value(n) > 3 THEN chr(10) || '… and ' || (any_value(n) - 3) || ' more.' ELSE '' END AS text FROM n WHERE place <= 3 GROUP BY branch_id")
+def warning_notices(spark, sf_dir):
+    return notices.warning_notices(judged(spark, sf_dir).where("not accepted").select("branch_id", "seq", "code"))
+
+
+# gates, notices, requests
+
+_KB = lambda x: f"((({x} + 50) // 1000) || '.' || ((({x} + 50) // 100) % 10) || 'k')"
+_NEEDS = "hot OR priority >= 99"
+_BANNED = "NOT hot AND priority < 2"
+_GATES = f"""{_PACK}, {_FULL}, f AS (SELECT branch_id, {TOKENS('text')} AS baseline_tokens FROM full_text),
+rq AS (SELECT r.branch_id, count(*) AS n_required, count_if(contains(c.text, r.xml)) AS n_found FROM (SELECT branch_id, {XML} AS xml FROM facts WHERE {_NEEDS}) r JOIN costed c USING (branch_id) GROUP BY 1),
+fb AS (SELECT r.branch_id, count_if(contains(c.text, r.xml)) AS n_leaked FROM (SELECT branch_id, {XML} AS xml FROM facts WHERE {_BANNED}) r JOIN costed c USING (branch_id) GROUP BY 1),
+g AS (SELECT c.branch_id, baseline_tokens, tokens AS compact_tokens, coalesce(n_required, 0) AS n_required, coalesce(n_found, 0) AS n_found, coalesce(n_leaked, 0) AS n_leaked,
+  CAST(coalesce(n_found, 0) = coalesce(n_required, 0) AS INTEGER) AS required_recall, CAST(coalesce(n_leaked, 0) > 0 AS INTEGER) AS leakage, total_chars <= {C.CONTEXT_BUDGET} AS budget_ok, contains(text, 'untrusted persisted data') AS framed
+  FROM costed c JOIN f USING (branch_id) LEFT JOIN rq USING (branch_id) LEFT JOIN fb USING (branch_id))"""
+
+
+def measured_gates(spark, sf_dir):
+    rows = facts(spark, sf_dir)
+    full = pack.full_contexts(rows).select("branch_id", T.tokens(F.col("text")).alias("tokens"))
+    said = lambda which: rows.where(which).select("branch_id", T.fact_xml().alias("text"))
+    return gates.measured(pack.contexts(rows), full, said(_NEEDS), said(_BANNED))
+
+
+@query(f"{_GATES} SELECT * FROM g")
+def bench_gates(spark, sf_dir):
+    return measured_gates(spark, sf_dir)
+
+
+@query(f"""{_GATES}, o AS (SELECT 1 - sum(compact_tokens) / sum(baseline_tokens) AS token_reduction, min(required_recall) AS min_recall, max(leakage) AS max_leakage, bool_and(budget_ok) AS budget_ok, bool_and(framed) AS framed FROM g)
+SELECT *, token_reduction >= 0.15 AND min_recall = 1 AND max_leakage = 0 AND budget_ok AND framed AS passed FROM o""")
+def bench_verdict(spark, sf_dir):
+    return gates.judged(measured_gates(spark, sf_dir))
+
+
+@query(f"""{_PACK}, w AS (SELECT branch_id, count(*) AS n FROM facts WHERE priority < 10 AND branch_id < 'b_src5' GROUP BY branch_id)
+SELECT branch_id, 'facts ' || n_facts || '/50 · ctx ~' || tokens || 't (exp ' || {_KB('expanded_chars')} || ', idx ' || {_KB('index_chars')} || ')' || CASE WHEN n > 0 THEN ' · ⚠' || n ELSE '' END AS line FROM costed LEFT JOIN w USING (branch_id)""")
+def status_line(spark, sf_dir):
+    rows = facts(spark, sf_dir)
+    return notices.status_lines(pack.contexts(rows), rows.where("priority < 10 and branch_id < 'b_src5'").groupBy("branch_id").agg(F.count("*").alias("n")))
+
+
+_ASKED = ("", " help ", "HELP me", "-h", "status", "Status --json", "status  --json", "status x", "subagents", "subagents  3", "subagent", "SubAgent a b", "compact", "compact replay", "compact now", "replay", "counterfactual x", "compare", "compare previous", "tell me")
+_KINDS = ("current", "help", "usage", "help", "status", "status-json", "status-json", "usage", "subagents", "subagent", "usage", "subagent", "compact", "counterfactual", "usage", "counterfactual", "usage", "usage", "compare", "usage")
+_TARGETS = {9: "3", 11: "a b", 18: "previous"}
+
+
+@query(f"SELECT event_id, [{', '.join(map(q, _KINDS))}][event_id % {len(_ASKED)} + 1] AS kind, CASE event_id % {len(_ASKED)} " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in _TARGETS.items()) + " END AS target FROM events")
+def analysis_request(spark, sf_dir):
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("event_id") % len(_ASKED) + 1).cast("int"))
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", asked.alias("raw"))
+    return rows.select("event_id", *(v.alias(k) for k, v in requests.analysis(F.col("raw")).items()))
+
+
+_SWITCHES = {"": "on", "ON": "on", " enable": "on", "off": "off", "Disable": "off", "status": "status", "status --json": "status-json", "--help": "help", "status  --json": "usage", "maybe": "usage"}
+
+
+@query(f"SELECT event_id, [{', '.join(map(q, _SWITCHES.values()))}][event_id % {len(_SWITCHES)} + 1] AS action FROM events")
+def switch_request(spark, sf_dir):
+    asked = F.element_at(F.array(*map(F.lit, _SWITCHES)), (F.col("event_id") % len(_SWITCHES) + 1).cast("int"))
+    return fixtures.table(spark, sf_dir, "events").select("event_id", requests.switch(asked).alias("action"))
+
+
+@query("SELECT event_id, p AS page, (p - 1) * 10 AS \"offset\", event_id % 3 = 0 AS \"full\" FROM (SELECT event_id, greatest(1, CASE WHEN event_id % 4 = 0 THEN 1 ELSE event_id % 13 END) AS p FROM events)")
+def page_request(spark, sf_dir):
+    n = F.col("event_id")
+    said = F.concat(F.when(n % 3 == 0, "--full ").otherwise(" -x "), F.when(n % 4 == 0, "some").otherwise(F.concat(F.lit("00"), (n % 13).cast("string"), F.lit(" 7"))))
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", said.alias("raw"))
+    return rows.select("event_id", *(v.alias(k) for k, v in requests.page(F.col("raw")).items()))
+
+
+@query("SELECT event_id, 'Abbild mit ' || (event_id % 9) || ' Fakten und ' || user_id || ' Widerrufen geschrieben.' AS written, 'There is no fact cf_' || event_id || '.' AS missing, 'odd-key' AS unknown FROM events")
+def notice_text(spark, sf_dir):
+    n = F.col("event_id")
+    return fixtures.table(spark, sf_dir, "events").select("event_id", notices.message("written", "de", facts=n % 9, tombstones=F.col("user_id")).alias("written"), notices.message("missing", "de", id=F.concat(F.lit("cf_"), n.cast("string"))).alias("missing"), notices.message("odd-key").alias("unknown"))
+
+
+@query("SELECT conv_id AS session_id, count_if(turn % 2 = 0 AND turn % 3 > 0) AS context_applications, count_if(turn % 2 = 1 AND turn % 3 > 0) AS guidance_applications, count_if(turn % 2 = 0 AND turn % 3 > 0) > 0 AS context_applied, count_if(turn % 2 = 1 AND turn % 3 > 0) > 0 AS guidance_applied FROM conversations GROUP BY conv_id")
+def applications(spark, sf_dir):
+    turn = F.col("turn")
+    rows = fixtures.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.when(turn % 2 == 0, "context").otherwise("compaction").alias("event"), F.when(turn % 3 == 1, "text").when(turn % 3 == 2, "x").alias("text"))
+    return notices.applications(rows)
+
+
+@query(f"SELECT event_id, nullif({TRIM(COLLAPSE('r'))}, '') AS reason FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' why ' || event_id END AS r FROM events)")
+def reason_text(spark, sf_dir):
+    n = F.col("event_id")
+    raw = F.when(n % 4 == 1, "  ").when(n % 4 > 1, F.concat(F.lit(" why "), n.cast("string")))
+    return fixtures.table(spark, sf_dir, "events").select("event_id", R.reason(raw).alias("reason"))
+
+
+# evaluations as models write them
+
+_FORMS = ("7{d}.25", '"8{d}.125"', '" 5 "', "null", "true", '""', "[1]", '"many"', "101", "{}")
+_SAID = {0: "70 + d + 0.25", 1: "80 + d + 0.13", 2: "5", 3: "0", 4: "1", 5: "0"}
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id, conv_id % 7 AS d, conv_id % 10 AS form, conv_id % 11 AS hole FROM conversations),
+v AS (SELECT *, CASE form {' '.join(f'WHEN {k} THEN {v}' for k, v in _SAID.items())} END AS first, form < 6 AND hole > 1 AS valid FROM c)
+SELECT conv_id, valid, CASE WHEN valid THEN {ROUND2('(first + 7 * 60) / 8.0')} END AS mean, CAST(CASE form WHEN 8 THEN 101 ELSE first END AS DOUBLE) AS task, CAST(CASE WHEN hole > 1 THEN 0.5 + d / 20.0 WHEN hole = 1 THEN 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN hole > 1 THEN 'good ' || conv_id ELSE '' END AS summary, CASE WHEN hole = 0 THEN 0 ELSE 12 END AS n_strengths, CASE WHEN hole = 0 THEN '' ELSE 's0' END AS first_strength FROM (SELECT * REPLACE (CASE WHEN hole = 0 THEN NULL ELSE form END AS form, CASE WHEN hole = 0 THEN NULL ELSE first END AS first) FROM v)""")
+def eval_shape(spark, sf_dir):
+    """Evaluations with scores of every JSON kind, some without a summary, some no JSON."""
+    n = F.col("conv_id")
+    d = (n % 7).cast("string")
+    forms = F.array(*(F.replace(F.lit(form), F.lit("{d}"), d) for form in _FORMS))
+    task = F.element_at(forms, (n % 10 + 1).cast("int"))
+    rest = ",".join(f'"{m}":60' for m in C.METRICS[1:])
+    strengths = '"strengths":[3,' + ",".join(f'"s{k}"' for k in range(15)) + ',null]'
+    summary = F.when(n % 11 == 1, F.lit('"summary":" ","confidence":0.5,')).otherwise(F.concat(F.lit('"summary":" good '), n.cast("string"), F.lit(' ","confidence":'), (0.5 + n % 7 / 20).cast("string"), F.lit(",")))
+    raw = F.when(n % 11 == 0, "no json").otherwise(F.concat(F.lit("{"), summary, F.lit(f'{strengths},"scores":{{{rest},"{C.METRICS[0]}":'), task, F.lit("}}")))
+    rows = evaluate.evaluations(fixtures.table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("raw", raw), "raw")
+    return rows.select("conv_id", "valid", "mean", F.col(C.METRICS[0]).alias("task"), "confidence", "summary", F.size("strengths").alias("n_strengths"), F.coalesce(F.get("strengths", F.lit(0)), F.lit("")).alias("first_strength"))
+
+
+# sessions to compare with, links, roots
+
+_PICKS = ("previous", "s_4.jsonl", "/s/s_6.jsonl", "s_1", "s_9", "nothing", "../s/./s_12.jsonl", "x")
+
+
+@query(f"""WITH {SESSIONS}, p AS (SELECT '/s/' || id || '.jsonl' AS path, id || '.jsonl' AS name, cwd, modified, CASE WHEN modified % 5 = 4 THEN 0 ELSE n_messages END AS n FROM se),
+p2 AS (SELECT *, CASE WHEN cwd <> '/w0' THEN 'other-folder' WHEN n = 0 THEN 'no-messages' ELSE 'ok' END AS state FROM p),
+t(target, file) AS (VALUES ('previous', ''), ('s_4.jsonl', '/w0/s_4.jsonl'), ('/s/s_6.jsonl', '/s/s_6.jsonl'), ('s_1', '/s/s_1'), ('s_9', '/s/s_9'), ('nothing', '/s/nothing'), ('../s/./s_12.jsonl', '/s/s_12.jsonl'), ('x', '/s/x')),
+c AS (SELECT target, path, state, 1 AS rank, row_number() OVER (ORDER BY modified DESC, name) AS o FROM t JOIN p2 ON target = 'previous' AND state = 'ok' AND path <> '/s/s_3.jsonl'
+  UNION ALL SELECT target, path, state, CASE WHEN state = 'ok' THEN 2 ELSE 4 END, 1 FROM t JOIN p2 ON file = path WHERE target <> 'previous'
+  UNION ALL SELECT target, path, state, 3, row_number() OVER (PARTITION BY target ORDER BY name) FROM t JOIN p2 ON contains(name, target) WHERE target <> 'previous'),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY rank, o) = 1)
+SELECT t.target, CASE WHEN state = 'ok' THEN path END AS path, CASE WHEN state IS NULL THEN 'missing' WHEN state <> 'ok' THEN state ELSE ['previous', 'path', 'match'][rank] END AS how FROM t LEFT JOIN b USING (target)""")
+def session_compare(spark, sf_dir):
+    messages_ = F.when(F.col("modified") % 5 == 4, 0).otherwise(F.col("n_messages"))
+    rows = fixtures.sessions(spark, sf_dir).select(F.concat(F.lit("/s/"), "id", F.lit(".jsonl")).alias("path"), "cwd", "modified", messages_.alias("n_messages"))
+    return lineage.comparisons(rows, list(_PICKS), "/w0", "/s", "/s/s_3.jsonl")
+
+
+@query("SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN '/a/b/' || conv_id WHEN 1 THEN '/w/' || conv_id || '/c' WHEN 2 THEN '/' || conv_id ELSE '/x' END AS path FROM (SELECT DISTINCT conv_id FROM conversations)")
+def session_link(spark, sf_dir):
+    n = F.col("conv_id").cast("string")
+    said = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("/a//b/./"), n)).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("../w/"), n, F.lit("/d/../c/"))).when(F.col("conv_id") % 4 == 2, F.concat(F.lit("../../../"), n)).otherwise(F.lit("/../x"))
+    return fixtures.table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", lineage.link(said, F.lit("/home")).alias("path"))
+
+
+@query("SELECT DISTINCT 'u_' || user_id AS \"user\", unnest(CASE user_id % 4 WHEN 0 THEN ['/h/agents', '/h/mine'] WHEN 1 THEN ['/h/agents', '/w/rel'] ELSE ['/h/agents'] END) AS root FROM events")
+def session_roots(spark, sf_dir):
+    u = F.col("user_id")
+    folder = F.when(u % 4 == 0, " ~/mine").when(u % 4 == 1, "rel/").when(u % 4 == 2, "/h/x/../agents").otherwise(" ")
+    return config.session_roots(fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("u_"), u.cast("string")).alias("user"), folder.alias("folder")), "/h", "/w", "agents")
+
+
+# files as given, prompts, what reaches a model
+
+@query("SELECT event_id, event_id % 4 = 0 AS held, CASE event_id % 4 WHEN 1 THEN 'no-object' WHEN 2 THEN 'no-json' END AS problem FROM events")
+def json_object_reader(spark, sf_dir):
+    n = F.col("event_id") % 4
+    rows = journal.json_objects(fixtures.table(spark, sf_dir, "events").select("event_id", F.when(n == 0, '{"a": [1]}').when(n == 1, "[1]").when(n == 2, "{a").otherwise("").alias("raw")), "raw")
+    return rows.select("event_id", F.col("document").isNotNull().alias("held"), "problem")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'approved_spec' ELSE 'decision' END AS type, doc_id % 5 > 0 AS same FROM documents")
+def legacy_payload(spark, sf_dir):
+    """The type an old name stands for, and whether two facts say the same."""
+    n = F.col("doc_id")
+    fact = lambda later: F.struct(R.type_from_legacy(F.when(n % 3 == 0, C.LEGACY_TYPE[0]).otherwise("decision")).alias("type"), "text", n.alias("created_at"), (n + later).alias("updated_at"), F.lit(False).alias("hot"), F.lit(1).alias("priority"), F.lit(None).cast("boolean").alias("priority_explicit"))
+    rows = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", fact(F.lit(0)).alias("a"), fact(F.when(n % 5 == 0, 1).otherwise(0)).alias("b"))
+    return rows.select("doc_id", "a.type", R.same_payload("a", "b").alias("same"))
+
+
+@query(f"{_PACK} SELECT branch_id, 'Task:' || chr(10) || 'go on with ' || branch_id || chr(10) || chr(10) || 'Context:' || chr(10) || text AS prompt FROM costed")
+def prompt_text(spark, sf_dir):
+    packed = pack.contexts(facts(spark, sf_dir)).select("branch_id", "text")
+    return reports.prompts(packed.select("branch_id", F.concat(F.lit("go on with "), "branch_id").alias("task")), packed)
+
+
+@query(f"""WITH {MESSAGES}, x AS (SELECT session_id, max(pos) + 1 AS pos, NULL AS id, 'system' AS role, 'ctx ' || session_id AS content FROM m WHERE session_id % 3 > 0 GROUP BY session_id)
+SELECT session_id, pos, id, role, content FROM m UNION ALL SELECT * FROM x""")
+def context_inject(spark, sf_dir):
+    """Messages with the context of their session behind them; an empty context adds none."""
+    rows = messages(spark, sf_dir)
+    n = F.col("session_id")
+    contexts_ = rows.select("session_id").distinct().select(n.alias("branch_id"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("ctx "), n.cast("string"))).alias("text"))
+    return Engine(spark).inject(rows, contexts_)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate
+
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """branch_id, seq, entry_type, data of JSON lines, in order of ``seq``."""
@@ -35,6 +37,22 @@ def dialogues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
+def optional_text(spark: SparkSession, paths: list[str], limit: int) -> DataFrame:
+    """path, text cut to ``limit``, truncated, source_chars of each file named; no file, no row."""
+    rows = spark.read.text(paths, wholetext=True) if paths else spark.createDataFrame([], "value string, _metadata struct<file_path:string>")
+    source = F.col("_metadata.file_path").alias("path")
+    return rows.select(source, truncate(F.col("value"), limit).alias("text"), (F.length("value") > limit).alias("truncated"), F.length("value").cast("long").alias("source_chars"))
+
+
+def json_objects(rows: DataFrame, raw: str) -> DataFrame:
+    """Rows with ``document`` (variant) and ``problem``: no-json or no-object; empty text has neither."""
+    parsed = F.try_parse_json(raw)
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    blank = F.coalesce(F.col(raw), F.lit("")) == ""
+    problem = F.when(blank, F.lit(None)).when(parsed.isNull(), "no-json").when(~is_object, "no-object")
+    return rows.withColumns({"document": F.when(~blank & is_object, parsed), "problem": problem})
+
+
 def append(events: DataFrame, path: str) -> DataFrame:
     """Append events that the journal does not hold yet, known by a digest of their content.
 
