@@ -20,6 +20,8 @@ TYPE_PRIORITY = {"decision": 70, "approved_spec": 65, "finding": 50, "milestone"
 LEGACY_TYPE = ("tz_approved", "approved_spec")
 TIERS = ((90, "critical"), (70, "important"), (40, "useful"), (0, "background"))
 ID_PATTERN = r"\A(?i)cf_[a-z0-9_-]+\z"
+#: Fixed format of lines that list facts: what stands between their parts, and the part that marks a hot one.
+SEPARATOR, HOT_MARK = "·", "HOT"
 METRICS = ("task", "accuracy", "consistency", "completeness", "relevance", "constraints", "clarity", "efficiency")
 
 TAG = "active-journal-fact-ledger"

@@ -76,8 +76,12 @@ def day(millis: Column) -> Column:
     return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")
 
 
+#: Stands between the parts of lines that list facts.
+SEP = f" {C.SEPARATOR} "
+
+
 def hot_mark(hot: Column) -> Column:
-    return F.when(hot, " · HOT").otherwise("")
+    return F.when(hot, SEP + C.HOT_MARK).otherwise("")
 
 
 def fact_xml() -> Column:
@@ -85,16 +89,16 @@ def fact_xml() -> Column:
 
 
 def fact_line() -> Column:
-    return F.concat(F.lit("- "), F.col("id"), F.lit(" · "), F.col("type"), F.lit(" · p"), F.col("priority").cast("string"), hot_mark(F.col("hot")))
+    return F.concat(F.lit("- "), F.col("id"), F.lit(SEP), F.col("type"), F.lit(SEP + "p"), F.col("priority").cast("string"), hot_mark(F.col("hot")))
 
 
 def fact_preview() -> Column:
-    return F.concat(fact_line(), F.lit(" · "), preview(F.col("text")))
+    return F.concat(fact_line(), F.lit(SEP), preview(F.col("text")))
 
 
 def list_entry(with_text: bool) -> Column:
-    base = F.concat(F.col("id"), F.lit(" · "), F.col("type"), F.lit(" · "), day(F.col("updated_at")), F.lit(" · p"), F.col("priority").cast("string"), hot_mark(F.col("hot")))
-    return F.concat(base, F.lit("\n"), F.col("text"), F.lit("\n\n")) if with_text else F.concat(base, F.lit(" · "), preview(F.col("text")), F.lit("\n\n"))
+    base = F.concat(F.col("id"), F.lit(SEP), F.col("type"), F.lit(SEP), day(F.col("updated_at")), F.lit(SEP + "p"), F.col("priority").cast("string"), hot_mark(F.col("hot")))
+    return F.concat(base, F.lit("\n"), F.col("text"), F.lit("\n\n")) if with_text else F.concat(base, F.lit(SEP), preview(F.col("text")), F.lit("\n\n"))
 
 
 def truncate(text: Column, limit: int) -> Column:

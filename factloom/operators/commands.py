@@ -43,10 +43,11 @@ class Desk:
     """Judges the commands of one branch."""
 
     def __init__(self, branch):
-        self.branch, self.state = branch, Branch()
+        self.branch, self.state, self.chars = branch, Branch(), 0
 
-    def chars(self) -> int:
-        return sum(units(f["text"]) for f in self.state.facts.values())
+    def size(self, id_: str) -> int:
+        fact = self.state.facts.get(id_)
+        return units(fact["text"]) if fact else 0
 
     def other(self, type_: str, text: str, own: str | None) -> bool:
         return self.state.keys.get(canonical_key(type_, text), own) != own
@@ -62,7 +63,7 @@ class Desk:
                 return "bad-type", None, None
             if self.other(c["type"], text, None):
                 return "duplicate", self.state.keys[canonical_key(c["type"], text)], None
-            if len(facts) >= C.MAX_FACTS or self.chars() + units(text) > C.MAX_TOTAL_CHARS:
+            if len(facts) >= C.MAX_FACTS or self.chars + units(text) > C.MAX_TOTAL_CHARS:
                 return "full", None, None
             id_ = "cf_" + hashlib.sha256(f"{self.branch}#{c['seq']}".encode()).hexdigest()[:32]
             hot, priority, explicit = resolve(c["type"], c["priority"], c["hot"], None)
@@ -85,7 +86,7 @@ class Desk:
         fact = old | {"type": type_, "text": text, "hot": hot, "priority": priority, "priority_explicit": explicit}
         if all(fact[k] == old[k] for k in PAYLOAD):
             return "unchanged", c["id"], None
-        if self.chars() - units(old["text"]) + units(text) > C.MAX_TOTAL_CHARS:
+        if self.chars - units(old["text"]) + units(text) > C.MAX_TOTAL_CHARS:
             return "full", c["id"], None
         if self.other(type_, text, c["id"]):
             return "duplicate", c["id"], None
@@ -97,9 +98,11 @@ class Desk:
             at = row["at"]
             if event["op"] == "revoke":
                 at = max(at, self.state.facts[id_]["updated_at"])
+            before = self.size(id_)
             self.state.apply(event["op"], id_, event.get("fact"), at)
+            self.chars += self.size(id_) - before
             event |= {"version": C.SCHEMA_VERSION, "id": id_, "at": at}
-        return [(self.branch, row["seq"], row["command"], id_, outcome, json.dumps(event, sort_keys=True, ensure_ascii=False) if event else None, len(self.state.facts), self.chars())]
+        return [(self.branch, row["seq"], row["command"], id_, outcome, json.dumps(event, sort_keys=True, ensure_ascii=False) if event else None, len(self.state.facts), self.chars)]
 
     def finish(self) -> list:
         return []

@@ -6,13 +6,17 @@ listed is bounded by the budget, and the rest is only counted.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from .replay import units
 from .runs import fold
 
+
 def rank_order():
     return [F.col("hot").desc(), F.col("priority").desc(), F.col("updated_at").desc(), F.col("revision").desc(), F.col("id").asc()]
 
@@ -22,15 +26,15 @@ def ranked(facts: DataFrame) -> DataFrame:
     return facts.withColumn("rank", F.row_number().over(Window.partitionBy("branch_id").orderBy(*rank_order())))
 
 
-def units(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+#: Characters above U+03FF.
+_WIDE = re.compile("[\u0400-\U0010ffff]+")
 
 
 def estimated_tokens(text: str) -> int:
     n = units(text)
     if not n:
         return 0
-    wide = n - sum(c <= "Ͽ" for c in text)
+    wide = sum(units(run) for run in _WIDE.findall(text))
     return -(-n // (2 if wide / n > 0.3 else 4))
 
 

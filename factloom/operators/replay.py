@@ -142,7 +142,8 @@ def valid_id(x) -> bool:
 
 
 def units(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    """Length in UTF-16 units."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def valid_fact(f) -> bool:
