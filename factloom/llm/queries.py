@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, html_extract, line_dedup, mix, ngram_join, pii, quality_rules, substring_dedup
+from . import chat, classifier, decontaminate, html_extract, importance, line_dedup, mix, ngram_join, pii, quality_rules, substring_dedup, whitening
 from .common import table
 
 
@@ -61,9 +61,17 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", *(F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS))
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_line_dedup, op3_substring_dedup, op4_decontaminate, op5_quality_classifier, op6_chat_format, op7_quality_rules, op8_mix_sources, op9_html_extract, op10_pii_pseudonyms)
+    for f in (op1_ngram_join, op2_line_dedup, op3_substring_dedup, op4_decontaminate, op5_quality_classifier, op6_chat_format, op7_quality_rules, op8_mix_sources, op9_html_extract, op10_pii_pseudonyms, op12_whiten, op13_importance_resample)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,4 +153,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 15 ELSE 18 + role_n END) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE FALSE END THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid
 FROM e GROUP BY conv_id""",
+    "op13_importance_resample": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '{_ALNUM}')) AS word FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+b AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM v, crc),
+sums AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT bucket, 1 AS s, 0 AS t FROM dw JOIN b USING (word) UNION ALL SELECT bucket, 0, 1 FROM bw JOIN b USING (word)) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE))) AS gain FROM sums),
+r AS (SELECT doc_id, sum(gain) AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN r USING (doc_id)),
+places AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM places""",
 }

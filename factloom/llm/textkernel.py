@@ -115,15 +115,7 @@ class Kernel:
         if self.lower:
             data = LOWER[data]
         n = len(data)
-        inside = self.word_bytes[data]
-        before = np.empty(n, dtype=bool)
-        before[1:] = inside[:-1]
-        after = np.empty(n, dtype=bool)
-        after[:-1] = inside[1:]
-        before[offsets[:-1][offsets[:-1] < n]] = False
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        start = np.flatnonzero(inside & ~before)
-        end = np.flatnonzero(inside & ~after) + 1
+        start, end = word_spans(data, offsets, self.word_bytes)
         up, down = self.byte_powers.get(n + 1)
         total = np.zeros(n + 1, dtype=U64)
         np.cumsum(TABLE[data] * up[:n], out=total[1:])
@@ -162,6 +154,19 @@ class Kernel:
         return mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U64))
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word; no word crosses the end of a text."""
+    n = len(data)
+    inside = word_bytes[data]
+    before = np.empty(n, dtype=bool)
+    before[1:] = inside[:-1]
+    after = np.empty(n, dtype=bool)
+    after[:-1] = inside[1:]
+    before[offsets[:-1][offsets[:-1] < n]] = False
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets into them; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
