@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, html_extract, importance, line_dedup, mix, ngram_join, pii, quality_rules, substring_dedup, whitening
+from . import chat, classifier, decontaminate, html_extract, importance, line_dedup, mix, ngram_join, pii, quality_rules, substring_dedup, suffix_array, whitening
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", *(F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removals(table(spark, sf_dir, "documents"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +75,7 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_line_dedup, op3_substring_dedup, op4_decontaminate, op5_quality_classifier, op6_chat_format, op7_quality_rules, op8_mix_sources, op9_html_extract, op10_pii_pseudonyms, op12_whiten, op13_importance_resample)
+    for f in (op1_ngram_join, op2_line_dedup, op3_substring_dedup, op4_decontaminate, op5_quality_classifier, op6_chat_format, op7_quality_rules, op8_mix_sources, op9_html_extract, op10_pii_pseudonyms, op11_suffix_dedup, op12_whiten, op13_importance_resample)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,6 +157,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 15 ELSE 18 + role_n END) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE FALSE END THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid
 FROM e GROUP BY conv_id""",
+    "op11_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2198) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 1000)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS p, doc_id * 10000000 + o + i AS place, hash(substr(part, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, o, part, unnest(range(0, length(part) // 2 - 99)) AS i FROM c)),
+f AS (SELECT g, min(place) AS first FROM w GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, p FROM w JOIN f USING (g) WHERE place > first),
+marked AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS fresh FROM gone),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y, a, b FROM runs),
+k AS (
+  SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op13_importance_resample": rf"""
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
