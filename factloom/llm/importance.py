@@ -72,11 +72,11 @@ def crc32(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def pieces(text: np.ndarray, limit: int = SLICE_BYTES):
     """Cut one text after separators, every ``limit`` bytes or a little later."""
-    at = 0
+    at, inside = 0, ALNUM[LOWER]
     while at < len(text):
         stop = min(at + limit, len(text))
-        while stop < len(text) and ALNUM[text[stop - 1]]:
-            more = np.flatnonzero(~ALNUM[text[stop : stop + limit]])
+        while stop < len(text) and inside[text[stop - 1]]:
+            more = np.flatnonzero(~inside[text[stop : stop + limit]])
             stop = stop + int(more[0]) + 1 if len(more) else min(stop + limit, len(text))
         yield text[at:stop]
         at = stop
