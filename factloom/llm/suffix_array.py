@@ -14,7 +14,7 @@ token after token, and scanned: records with both tokens equal are copies of the
 first of them, whose strings are all repeats; first records whose leading token
 stands under another run too stay open.  What a bucket cannot tell by itself, since
 a token goes on across its first or last record, is settled from one summary a
-bucket.  The strings of open records are then named one by one, with two hashes,
+bucket.  The strings of open records are then named one by one, beside their anchor,
 and sorted and scanned in the same way.
 
 Texts that equal an earlier one as a whole are settled by a digest before.
@@ -43,7 +43,7 @@ from . import common
 from .common import KEY, release
 from .textkernel import TABLE, U64, Powers, buffer_of, mix
 
-LENGTH, GRAM = 100, 36
+LENGTH, GRAM = 100, 48
 #: Bytes of text handled at once.
 PIECE = 1 << 19
 #: Records of a bucket, which one task sorts in memory; clusters with more memory take more.
@@ -153,30 +153,34 @@ def records(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, RECORDS)
 
 
-def strings(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """A record for every string of the open runs, with two names of its bytes as tokens."""
-    runs = opened.groupBy("doc_id", KEY).agg(F.collect_list(F.struct("pos", "n")).alias(COVER))
+def open_runs(opened: DataFrame) -> DataFrame:
+    """doc_id, text key and COVER, the packed runs of strings of open records with their anchors' names."""
+    return common.materialise(opened.groupBy("doc_id", KEY).agg(F.collect_list(F.struct("t0", "pos", "n")).alias(COVER)), "open-runs")
+
+
+def strings(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """A record for every string of the open runs: its anchor's name and the name of its bytes are its tokens."""
 
     def run(batches):
         for batch in batches:
             ids, keys, cover = batch.column("doc_id"), batch.column(KEY), batch.column(COVER)
-            bounds, (first, count) = cover.offsets.to_numpy(), (x.to_numpy().astype(np.int64) for x in cover.values.flatten())
+            bounds, (anchor, first, count) = cover.offsets.to_numpy(), (x.to_numpy().astype(np.int64) for x in cover.values.flatten())
             for data, starts, stops, rows, shifts in pieces(batch.column("text"), length):
                 if len(data) < length:
                     continue
-                names = Names(data)
+                names, out = Names(data), []
                 for start, stop, row, shift in zip(starts, stops, rows, shifts):
                     a, b = bounds[row], bounds[row + 1]
                     # the part of each run that starts in this piece
                     low = np.maximum(first[a:b], shift)
                     some = np.maximum(np.minimum(first[a:b] + count[a:b], shift + stop - start - length + 1) - low, 0)
-                    own = np.unique(np.repeat(low - np.cumsum(some) + some, some) + np.arange(some.sum()))
-                    here = own - shift + start
-                    owner = pa.array(np.full(len(own), row))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names.of(here, here + length, 0).view(np.int64)), pa.array(names.of(here, here + length, 1).view(np.int64)), ids.take(owner), keys.take(owner), pa.array(own.astype(np.int32)), pa.array(np.ones(len(own), dtype=np.int32))],
-                        names=[c.split()[0] for c in RECORDS.split(", ")],
-                    )
+                    own = np.repeat(low - np.cumsum(some) + some, some) + np.arange(some.sum())
+                    out.append((np.repeat(anchor[a:b], some), own, own - shift + start, np.full(len(own), row)))
+                t0, own, here, owner = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t0), pa.array(names.of(here, here + length, 1).view(np.int64)), ids.take(pa.array(owner)), keys.take(pa.array(owner)), pa.array(own.astype(np.int32)), pa.array(np.ones(len(own), dtype=np.int32))],
+                    names=[c.split()[0] for c in RECORDS.split(", ")],
+                )
         release()
 
     return docs.join(runs.hint("merge"), ["doc_id", KEY]).select("doc_id", KEY, "text", COVER).mapInArrow(run, RECORDS)
@@ -235,17 +239,17 @@ def scanned(rows: DataFrame, n: int, runs: bool) -> DataFrame:
         keep, bucket = np.flatnonzero(state >= 0), TaskContext.get().partitionId()
         for at in range(0, len(keep), 1 << 16):
             own = keep[at : at + (1 << 16)]
-            yield result(state[own], bucket, belongs[own], doc[own], key[own], pos[own], count[own], [None] * len(own))
-        yield result([SUMMARY], bucket, [0], [0], [0], [0], [0], [summary])
+            yield result(state[own], bucket, belongs[own], t0[own], doc[own], key[own], pos[own], count[own], [None] * len(own))
+        yield result([SUMMARY], bucket, [0], [0], [0], [0], [0], [0], [summary])
         release()
 
-    def result(state, bucket, belongs, doc, key, pos, count, summary):
-        kinds = pa.int8(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((state, np.full(len(state), bucket), belongs, doc, key, pos, count, summary), kinds)], names=["state", "bucket", "belongs", "doc_id", KEY, "pos", "n", "summary"])
+    def result(state, bucket, belongs, t0, doc, key, pos, count, summary):
+        kinds = pa.int8(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((state, np.full(len(state), bucket), belongs, t0, doc, key, pos, count, summary), kinds)], names=["state", "bucket", "belongs", "t0", "doc_id", KEY, "pos", "n", "summary"])
 
     buckets = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / BUCKET_ROWS))
     dealt = rows.repartitionByRange(buckets, "t0", "t1", "doc_id", "pos")
-    return dealt.mapInArrow(run, f"state byte, bucket int, belongs byte, doc_id long, {KEY} long, pos int, n int, summary array<long>")
+    return dealt.mapInArrow(run, f"state byte, bucket int, belongs byte, t0 long, doc_id long, {KEY} long, pos int, n int, summary array<long>")
 
 
 def across(summaries: list[tuple[int, list[int]]]) -> list[tuple[int, bool, bool, bool]]:
@@ -285,7 +289,7 @@ def settled(found: DataFrame) -> DataFrame:
     several = has(8) | (has(FIRST_TOKEN) & F.col("first_several")) | (has(LAST_TOKEN) & F.col("last_several"))
     state = F.when(has(FIRST_GROUP) & F.col("goes_on"), REPEAT).when(several, OPEN)
     unsure = found.where(f"state = {DEPENDS}").join(F.broadcast(flags), "bucket").withColumn("state", state.cast("byte"))
-    columns = "state", "doc_id", KEY, "pos", "n"
+    columns = "state", "t0", "doc_id", KEY, "pos", "n"
     return found.where(f"state < {DEPENDS}").select(*columns).unionByName(unsure.select(*columns))
 
 
@@ -295,7 +299,9 @@ def covered(docs: DataFrame, length: int, gram: int) -> DataFrame:
     found = common.materialise(scanned(rows, rows.count(), runs=True), "scanned-suffixes")
     common.discard(rows)
     known = settled(found)
-    rows = common.materialise(strings(docs, known.where(f"state = {OPEN}"), length), "strings")
+    runs = open_runs(known.where(f"state = {OPEN}"))
+    rows = common.materialise(strings(docs, runs, length), "strings")
+    common.discard(runs)
     again = common.materialise(scanned(rows, rows.count(), runs=False), "scanned-strings")
     common.discard(rows)
     repeats = known.unionByName(settled(again)).where(f"state = {REPEAT}")
