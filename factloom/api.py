@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .operators import audit, commands, evaluate, lineage, pack, replay, transcript
+from .operators import audit, commands, evaluate, legacy, lineage, pack, replay, transcript
 from .sources import journal
+from .sources.shared import settled
 
 
 class Engine:
@@ -19,6 +20,10 @@ class Engine:
     def state(self, events: DataFrame) -> DataFrame:
         return replay.active(replay.words(events))
 
+    def rebuild(self, path: str) -> DataFrame:
+        """Verdicts, facts, tombstones and counters of a journal that ``write`` has written."""
+        return legacy.rebuild(journal.committed(self.spark, path))
+
     def tombstones(self, events: DataFrame) -> DataFrame:
         return replay.tombstones(replay.words(events))
 
@@ -44,9 +49,9 @@ class Engine:
 
     def write(self, requests: DataFrame, path: str | None = None) -> DataFrame:
         """Judge add, revise and forget commands; append what passes to the journal at ``path``."""
-        judged = commands.outcomes(requests)
+        judged = settled(commands.outcomes(requests))  # read twice
         if path and self.enabled:
-            journal.append(judged.where("event is not null").select("branch_id", "seq", "event"), path)
+            journal.append(commands.journal_entries(judged), path)
         return judged
 
     def inject(self, messages: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "replay":
         from .sources import journal
 
-        result = legacy.outcomes(journal.entries(spark, args.journal))
+        entries = journal.committed(spark, args.journal) if journal.last_commit(spark, args.journal) else journal.entries(spark, args.journal)
+        result = legacy.rebuild(entries)
     else:
         facts = spark.read.parquet(args.facts)
         if args.command == "context":

@@ -48,3 +48,32 @@ TRUNCATED = "\n\n[...TRUNCATED FOR EVALUATION...]\n\n"
 JS_SPACE = r"[\x09-\x0D\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Control characters and noncharacters that texts lose.
 UNSAFE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFE}\x{FFFF}]"
+
+#: What a replay says about events that do not count, or count in part, by the code of their verdict.
+WARNINGS = {
+    "no-object": "Pinned event has non-object data and was skipped.",
+    "invalid": "Invalid pinned event encountered and skipped.",
+    "add-revoked": "Add for revoked fact {id} ignored.",
+    "add-duplicate": "Add for {id} duplicates active fact {other}; ignored.",
+    "add-identical": "Duplicate identical add for {id} ignored.",
+    "add-conflict": "Conflicting add payload for {id} ignored.",
+    "supersede-revoked": "Supersede for revoked fact {id} ignored.",
+    "supersede-missing": "Supersede references missing fact {id}; skipped.",
+    "supersede-stale": "Stale supersede for {id} ignored (rev {got} <= {has}).",
+    "supersede-gap": "Revision gap for {id}: expected {next}, got {got}. Ignored.",
+    "supersede-older": "Stale supersede for {id} ignored (older updatedAt).",
+    "supersede-duplicate": "Supersede for {id} duplicates active fact {other}; ignored.",
+    "revoke-duplicate": "Duplicate/stale revoke for {id} ignored.",
+    "revoke-stale": "Stale revoke for {id} ignored (revoke.at < updatedAt).",
+    "ok-orphan": "Revoke references missing fact {id}; orphan tombstone recorded.",
+    "snapshot-invalid": "Invalid V2b snapshot migration skipped.",
+    "v2b-both": "V2b snapshot conflict: {id} is both active and revoked; tombstone wins.",
+    "v2b-repeated": "V2b snapshot duplicate fact {id}; first occurrence kept.",
+    "unsafe": "{version} {op} event could not be migrated safely.",
+    "legacy-invalid": "Invalid legacy standalone fact encountered and skipped.",
+    "legacy-duplicate": "Legacy standalone fact duplicates active fact {other}; skipped.",
+    "legacy-oversized": "Legacy standalone fact {id} was oversized/invalid after normalization.",
+    "newer": "Journal contains {n} newer-schema pinned event(s); those events were ignored.",
+    "many-facts": "Active fact count {n} exceeds limit {limit}.",
+    "many-chars": "Active text size {n} exceeds limit {limit}.",
+}

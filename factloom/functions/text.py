@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import constants as C
 
@@ -34,19 +30,19 @@ def normalise(text: Column) -> Column:
     return trim(F.regexp_replace(sanitise(text), "\r\n", "\n"))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def nfkc(text: Column) -> Column:
-    """NFKC; only texts with characters beyond ASCII leave the JVM's fast path."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc(text))
+    """NFKC, by the library of Unicode rules that Spark brings; texts in ASCII stay as they are.
+
+    The call sees other texts as empty, for Spark may evaluate it outside the condition.
+    """
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    other = F.coalesce(F.when(~plain, text), F.lit(""))
+    return F.when(text.isNull() | plain, text).otherwise(F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), other, F.lit(True)))
 
 
 def canonical_key(type_: Column, text: Column) -> Column:
     """Equal for facts that say the same: type, NUL, NFKC text with collapsed white space."""
-    return F.concat(type_, F.lit("\0"), trim(collapse(nfkc(normalise(text)))))
+    return F.concat(type_, F.lit("\0"), collapse(nfkc(normalise(text))))
 
 
 def escape_xml(text: Column) -> Column:

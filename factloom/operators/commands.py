@@ -8,16 +8,16 @@ place, so that a retried batch writes the same events.
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .replay import PAYLOAD, Branch, canonical_key, normalise, units, valid_id
+from .legacy import EVENT_ENTRY, data_of
+from .replay import PAYLOAD, Branch, canonical_key, normalise, units, valid_id, valid_snapshot
 from .runs import fold
 
-OUTCOMES = "branch_id string, seq long, command string, id string, outcome string, event string, n_facts long, n_chars long"
+OUTCOMES = "branch_id string, seq long, command string, id string, outcome string, event string, snapshot string, n_facts long, n_chars long"
 
 
 def resolve(type_: str, priority: int | None, hot: bool | None, old: dict | None) -> tuple[bool, int, bool]:
@@ -39,11 +39,20 @@ def resolve(type_: str, priority: int | None, hot: bool | None, old: dict | None
     return now_hot, old["priority"], False
 
 
+#: Names of fact members in the journal that differ from the columns'.
+STORED = {"created_at": "createdAt", "updated_at": "updatedAt", "priority_explicit": "priorityExplicit"}
+
+
+def stored(id_: str, fact: dict) -> dict:
+    """A fact as the journal holds it."""
+    return {"id": id_} | {STORED.get(k, k): v for k, v in fact.items()}
+
+
 class Desk:
-    """Judges the commands of one branch."""
+    """Judges the commands of one branch; after ``every`` mutations a snapshot follows."""
 
-    def __init__(self, branch):
-        self.branch, self.state, self.chars = branch, Branch(), 0
+    def __init__(self, branch, every: int = C.SNAPSHOT_EVERY):
+        self.branch, self.every, self.state, self.chars = branch, every, Branch(), 0
 
     def size(self, id_: str) -> int:
         fact = self.state.facts.get(id_)
@@ -92,8 +101,27 @@ class Desk:
             return "duplicate", c["id"], None
         return "ok", c["id"], {"op": "supersede", "fact": fact | {"revision": old["revision"] + 1, "updated_at": max(c["at"], old["updated_at"])}}
 
+    def stored_event(self, event: dict, id_: str, at: int) -> dict:
+        """The event in the journal's form; a revision is never later than itself."""
+        out = {"version": C.SCHEMA_VERSION, "op": event["op"]}
+        if event["op"] == "add":
+            return out | {"fact": stored(id_, event["fact"])}
+        if event["op"] == "supersede":
+            return out | {"id": id_, "replacement": stored(id_, event["fact"]), "at": max(at, event["fact"]["updated_at"])}
+        return out | {"id": id_, "at": at}
+
+    def snapshot(self, at: int) -> str | None:
+        if self.state.mutations < self.every:
+            return None
+        snap = self.state.to_snapshot(at)
+        if not valid_snapshot(snap, snap["at"]):
+            return None
+        self.state.mutations = 0
+        return data_of(snap | {"facts": [stored(f["id"], {k: v for k, v in f.items() if k != "id"}) for f in snap["facts"]]})
+
     def add(self, row) -> list:
         outcome, id_, event = self.judge(row) if row["command"] in ("add", "revise", "forget") else ("bad-command", None, None)
+        data = snapshot = None
         if event:
             at = row["at"]
             if event["op"] == "revoke":
@@ -101,14 +129,21 @@ class Desk:
             before = self.size(id_)
             self.state.apply(event["op"], id_, event.get("fact"), at)
             self.chars += self.size(id_) - before
-            event |= {"version": C.SCHEMA_VERSION, "id": id_, "at": at}
-        return [(self.branch, row["seq"], row["command"], id_, outcome, json.dumps(event, sort_keys=True, ensure_ascii=False) if event else None, len(self.state.facts), self.chars)]
+            data, snapshot = data_of(self.stored_event(event, id_, at)), self.snapshot(at)
+        return [(self.branch, row["seq"], row["command"], id_, outcome, data, snapshot, len(self.state.facts), self.chars)]
 
     def finish(self) -> list:
         return []
 
 
-def outcomes(commands: DataFrame) -> DataFrame:
+def outcomes(commands: DataFrame, every: int = C.SNAPSHOT_EVERY) -> DataFrame:
     """``commands``: branch_id, seq, command, id, type, text, priority, hot, at."""
     rows = commands.select("branch_id", "seq", "command", "id", "type", "text", F.col("priority").cast("int").alias("priority"), "hot", "at")
-    return fold(rows, "branch_id", ["seq"], Desk, OUTCOMES)
+    return fold(rows, "branch_id", ["seq"], lambda branch: Desk(branch, every), OUTCOMES)
+
+
+def journal_entries(outcomes: DataFrame) -> DataFrame:
+    """branch_id, seq, entry_type, data of the events that outcomes made; a snapshot stands right behind its event."""
+    made = F.posexplode(F.array("event", "snapshot")).alias("place", "data")
+    rows = outcomes.select("branch_id", F.col("seq").alias("command_seq"), made).where("data is not null")
+    return rows.select("branch_id", (2 * F.col("command_seq") + F.col("place")).alias("seq"), F.lit(EVENT_ENTRY).alias("entry_type"), "data")

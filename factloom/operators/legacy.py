@@ -1,204 +1,230 @@
-"""Older journal generations: dispatch of raw entries and migration to version 3.
-
-Raw entries are JSON of several generations.  Which rule a version-1 or -2 event
-migrates by depends on the state at its place, so migration is part of the
-fold, like everything else that looks at earlier events.
+"""State from raw journals of any generation.
+
+Entries are parsed and judged as columns (``events``); the fold applies them in
+order, migrates the older ones to version 3, and has typed side outputs: a verdict
+an entry, the facts and tombstones a branch ends with, and its counters.  Which rule
+a version-1 or -2 event migrates by depends on the state at its place, so migration
+is part of the fold.  A pass over the judged entries finds each branch's latest
+valid version-3 snapshot first, and the fold begins there.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import constants as C
-from . import replay
-from .replay import Branch, canonical_key, normalise, units, valid_fact, valid_id, valid_time
+from . import events, replay
+from .replay import Branch, canonical_key, normalise, units
 from .runs import fold
 
 #: Entry types of the journal: events, and single facts of the first releases.
 EVENT_ENTRY, FACT_ENTRY = "fact-event", "fact"
 
+REBUILT = (
+    "branch_id string, seq long, part string, kind string, code string, accepted boolean, effect string, warnings array<string>, "
+    "id string, type string, text string, created_at double, updated_at double, hot boolean, priority int, priority_explicit boolean, revision long, at double, "
+    "n_facts long, n_chars long, migrated long, skipped long, future long, mutations long"
+)
+COLUMNS = [c.split()[0] for c in REBUILT.split(", ")]
 
-def snake(fact: dict) -> dict:
-    """Fact with the column names used here."""
-    names = {"createdAt": "created_at", "updatedAt": "updated_at", "priorityExplicit": "priority_explicit"}
-    return {names.get(k, k): v for k, v in fact.items()}
 
+def base36(n: int) -> str:
+    out = ""
+    while n:
+        n, d = divmod(n, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out or "0"
 
-def _text_ok(text) -> bool:
-    return isinstance(text, str) and 0 < len(text) <= C.MAX_LEGACY_CHARS
 
+def number(x):
+    """A JSON number as JavaScript shows it: whole ones without a fraction."""
+    return int(x) if x is not None and float(x).is_integer() else x
 
-def _reason_ok(event: dict) -> bool:
-    if "reason" not in event:
-        return True
-    r = event["reason"]
-    return isinstance(r, str) and units(r) <= C.MAX_REASON_CHARS and normalise(r) == r
 
+def payload(f: dict) -> dict:
+    return {k: f[k] for k in replay.PAYLOAD} | {"revision": number(f["revision"]), "priority": number(f["priority"])}
 
-def _revoke_ok(event: dict) -> bool:
-    return valid_id(event.get("id")) and valid_time(event.get("at")) and _reason_ok(event)
 
+class Journal:
+    """Folds judged entries of one branch; emits a verdict an entry, and what is left at the end."""
 
-def _legacy_type(t) -> bool:
-    return t in C.FACT_TYPES or t == C.LEGACY_TYPE[0]
+    def __init__(self, branch):
+        self.branch, self.state, self.standalones, self.last = branch, Branch(), 0, None
+        self.migrated = self.skipped = self.future = 0
+
+    def row(self, seq, part: str, **values) -> tuple:
+        values |= {"branch_id": self.branch, "seq": seq, "part": part}
+        return tuple(values.get(c) for c in COLUMNS)
+
+    def said(self, code: str, id_: str = "", **values) -> list[str]:
+        """The warning that belongs to a code, if there is one."""
+        form = C.WARNINGS.get(code)
+        return [form.format(id=id_, **values)] if form else []
+
+    def other(self, fact: dict) -> str:
+        return self.state.keys.get(canonical_key(fact["type"], fact["text"]), "")
+
+    def apply(self, op: str, id_: str, fact: dict | None, at, snapshot: dict | None = None) -> tuple[str, list[str]]:
+        now, other = self.state.facts.get(id_), self.other(fact) if fact else ""
+        code = self.state.apply(op, id_, fact, at, snapshot)
+        if code == "snapshot-invalid":
+            return code, self.said(code)
+        has = now["revision"] if now else 0
+        return code, self.said(code, id_, other=other, has=has, next=has + 1, got=fact["revision"] if fact else 0)
+
+    def old(self, id_: str, f: dict, created, updated, ranked: bool) -> dict | None:
+        """A payload of the first versions: default priority, never hot, the revision that fits; none if its text or id does not."""
+        text = normalise(f["text"])
+        type_ = C.LEGACY_TYPE[1] if f["type"] == C.LEGACY_TYPE[0] else f["type"]
+        if not 0 < units(text) <= C.MAX_FACT_CHARS or not replay.valid_id(id_):
+            return None
+        now, tomb = (self.state.facts.get(id_), self.state.tombs.get(id_)) if ranked else (None, None)
+        revision = max(now["revision"] if now else 0, tomb[0] if tomb else 0) + 1
+        return {"type": type_, "text": text, "created_at": created, "updated_at": max(created, updated), "hot": False, "priority": C.TYPE_PRIORITY[type_], "priority_explicit": False, "revision": revision}
+
+    def old_snapshot(self, row: dict) -> tuple[dict, list[str]]:
+        """A snapshot of the second form of version 2: revoked ids win, first facts stay."""
+        revoked = {i: {"revision": 1, "at": row["at"]} for i in row["revoked_ids"]}
+        kept, warnings = {}, []
+        for f in row["facts"]:
+            if f["id"] in revoked:
+                warnings += self.said("v2b-both", f["id"])
+            elif f["id"] in kept:
+                warnings += self.said("v2b-repeated", f["id"])
+            else:
+                kept[f["id"]] = f
+        return {"facts": [{"id": i, **payload(f)} for i, f in kept.items()], "revoked": revoked}, warnings
+
+    def event(self, row: dict) -> tuple[str, list[str], str]:
+        """code, warnings, effect."""
+        kind, op, id_, body = row["kind"], row["op"], row["event_id"], row["body"]
+        if kind == "future":
+            self.future += 1
+            return kind, [], "ignored"
+        if kind == "invalid":
+            return kind, self.said("no-object" if row["broken"] == "no-object" else kind), "ignored"
+        if op == "snapshot":
+            if kind == "v3":
+                snapshot, warnings = {"facts": [{"id": f["id"], **payload(f)} for f in row["facts"]], "revoked": {t["id"]: {"revision": number(t["revision"]), "at": t["at"]} for t in row["revoked"]}}, []
+            else:
+                snapshot, warnings = self.old_snapshot(row)
+            code, more = self.apply(op, "", None, row["at"], snapshot)
+            return code, warnings + more, "applied" if code.startswith("ok") else "ignored"
+        if op == "revoke":
+            code, warnings = self.apply(op, id_, None, row["at"])
+        else:
+            id_ = body["id"]
+            fact = payload(body) if kind in ("v3", "v2b") else self.old(id_, body, body["created_at"], body["updated_at"], True)
+            if fact and op == "add":
+                fact["revision"] = 1
+            if not fact or op == "supersede" and fact["updated_at"] > row["at"]:
+                self.skipped += 1
+                return "unsafe", self.said("unsafe", version=kind[:1].upper() + kind[1:], op=op), "skipped"
+            code, warnings = self.apply(op, id_, fact, row["at"])
+        if kind == "v3":
+            return code, warnings, "applied" if code.startswith("ok") else "ignored"
+        return code, warnings, self.counted(code)
+
+    def counted(self, code: str) -> str:
+        if code.startswith("ok"):
+            self.migrated += 1
+            return "migrated"
+        self.skipped += 1
+        return "skipped"
+
+    def standalone(self, row: dict) -> tuple[str, list[str], str]:
+        """A single fact of the first releases, under an id made from its time and place."""
+        if not row["sound"]:
+            self.skipped += 1
+            return "legacy-invalid", self.said("legacy-invalid"), "skipped"
+        own, time = row["own"], number(row["own"]["timestamp"])
+        # a time with a fraction makes an id that no fact may have
+        id_ = f"cf_legacy_{base36(time) if isinstance(time, int) else time}_{base36(self.standalones)}"
+        self.standalones += 1
+        if id_ in self.state.facts or id_ in self.state.tombs:
+            return "legacy-known", [], "ignored"
+        type_ = C.LEGACY_TYPE[1] if own["type"] == C.LEGACY_TYPE[0] else own["type"]
+        if other := self.other({"type": type_, "text": own["text"]}):
+            self.skipped += 1
+            return "legacy-duplicate", self.said("legacy-duplicate", other=other), "skipped"
+        fact = self.old(id_, own, own["timestamp"], own["timestamp"], False)
+        if not fact:
+            self.skipped += 1
+            return "legacy-oversized", self.said("legacy-oversized", id_), "skipped"
+        code, warnings = self.apply("add", id_, fact, None)
+        return code, warnings, self.counted(code)
 
+    def add(self, row) -> list:
+        self.last = row["seq"]
+        standalone = row["entry_type"] == FACT_ENTRY
+        code, warnings, effect = self.standalone(row) if standalone else self.event(row)
+        return [self.row(row["seq"], "verdict", kind="standalone" if standalone else row["kind"], code=code, accepted=code.startswith("ok"), effect=effect, warnings=warnings, n_facts=len(self.state.facts))]
 
-def _legacy_fact(f) -> bool:
-    return isinstance(f, dict) and valid_id(f.get("id")) and _legacy_type(f.get("type")) and _text_ok(f.get("text")) and valid_time(f.get("createdAt")) and valid_time(f.get("updatedAt")) and f["updatedAt"] >= f["createdAt"]
+    def finish(self) -> list:
+        state, chars = self.state, sum(units(f["text"]) for f in self.state.facts.values())
+        out = [self.row(self.last, "fact", id=i, **f) for i, f in state.facts.items()]
+        out += [self.row(self.last, "tombstone", id=i, revision=t[0], at=t[1]) for i, t in state.tombs.items()]
+        warnings = self.said("newer", n=self.future) if self.future else []
+        warnings += self.said("many-facts", n=len(state.facts), limit=C.MAX_FACTS) if len(state.facts) > C.MAX_FACTS else []
+        warnings += self.said("many-chars", n=chars, limit=C.MAX_TOTAL_CHARS) if chars > C.MAX_TOTAL_CHARS else []
+        return [*out, self.row(self.last, "counters", warnings=warnings, n_facts=len(state.facts), n_chars=chars, migrated=self.migrated, skipped=self.skipped, future=self.future, mutations=state.mutations)]
 
 
-def _v2_fact(f) -> bool:
-    """A version-2 fact: like version 3, but without a revision."""
-    return isinstance(f, dict) and "revision" not in f and valid_fact(snake({**f, "text": normalise(f["text"])} if isinstance(f.get("text"), str) else f) | {"revision": 1})
+def judged(entries: DataFrame) -> DataFrame:
+    """Journal entries with their members, generation and broken rule; entries of other types are left out."""
+    rows = entries.select("branch_id", "seq", "entry_type", "data").where(F.col("entry_type").isin(EVENT_ENTRY, FACT_ENTRY))
+    return events.classified(events.typed(rows)).withColumn("sound", events.valid_standalone())
 
 
-def event_class(event) -> str:
-    """v3, v2b, v2a, v1, future or invalid; the order of the tests decides overlaps."""
-    if not isinstance(event, dict):
-        return "invalid"
-    version, op = event.get("version"), event.get("op")
-    if isinstance(version, (int, float)) and not isinstance(version, bool) and version > C.SCHEMA_VERSION:
-        return "future"
-    if op == "revoke":
-        kind = {3: "v3", 2: "v2b", 1: "v1"}.get(version)
-        return kind if kind and _revoke_ok(event) else "invalid"
-    if version == 3:
-        if op == "add":
-            ok = valid_fact(snake(event.get("fact") or {})) and event["fact"].get("revision") == 1
-        elif op == "supersede":
-            f = event.get("replacement") or {}
-            ok = valid_fact(snake(f)) and valid_id(event.get("id")) and f.get("id") == event["id"] and valid_time(event.get("at")) and f["updatedAt"] <= event["at"] and _reason_ok(event)
-        else:
-            ok = op == "snapshot" and isinstance(event.get("facts"), list) and replay.valid_snapshot({"facts": [snake(f) if isinstance(f, dict) else f for f in event["facts"]], "revoked": event.get("revoked")}, event.get("at"))
-        return "v3" if ok else "invalid"
-    body = event.get("fact") if op == "add" else event.get("replacement") if op == "supersede" else None
-    named = op == "add" or (valid_id(event.get("id")) and isinstance(body, dict) and body.get("id") == event["id"] and valid_time(event.get("at")))
-    if version == 2:
-        if op == "snapshot" and isinstance(event.get("facts"), list) and isinstance(event.get("revokedIds"), list) and valid_time(event.get("at")):
-            return "v2b" if all(map(_v2_fact, event["facts"])) and all(map(valid_id, event["revokedIds"])) else "invalid"
-        if op in ("add", "supersede") and named:
-            return "v2b" if _v2_fact(body) and "hot" in body else "v2a" if _legacy_fact(body) else "invalid"
-    if version == 1 and op in ("add", "supersede") and named and _legacy_fact(body):
-        return "v1"
-    return "invalid"
+def from_last_snapshot(rows: DataFrame) -> DataFrame:
+    """Judged entries from each branch's latest valid version-3 snapshot on."""
+    return replay.from_last_snapshot(rows, (F.col("entry_type") == EVENT_ENTRY) & (F.col("kind") == "v3") & (F.col("op") == "snapshot"))
 
 
-def class_of(data: str) -> Column:
-    """Class of the events in a column of JSON; text that is no JSON is invalid."""
+def folded(rows: DataFrame) -> DataFrame:
+    """Judged entries folded by branch; see ``REBUILT``."""
+    used = rows.select("branch_id", "seq", "entry_type", "kind", "broken", "op", "event_id", "at", "body", "facts", "revoked", "revoked_ids", "own", "sound")
+    return fold(used, "branch_id", ["seq"], Journal, REBUILT)
 
-    def one(text) -> str:
-        try:
-            return event_class(json.loads(text))
-        except (TypeError, ValueError):
-            return "invalid"
 
-    # made here, for a module that holds a UDF cannot be sent to executors
-    def every(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+def rebuild(entries: DataFrame) -> DataFrame:
+    """``entries``: branch_id, seq, entry_type, data (JSON).  Verdicts, facts, tombstones and counters, told apart by ``part``.
 
-    return F.pandas_udf(every, StringType())(data)
+    The parts are views of one result: keep it (checkpoint, table) to read several.
+    """
+    return folded(from_last_snapshot(judged(entries)))
 
 
-def base36(n: int) -> str:
-    out = ""
-    while n:
-        n, d = divmod(n, 36)
-        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
-    return out or "0"
-
+def outcomes(entries: DataFrame) -> DataFrame:
+    """One row per journal entry from the first on, snapshots included."""
+    rows = folded(judged(entries)).where("part = 'verdict'")
+    return rows.select("branch_id", "seq", "kind", "code", "accepted", "effect", "warnings", "n_facts")
 
-class Journal:
-    """Folds raw entries of any generation; emits one verdict per entry."""
 
-    def __init__(self, branch):
-        self.branch, self.state, self.legacy = branch, Branch(), 0
+def facts(rebuilt: DataFrame) -> DataFrame:
+    return rebuilt.where("part = 'fact'").select("branch_id", "id", "type", "text", "created_at", "updated_at", "hot", "priority", "priority_explicit", "revision")
 
-    def migrated(self, id_: str, f: dict, times: tuple) -> dict | None:
-        """A version-1 or -2a payload: default priority, never hot, the revision that fits."""
-        text = normalise(f["text"])
-        type_ = C.LEGACY_TYPE[1] if f["type"] == C.LEGACY_TYPE[0] else f["type"]
-        if not 0 < units(text) <= C.MAX_FACT_CHARS:
-            return None
-        now, tomb = self.state.facts.get(id_), self.state.tombs.get(id_)
-        revision = max(now["revision"] if now else 0, tomb[0] if tomb else 0) + 1
-        return {"type": type_, "text": text, "created_at": times[0], "updated_at": max(times), "hot": False, "priority": C.TYPE_PRIORITY[type_], "priority_explicit": False, "revision": revision}
 
-    def event(self, event: dict) -> tuple[str, str]:
-        kind = event_class(event)
-        if kind in ("invalid", "future"):
-            return kind, kind
-        op = event["op"]
-        if op == "revoke":
-            return kind, self.state.apply(op, event["id"], None, event["at"])
-        if op == "snapshot":
-            facts = [snake(f) for f in event["facts"]]
-            revoked = event.get("revoked")
-            if kind == "v2b":
-                revoked = {i: {"revision": 1, "at": event["at"]} for i in event["revokedIds"]}
-                kept = {}
-                for f in facts:
-                    if f["id"] not in revoked:
-                        kept.setdefault(f["id"], f | {"revision": 1, "text": normalise(f["text"])})
-                facts = list(kept.values())
-            return kind, self.state.apply(op, "", None, event["at"], {"facts": facts, "revoked": revoked})
-        raw = event["fact"] if op == "add" else event["replacement"]
-        id_ = raw["id"]
-        if kind in ("v1", "v2a"):
-            fact = self.migrated(id_, raw, (raw["createdAt"], raw["updatedAt"]))
-            if fact is None:
-                return kind, "legacy-oversized"
-            if op == "add":
-                fact["revision"] = 1
-        else:
-            fact = {k: v for k, v in snake(raw).items() if k != "id"}
-            if kind == "v2b":
-                now = self.state.facts.get(id_)
-                fact["revision"] = 1 if op == "add" else (now["revision"] if now else 0) + 1
-                fact["text"] = normalise(fact["text"])
-        return kind, self.state.apply(op, id_, fact, event.get("at"))
-
-    def standalone(self, data) -> tuple[str, str]:
-        """A single fact of the first releases, under an id made from its time and place."""
-        ok = isinstance(data, dict) and _legacy_type(data.get("type")) and _text_ok(data.get("text")) and valid_time(data.get("timestamp")) and float(data["timestamp"]).is_integer()
-        if not ok:
-            return "standalone", "legacy-invalid"
-        id_ = f"cf_legacy_{base36(int(data['timestamp']))}_{base36(self.legacy)}"
-        self.legacy += 1
-        if id_ in self.state.facts or id_ in self.state.tombs:
-            return "standalone", "legacy-known"
-        fact = self.migrated(id_, data, (data["timestamp"], data["timestamp"]))
-        if fact is None:
-            return "standalone", "legacy-oversized"
-        if canonical_key(fact["type"], fact["text"]) in self.state.keys:
-            return "standalone", "legacy-duplicate"
-        return "standalone", self.state.apply("add", id_, fact | {"revision": 1})
+def tombstones(rebuilt: DataFrame) -> DataFrame:
+    return rebuilt.where("part = 'tombstone'").select("branch_id", "id", "revision", "at")
 
-    def add(self, row) -> list:
-        if row["entry_type"] not in (EVENT_ENTRY, FACT_ENTRY):
-            return []
-        try:
-            data = json.loads(row["data"])
-        except (TypeError, ValueError):
-            data = None
-        kind, code = self.event(data) if row["entry_type"] == EVENT_ENTRY else self.standalone(data)
-        return [(self.branch, row["seq"], kind, code, code.startswith("ok"), len(self.state.facts), len(self.state.tombs))]
 
-    def finish(self) -> list:
-        return []
+def diagnostics(rebuilt: DataFrame) -> DataFrame:
+    """Per branch: older events that counted and that did not, events of a later schema, warnings, and the state's size."""
+    own = rebuilt.where("part in ('verdict', 'counters')")
+    last = lambda c: F.max(F.when(F.col("part") == "counters", F.col(c))).alias(c)
+    return own.groupBy("branch_id").agg(*(last(c) for c in ("migrated", "skipped", "future", "n_facts", "n_chars", "mutations")), F.sum(F.size("warnings")).cast("long").alias("n_warnings"))
 
 
-def outcomes(entries: DataFrame) -> DataFrame:
-    """``entries``: branch_id, seq, entry_type, data (JSON).  One row per journal entry."""
-    rows = entries.select("branch_id", "seq", "entry_type", "data")
-    return fold(rows, "branch_id", ["seq"], Journal, "branch_id string, seq long, kind string, code string, accepted boolean, n_facts long, n_tombstones long")
+def warnings(rebuilt: DataFrame) -> DataFrame:
+    """branch_id, seq, place, text of every warning; those about the whole branch come last."""
+    rows = rebuilt.where("part in ('verdict', 'counters')").select("branch_id", "seq", (F.col("part") == "counters").alias("whole"), F.posexplode("warnings").alias("place", "text"))
+    return rows.select("branch_id", "seq", "whole", "place", "text")
 
 
-def diagnostics(outcomes: DataFrame) -> DataFrame:
-    """Per branch: events of older generations, entries that are none, events of a later schema."""
-    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
-    return outcomes.groupBy("branch_id").agg(count("v1", "v2a", "v2b").alias("migrated"), count("invalid").alias("skipped"), count("future").alias("future"))
+def data_of(event: dict) -> str:
+    """An event as the journal holds it."""
+    return json.dumps(event, sort_keys=True, ensure_ascii=False)

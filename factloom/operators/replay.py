@@ -34,7 +34,7 @@ def canonical_key(type_: str, text: str) -> tuple[str, str]:
     text = normalise(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return type_, _SPACE.sub(" ", text).strip(" ")
+    return type_, _SPACE.sub(" ", text)
 
 
 PAYLOAD = ("type", "text", "created_at", "updated_at", "hot", "priority", "priority_explicit")

@@ -59,6 +59,49 @@ def snapshot_journal(events: DataFrame) -> DataFrame:
     return rows.select("branch_id", "seq", blank("op", "snapshot"), blank("id", ""), blank("text", None), blank("revision", None), "at", blank("updated_at", None), F.when(snap, text).alias("snapshot"))
 
 
+def _object(**parts) -> F.Column:
+    """JSON object of members given as JSON; null ones are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v.cast("string")) for k, v in parts.items())), F.lit("}"))
+
+
+def _quoted(text) -> F.Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def generations(events: DataFrame) -> DataFrame:
+    """A raw journal of every generation: sound events, events that break one rule, snapshots of two generations, standalone facts, later schemas, and entries that are no events."""
+    n = F.col("seq")
+    rows = journal(events).select("branch_id", "seq", "op", "id", "text", "at", "updated_at")
+    form = F.when(n % 31 == 7, "v3").when(n % 31 == 20, "v2b").when(n % 10 < 4, "v3").when(n % 10 < 6, "v2b").when(n % 10 < 8, "v2a").when(n % 10 == 8, "v1").when(n % 30 == 9, "future").when(n % 30 == 19, "standalone").otherwise("odd")
+    bad = F.when(n % 23 == 11, F.floor(n / 23) % 8)
+    rows = rows.withColumns({"form": form, "bad": bad, "op": F.when(n % 31 == 7, "snapshot").when(n % 31 == 20, "snapshot").otherwise(F.col("op"))})
+    is_, bad, at = lambda x: F.coalesce(F.col("bad") == x, F.lit(False)), F.col("bad"), F.col("at")
+    first, old = F.col("form") == "v1", F.col("form").isin("v2a", "v1")
+    type_ = F.when(is_(1), "rumour").when(first, F.when(n % 3 == 0, C.LEGACY_TYPE[0]).otherwise("finding")).when(n % 2 == 0, "finding").otherwise("decision")
+    text = F.when(is_(2), "").when(old & (n % 37 == 5), "   ").when(old & (n % 4 == 0), F.concat(F.lit(" "), "text", F.lit(" "))).otherwise(F.col("text"))
+    updated = F.when(first & (n % 41 == 8), at + 5).otherwise(F.col("updated_at"))
+    body = _object(
+        id=_quoted(F.when(is_(0), "bad id").otherwise(F.col("id"))), type=_quoted(type_), text=_quoted(text), createdAt=F.when(is_(6), F.lit("null")).when(is_(3), (updated + 1).cast("string")).otherwise((updated - 1000).cast("string")), updatedAt=updated,
+        hot=F.when(~first, F.when(is_(5), '"yes"').when(n % 3 == 0, "true").otherwise("false")), priority=F.when(~first, F.when(is_(4), 101).otherwise(n % 101)), priorityExplicit=F.when(~first, F.when(n % 5 == 0, "true").otherwise("false")),
+        revision=F.when(~old, F.when(F.col("op") == "add", 1).otherwise(1 + n % 3)),
+    )
+    version = F.when(F.col("form") == "v3", 3).when(first, 1).when(F.col("form") == "future", 4).otherwise(2)
+    revoke = F.col("op") == "revoke"
+    reason = F.when(revoke & (bad % 2 == 1), F.lit("null")).when((F.col("op") == "supersede") & is_(7), _quoted(F.repeat(F.lit("x"), 501))).when(n % 2 == 0, F.lit('"why"'))
+    event = _object(version=version, op=_quoted(F.col("op")), id=F.when(F.col("op") != "add", _quoted(F.col("id"))), fact=F.when(F.col("op") == "add", body), replacement=F.when(F.col("op") == "supersede", body), at=F.when(F.col("op") != "add", F.when(revoke & (bad % 2 == 0), 0).otherwise(at)), reason=reason)
+    fact = lambda id_, said, revision, later: _object(id=_quoted(F.lit(id_)), type=F.lit('"finding"'), text=_quoted(said), createdAt=at, updatedAt=at + later, hot=F.lit("false"), priority=F.lit("50"), priorityExplicit=F.lit("false"), revision=F.lit(str(revision)))
+    listed = lambda *xs: F.concat(F.lit("["), F.concat_ws(",", *xs), F.lit("]"))
+    own = F.concat(F.lit("s"), n.cast("string"))
+    newest = _object(version=F.lit("3"), op=F.lit('"snapshot"'), facts=listed(fact("cf_k1", own, 2, F.lit(0)), fact("cf_k2", F.lit("v5"), 1, n % 2)), revoked=F.concat(F.lit('{"cf_k3":{"revision":4,"at":'), at.cast("string"), F.lit("}}")), at=at)
+    older = _object(version=F.lit("2"), op=F.lit('"snapshot"'), facts=listed(fact("cf_k1", own, 1, F.lit(0)), fact("cf_k2", F.lit("v6"), 3, n % 2), fact("cf_k2", F.lit("v7"), 3, F.lit(0))), revokedIds=F.lit('["cf_k3","cf_k1","cf_k3"]'), at=at)
+    k = F.floor(n / 30)
+    alone = _object(type=_quoted(F.when(k % 2 == 0, C.LEGACY_TYPE[0]).otherwise("milestone")), text=_quoted(F.when(k % 9 == 3, "  ").otherwise(F.concat(F.lit("alone "), (n % 7).cast("string")))), timestamp=F.when(k % 5 == 4, F.lit("null")).otherwise(at.cast("string")))
+    odd = F.element_at(F.array(F.lit("not json"), F.lit("[]"), F.lit('{"version":0}'), F.lit('"text"')), (k % 4 + 1).cast("int"))
+    data = F.when(F.col("op") == "snapshot", F.when(F.col("form") == "v3", newest).otherwise(older)).when(F.col("form") == "standalone", alone).when(F.col("form") == "odd", odd).otherwise(event)
+    kind = F.when((F.col("form") == "standalone"), "fact").otherwise("fact-event")
+    return rows.select("branch_id", "seq", kind.alias("entry_type"), data.alias("data"))
+
+
 def commands(events: DataFrame) -> DataFrame:
     """Write commands of each user: adds, and revisions and revocations of what one to three events before made."""
     n = F.col("event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from . import constants as C
 from .api import Engine
 from .functions import rules as R
 from .functions import text as T
-from .operators import audit, commands, evaluate, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
+from .operators import audit, commands, evaluate, events, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
 from .plans import fixtures
 from .sources import config, journal
+from .sources.shared import shared_path
 from .streaming import replay_stream
 
 QUERIES: dict = {}
@@ -153,63 +156,135 @@ def validate_fact(spark, sf_dir):
     return facts(spark, sf_dir).select("id", R.valid_fact().alias("valid"))
 
 
-_RAW = """raw AS (
-  SELECT event_id, 'u_' || user_id AS branch_id, CAST(event_id % 6 AS INTEGER) AS version, CASE event_id // 6 % 4 WHEN 0 THEN 'revoke' WHEN 1 THEN 'add' WHEN 2 THEN 'supersede' ELSE 'merge' END AS op,
-    event_id % 17 = 0 AS bad_id, CASE WHEN event_id % 19 = 0 THEN 0 ELSE 1 + event_id END AS "at", event_id % 23 = 0 AS bad_reason, event_id % 13 = 5 AS standalone FROM events),
-classed AS (
-  SELECT *, CASE WHEN version > 3 THEN 'future' WHEN bad_id OR op = 'merge' OR version = 0 THEN 'invalid'
-    WHEN op = 'revoke' THEN CASE WHEN "at" = 0 OR bad_reason THEN 'invalid' ELSE CASE version WHEN 3 THEN 'v3' WHEN 2 THEN 'v2b' ELSE 'v1' END END
-    WHEN op = 'supersede' AND "at" = 0 THEN 'invalid'
-    WHEN version = 3 THEN CASE WHEN op = 'supersede' AND bad_reason THEN 'invalid' ELSE 'v3' END
-    WHEN version = 2 THEN CASE WHEN event_id % 3 < 2 AND event_id % 5 > 0 THEN 'v2b' ELSE 'v2a' END ELSE 'v1' END AS kind FROM raw)"""
+# raw journals of every generation
+
+_GEN = f"""g0 AS (
+  SELECT 'u_' || user_id AS branch_id, event_id AS n, CAST(json_extract(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS at_,
+    CASE WHEN event_id % 31 = 7 THEN 'v3' WHEN event_id % 31 = 20 THEN 'v2b' WHEN event_id % 10 < 4 THEN 'v3' WHEN event_id % 10 < 6 THEN 'v2b' WHEN event_id % 10 < 8 THEN 'v2a' WHEN event_id % 10 = 8 THEN 'v1'
+      WHEN event_id % 30 = 9 THEN 'future' WHEN event_id % 30 = 19 THEN 'standalone' ELSE 'odd' END AS form,
+    CASE WHEN event_id % 31 IN (7, 20) THEN 'snapshot' WHEN event_type IN ('signup', 'click') THEN 'add' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'revoke' ELSE 'supersede' END AS op,
+    CASE WHEN event_id % 23 = 11 THEN event_id // 23 % 8 END AS bad FROM events),
+g1 AS (
+  SELECT *, CASE WHEN form = 'odd' THEN CASE WHEN n // 30 % 4 IN (0, 3) THEN 'no-object' ELSE 'version' END
+    WHEN op = 'snapshot' THEN CASE WHEN form = 'v3' AND n % 2 = 1 THEN 'later' END WHEN form IN ('future', 'standalone') THEN NULL
+    WHEN op = 'revoke' THEN CASE bad % 2 WHEN 0 THEN 'at' WHEN 1 THEN 'reason' END
+    ELSE CASE bad WHEN 0 THEN 'fact-id' WHEN 1 THEN 'type' WHEN 2 THEN 'text' WHEN 3 THEN 'order' WHEN 4 THEN CASE WHEN form <> 'v1' THEN 'priority' END WHEN 5 THEN CASE WHEN form <> 'v1' THEN 'hot' END WHEN 6 THEN 'time' WHEN 7 THEN CASE WHEN op = 'supersede' THEN 'reason' END END END AS broken FROM g0),
+g2 AS (
+  SELECT *, CASE WHEN form = 'standalone' THEN 'standalone' WHEN broken IS NOT NULL THEN 'invalid' WHEN form = 'v2a' AND op = 'revoke' THEN 'v2b' ELSE form END AS kind,
+    at_ - (n % 7) * 3600000 AS up0, 'v' || ((k * 7 + n) % 40) AS said FROM g1),
+g3 AS (
+  SELECT branch_id, n AS seq, kind, broken, CASE WHEN form IN ('standalone', 'odd') THEN '' ELSE op END AS op, 'cf_k' || (k % 24) AS id, at_ AS "at", kind IN ('v2a', 'v1') AS old,
+    CASE WHEN form = 'standalone' THEN CASE WHEN n // 30 % 2 = 0 THEN 'approved_spec' ELSE 'milestone' END WHEN form = 'v1' THEN CASE WHEN n % 3 = 0 THEN 'approved_spec' ELSE 'finding' END WHEN n % 2 = 0 THEN 'finding' ELSE 'decision' END AS type,
+    CASE WHEN form = 'standalone' THEN CASE WHEN n // 30 % 9 = 3 THEN '' ELSE 'alone ' || (n % 7) END WHEN form IN ('v2a', 'v1') AND n % 37 = 5 THEN '' ELSE said END AS text,
+    n // 30 % 5 <> 4 AS sound, CAST(CASE WHEN op = 'add' THEN 1 ELSE 1 + n % 3 END AS BIGINT) AS rev, n % 3 = 0 AS hot, n % 101 AS pri, n % 5 = 0 AS ex,
+    CASE WHEN form = 'standalone' THEN at_ WHEN form = 'v1' AND n % 41 = 8 THEN at_ + 5 ELSE up0 END AS up FROM g2),
+gj AS (
+  SELECT branch_id, seq, kind, broken, op, id, "at", old, type, text, sound, rev, up, CASE WHEN kind = 'standalone' THEN up ELSE up - 1000 END AS cr,
+    CASE WHEN old OR kind = 'standalone' THEN FALSE ELSE hot END AS hot, CASE WHEN old OR kind = 'standalone' THEN {PRIORITY('type')} ELSE pri END AS pri, CASE WHEN old OR kind = 'standalone' THEN FALSE ELSE ex END AS ex FROM g3),
+gs AS (SELECT branch_id, max(seq) AS start FROM gj WHERE kind = 'v3' AND op = 'snapshot' GROUP BY branch_id)"""
+_FACT_T, _TOMB_T, _LOG_T = 'STRUCT(id VARCHAR, type VARCHAR, text VARCHAR, cr BIGINT, up BIGINT, hot BOOLEAN, pri BIGINT, ex BOOLEAN, rev BIGINT)', 'STRUCT(id VARCHAR, rev BIGINT, "at" BIGINT)', 'STRUCT(seq BIGINT, kind VARCHAR, op VARCHAR, code VARCHAR, id VARCHAR, other VARCHAR, has BIGINT, got BIGINT)'
+_SELF = "'seq': {x}seq, 'kind': {x}kind, 'op': {x}op, 'id': {x}id, 'at': {x}\"at\", 'old': {x}old, 'type': {x}type, 'text': {x}text, 'sound': {x}sound, 'rev': {x}rev, 'up': {x}up, 'cr': {x}cr, 'hot': {x}hot, 'pri': {x}pri, 'ex': {x}ex"
+_REBUILD = f"""WITH {_GEN},
+ge AS (
+  SELECT branch_id, list({{{_SELF.format(x='')}, 'facts': []::{_FACT_T}[], 'tombs': []::{_TOMB_T}[], 'log': []::{_LOG_T}[], 'alone': 0::BIGINT, 'mut': 0::BIGINT}} ORDER BY seq) AS es
+  FROM gj LEFT JOIN gs USING (branch_id) WHERE seq >= coalesce(start, seq) GROUP BY branch_id),
+gf AS (
+  SELECT branch_id, list_reduce(es, lambda a, x: list_transform(list_transform(list_transform(
+    [{{'id': CASE WHEN x.kind = 'standalone' THEN 'cf_legacy_' || lower(to_base(x.up, 36)) || '_' || lower(to_base(a.alone, 36)) ELSE x.id END, 'twin': list_filter(a.facts, lambda t: t.type = x.type AND t.text = x.text)[1]}}],
+    lambda i: {{'i': i, 'now': list_filter(a.facts, lambda t: t.id = i.id)[1], 'tomb': list_filter(a.tombs, lambda t: t.id = i.id)[1]}}),
+    lambda w: {{'w': w, 'code': CASE
+      WHEN x.kind IN ('invalid', 'future') THEN x.kind
+      WHEN x.kind = 'standalone' THEN CASE WHEN NOT x.sound THEN 'legacy-invalid' WHEN w.i.twin.id IS NOT NULL THEN 'legacy-duplicate' WHEN x.text = '' THEN 'legacy-oversized' ELSE 'ok' END
+      WHEN x.op = 'snapshot' THEN CASE WHEN x.kind = 'v2b' AND x.seq % 2 = 1 THEN 'snapshot-invalid' ELSE 'ok' END
+      WHEN x.old AND (x.text = '' OR (x.op = 'supersede' AND x.up > x."at")) THEN 'unsafe'
+      WHEN x.op = 'add' THEN CASE WHEN w.tomb.id IS NOT NULL THEN 'add-revoked'
+        WHEN w.now.id IS NOT NULL THEN CASE WHEN w.now.type = x.type AND w.now.text = x.text AND w.now.cr = x.cr AND w.now.up = x.up AND w.now.hot = x.hot AND w.now.pri = x.pri AND w.now.ex = x.ex THEN 'add-identical' ELSE 'add-conflict' END
+        WHEN w.i.twin.id IS NOT NULL THEN 'add-duplicate' ELSE 'ok' END
+      WHEN x.op = 'supersede' THEN CASE WHEN w.tomb.id IS NOT NULL THEN 'supersede-revoked' WHEN w.now.id IS NULL THEN 'supersede-missing'
+        WHEN NOT x.old AND x.rev <= w.now.rev THEN 'supersede-stale' WHEN NOT x.old AND x.rev > w.now.rev + 1 THEN 'supersede-gap' WHEN x.up < w.now.up THEN 'supersede-older'
+        WHEN coalesce(w.i.twin.id <> x.id, FALSE) THEN 'supersede-duplicate' ELSE 'ok' END
+      ELSE CASE WHEN w.now.id IS NOT NULL THEN CASE WHEN x."at" < w.now.up THEN 'revoke-stale' ELSE 'ok' END WHEN w.tomb.id IS NULL THEN 'ok-orphan' WHEN x."at" <= w.tomb."at" THEN 'revoke-duplicate' ELSE 'ok-later' END END}}),
+    lambda c: {{{_SELF.format(x='x.')},
+      'facts': CASE WHEN NOT starts_with(c.code, 'ok') THEN a.facts
+        WHEN x.op = 'snapshot' AND x.kind = 'v3' THEN [{{'id': 'cf_k1', 'type': 'finding', 'text': 's' || x.seq, 'cr': x."at", 'up': x."at", 'hot': FALSE, 'pri': 50::BIGINT, 'ex': FALSE, 'rev': 2::BIGINT}}, {{'id': 'cf_k2', 'type': 'finding', 'text': 'v5', 'cr': x."at", 'up': x."at", 'hot': FALSE, 'pri': 50::BIGINT, 'ex': FALSE, 'rev': 1::BIGINT}}]
+        WHEN x.op = 'snapshot' THEN [{{'id': 'cf_k2', 'type': 'finding', 'text': 'v6', 'cr': x."at", 'up': x."at", 'hot': FALSE, 'pri': 50::BIGINT, 'ex': FALSE, 'rev': 3::BIGINT}}]
+        WHEN x.op = 'revoke' THEN list_filter(a.facts, lambda t: t.id <> x.id)
+        ELSE list_append(list_filter(a.facts, lambda t: t.id <> c.w.i.id), {{'id': c.w.i.id, 'type': x.type, 'text': x.text, 'cr': x.cr, 'up': x.up, 'hot': x.hot, 'pri': x.pri, 'ex': x.ex, 'rev': CASE WHEN x.kind = 'standalone' OR x.op = 'add' THEN 1 WHEN x.old THEN c.w.now.rev + 1 ELSE x.rev END}}) END,
+      'tombs': CASE WHEN NOT starts_with(c.code, 'ok') OR x.op NOT IN ('snapshot', 'revoke') THEN a.tombs
+        WHEN x.op = 'snapshot' THEN CASE WHEN x.kind = 'v3' THEN [{{'id': 'cf_k3', 'rev': 4::BIGINT, 'at': x."at"}}] ELSE [{{'id': 'cf_k3', 'rev': 1::BIGINT, 'at': x."at"}}, {{'id': 'cf_k1', 'rev': 1::BIGINT, 'at': x."at"}}] END
+        ELSE list_append(list_filter(a.tombs, lambda t: t.id <> x.id), {{'id': x.id, 'rev': CASE c.code WHEN 'ok-orphan' THEN 1 WHEN 'ok-later' THEN c.w.tomb.rev ELSE greatest(c.w.now.rev, coalesce(c.w.tomb.rev, 0)) + 1 END, 'at': x."at"}}) END,
+      'log': list_append(a.log, {{'seq': x.seq, 'kind': x.kind, 'op': x.op, 'code': c.code, 'id': c.w.i.id, 'other': c.w.i.twin.id, 'has': c.w.now.rev, 'got': x.rev}}),
+      'alone': a.alone + CASE WHEN x.kind = 'standalone' AND x.sound THEN 1 ELSE 0 END,
+      'mut': CASE WHEN NOT starts_with(c.code, 'ok') THEN a.mut WHEN x.op = 'snapshot' THEN 0 ELSE a.mut + 1 END}})[1],
+    {{{_SELF.format(x='es[1].')}, 'facts': []::{_FACT_T}[], 'tombs': []::{_TOMB_T}[], 'log': []::{_LOG_T}[], 'alone': 0::BIGINT, 'mut': 0::BIGINT}}) AS s FROM ge),
+gl AS (SELECT branch_id, u.seq AS seq, u.kind AS kind, u.op AS op, u.code AS code, u.id AS id, u.other AS other, u.has AS has, u.got AS got, starts_with(u.code, 'ok') AS accepted FROM (SELECT branch_id, unnest(s.log) AS u FROM gf)),
+gv AS (SELECT *, CASE WHEN kind IN ('invalid', 'future') OR code = 'legacy-known' THEN 'ignored' WHEN kind = 'v3' OR op = 'snapshot' THEN CASE WHEN accepted THEN 'applied' ELSE 'ignored' END WHEN accepted THEN 'migrated' ELSE 'skipped' END AS effect FROM gl)"""
+_SAYS = "CASE code " + " ".join(f"WHEN {q(code)} THEN {q(form).replace('{id}', chr(39) + ' || id || ' + chr(39)).replace('{other}', chr(39) + ' || other || ' + chr(39)).replace('{got}', chr(39) + ' || got || ' + chr(39)).replace('{has}', chr(39) + ' || has || ' + chr(39)).replace('{next}', chr(39) + ' || (has + 1) || ' + chr(39)).replace('{op}', chr(39) + ' || op || ' + chr(39)).replace('{version}', chr(39) + ' || upper(left(kind, 1)) || substr(kind, 2) || ' + chr(39))}" for code, form in C.WARNINGS.items() if "{n}" not in form and not code.startswith("v2b")) + " END"
 
 
-def raw_events(spark, sf_dir):
-    """JSON events of every operation and schema version, sound and broken ones."""
-    n = F.col("event_id")
-    version, op = (n % 6).cast("int"), F.element_at(F.array(*map(F.lit, ("revoke", "add", "supersede", "merge"))), (F.floor(n / 6) % 4 + 1).cast("int"))
-    id_ = F.when(n % 17 == 0, "bad id").otherwise(F.concat(F.lit("cf_k"), n.cast("string")))
-    at = F.when(n % 19 == 0, 0).otherwise(1 + n)
-    late = (version == 3) | ((version == 2) & (n % 3 < 2) & (n % 5 > 0))  # has the later fields
-    body = F.struct(
-        id_.alias("id"), F.when(~late & (n % 7 == 0), C.LEGACY_TYPE[0]).otherwise("decision").alias("type"), F.concat(F.lit("text "), n.cast("string")).alias("text"), F.lit(1).alias("createdAt"), F.lit(1).alias("updatedAt"),
-        F.when(late, n % 2 == 0).alias("hot"), F.when(late, 7).alias("priority"), F.when(late, True).alias("priorityExplicit"), F.when(version == 3, 1).alias("revision"),
-    )
-    event = F.struct(version.alias("version"), op.alias("op"), F.when(op != "add", id_).alias("id"), F.when(op != "add", at).alias("at"), F.when(n % 23 == 0, F.repeat(F.lit("x"), 501)).when(n % 2 == 0, "why").alias("reason"), F.when(op == "add", body).alias("fact"), F.when(op == "supersede", body).alias("replacement"))
-    alone = F.to_json(F.struct(F.lit(C.LEGACY_TYPE[0]).alias("type"), F.concat(F.lit("alone "), n.cast("string")).alias("text"), (n + 1).alias("timestamp")))
-    return fixtures.table(spark, sf_dir, "events").select(n, F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("branch_id"), F.to_json(event).alias("data"), F.when(n % 13 == 5, alone).alias("alone"))
-
-
-@query(f"WITH {_RAW} SELECT event_id, kind = 'v3' AS valid FROM classed")
+def generations(spark, sf_dir):
+    return fixtures.generations(fixtures.table(spark, sf_dir, "events"))
+
+
+def rebuilt(spark, sf_dir):
+    return legacy.rebuild(generations(spark, sf_dir))
+
+
+@query(f"WITH {_GEN} SELECT seq AS event_id, kind = 'v3' AS valid FROM gj WHERE kind <> 'standalone'")
 def validate_event(spark, sf_dir):
-    return raw_events(spark, sf_dir).select("event_id", (legacy.class_of("data") == "v3").alias("valid"))
+    rows = events.class_of(generations(spark, sf_dir).where(F.col("entry_type") == legacy.EVENT_ENTRY), "data")
+    return rows.select(F.col("seq").alias("event_id"), (F.col("kind") == "v3").alias("valid"))
 
 
-@query(f"WITH {_RAW} SELECT event_id, kind AS event_class FROM classed")
+@query(f"WITH {_GEN} SELECT seq AS event_id, kind AS event_class, broken FROM gj WHERE kind <> 'standalone'")
 def event_class(spark, sf_dir):
-    return raw_events(spark, sf_dir).select("event_id", legacy.class_of("data").alias("event_class"))
+    """The generation that takes each event, and the first rule that a refused one breaks."""
+    rows = events.class_of(generations(spark, sf_dir).where(F.col("entry_type") == legacy.EVENT_ENTRY), "data")
+    return rows.select(F.col("seq").alias("event_id"), F.col("kind").alias("event_class"), "broken")
 
 
-@query(f"""WITH {_RAW} SELECT branch_id, event_id AS seq, CASE WHEN standalone THEN 'standalone' ELSE kind END AS kind,
-  standalone OR (kind NOT IN ('future', 'invalid') AND op IN ('add', 'revoke')) AS accepted FROM classed""")
+@query(f"{_REBUILD} SELECT branch_id, seq, kind, code, accepted, effect FROM gv")
 def journal_generations(spark, sf_dir):
-    """Events of every operation and generation, and standalone facts, through the raw-journal fold; each names a fact of its own."""
-    entry = F.when(F.col("alone").isNotNull(), legacy.FACT_ENTRY).otherwise(legacy.EVENT_ENTRY)
-    rows = raw_events(spark, sf_dir).select("branch_id", F.col("event_id").alias("seq"), entry.alias("entry_type"), F.coalesce("alone", "data").alias("data"))
-    return legacy.outcomes(rows).select("branch_id", "seq", "kind", "accepted")
+    """What becomes of every entry from the latest valid snapshot of its branch on."""
+    return rebuilt(spark, sf_dir).where("part = 'verdict'").select("branch_id", "seq", "kind", "code", "accepted", "effect")
+
+
+_REBUILT_FACTS = "SELECT branch_id, u.id AS id, u.type AS type, u.text AS text, CAST(u.cr AS DOUBLE) AS created_at, CAST(u.up AS DOUBLE) AS updated_at, u.hot AS hot, CAST(u.pri AS INTEGER) AS priority, u.ex AS priority_explicit, u.rev AS revision FROM (SELECT branch_id, unnest(s.facts) AS u FROM gf)"
+
 
+@query(f"{_REBUILD} {_REBUILT_FACTS}")
+def rebuild_state(spark, sf_dir):
+    return legacy.facts(rebuilt(spark, sf_dir))
 
-@query(f"""WITH {_RAW}, o AS (SELECT branch_id, CASE WHEN standalone THEN 'standalone' ELSE kind END AS kind FROM classed)
-SELECT branch_id, CAST(count_if(kind IN ('v1', 'v2a', 'v2b')) AS BIGINT) AS migrated, CAST(count_if(kind = 'invalid') AS BIGINT) AS skipped, CAST(count_if(kind = 'future') AS BIGINT) AS future FROM o GROUP BY branch_id""")
+
+@query(f"{_REBUILD} SELECT branch_id, u.id AS id, u.rev AS revision, CAST(u.\"at\" AS DOUBLE) AS \"at\" FROM (SELECT branch_id, unnest(s.tombs) AS u FROM gf)")
+def rebuild_tombstones(spark, sf_dir):
+    return legacy.tombstones(rebuilt(spark, sf_dir))
+
+
+_COUNTS = """c AS (SELECT branch_id, count_if(effect = 'migrated') AS migrated, count_if(effect = 'skipped') AS skipped, count_if(kind = 'future') AS future,
+  CAST(sum(CASE WHEN op = 'snapshot' AND kind = 'v2b' THEN 2 + CASE WHEN accepted THEN 0 ELSE 1 END WHEN code IN ('ok', 'ok-later', 'future', 'legacy-known') THEN 0 ELSE 1 END) AS BIGINT) AS said FROM gv GROUP BY branch_id),
+z AS (SELECT branch_id, len(s.facts) AS n_facts, CAST(coalesce(list_sum(list_transform(s.facts, lambda t: length(t.text))), 0) AS BIGINT) AS n_chars, s.mut AS mutations FROM gf)"""
+
+
+@query(f"{_REBUILD}, {_COUNTS} SELECT branch_id, migrated, skipped, future, n_facts, n_chars, mutations, said + CASE WHEN future > 0 THEN 1 ELSE 0 END + CASE WHEN n_facts > {C.MAX_FACTS} THEN 1 ELSE 0 END + CASE WHEN n_chars > {C.MAX_TOTAL_CHARS} THEN 1 ELSE 0 END AS n_warnings FROM c JOIN z USING (branch_id)")
 def journal_diagnostics(spark, sf_dir):
-    entry = F.when(F.col("alone").isNotNull(), legacy.FACT_ENTRY).otherwise(legacy.EVENT_ENTRY)
-    rows = raw_events(spark, sf_dir).select("branch_id", F.col("event_id").alias("seq"), entry.alias("entry_type"), F.coalesce("alone", "data").alias("data"))
-    return legacy.diagnostics(legacy.outcomes(rows))
+    """Older entries by what became of them, events of later schemas, warnings, and the size of the state."""
+    return legacy.diagnostics(rebuilt(spark, sf_dir))
+
+
+@query(f"""{_REBUILD}, {_COUNTS},
+t AS (SELECT branch_id, seq, FALSE AS whole, 0 AS place, {_SAYS} AS text FROM (SELECT * REPLACE (CASE WHEN code = 'invalid' AND broken = 'no-object' THEN 'no-object' ELSE code END AS code) FROM gv JOIN (SELECT branch_id, seq, broken FROM gj) USING (branch_id, seq)) WHERE code NOT IN ('ok', 'ok-later', 'future', 'legacy-known') AND NOT (op = 'snapshot' AND kind = 'v2b')
+  UNION ALL SELECT branch_id, seq, FALSE, unnest(range(0, CASE WHEN accepted THEN 2 ELSE 3 END)), unnest([{q(C.WARNINGS['v2b-both'].format(id='cf_k1'))}, {q(C.WARNINGS['v2b-repeated'].format(id='cf_k2'))}] || CASE WHEN accepted THEN []::VARCHAR[] ELSE [{q(C.WARNINGS['snapshot-invalid'])}] END) FROM gv WHERE op = 'snapshot' AND kind = 'v2b'
+  UNION ALL SELECT branch_id, (SELECT max(seq) FROM gl WHERE gl.branch_id = c.branch_id), TRUE, 0, 'Journal contains ' || future || ' newer-schema pinned event(s); those events were ignored.' FROM c WHERE future > 0)
+SELECT branch_id, seq, whole, CAST(place AS INTEGER) AS place, text FROM t""")
+def rebuild_warnings(spark, sf_dir):
+    return legacy.warnings(rebuilt(spark, sf_dir))
 
 
 @query(f"WITH {FACTS}, k AS (SELECT branch_id, id, type || chr(31) || {TRIM(COLLAPSE(NORMALISE('text')))} AS key FROM facts) SELECT branch_id, min(id) AS first_id, count(*) AS n FROM k GROUP BY branch_id, key HAVING count(*) > 1")
 def dup_key(spark, sf_dir):
-    rows = facts(spark, sf_dir).select("branch_id", "id", T.canonical_key(F.col("type"), F.col("text")).alias("key"))
+    rows = facts(spark, sf_dir).select("branch_id", "id", F.md5(T.canonical_key(F.col("type"), F.col("text"))).alias("key"))
     return rows.groupBy("branch_id", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("key")
 
 
@@ -827,7 +902,7 @@ wrote AS (SELECT branch_id, u.seq AS seq, u.cmd AS command, u.id AS id, u.code A
 def written(spark, sf_dir):
     rows = commands.outcomes(fixtures.commands(fixtures.table(spark, sf_dir, "events")))
     said = lambda path: F.get_json_object("event", path)
-    return rows.select("branch_id", "seq", "command", "id", "outcome", "n_facts", "n_chars", said("$.op").alias("op"), said("$.fact.revision").cast("long").alias("revision"), said("$.fact.priority").cast("long").alias("priority"))
+    return rows.select("branch_id", "seq", "command", "id", "outcome", "n_facts", "n_chars", said("$.op").alias("op"), *(F.coalesce(said(f"$.fact.{c}"), said(f"$.replacement.{c}")).cast("long").alias(c) for c in ("revision", "priority")))
 
 
 @query(f"{_DESK} SELECT * FROM wrote")
@@ -841,6 +916,15 @@ def near_limit_notices(spark, sf_dir):
     return notices.near_limit_notices(written(spark, sf_dir))
 
 
+@query(f"{_DESK} SELECT branch_id, u.id AS id, u.type AS type, u.text AS text, u.hot AS hot, CAST(u.pri AS INTEGER) AS priority, u.ex AS priority_explicit, u.rev AS revision FROM (SELECT branch_id, unnest(s.facts) AS u FROM df)")
+def write_roundtrip(spark, sf_dir):
+    """Commands written to a journal, with a snapshot after every eighth mutation, and the state rebuilt from what was written."""
+    path = f"{shared_path(spark)}/journal-{uuid.uuid4().hex}"
+    made = commands.journal_entries(commands.outcomes(fixtures.commands(fixtures.table(spark, sf_dir, "events")), every=_SNAP_AFTER))
+    journal.append(made, path)
+    return legacy.facts(legacy.rebuild(journal.committed(spark, path))).drop("created_at", "updated_at")
+
+
 _SNAP_AFTER = 8
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate
@@ -53,24 +56,86 @@ def json_objects(rows: DataFrame, raw: str) -> DataFrame:
     return rows.withColumns({"document": F.when(~blank & is_object, parsed), "problem": problem})
 
 
-def append(events: DataFrame, path: str) -> DataFrame:
-    """Append events that the journal does not hold yet, known by a digest of their content.
+#: Columns of a journal's entries; those of a row decide whether two rows are one entry.
+ENTRY = ("branch_id", "seq", "entry_type", "data")
+
+
+def canonical(data) -> Column:
+    """JSON with the members of every object in order of their names; other text as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(data)), data)
+
+
+def _storage(spark: SparkSession, path: str):
+    """File system of ``path``, and a function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
-    Running the same batch again adds nothing.  Returns the new rows.
+
+def last_commit(spark: SparkSession, path: str) -> int:
+    """Number of a journal's latest commit; 0 if there is none."""
+    files, make = _storage(spark, path)
+    log = make(f"{path}/_commits/log")
+    return max((int(f.getPath().getName().split(".")[0]) for f in files.listStatus(log)), default=0) if files.exists(log) else 0
+
+
+def claim(spark: SparkSession, path: str, number: int, batch: str) -> bool:
+    """Make commit ``number`` of ``batch``, whole or not at all; false if another writer has it.
+
+    The file is written elsewhere and then given its name in one step that fails
+    where the name is taken: a hard link on a local disk, a rename elsewhere.
+    """
+    files, make = _storage(spark, path)
+    written, name = make(f"{path}/_commits/open/{batch}-{number}.json"), make(f"{path}/_commits/log/{number:020d}.json")
+    files.mkdirs(name.getParent())
+    out = files.create(written, True)
+    out.write(bytearray(f'{{"number":{number},"batch":"{batch}"}}\n'.encode()))
+    out.close()
+    if files.getUri().getScheme() == "file":
+        try:
+            os.link(written.toUri().getPath(), name.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            files.delete(written, False)
+    won = not files.exists(name) and files.rename(written, name)
+    if not won:
+        files.delete(written, False)
+    return won
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """branch_id, seq, entry_type, data, digest, number of a journal's committed entries; ``number`` is that of their commit."""
+    if not last_commit(spark, path):
+        return spark.createDataFrame([], "branch_id string, seq long, entry_type string, data string, digest string, number long")
+    commits = spark.read.schema("number long, batch string").json(f"{path}/_commits/log")
+    kind = "branch_id string, seq long, entry_type string, data string, digest string, batch string"
+    return spark.read.schema(kind).parquet(path).join(commits, "batch").select(*ENTRY, "digest", "number")
+
+
+def append(entries: DataFrame, path: str) -> DataFrame:
+    """Append entries that the journal does not hold yet, known by a digest of their canonical content; returns these.
+
+    Entries are written as a batch that nobody reads until a numbered commit names
+    it.  Of several writers one wins a number; the others look at what has come
+    meanwhile and try the next, so every entry is there once.  Running the same
+    batch again adds nothing.
     """
-    spark = events.sparkSession
-    keyed = events.withColumn("digest", F.sha2(F.to_json(F.struct(*sorted(events.columns))), 256)).dropDuplicates(["digest"])
-    try:
-        known = spark.read.parquet(path).select("digest")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = None
-    fresh = keyed if known is None else keyed.join(known, "digest", "left_anti")
-    before = set() if known is None else set(spark.read.parquet(path).inputFiles())
-    fresh.write.mode("append").parquet(path)
-    after = [f for f in spark.read.parquet(path).inputFiles() if f not in before]
-    return spark.read.schema(keyed.schema).parquet(*after) if after else spark.createDataFrame([], keyed.schema)
+    spark = entries.sparkSession
+    files, make = _storage(spark, path)
+    rows = entries.select(*ENTRY).withColumn("digest", F.sha2(F.to_json(F.struct("branch_id", "seq", "entry_type", canonical(F.col("data")).alias("data"))), 256)).dropDuplicates(["digest"])
+    while True:
+        number = last_commit(spark, path) + 1
+        batch = uuid.uuid4().hex
+        folder = f"{path}/batch={batch}"
+        rows.join(committed(spark, path).select("digest"), "digest", "left_anti").select(*rows.columns).write.parquet(folder)
+        mine = spark.read.schema(rows.schema).parquet(folder)
+        if mine.isEmpty():
+            files.delete(make(folder), True)
+            return spark.createDataFrame([], rows.schema)
+        if claim(spark, path, number, batch):
+            return mine
+        files.delete(make(folder), True)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -114,7 +114,7 @@ def test_commands(spark):
     rows += [("c", k, "add", None, "finding", f"t{k}", None, None, 5) for k in range(51)]
     got = commands.outcomes(spark.createDataFrame(rows, columns)).collect()
     assert [r.outcome for r in sorted(got, key=lambda r: r.seq) if r.branch_id == "b"] == ["ok", "duplicate", "ok", "unchanged", "missing", "bad-id", "ok", "bad-text", "bad-type"]
-    assert json.loads(next(r.event for r in got if r.branch_id == "b" and r.seq == 3))["fact"]["priority"] == 80
+    assert json.loads(next(r.event for r in got if r.branch_id == "b" and r.seq == 3))["replacement"]["priority"] == 80
     assert [r.outcome for r in got if r.branch_id == "c"].count("full") == 1
 
 
