@@ -56,7 +56,7 @@ def json_objects(rows: DataFrame, raw: str) -> DataFrame:
     return rows.withColumns({"document": F.when(~blank & is_object, parsed), "problem": problem})
 
 
-#: Columns of a journal's entries; those of a row decide whether two rows are one entry.
+#: Columns of a journal's entries.
 ENTRY = ("branch_id", "seq", "entry_type", "data")
 
 
@@ -105,16 +105,15 @@ def claim(spark: SparkSession, path: str, number: int, batch: str) -> bool:
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """branch_id, seq, entry_type, data, digest, number of a journal's committed entries; ``number`` is that of their commit."""
+    """Committed entries of a journal, each with its digest and the number of its commit."""
     if not last_commit(spark, path):
         return spark.createDataFrame([], "branch_id string, seq long, entry_type string, data string, digest string, number long")
     commits = spark.read.schema("number long, batch string").json(f"{path}/_commits/log")
-    kind = "branch_id string, seq long, entry_type string, data string, digest string, batch string"
-    return spark.read.schema(kind).parquet(path).join(commits, "batch").select(*ENTRY, "digest", "number")
+    return spark.read.parquet(path).join(commits, "batch").drop("batch")
 
 
 def append(entries: DataFrame, path: str) -> DataFrame:
-    """Append entries that the journal does not hold yet, known by a digest of their canonical content; returns these.
+    """Append entries that the journal does not hold yet, known by a digest of their columns, JSON in ``data`` in canonical form; returns these.
 
     Entries are written as a batch that nobody reads until a numbered commit names
     it.  Of several writers one wins a number; the others look at what has come
@@ -123,7 +122,8 @@ def append(entries: DataFrame, path: str) -> DataFrame:
     """
     spark = entries.sparkSession
     files, make = _storage(spark, path)
-    rows = entries.select(*ENTRY).withColumn("digest", F.sha2(F.to_json(F.struct("branch_id", "seq", "entry_type", canonical(F.col("data")).alias("data"))), 256)).dropDuplicates(["digest"])
+    said = [canonical(F.col(c)).alias(c) if c == "data" else F.col(c) for c in sorted(entries.columns)]
+    rows = entries.withColumn("digest", F.sha2(F.to_json(F.struct(*said)), 256)).dropDuplicates(["digest"])
     while True:
         number = last_commit(spark, path) + 1
         batch = uuid.uuid4().hex
