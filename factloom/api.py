@@ -83,5 +83,7 @@ class Engine:
     def transcript(self, raw: DataFrame, limit: int = C.DIALOG_CHARS) -> DataFrame:
         return transcript.rendered(transcript.deduplicated(transcript.flattened(raw)), limit)
 
-    def children(self, sessions: DataFrame, root: str) -> DataFrame:
-        return lineage.descendants(sessions, root)
+    def children(self, sessions: DataFrame, *ids: str) -> DataFrame:
+        """Sessions below each of the given ones, newest first."""
+        targets = self.spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "target string")
+        return lineage.children(sessions, targets).orderBy("target", F.col("modified").desc(), "id")

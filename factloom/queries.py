@@ -748,6 +748,26 @@ def session_lineage(spark, sf_dir):
     return lineage.roots(fixtures.sessions(spark, sf_dir))
 
 
+# every step up from a session, until one is met again
+_CLIMB = f"""WITH RECURSIVE {SESSIONS}, known AS (SELECT se.id, p.id AS parent FROM se LEFT JOIN se p ON p.id = se.parent),
+climb(id, above) AS (SELECT id, parent FROM known WHERE parent IS NOT NULL UNION SELECT climb.id, known.parent FROM climb JOIN known ON known.id = climb.above WHERE known.parent IS NOT NULL)"""
+
+
+@query(f"{_CLIMB} SELECT se.id, count(climb.id) AS n_below FROM se LEFT JOIN climb ON climb.above = se.id AND climb.id <> se.id GROUP BY se.id")
+def session_sizes(spark, sf_dir):
+    """How many sessions are below each one, by interval labels; two name each other as parent."""
+    return lineage.sizes(lineage.intervals(fixtures.sessions(spark, sf_dir)))
+
+
+_ASKED_FOR = ("s_0", "s_1", "s_6", "s_11", "x", "nothing")
+
+
+@query(f"{_CLIMB} SELECT above AS target, id, modified FROM climb JOIN se USING (id) WHERE above <> id AND above IN ({', '.join(map(q, _ASKED_FOR))})")
+def session_children(spark, sf_dir):
+    targets = spark.createDataFrame([(x,) for x in _ASKED_FOR], "target string")
+    return lineage.children(fixtures.sessions(spark, sf_dir), targets)
+
+
 @query(f"""WITH {SESSIONS}, l AS (SELECT id, row_number() OVER (ORDER BY modified DESC, id) AS place FROM se), t(target) AS (VALUES ('1'), ('3'), ('s_7'), ('s_1'), ('s_'), ('x'), ('nothing')),
 c AS (SELECT target, id, 1 AS rank, 'place' AS how FROM t JOIN l ON try_cast(target AS INTEGER) = place UNION ALL SELECT target, id, 2, 'id' FROM t JOIN se ON target = id
   UNION ALL SELECT target, CASE WHEN count(*) = 1 THEN min(id) END, 3, CASE WHEN count(*) = 1 THEN 'prefix' ELSE 'ambiguous' END FROM t JOIN se ON starts_with(id, target) GROUP BY target)

@@ -109,7 +109,9 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     if not last_commit(spark, path):
         return spark.createDataFrame([], "branch_id string, seq long, entry_type string, data string, digest string, number long")
     commits = spark.read.schema("number long, batch string").json(f"{path}/_commits/log")
-    return spark.read.parquet(path).join(commits, "batch").drop("batch")
+    # folders that no commit names may go at any time, so only the others are looked at; a name a commit goes through the driver
+    folders = [f"{path}/batch={row['batch']}" for row in commits.collect()]
+    return spark.read.option("basePath", path).parquet(*folders).join(F.broadcast(commits), "batch").drop("batch")
 
 
 def append(entries: DataFrame, path: str) -> DataFrame:
