@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .. import constants as C
+from ..functions import rules as R
 from .runs import fold
 
 _SPACE = re.compile("[\t-\r \xa0  -     　﻿]+")
@@ -109,13 +110,14 @@ class Branch:
     def _snapshot(self, id_, fact, at, snapshot) -> str:
         if not valid_snapshot(snapshot, at):
             return "snapshot-invalid"
-        self.__init__()
-        for f in snapshot["facts"]:
-            if canonical_key(f["type"], f["text"]) not in self.keys:
-                self._put(f["id"], {k: v for k, v in f.items() if k != "id"})
-        self.tombs = {k: [t["revision"], t["at"]] for k, t in snapshot["revoked"].items()}
+        self.load({f["id"]: {k: v for k, v in f.items() if k != "id"} for f in snapshot["facts"]}, {k: [t["revision"], t["at"]] for k, t in snapshot["revoked"].items()})
         return "ok"
 
+    def load(self, facts: dict, tombs: dict) -> None:
+        """Put a snapshot's content, in which no two facts say the same, in place of all that was."""
+        self.facts, self.tombs = facts, tombs
+        self.keys = {canonical_key(f["type"], f["text"]): i for i, f in facts.items()}
+
     def to_snapshot(self, now: int) -> dict:
         """One event that replays to this state; not earlier than anything in it."""
         at = min(max([now, *(f["updated_at"] for f in self.facts.values()), *(t[1] for t in self.tombs.values())]), C.MAX_TIME)
@@ -183,10 +185,22 @@ def fact_of(row: dict) -> dict:
 LOADED = "loaded"
 
 
+def snapshot_of(row: dict) -> dict | None:
+    try:
+        return json.loads(row["snapshot"]) if row.get("snapshot") else None
+    except ValueError:
+        return None
+
+
 def words_of(branch, state: Branch, row: dict) -> list[tuple]:
-    """The verdict on one event, and after an accepted snapshot a row for everything it holds."""
-    snapshot = json.loads(row["snapshot"]) if row.get("snapshot") else None
-    code = state.apply(row["op"], row["id"], fact_of(row) if row["op"] in ("add", "supersede") else None, row["at"], snapshot)
+    """The verdict on one event, and after an accepted snapshot a row for everything it holds.
+
+    An event that breaks a rule by itself (``broken``) is judged by no other.
+    """
+    if row.get("broken"):
+        code = row["broken"]
+    else:
+        code = state.apply(row["op"], row["id"], fact_of(row) if row["op"] in ("add", "supersede") else None, row["at"], snapshot_of(row))
     tomb, ok = state.tombs.get(row["id"]), code.startswith("ok")
     out = [(branch, row["seq"], row["op"], row["id"], row["text"], row["revision"], row["updated_at"], row["at"], code, ok, tomb[0] if ok and row["op"] == "revoke" else None, state.mutations)]
     if ok and row["op"] == "snapshot":
@@ -206,9 +220,25 @@ class Replay:
         return []
 
 
+def broken(columns: list[str]) -> Column:
+    """Code of the rule that an event of a flat journal breaks by itself, null if it breaks none; members that the journal leaves out hold."""
+    has = lambda name, rule: F.coalesce(rule, F.lit(False)) if name in columns else F.lit(True)
+    op, created = F.col("op"), F.col("created_at" if "created_at" in columns else "updated_at")
+    fact = (
+        R.valid_id(F.col("id")) & R.valid_text(F.col("text")) & R.valid_time(F.col("updated_at")) & F.coalesce((F.col("revision") >= 1) & R.valid_time(created) & (created <= F.col("updated_at")), F.lit(False))
+        & has("type", F.col("type").isin(*C.FACT_TYPES) if "type" in columns else F.lit(True)) & has("priority", F.col("priority").between(0, 100) if "priority" in columns else F.lit(True))
+    )
+    timed = R.valid_time(F.col("at"))
+    holds = (
+        F.when(op == "add", fact & (F.col("revision") == 1)).when(op == "supersede", fact & timed & F.coalesce(F.col("updated_at") <= F.col("at"), F.lit(False)))
+        .when(op == "revoke", R.valid_id(F.col("id")) & timed).when(op == "snapshot", timed).otherwise(True)
+    )
+    return F.when(~F.coalesce(holds, F.lit(False)), F.concat(F.coalesce(op, F.lit("event")), F.lit("-broken"))).when(op.isNull(), "event-broken")
+
+
 def words(journal: DataFrame) -> DataFrame:
     """The verdicts, and the facts and tombstones that accepted snapshots bring in."""
-    return fold(journal, "branch_id", ["seq"], Replay, VERDICTS)
+    return fold(journal.withColumn("broken", broken(journal.columns)), "branch_id", ["seq"], Replay, VERDICTS)
 
 
 def verdicts(journal: DataFrame) -> DataFrame:
@@ -237,7 +267,7 @@ def holds_snapshot(snapshot: str, at: str) -> Column:
     """Whether the JSON in column ``snapshot`` is one that replay would accept at the time in ``at``."""
 
     def holds(snapshots: pd.Series, times: pd.Series) -> pd.Series:
-        return pd.Series([bool(s) and valid_snapshot(json.loads(s), int(t)) for s, t in zip(snapshots, times)], dtype=bool)
+        return pd.Series([bool(t) and valid_snapshot(snapshot_of({"snapshot": s}), int(t)) for s, t in zip(snapshots, times.fillna(0))], dtype=bool)
 
     # made here, for a module that holds a UDF cannot be sent to executors
     return F.pandas_udf(holds, BooleanType())(snapshot, at)

@@ -11,10 +11,10 @@ from . import constants as C
 from .api import Engine
 from .functions import rules as R
 from .functions import text as T
-from .operators import audit, commands, evaluate, events, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
+from .operators import audit, blocks, commands, evaluate, events, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
 from .plans import fixtures
 from .sources import config, journal
-from .sources.shared import shared_path
+from .sources.shared import settled, shared_path
 from .streaming import replay_stream
 
 QUERIES: dict = {}
@@ -345,6 +345,12 @@ costed AS (SELECT *, {UNITS('text')} AS total_chars, {TOKENS('text')} AS tokens
 _FULL = f"full_text AS (SELECT branch_id, {q(C.CONTEXT_HEADER)} || chr(10) || string_agg({XML}, chr(10) ORDER BY {ORDER}) || chr(10) || chr(10) || {q(C.CONTEXT_FOOTER)} AS text, count(*) AS n_facts FROM facts GROUP BY branch_id)"
 
 
+
+def _PACK_OF(facts: str) -> str:
+    """The packing SQL over other facts, given as what stands before it."""
+    return facts + _PACK.removeprefix(f"WITH {FACTS}")
+
+
 @query(f"WITH {_SORTED} SELECT branch_id, len(fs) AS n_facts, len(g.kept) AS n_kept, CAST(list_sum(list_transform(g.kept, lambda i: fs[i].n)) AS BIGINT) AS kept_chars, g.used AS kept_joined_chars FROM greedy")
 def pack_greedy(spark, sf_dir):
     return pack.greedy(facts(spark, sf_dir))
@@ -497,6 +503,30 @@ def snapshot_outcomes(spark, sf_dir):
     return replay.verdicts(snapped(spark, sf_dir)).select("branch_id", "seq", "code")
 
 
+# one event in ten breaks a rule by itself
+_BROKEN = JOURNAL + """,
+js AS (SELECT * FROM j WHERE seq % 10 <> 3)"""
+_SOUND = _FOLD.replace(JOURNAL, _BROKEN).replace("AS es FROM j GROUP BY", "AS es FROM js GROUP BY")
+
+
+def broken_journal(spark, sf_dir):
+    """The journal with one event in ten broken: no text, no time, an id that is none, a revision of zero, a long text, times out of order, no operation."""
+    kind = F.when(F.col("seq") % 10 == 3, F.floor(F.col("seq") % 70 / 10))
+    rows = fixtures.journal(fixtures.table(spark, sf_dir, "events")).withColumn("kind", kind)
+    now = lambda k, value, c: F.when(F.col("kind") == k, value).otherwise(F.col(c)).alias(c)
+    return rows.select(
+        "branch_id", "seq", now(6, F.lit(None), "op"), now(2, F.lit("not an id"), "id"), F.when(F.col("kind") == 0, None).when(F.col("kind") == 4, F.repeat(F.lit("y"), 2001)).otherwise(F.col("text")).alias("text"),
+        now(3, F.lit(0), "revision"), F.when((F.col("kind") == 1) | ((F.col("op") == "revoke") & F.col("kind").isin(0, 3, 4, 5)), None).otherwise(F.col("at")).alias("at"),
+        F.when(F.col("kind") == 5, -1).when((F.col("kind") == 1) & (F.col("op") == "add"), None).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+@query(f"""{_SOUND} SELECT branch_id, u.seq AS seq, u.code AS code FROM (SELECT branch_id, unnest(s.log) AS u FROM f)
+UNION ALL SELECT branch_id, seq, CASE WHEN seq % 70 // 10 = 6 THEN 'event' ELSE op END || '-broken' FROM j WHERE seq % 10 = 3""")
+def replay_broken(spark, sf_dir):
+    return replay.verdicts(broken_journal(spark, sf_dir)).select("branch_id", "seq", "code")
+
+
 @query(_STATE)
 def replay_state(spark, sf_dir):
     return replay.active(judged(spark, sf_dir))
@@ -813,7 +843,7 @@ def fact_id(spark, sf_dir):
 
 # reports and settings
 
-@query(f"{_MEANS} SELECT conv_id, printf('%.1f', round(left_mean, 1)) AS score, CASE WHEN mean_delta > 0 THEN '+' ELSE '' END || printf('%.1f', round(mean_delta, 1)) AS delta FROM md")
+@query(f"{_MEANS} SELECT conv_id, printf('%.1f', round(left_mean, 1)) AS score, CASE WHEN mean_delta >= 0 THEN '+' ELSE '' END || printf('%.1f', round(mean_delta, 1)) AS delta FROM md")
 def score_format(spark, sf_dir):
     rows = evaluate.mean_deltas(*arms(spark, sf_dir), ["conv_id"])
     return rows.select("conv_id", reports.score_text(F.col("left_mean")).alias("score"), reports.delta_text(F.col("mean_delta")).alias("delta"))
@@ -936,6 +966,23 @@ def near_limit_notices(spark, sf_dir):
     return notices.near_limit_notices(written(spark, sf_dir))
 
 
+_LATELY = 0.98
+
+
+@query(_PACK_OF(f"{_REBUILD}, facts AS ({_REBUILT_FACTS})") + f""", lim AS (SELECT CAST(floor(max(event_id) * {_LATELY}) AS BIGINT) AS cut FROM events),
+rv AS (SELECT branch_id, max(seq) AS revision FROM gv WHERE accepted GROUP BY branch_id)
+SELECT branch_id, revision, revision > (SELECT cut FROM lim) AS renewed, n_facts, n_expanded, total_chars, text FROM costed JOIN rv USING (branch_id)""")
+def context_refresh(spark, sf_dir):
+    """Blocks of an earlier journal, brought to the whole one: only branches that have changed since are packed again."""
+    entries = generations(spark, sf_dir)
+    cut = entries.agg(F.floor(F.max("seq") * _LATELY)).first()[0] or 0
+    long = lambda rows: legacy.facts(rows).withColumns({c: F.col(c).cast("long") for c in ("created_at", "updated_at")})
+    before, after = (settled(legacy.rebuild(x)) for x in (entries.where(F.col("seq") <= cut), entries))
+    stored = settled(blocks.packed(long(before), blocks.revisions(before)))
+    now = blocks.refreshed(stored, long(after), blocks.revisions(after))
+    return now.select("branch_id", "revision", "renewed", "n_facts", "n_expanded", "total_chars", "text")
+
+
 @query(f"{_DESK} SELECT branch_id, u.id AS id, u.type AS type, u.text AS text, u.hot AS hot, CAST(u.pri AS INTEGER) AS priority, u.ex AS priority_explicit, u.rev AS revision FROM (SELECT branch_id, unnest(s.facts) AS u FROM df)")
 def write_roundtrip(spark, sf_dir):
     """Commands written to a journal, with a snapshot after every eighth mutation, and the state rebuilt from what was written."""
