@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,23 @@ from .. import constants as C
 
 
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 units: code points, and astral ones twice."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    """Length in UTF-16 units: code points, and astral ones twice; ASCII texts need no look at their characters."""
+    points = F.length(text)
+    return F.when(points == F.octet_length(text), points).otherwise(points + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")))
+
+
+#: The characters of ``JS_SPACE``, one by one.
+SPACES = "".join(chr(c) for c in range(0x3001) if re.match(C.JS_SPACE.replace("\\x{", "\\u").replace("}", ""), chr(c))) + "\uFEFF"
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{C.JS_SPACE}+|{C.JS_SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """Every run of white space as one blank."""
-    return F.regexp_replace(text, rf"{C.JS_SPACE}+", " ")
+    other = SPACES.replace(" ", "")
+    return F.regexp_replace(F.translate(text, other, " " * len(other)), " {2,}", " ")
 
 
 def sanitise(text: Column) -> Column:
@@ -27,7 +35,7 @@ def sanitise(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    return trim(F.regexp_replace(sanitise(text), "\r\n", "\n"))
+    return trim(F.replace(sanitise(text), F.lit("\r\n"), F.lit("\n")))
 
 
 def nfkc(text: Column) -> Column:
@@ -56,14 +64,16 @@ def unescape_xml(text: Column) -> Column:
 
 
 def preview(text: Column) -> Column:
-    flat = trim(collapse(text))
+    # the text's head is enough where it stays longer than a preview; more than one unit behind is never looked at
+    head = trim(collapse(F.left(text, F.lit(8 * C.PREVIEW_CHARS))))
+    flat = F.when(F.length(head) > C.PREVIEW_CHARS + 1, head).otherwise(trim(collapse(text)))
     return F.when(utf16_length(flat) > C.PREVIEW_CHARS, F.concat(F.left(flat, F.lit(C.PREVIEW_CHARS - 1)), F.lit("…"))).otherwise(flat)
 
 
 def tokens(text: Column) -> Column:
     """Estimated tokens: four units each, two where over 30 % of units lie above U+03FF."""
     units = utf16_length(text)
-    wide = units - F.length(F.regexp_replace(text, r"[^\x{0000}-\x{03FF}]", ""))
+    wide = F.when(F.length(text) == F.octet_length(text), 0).otherwise(units - F.length(F.regexp_replace(text, r"[^\x{0000}-\x{03FF}]", "")))
     return F.when(units == 0, F.lit(0)).otherwise(F.ceil(units / F.when(wide / units > 0.3, 2).otherwise(4))).cast("long")
 
 

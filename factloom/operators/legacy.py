@@ -179,9 +179,15 @@ def judged(entries: DataFrame) -> DataFrame:
     return events.classified(events.typed(rows)).withColumn("sound", events.valid_standalone())
 
 
-def from_last_snapshot(rows: DataFrame) -> DataFrame:
-    """Judged entries from each branch's latest valid version-3 snapshot on."""
-    return replay.from_last_snapshot(rows, (F.col("entry_type") == EVENT_ENTRY) & (F.col("kind") == "v3") & (F.col("op") == "snapshot"))
+def from_last_snapshot(entries: DataFrame) -> DataFrame:
+    """Entries from each branch's latest valid version-3 snapshot on.
+
+    Only entries that can be snapshots are parsed for it: those that hold the
+    word, or an escape that may stand for one of its letters.
+    """
+    may_be = (F.col("entry_type") == EVENT_ENTRY) & (F.contains("data", F.lit("snapshot")) | F.contains("data", F.lit("\\u")))
+    start = judged(entries.where(may_be)).where("kind = 'v3' and op = 'snapshot'").groupBy("branch_id").agg(F.max("seq").alias("snapshot_seq"))
+    return entries.join(start, "branch_id", "left").where(F.col("seq") >= F.coalesce("snapshot_seq", F.lit(-(2**63)))).drop("snapshot_seq")
 
 
 def folded(rows: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def rebuild(entries: DataFrame) -> DataFrame:
 
     The parts are views of one result: keep it (checkpoint, table) to read several.
     """
-    return folded(from_last_snapshot(judged(entries)))
+    return folded(judged(from_last_snapshot(entries)))
 
 
 def outcomes(entries: DataFrame) -> DataFrame:
