@@ -223,7 +223,8 @@ _SAYS = "CASE code " + " ".join(f"WHEN {q(code)} THEN {q(form).replace('{id}', c
 
 
 def generations(spark, sf_dir):
-    return fixtures.generations(fixtures.table(spark, sf_dir, "events"))
+    """The raw journal as a stored table, for its entries are read more than once."""
+    return settled(fixtures.generations(fixtures.table(spark, sf_dir, "events")))
 
 
 def rebuilt(spark, sf_dir):
