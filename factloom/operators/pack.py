@@ -1,20 +1,22 @@
 """Packing ranked facts into hard character budgets.
 
 Facts come in rank order and are never gathered: what is expanded, indexed or
-listed is bounded by the budget, and the rest is only counted.
+listed is bounded by the budget, and the rest is only counted.  Facts that no budget
+could show are sieved out where they are read, so a branch of any size brings a
+bounded number of rows to its fold.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
 from .replay import units
-from .runs import fold
+from .runs import fold, sieved
 
 
 def rank_order():
@@ -26,6 +28,17 @@ def ranked(facts: DataFrame) -> DataFrame:
     return facts.withColumn("rank", F.row_number().over(Window.partitionBy("branch_id").orderBy(*rank_order())))
 
 
+#: Units of a fact's XML, and of its line, without id, type and text: no fact takes less.
+LEAST_XML, LEAST_LINE = len('<fact id="" type="" p="0"></fact>'), len("-  ()")
+
+
+def sieved_facts(rows: DataFrame, budget: int, sizes: dict[str, int]) -> DataFrame:
+    """The rows that can matter to a packer, in columns it reads, and counts of the others."""
+    # whatever is not taken is listed by a line; lines behind the last that fits are only counted
+    lead = budget // LEAST_LINE + 1 + sum(budget // LEAST_XML for _ in sizes)
+    return sieved(rows, "branch_id", rank_order(), "id", budget, lead, sizes)
+
+
 #: Characters above U+03FF.
 _WIDE = re.compile("[\u0400-\U0010ffff]+")
 
@@ -45,18 +58,18 @@ class ContextPacker:
         self.branch, self.budget = branch, budget
         self.expanded: list[tuple[int, str, int, str]] = []  # rank, xml, units, index line
         self.cold: list[tuple[int, str, int]] = []  # rank, index line, units
-        self.n = self.n_cold = self.used = 0
+        self.n = self.used = 0
 
     def add(self, fact) -> list:
-        self.n += 1
-        xml, line = fact["xml"], fact["index_line"]
-        size = units(xml)
-        after = self.used + (1 if self.expanded else 0) + size
-        if C.ENVELOPE + after <= self.budget:
+        self.n += fact["standing"]
+        xml, line, size = fact["xml"], fact["index_line"], fact["size"]
+        if line is None:  # facts that were only counted
+            return []
+        after = self.used + (1 if self.expanded else 0) + (size or 0)
+        if size is not None and C.ENVELOPE + after <= self.budget:
             self.expanded.append((self.n, xml, size, line))
             self.used = after
         else:
-            self.n_cold += 1
             # no more index lines than this can ever fit
             if len(self.cold) <= self.budget // 8:
                 self.cold.append((self.n, line, units(line)))
@@ -107,9 +120,17 @@ class ContextPacker:
 CONTEXT = "branch_id string, n_facts long, n_expanded long, n_indexed long, n_omitted long, text string, expanded_chars long, index_chars long, wrapper_chars long, total_chars long, tokens long"
 
 
+def _first_fit(facts: DataFrame, index_line: Column, budget: int) -> DataFrame:
+    """Rows of the first fit: XML and size are null where a fact is longer than the budget by itself."""
+    rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", T.fact_xml().alias("xml"), index_line.alias("index_line"))
+    size = T.utf16_length(F.col("xml")).cast("int")
+    rows = rows.withColumn("size", F.when(size <= budget - C.ENVELOPE, size)).withColumn("xml", F.when(F.col("size").isNotNull(), F.col("xml")))
+    return sieved_facts(rows, budget, {"size": 0})
+
+
 def contexts(facts: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
     """The packed context and its cost, one row per branch."""
-    rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", T.fact_xml().alias("xml"), F.when(F.col("hot"), T.fact_preview()).otherwise(T.fact_line()).alias("index_line"))
+    rows = _first_fit(facts, F.when(F.col("hot"), T.fact_preview()).otherwise(T.fact_line()), budget)
     return fold(rows, "branch_id", rank_order(), lambda b: ContextPacker(b, budget), CONTEXT)
 
 
@@ -121,7 +142,7 @@ class GreedyPacker(ContextPacker):
 
 
 def greedy(facts: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
-    rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", T.fact_xml().alias("xml"), F.lit("").alias("index_line"))
+    rows = _first_fit(facts, F.lit(""), budget)
     return fold(rows, "branch_id", rank_order(), lambda b: GreedyPacker(b, budget), "branch_id string, n_facts long, n_kept long, kept_chars long, kept_joined_chars long")
 
 
@@ -133,23 +154,24 @@ class CompactionPacker:
         self.full: list[str] = []
         self.previews: list[str] = []
         self.omitted: list[str] = []
-        self.full_size = self.preview_size = self.n = self.n_omitted = 0
+        self.full_size = self.preview_size = self.n = 0
         self.frame = units(C.COMPACTION_HEADER) + units(C.COMPACTION_FOOTER)
 
     def add(self, fact) -> list:
-        self.n += 1
-        size = units(fact["xml"]) + (self.full_size + 1 if self.full else 0)
-        if (fact["hot"] or fact["priority"] >= 90) and self.frame + 3 + size <= self.budget:
+        self.n += fact["standing"]
+        if fact["preview"] is None:  # facts that were only counted
+            return []
+        size = (fact["size"] or 0) + (self.full_size + 1 if self.full else 0)
+        if fact["size"] is not None and self.frame + 3 + size <= self.budget:
             self.full.append(fact["xml"])
             self.full_size = size
             return []
-        size = units(fact["preview"]) + (self.preview_size + 1 if self.previews else 0)
+        size = fact["preview_size"] + (self.preview_size + 1 if self.previews else 0)
         probe = self.frame + (self.full_size if self.full else len("(none)")) + len(C.PREVIEW_HEADING) + size + 4
         if probe <= self.budget:
             self.previews.append(fact["preview"])
             self.preview_size = size
         else:
-            self.n_omitted += 1
             if len(self.omitted) <= self.budget // 4:
                 self.omitted.append(f"- {fact['id']} ({fact['type']})")
         return []
@@ -177,7 +199,12 @@ COMPACTION = "branch_id string, n_facts long, n_full long, n_preview long, n_lis
 
 
 def compactions(facts: DataFrame, budget: int = C.COMPACTION_BUDGET) -> DataFrame:
-    rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", "type", T.fact_xml().alias("xml"), T.fact_preview().alias("preview"))
+    """Per branch, what a compaction is told of its facts; XML stays where a fact is hot or of top priority and fits."""
+    rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", "type", F.when(F.col("hot") | (F.col("priority") >= 90), T.fact_xml()).alias("xml"), T.fact_preview().alias("preview"))
+    size = T.utf16_length(F.col("xml")).cast("int")
+    rows = rows.withColumns({"size": F.when(size <= budget, size), "preview_size": T.utf16_length(F.col("preview")).cast("int")}).withColumn("xml", F.when(F.col("size").isNotNull(), F.col("xml")))
+    # a preview's size may be shared by facts that are shown in full
+    rows = sieved_facts(rows, budget, {"size": 0, "preview_size": budget // LEAST_XML})
     return fold(rows, "branch_id", rank_order(), lambda b: CompactionPacker(b, budget), COMPACTION)
 
 
