@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .operators import audit, commands, evaluate, legacy, lineage, pack, replay, transcript
-from .sources import journal
+from .operators import audit, commands, evaluate, evaluator, legacy, lineage, pack, replay, transcript
+from .sources import journal, sessions
 from .sources.shared import settled
 
 
@@ -76,14 +76,19 @@ class Engine:
     def compare(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         return evaluate.deltas(left, right, keys)
 
-    def evaluate(self, prompts: DataFrame, model, schema: str) -> DataFrame:
-        """Scores from a pluggable model: a function from a batch of rows to a batch of rows."""
-        return prompts.mapInPandas(model, schema)
+    def evaluate(self, prompts: DataFrame, model: evaluator.Model, path: str, name: str = "model") -> DataFrame:
+        """Prompts with the scores a model gives them; answers are kept under ``path`` and not asked for again."""
+        judged = settled(evaluator.outcomes(prompts, model, path, name))
+        return evaluate.evaluations(judged, "evaluation")
+
+    def sessions(self, *roots: str) -> DataFrame:
+        """Headers of the session files below ``roots``."""
+        return sessions.session_headers(sessions.session_files(self.spark, *roots))
 
     def transcript(self, raw: DataFrame, limit: int = C.DIALOG_CHARS) -> DataFrame:
         return transcript.rendered(transcript.deduplicated(transcript.flattened(raw)), limit)
 
-    def children(self, sessions: DataFrame, *ids: str) -> DataFrame:
+    def children(self, found: DataFrame, *ids: str) -> DataFrame:
         """Sessions below each of the given ones, newest first."""
         targets = self.spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "target string")
-        return lineage.children(sessions, targets).orderBy("target", F.col("modified").desc(), "id")
+        return lineage.children(found, targets).orderBy("target", F.col("modified").desc(), "id")

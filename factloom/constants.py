@@ -77,3 +77,6 @@ WARNINGS = {
     "many-facts": "Active fact count {n} exceeds limit {limit}.",
     "many-chars": "Active text size {n} exceeds limit {limit}.",
 }
+
+#: What a model is asked when its answer held no JSON object.
+RECOVERY_PROMPT = "The last answer held no valid JSON.\nAnswer again with one JSON object in the shape asked for, and nothing around it.\nScores are numbers from 0 to 100, the confidence is a number from 0 to 1.\nWhere evidence is thin, keep the shape and say so by the confidence and a short summary."

@@ -13,7 +13,7 @@ from .functions import rules as R
 from .functions import text as T
 from .operators import audit, blocks, commands, evaluate, events, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
 from .plans import fixtures
-from .sources import config, journal
+from .sources import config, journal, sessions
 from .sources.shared import settled, shared_path
 from .streaming import replay_stream
 
@@ -767,6 +767,55 @@ def ab_recommend(spark, sf_dir):
     return rows.select("conv_id", evaluate.replay_advice(F.col("mean_delta"), F.col("task_delta"), F.col("saved")).alias("advice"))
 
 
+@query("""WITH m AS (SELECT conv_id, turn, conv_id + turn AS k, role FROM conversations),
+u AS (SELECT conv_id, arg_max(k, turn) AS k FROM m WHERE role = 'assistant' GROUP BY conv_id), r AS (SELECT c.conv_id, CASE WHEN k % 5 < 4 THEN k END AS k FROM (SELECT DISTINCT conv_id FROM m) c LEFT JOIN u USING (conv_id))
+SELECT conv_id AS session_id, coalesce(k % 900, 0) AS input, coalesce(k % 70, 0) AS output, CASE WHEN k % 3 = 0 THEN 11 ELSE 0 END AS cache_read, 0 AS cache_write,
+  CASE WHEN k IS NULL THEN 0 WHEN k % 2 = 0 THEN k % 2000 ELSE k % 900 + k % 70 + CASE WHEN k % 3 = 0 THEN 11 ELSE 0 END END AS total, CASE WHEN k % 4 = 1 THEN k / 8 END AS cost, k IS NOT NULL AS reported FROM r""")
+def last_usage(spark, sf_dir):
+    k = F.col("pos") + F.col("session_id")
+    part = lambda when, text: F.when(when, F.concat(F.lit(","), text)).otherwise("")
+    number = lambda name, value: F.concat(F.lit(f'"{name}":'), value.cast("string"))
+    usage = F.concat(F.lit("{"), number("input", k % 900), F.lit(","), number("output", k % 70), part(k % 3 == 0, number("cacheRead", F.lit(11))), part(k % 2 == 0, number("totalTokens", k % 2000)), part(k % 4 == 1, F.concat(F.lit('"cost":{'), number("total", k / 8), F.lit("}"))), part(k % 4 == 2, F.lit('"cost":{"total":"much"}')), F.lit("}"))
+    rows = fixtures.messages(spark, sf_dir).select("session_id", "pos", "role", F.when(k % 5 < 4, usage).alias("usage"))
+    return evaluate.last_usage(rows, "usage")
+
+
+def stub_model(messages: list[str]) -> str:
+    """Answers by the number of characters of the prompt: bare, fenced, broken at first, broken twice."""
+    n = len(messages[0])
+    said = '{"scores":{' + ",".join(f'"{m}":{(n * p) % 101}' for m, p in zip(C.METRICS, fixtures.PRIMES)) + '},"confidence":0.5,"summary":"said"}'
+    if n % 4 == 0:
+        return said
+    if n % 4 == 1:
+        return f"Here it is:\n```json\n{said}\n```"
+    return said if n % 4 == 2 and len(messages) > 1 else "no {object here"
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), sc AS (SELECT DISTINCT n, metric, (n * prime) % 101 AS score FROM d, (VALUES {", ".join(f"('{m}', {p})" for m, p in zip(C.METRICS, fixtures.PRIMES))}) t(metric, prime)),
+me AS (SELECT n, {ROUND2('sum(score) / 8')} AS mean FROM sc GROUP BY n)
+SELECT doc_id, CASE WHEN n % 4 < 2 THEN 1 ELSE 2 END AS n_calls, n % 4 = 2 AS recovered, CASE WHEN n % 4 < 3 THEN mean END AS mean, CASE WHEN n % 4 = 3 THEN 'no JSON object; answer: no {{object here' END AS problem FROM d JOIN me USING (n)""")
+def eval_run(spark, sf_dir):
+    """Every text put to a stub model, its answers kept in a folder of this run."""
+    prompts = fixtures.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("prompt"))
+    judged = Engine(spark).evaluate(prompts, stub_model, f"{shared_path(spark)}/evaluator-{uuid.uuid4().hex}")
+    return judged.select("doc_id", "n_calls", "recovered", "mean", "problem")
+
+
+@query("""WITH c AS (SELECT conv_id % 2 AS root, conv_id % 40 AS folder, min(conv_id) AS id, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT 's_' || id AS id, '/w' || root AS cwd, CASE WHEN folder % 3 > 0 THEN 's_0' END AS parent FROM c WHERE folder % 7 > 0""")
+def session_scan(spark, sf_dir):
+    """Session files of two roots, one a folder, written from the conversations and found again; one folder in seven has no header."""
+    home = f"{shared_path(spark)}/sessions-{uuid.uuid4().hex}"
+    n = F.col("conv_id")
+    rows = fixtures.table(spark, sf_dir, "conversations").select((n % 2).alias("root"), (n % 40).alias("folder"), n, "turn", "role", "text")
+    header = rows.groupBy("root", "folder").agg(F.min("conv_id").alias("conv_id")).where("folder % 7 > 0").select("root", "folder", F.lit(None).cast("long").alias("turn"), F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("s_"), n.cast("string")).alias("id"), F.concat(F.lit("/w"), F.col("root").cast("string")).alias("cwd"), F.when(F.col("folder") % 3 > 0, "s_0").alias("parentSession"))).alias("value"), F.lit(0).cast("long").alias("conv_id"))
+    lines = rows.select("root", "folder", F.col("turn").cast("long").alias("turn"), F.to_json(F.struct(F.lit("message").alias("type"), "role", "text")).alias("value"), n.cast("long").alias("conv_id"))
+    every = header.unionByName(lines).repartition("root", "folder").sortWithinPartitions("root", "folder", F.col("turn").isNotNull(), "conv_id", "turn")
+    every.select("root", "folder", "value").write.partitionBy("root", "folder").text(home)
+    found = sessions.session_files(spark, f"{home}/root=0", f"{home}/root=1", suffix=".txt")
+    return sessions.session_headers(found).select("id", "cwd", "parent")
+
+
 # lineage, configuration, sets
 
 SESSIONS = """se AS (
@@ -871,13 +920,18 @@ def config_status(spark, sf_dir):
     return reports.settings_in_force(config.layered(rows), [("evaluator", ["unset", "k2"]), ("replay", ["k3", "unset"]), ("arbiter", ["absent", "unset"])])
 
 
-@query("SELECT event_id, event_id % 5 > 0 AND event_id % 7 > 0 AS valid FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 23 < 22 THEN event_id % 23 >= 18 END AS valid FROM events")
 def runtime_status(spark, sf_dir):
-    n = F.col("event_id")
-    cost = ",".join(f'"{c}":1' for c in reports.COST)
-    counters = ",".join(f'"{c}":2' for c in reports.COUNTERS)
-    flag = F.when(n % 5 == 0, '"yes"').otherwise("true")
-    rows = fixtures.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"runtimeActive":'), flag, F.lit(',"contextApplied":false,"contextCost":{' + cost + "},"), F.when(n % 7 == 0, counters.replace(":2", ":-2")).otherwise(counters), F.lit("}")).alias("status"))
+    """Statuses of which one field is wrong, in turn; some have numbers in quotes or null for a number, some are none."""
+    n = F.col("event_id") % 23
+    broken = lambda k, bad, good: F.when(n == k, bad).otherwise(good)
+    parts = {name: broken(k, '"true"', "false") for k, name in enumerate(reports.FLAGS)}
+    parts |= {name: broken(4 + k, "5", "null" if k else '"2026-01-01T00:00:00Z"') for k, name in enumerate(reports.TIMES)}
+    parts |= {name: F.when(n == 7 + k, "-1" if k % 2 else "1.5").when(n == 18, '"7"').when(n == 19, "null").otherwise("7") for k, name in enumerate(reports.COUNTERS)}
+    cost = [F.concat(F.lit(f'"{name}":'), F.when(n == 11 + k, '"much"' if k else "-1").when(n == 20, '" 2.5 "').otherwise("2.5")) for k, name in enumerate(reports.COST)]
+    parts |= {"activationSource": broken(16, '"file"', '"command"'), "contextCost": broken(17, "[]", F.concat(F.lit("{"), F.concat_ws(",", *cost), F.lit("}")))}
+    body = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), value) for name, value in parts.items()))
+    rows = fixtures.table(spark, sf_dir, "events").select("event_id", F.when(n < 22, F.concat(F.lit("{"), body, F.lit("}"))).alias("status"))
     return rows.select("event_id", reports.valid_status(F.col("status")).alias("valid"))
 
 

@@ -1,4 +1,4 @@
-"""Reading journals, dialogues and session files; appending events once."""
+"""Reading journals and dialogues; appending events once."""
 
 from __future__ import annotations
 
@@ -16,25 +16,6 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("branch_id string, seq long, entry_type string, data string").json(path)
 
 
-def session_files(spark: SparkSession, root: str, depth: int = 5) -> DataFrame:
-    """path, first line and modification time of every .jsonl file at most ``depth`` folders down.
-
-    Only the first 128 KiB of a file are kept for its header line.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
-    below = F.size(F.split(F.regexp_replace("path", r"^.*?" + root.rstrip("/").split("/")[-1] + "/", ""), "/")) - 1
-    shown = ~F.col("path").rlike(r"/\.[^/]+/")
-    head = F.substring_index(F.decode(F.substring("content", 1, 131072), "UTF-8"), "\n", 1)
-    return files.where((below <= depth) & shown).select("path", "modificationTime", head.alias("header"))
-
-
-def session_headers(files: DataFrame) -> DataFrame:
-    """path, id, cwd, parent of files whose first line is a session header."""
-    field = lambda name: F.get_json_object("header", f"$.{name}")
-    rows = files.where(F.is_variant_null(F.try_parse_json("header")) == F.lit(False)).where(field("type") == "session")
-    return rows.where(field("id").isNotNull()).select("path", field("id").alias("id"), field("cwd").alias("cwd"), field("parentSession").alias("parent"), F.col("modificationTime").alias("modified"))
-
-
 def dialogues(spark: SparkSession, path: str) -> DataFrame:
     """path and whole text of each dialogue file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
@@ -42,7 +23,12 @@ def dialogues(spark: SparkSession, path: str) -> DataFrame:
 
 def optional_text(spark: SparkSession, paths: list[str], limit: int) -> DataFrame:
     """path, text cut to ``limit``, truncated, source_chars of each file named; no file, no row."""
-    rows = spark.read.text(paths, wholetext=True) if paths else spark.createDataFrame([], "value string, _metadata struct<file_path:string>")
+    found = []
+    for path in paths:
+        files, make = _storage(spark, path)
+        if files.exists(make(path)):
+            found.append(path)
+    rows = spark.read.text(found, wholetext=True) if found else spark.createDataFrame([], "value string, _metadata struct<file_path:string>")
     source = F.col("_metadata.file_path").alias("path")
     return rows.select(source, truncate(F.col("value"), limit).alias("text"), (F.length("value") > limit).alias("truncated"), F.length("value").cast("long").alias("source_chars"))
 

@@ -4,7 +4,6 @@ from factloom import constants as C
 from factloom.functions import rules as R
 from factloom.functions import text as T
 from factloom.operators import audit, lineage, pack, transcript
-from factloom.sources import journal
 
 FACT = "branch_id string, id string, type string, text string, created_at long, updated_at long, hot boolean, priority int, priority_explicit boolean, revision int"
 
@@ -84,13 +83,3 @@ def test_lineage_cycle(spark):
     rows = [("a", None, 1), ("b", "a", 2), ("c", "b", 3), ("x", "y", 4), ("y", "x", 5), ("z", "x", 6), ("o", "gone", 7)]
     got = {r.id: (r.root, r.depth) for r in lineage.roots(spark.createDataFrame(rows, "id string, parent string, modified long")).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": (None, None), "y": (None, None), "z": (None, None), "o": ("o", 0)}
-
-
-def test_session_files(spark, tmp_path):
-    deep = tmp_path / "one" / "two"
-    deep.mkdir(parents=True)
-    (deep / "s.jsonl").write_text('{"type":"session","id":"s1","cwd":"/w"}\n{"x":1}\n')
-    (tmp_path / "bad.jsonl").write_text("nothing\n")
-    (tmp_path / "other.txt").write_text("{}")
-    found = journal.session_headers(journal.session_files(spark, str(tmp_path))).collect()
-    assert [(r.id, r.cwd) for r in found] == [("s1", "/w")]
