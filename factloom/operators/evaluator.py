@@ -74,8 +74,8 @@ def answered(prompts: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(OUTCOME).json(folder).dropDuplicates(["digest"])
 
 
-def outcomes(prompts: DataFrame, model: Model, path: str, name: str = "model", prompt: str = "prompt", window: int = 16, at_once: int = 4, partitions: int = 32) -> DataFrame:
-    """``prompts`` with digest, n_calls, recovered, evaluation (JSON text) and problem.
+def outcomes(prompts: DataFrame, model: Model, path: str, name: str = "model", prompt: str = "prompt", window: int = 16, at_once: int = 4) -> DataFrame:
+    """``prompts`` without the prompts, with digest, n_calls, recovered, evaluation (JSON text) and problem.
 
     ``path`` is a folder that all executors share; ``name`` tells models apart in it.
     Equal prompts are one request.  A task holds ``window`` requests and calls the
@@ -102,6 +102,6 @@ def outcomes(prompts: DataFrame, model: Model, path: str, name: str = "model", p
     asked = prompts.withColumn("digest", F.sha2(F.concat(F.lit(name + "\0"), F.col(prompt)), 256))
     requests = asked.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first(prompt).alias("prompt"))
     known = answered(prompts, folder)
-    # the number of parts is fixed and their order is by digest, so a second try meets the same windows
-    new = requests.join(known, "digest", "left_anti").repartition(partitions, "digest").sortWithinPartitions("digest").mapInArrow(run, OUTCOME)
-    return asked.join(known.unionByName(new), "digest", "left")
+    # a part is in order of digests, so a second try meets the same windows; prompts are shuffled once, to find equal ones
+    new = requests.join(known, "digest", "left_anti").sortWithinPartitions("digest").mapInArrow(run, OUTCOME)
+    return asked.drop(prompt).join(known.unionByName(new), "digest", "left")

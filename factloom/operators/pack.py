@@ -32,7 +32,7 @@ def ranked(facts: DataFrame) -> DataFrame:
 LEAST_XML, LEAST_LINE = len('<fact id="" type="" p="0"></fact>'), len("-  ()")
 
 
-def sieved_facts(rows: DataFrame, budget: int, sizes: dict[str, int]) -> DataFrame:
+def sieved_facts(rows: DataFrame, budget: int, sizes: dict[str, tuple[int, str | None]]) -> DataFrame:
     """The rows that can matter to a packer, in columns it reads, and counts of the others."""
     # whatever is not taken is listed by a line; lines behind the last that fits are only counted
     lead = budget // LEAST_LINE + 1 + sum(budget // LEAST_XML for _ in sizes)
@@ -125,7 +125,7 @@ def _first_fit(facts: DataFrame, index_line: Column, budget: int) -> DataFrame:
     rows = facts.select("branch_id", "hot", "priority", "updated_at", "revision", "id", T.fact_xml().alias("xml"), index_line.alias("index_line"))
     size = T.utf16_length(F.col("xml")).cast("int")
     rows = rows.withColumn("size", F.when(size <= budget - C.ENVELOPE, size)).withColumn("xml", F.when(F.col("size").isNotNull(), F.col("xml")))
-    return sieved_facts(rows, budget, {"size": 0})
+    return sieved_facts(rows, budget, {"size": (0, "xml")})
 
 
 def contexts(facts: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
@@ -204,7 +204,7 @@ def compactions(facts: DataFrame, budget: int = C.COMPACTION_BUDGET) -> DataFram
     size = T.utf16_length(F.col("xml")).cast("int")
     rows = rows.withColumns({"size": F.when(size <= budget, size), "preview_size": T.utf16_length(F.col("preview")).cast("int")}).withColumn("xml", F.when(F.col("size").isNotNull(), F.col("xml")))
     # a preview's size may be shared by facts that are shown in full
-    rows = sieved_facts(rows, budget, {"size": 0, "preview_size": budget // LEAST_XML})
+    rows = sieved_facts(rows, budget, {"size": (0, "xml"), "preview_size": (budget // LEAST_XML, None)})
     return fold(rows, "branch_id", rank_order(), lambda b: CompactionPacker(b, budget), COMPACTION)
 
 

@@ -55,10 +55,11 @@ class Sieve:
     First fit never takes a row of a size after it has passed over one, for room only
     shrinks.  What it takes of a size are therefore that size's first rows, at most
     budget // size of them: so few rows decide, however many the key has.  The others
-    become one row whose ``standing`` tells how many they are.
+    become one row whose ``standing`` tells how many they are.  A leading row that
+    cannot be taken by a size keeps neither it nor the text that goes with it.
     """
 
-    def __init__(self, key, names: list[str], at: str, budget: int, lead: int, sizes: dict[str, int]):
+    def __init__(self, key, names: list[str], at: str, budget: int, lead: int, sizes: dict[str, tuple[int, str | None]]):
         self.key, self.names, self.at, self.budget, self.lead, self.sizes = key, names, at, budget, lead, sizes
         self.n = self.passed_over = 0
         self.seen = {name: {} for name in sizes}
@@ -69,13 +70,15 @@ class Sieve:
             return []
         keep = self.n < self.lead
         self.n += 1
-        for name, spare in self.sizes.items():
+        for name, (spare, text) in self.sizes.items():
             size = row[name]
             if size is not None:
                 before = self.seen[name].get(size, 0)
                 if before < self.budget // max(size, 1) + spare:
                     self.seen[name][size] = before + 1
                     keep = True
+                elif text:
+                    row[name] = row[text] = None
         if keep:
             return [tuple(row[n] for n in self.names)]
         self.passed_over += 1
@@ -86,12 +89,12 @@ class Sieve:
         return [tuple(rest.get(n) for n in self.names)] if self.passed_over else []
 
 
-def sieved(rows: DataFrame, key: str, order: list[Column | str], at: str, budget: int, lead: int, sizes: dict[str, int], groups: int = 64) -> DataFrame:
+def sieved(rows: DataFrame, key: str, order: list[Column | str], at: str, budget: int, lead: int, sizes: dict[str, tuple[int, str | None]], groups: int = 64) -> DataFrame:
     """``rows`` with ``standing`` (1), those that cannot matter to a first fit in ``order`` as counts: null but for the key and ``standing``.
 
     ``at`` names a column that is null in no row; ``sizes`` the columns of sizes, null
     where a row cannot be taken at all, each with the rows of a size that may be taken
-    otherwise.  Rows are sieved where they are read, then in ``groups`` parts of each
+    otherwise and the column of its text, if that is of no use without the size.  Rows are sieved where they are read, then in ``groups`` parts of each
     key; sieving parts and then their union gives what sieving all at once does.
     """
     rows = rows.withColumns({"standing": F.lit(1).cast("long"), "__part": F.spark_partition_id() % groups})

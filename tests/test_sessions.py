@@ -77,7 +77,7 @@ def calls(folder):
 def test_outcomes_are_kept_and_calls_not_repeated(spark, tmp_path):
     prompts = spark.createDataFrame([(1, "bare"), (2, "fenced"), (3, "later"), (4, "never"), (5, None), (6, "bare"), (7, "")], "k int, prompt string")
     model = model_in(str(tmp_path))
-    run = lambda rows: {r.k: (r.n_calls, r.recovered, r.evaluation, r.problem) for r in evaluator.outcomes(rows, model, str(tmp_path / "kept"), partitions=3).collect()}
+    run = lambda rows: {r.k: (r.n_calls, r.recovered, r.evaluation, r.problem) for r in evaluator.outcomes(rows, model, str(tmp_path / "kept")).collect()}
     want = {1: (1, False, '{"a":1}', None), 2: (1, False, '{"a":1,"b":2}', None), 3: (2, True, '{"a":1}', None), 4: (2, False, None, "no JSON object; answer: sorry, no JSON"), 5: (None,) * 4, 6: (1, False, '{"a":1}', None), 7: (1, False, '{"a":1}', None)}
     assert run(prompts) == want
     before = calls(tmp_path)
@@ -90,7 +90,7 @@ def test_outcomes_are_kept_and_calls_not_repeated(spark, tmp_path):
 
 def test_windows_before_a_failed_call_are_not_asked_again(spark, tmp_path):
     prompts = spark.range(40).selectExpr("cast(id as string) prompt")
-    run = lambda: evaluator.outcomes(prompts, model_in(str(tmp_path), "7"), str(tmp_path / "kept"), window=4, at_once=1, partitions=1)
+    run = lambda: evaluator.outcomes(prompts, model_in(str(tmp_path), "7"), str(tmp_path / "kept"), window=4, at_once=1)
     try:
         assert run().count() == 40  # a scheduler that tries tasks again comes through at once
     except Exception as problem:
