@@ -55,6 +55,16 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """With so many decimals, halves away from zero."""
+    return F.format_string(f"%.{digits}f", F.signum(x) * F.floor(F.abs(x) * 10**digits + 0.5) / 10**digits)
+
+
+def plain(x: Column) -> Column:
+    """The shortest decimals of a share from 0 to 1, without a fraction where there is none."""
+    return F.rtrim(F.rtrim(x.cast("decimal(38,20)").cast("string"), F.lit("0")), F.lit("."))
+
+
 def valid_time(t: Column) -> Column:
     return t.isNotNull() & (t > 0) & (t <= C.MAX_TIME)
 

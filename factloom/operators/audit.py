@@ -1,62 +1,98 @@
 """Auditing a compact context against its baseline, per branch.
 
-Contexts are parsed with built-in regular expressions; ids are compared by one
+Contexts are cut at their tags and separators by built-in functions; ids are compared by one
 aggregation per branch and id, so the audit shuffles ids, never texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import rules as R
 from ..functions import text as T
-
-FACT = r"(?is)<fact\b([^>]*)>(.*?)</fact>"
-_GAP = rf"\s+{C.SEPARATOR}\s+"
-INDEX_LINE = rf"(?i)\A\s*-\s+(cf_[a-z0-9_-]+){_GAP}({'|'.join(C.FACT_TYPES)}){_GAP}p(\d+)(?:{_GAP}{C.HOT_MARK})?(?:{_GAP}.*)?\s*\z"
+from ..sources.shared import settled
+
+#: Ids a piece of advice names as evidence at most.
+NAMED = 12
+_ID = r"(?i)\Acf_[a-z0-9_-]+\z"
+_SPACES = C.JS_SPACE
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """What stands in quotes behind ``name=``, the first time it does; null if it never does."""
+    parts = F.split(tag, '"')
+    places = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda k: (k % 2 == 0) & (k + 2 < F.size(parts)) & F.get(parts, k).rlike(rf"\b{name}=\z"))
+    return F.get(parts, F.get(places, F.lit(0)) + 1)
+
+
+def _number(digits: Column) -> Column:
+    """A number from 0 to 100, else null."""
+    n = digits.try_cast("int")
+    return F.when(n.between(0, 100), n)
+
+
+def _expanded(contexts: DataFrame, text: str) -> DataFrame:
+    """Facts written as elements: a text is cut behind each end tag, and a piece is judged from its first start tag on."""
+    pieces = F.split(text, "(?i)</fact>")
+    rows = contexts.select("branch_id", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("pos", "piece"))
+    rows = rows.select("branch_id", "pos", F.split("piece", r"(?i)<fact\b(?=[^>]*>)", 2).alias("p")).where("size(p) = 2")
+    inside = F.get("p", F.lit(1))
+    rows = rows.select("branch_id", "pos", F.substring_index(inside, ">", 1).alias("tag"), inside.alias("inside"))
+    tag = F.col("tag")
+    out = rows.select(
+        "branch_id", "pos", F.lit("expanded").alias("source"), _attribute(tag, "id").alias("id"), _attribute(tag, "type").alias("type"), _number(_attribute(tag, "p")).alias("priority"),
+        tag.rlike(r"(?i)\bhot\b").alias("hot"), T.unescape_xml(F.expr("substring(inside, length(tag) + 2)")).alias("fact_text"),
+    )
+    return out.where(F.col("id").rlike(_ID) & F.col("type").isin(*C.FACT_TYPES) & F.col("priority").isNotNull())
+
+
+def _index(contexts: DataFrame, text: str) -> DataFrame:
+    """Facts written as lines: the fields between the separators are judged one by one."""
+    lines = contexts.select("branch_id", F.posexplode(F.split(text, "\r?\n")).alias("pos", "line")).where(F.contains("line", F.lit(C.SEPARATOR)))
+    rows = lines.select("branch_id", "pos", F.split("line", C.SEPARATOR).alias("f"))
+    field = lambda k: F.get("f", F.lit(k))
+    bare = lambda x: F.regexp_replace(x, rf"\A{_SPACES}+|{_SPACES}+\z", "")
+    apart = lambda k: field(k).rlike(rf"\A{_SPACES}") & (field(k).rlike(rf"{_SPACES}\z") | (F.size("f") == k + 1))
+    name, kind, level = bare(field(0)), bare(field(1)), bare(field(2))
+    marked = lambda x, k: x.rlike(rf"(?i)\A{_SPACES}+{C.HOT_MARK}\z") & (k == F.size("f") - 1) | x.rlike(rf"(?i)\A{_SPACES}+{C.HOT_MARK}{_SPACES}+\z") & (k < F.size("f") - 1)
+    sound = name.rlike(rf"\A-{_SPACES}") & field(0).rlike(rf"{_SPACES}\z") & apart(1) & (F.size("f") > 2) & apart(2) & (F.get("f", F.lit(3)).isNull() | F.get("f", F.lit(3)).rlike(rf"\A{_SPACES}"))
+    id_ = F.regexp_replace(name, rf"\A-{_SPACES}+", "")
+    sound &= id_.rlike(_ID) & F.lower(kind).isin(*C.FACT_TYPES) & level.rlike(r"(?i)\Ap[0-9]+\z")
+    hot = F.exists(F.transform("f", lambda x, k: marked(x, k)), lambda x: x)
+    out = rows.where(sound).select("branch_id", "pos", F.lit("index").alias("source"), id_.alias("id"), kind.alias("type"), _number(F.substring(level, 2, 1 << 20)).alias("priority"), hot.alias("hot"), F.lit("").alias("fact_text"))
+    return out.where("priority is not null")
 
 
 def parse(contexts: DataFrame, text: str = "text") -> DataFrame:
     """One row per fact mention: branch_id, pos, source, id, type, priority, hot, fact_text.
 
     Expanded facts come first, then index lines; every line is tried as one.
+    A start tag that does not end before an end tag is none.
     """
-    attribute = lambda c, name: F.regexp_extract(c, rf'\b{name}="([^"]*)"', 1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(FACT), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, FACT, 1).alias("raw"), F.regexp_extract(m, FACT, 2).alias("body")))
-    found = contexts.select("branch_id", F.posexplode(matches).alias("pos", "m"))
-    raw = F.col("m.raw")
-    expanded = found.select(
-        "branch_id", "pos", F.lit("expanded").alias("source"), attribute(raw, "id").alias("id"), attribute(raw, "type").alias("type"),
-        F.expr("try_cast(regexp_extract(m.raw, '\\\\bp=\"([^\"]*)\"', 1) AS int)").alias("priority"), raw.rlike(r"(?i)\bhot\b").alias("hot"), T.unescape_xml(F.col("m.body")).alias("fact_text"),
-    )
-    expanded = expanded.where(F.col("id").rlike(r"\A(?i)cf_[a-z0-9_-]+\z") & F.col("type").isin(*C.FACT_TYPES) & F.col("priority").between(0, 100))
-    lines = contexts.select("branch_id", F.posexplode(F.split(text, "\r?\n")).alias("pos", "line")).where(F.col("line").rlike(INDEX_LINE))
-    part = lambda k: F.regexp_extract("line", INDEX_LINE, k)
-    index = lines.select("branch_id", "pos", F.lit("index").alias("source"), part(1).alias("id"), part(2).alias("type"), part(3).try_cast("int").alias("priority"), F.col("line").rlike(rf"(?i){C.SEPARATOR}\s+{C.HOT_MARK}(?:\s+{C.SEPARATOR}|\z)").alias("hot"), F.lit("").alias("fact_text"))
-    return expanded.unionByName(index.where(F.col("priority").between(0, 100)))
+    return _expanded(contexts, text).unionByName(_index(contexts, text))
 
 
 def facts_of(mentions: DataFrame) -> DataFrame:
-    """One row per branch and id: the last expanded mention, else the first index line."""
+    """One row per branch and id: the last expanded mention, else the first index line; ``place`` is where the id is first met."""
     expanded = F.col("source") == "expanded"
     last = F.max_by(F.struct("type", "priority", "hot", "fact_text"), F.when(expanded, F.col("pos")))
     first = F.min_by(F.struct("type", "priority", "hot", "fact_text"), F.when(~expanded, F.col("pos")))
     out = mentions.groupBy("branch_id", "id").agg(
         F.count_if(expanded).alias("n_expanded"),
         F.sum(F.when(expanded, T.utf16_length(F.col("fact_text"))).otherwise(0)).alias("payload_chars"),
-        last.alias("last"), first.alias("first"),
+        last.alias("last"), first.alias("first"), F.min(F.struct((~expanded).alias("later"), "pos")).alias("place"),
     )
-    return out.select("branch_id", "id", "n_expanded", "payload_chars", F.coalesce("last", "first").alias("f")).select("branch_id", "id", "n_expanded", "payload_chars", "f.*")
+    return out.select("branch_id", "id", "n_expanded", "payload_chars", "place", F.coalesce("last", "first").alias("f")).select("branch_id", "id", "n_expanded", "payload_chars", "place", "f.*")
 
 
 def compared(baseline: DataFrame, compact: DataFrame) -> DataFrame:
     """Full outer comparison by id: which facts are kept, lost or unexpected."""
-    base = facts_of(parse(baseline)).where("n_expanded > 0").select("branch_id", "id", "priority", F.lit(True).alias("in_base"))
-    small = facts_of(parse(compact)).select("branch_id", "id", "n_expanded", "payload_chars", F.lit(True).alias("in_compact"))
+    base = facts_of(parse(baseline)).where("n_expanded > 0").select("branch_id", "id", "priority", F.col("place").alias("base_place"), F.lit(True).alias("in_base"))
+    small = facts_of(parse(compact)).select("branch_id", "id", "n_expanded", "payload_chars", F.col("place").alias("compact_place"), F.lit(True).alias("in_compact"))
     both = base.join(small, ["branch_id", "id"], "full_outer")
-    return both.select("branch_id", "id", "priority", F.coalesce("n_expanded", F.lit(0)).alias("n_expanded"), F.coalesce("payload_chars", F.lit(0)).alias("payload_chars"), F.coalesce("in_base", F.lit(False)).alias("in_base"), F.coalesce("in_compact", F.lit(False)).alias("in_compact")).withColumn("kept", F.col("in_base") & F.col("in_compact"))
+    return both.select("branch_id", "id", "priority", F.coalesce("base_place", "compact_place").alias("place"), F.coalesce("n_expanded", F.lit(0)).alias("n_expanded"), F.coalesce("payload_chars", F.lit(0)).alias("payload_chars"), F.coalesce("in_base", F.lit(False)).alias("in_base"), F.coalesce("in_compact", F.lit(False)).alias("in_compact")).withColumn("kept", F.col("in_base") & F.col("in_compact"))
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -81,11 +117,31 @@ def recall_by_tier(rows: DataFrame) -> DataFrame:
     return out.select("branch_id", "tier", total.alias("total"), retained.alias("retained"), R.ratio(retained, total).alias("recall"), F.coalesce("omitted_ids", F.lit("")).alias("omitted_ids"))
 
 
-def audit(baseline: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
-    """The whole audit, one row per branch that has both contexts."""
+def named(rows: DataFrame, limit: int = NAMED) -> DataFrame:
+    """branch_id, omitted_ids, unexpected_ids: the first ids of either kind, in the order of their contexts.
+
+    Only ids that are on one side are ranked, and no more than ``limit`` of a kind are gathered.
+    """
+    odd = rows.where("in_base != in_compact")
+    place = F.row_number().over(Window.partitionBy("branch_id", "in_base").orderBy("place"))
+    first = odd.withColumn("n", place).where(F.col("n") <= limit)
+    ids = lambda here: F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("n", "id")))), lambda x: x["id"])
+    return first.groupBy("branch_id").agg(ids(F.col("in_base")).alias("omitted_ids"), ids(~F.col("in_base")).alias("unexpected_ids"))
+
+
+def with_names(baseline: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
+    """The audit, with the ids that advice names as evidence.  The comparison by id is stored, for it is read twice."""
+    rows = settled(compared(baseline, compact))
+    none = F.expr("cast(array() as array<string>)")
+    out = audit(baseline, compact, budget, rows).join(named(rows), "branch_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("omitted_ids", "unexpected_ids")})
+
+
+def audit(baseline: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET, rows: DataFrame | None = None) -> DataFrame:
+    """The whole audit, one row per branch that has both contexts; ``rows``: their comparison, if it is there."""
     size = lambda df, name: df.select("branch_id", T.utf16_length(F.col("text")).cast("long").alias(f"{name}_chars"), T.tokens(F.col("text")).alias(f"{name}_tokens"))
     sizes = size(baseline, "baseline").join(size(compact, "compact"), "branch_id")
-    out = sizes.join(sets(compared(baseline, compact)), "branch_id")
+    out = sizes.join(sets(compared(baseline, compact) if rows is None else rows), "branch_id")
     c = F.col
     ids = F.greatest(c("compact"), F.lit(1))
     duplicates = F.greatest(c("occurrences") - c("expanded"), F.lit(0))
@@ -125,9 +181,36 @@ ADVICE = (
 SEVERITY = ("critical", "warning", "info")
 
 
+def _evidence(audited: DataFrame) -> dict[str, list[Column] | Column]:
+    """What each piece of advice rests on: figures as ``name=value``, or ids where the audit holds them."""
+    c = F.col
+    said = lambda name, value: F.concat(F.lit(f"{name}="), value)
+    share = lambda x: F.concat(R.fixed(x * 100, 1), F.lit("%"))
+    critical = F.when(c("critical_recall") < 1, F.array(said("criticalRecall", R.plain(c("critical_recall"))))).otherwise(F.expr("cast(array() as array<string>)"))
+    out = {
+        "runtime-inactive": [F.lit("runtimeActive=false")],
+        "runtime-not-applied": [F.lit("runtimeActive=true"), F.lit("contextApplied=false")],
+        "critical-loss": critical,
+        "priority-recall": [said("priorityWeightedRecall", R.fixed(c("weighted_recall"), 3))],
+        "low-compression": [said("reduction", share(c("reduction")))],
+        "budget-pressure": [said("budgetUtilization", R.fixed(c("utilisation"), 3))],
+        "index-heavy": [said("indexOnly", c("index_only").cast("string")), said("baseline", c("baseline").cast("string"))],
+        "context-contamination": [said("duplicateExpanded", c("duplicates").cast("string")), said("unexpected", c("unexpected").cast("string"))],
+        "healthy-tradeoff": [said("estimatedTokensSaved", c("tokens_saved").cast("string")), F.lit("priorityWeightedRecall=1.000")],
+    }
+    if "omitted_ids" in audited.columns:
+        out |= {"prune-low-priority": c("omitted_ids"), "stale-or-unexpected": c("unexpected_ids")}
+    return out
+
+
 def recommendations(audited: DataFrame, active: Column | None = None, applied: Column | None = None) -> DataFrame:
-    """One row per branch and piece of advice, ranked by severity, then rule."""
+    """One row per branch and piece of advice, ranked by severity, then rule, with the evidence for it.
+
+    Ids are named if ``audited`` comes from ``with_names``; else those lists are empty.
+    """
     c = F.col
+    rests = _evidence(audited)
+    listed = lambda code: rests[code] if isinstance(rests.get(code), Column) else F.array(*rests[code]) if code in rests else F.expr("cast(array() as array<string>)")
     on = F.coalesce(active, F.lit(True)) if active is not None else F.lit(True)
     used = F.coalesce(applied, F.lit(True)) if applied is not None else F.lit(True)
     holds = {
@@ -143,6 +226,6 @@ def recommendations(audited: DataFrame, active: Column | None = None, applied: C
         "context-contamination": c("contamination") > 0,
         "healthy-tradeoff": (c("tokens_saved") > 0) & (c("weighted_recall") == 1) & (c("contamination") == 0),
     }
-    said = F.array(*(F.when(holds[code], F.struct(F.lit(SEVERITY.index(level)).alias("rank"), F.lit(k).alias("rule"), F.lit(code).alias("code"), F.lit(level).alias("severity"), F.lit(seen).alias("message"), F.lit(act).alias("action"))) for k, (code, level, seen, act) in enumerate(ADVICE)))
+    said = F.array(*(F.when(holds[code], F.struct(F.lit(SEVERITY.index(level)).alias("rank"), F.lit(k).alias("rule"), F.lit(code).alias("code"), F.lit(level).alias("severity"), F.lit(seen).alias("message"), F.lit(act).alias("action"), listed(code).alias("evidence"))) for k, (code, level, seen, act) in enumerate(ADVICE)))
     rows = audited.select("branch_id", F.posexplode(F.array_sort(F.filter(said, lambda x: x.isNotNull()))).alias("place", "r"))
-    return rows.select("branch_id", "place", "r.code", "r.severity", "r.message", "r.action")
+    return rows.select("branch_id", "place", "r.code", "r.severity", "r.message", "r.action", "r.evidence")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .evaluate import kind
 
 #: Most warnings that one notice shows.
 SHOWN = 3
@@ -96,3 +97,10 @@ def applications(turns: DataFrame) -> DataFrame:
     count = lambda event: F.count_if(told & (F.col("event") == event))
     rows = turns.groupBy("session_id").agg(count("context").alias("context_applications"), count("compaction").alias("guidance_applications"))
     return rows.withColumns({"context_applied": F.col("context_applications") > 0, "guidance_applied": F.col("guidance_applications") > 0})
+
+
+def cost_tokens(cost: Column) -> Column:
+    """The estimated tokens a cost (JSON) states as a number; 0 where it states none."""
+    doc = F.try_parse_json(cost)
+    said = F.when(kind(doc, "$.estimatedTokens").rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(doc, "$.estimatedTokens", "double"))
+    return F.coalesce(said, F.lit(0.0))

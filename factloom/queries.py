@@ -11,7 +11,7 @@ from . import constants as C
 from .api import Engine
 from .functions import rules as R
 from .functions import text as T
-from .operators import audit, blocks, commands, evaluate, events, gates, legacy, lineage, notices, pack, replay, reports, requests, transcript
+from .operators import audit, blocks, commands, evaluate, events, gates, legacy, lineage, notices, pack, prompts, replay, reports, requests, transcript
 from .plans import fixtures
 from .sources import config, journal, sessions
 from .sources.shared import settled, shared_path
@@ -42,6 +42,7 @@ COLLAPSE = lambda x: f"regexp_replace({x}, '{SPACE}+', ' ', 'g')"
 NORMALISE = lambda x: TRIM(f"replace(regexp_replace({x}, '{C.UNSAFE}', '', 'g'), chr(13) || chr(10), chr(10))")
 WIDE = lambda x: f"length(regexp_replace({x}, '[\\x{{0000}}-\\x{{03FF}}]', '', 'g'))"
 TOKENS = lambda x: f"CAST(CASE WHEN {x} = '' THEN 0 ELSE ceil({UNITS(x)} / (CASE WHEN {WIDE(x)} / {UNITS(x)} > 0.3 THEN 2 ELSE 4 END)) END AS BIGINT)"
+FIXED = lambda x, d: f"printf('%.{d}f', sign({x}) * floor(abs({x}) * {10**d} + 0.5) / {10**d})"
 ROUND2 = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
 RATIO = lambda a, b: f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
 PRIORITY = lambda x: f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.TYPE_PRIORITY.items()) + f" ELSE {C.DEFAULT_PRIORITY} END)"
@@ -713,6 +714,37 @@ def audit_recommendations(spark, sf_dir):
     return audit.recommendations(audit.audit(*contexts(spark, sf_dir))).select("branch_id", "place", "code", "severity")
 
 
+_HELD = f"""{_PACK}, held AS (SELECT * FROM facts WHERE type <> 'finding'),
+{_FULL.replace("FROM facts", "FROM held")},
+small AS (SELECT branch_id, fs[i] AS f, i, TRUE AS expanded FROM (SELECT branch_id, fs, unnest(shown) AS i FROM chosen) UNION ALL SELECT branch_id, fs[i] AS f, i, FALSE FROM (SELECT branch_id, fs, unnest(pool[1 : k]) AS i FROM chosen)),
+ids AS (SELECT branch_id, regexp_extract(f.line, 'cf_[a-z0-9_]+') AS id, i, expanded FROM small),
+pairs AS (SELECT branch_id, id, h.id IS NOT NULL AS in_base, s.id IS NOT NULL AS in_compact, coalesce(s.expanded, FALSE) AS expanded, h.priority,
+  row_number() OVER (PARTITION BY branch_id, h.id IS NOT NULL, s.id IS NOT NULL ORDER BY CASE WHEN h.id IS NULL THEN NOT s.expanded END, CASE WHEN h.id IS NULL THEN s.i END, h.hot DESC, h.priority DESC, h.updated_at DESC, h.revision DESC, id) AS n
+  FROM held h FULL JOIN ids s USING (branch_id, id)),
+g AS (SELECT branch_id, count_if(in_base) AS baseline, count_if(in_compact) AS n_compact, count_if(in_base AND NOT in_compact) AS omitted, count_if(in_compact AND NOT in_base) AS unexpected, count_if(in_compact AND NOT expanded) AS index_only,
+  count_if(in_base AND priority >= 90) AS critical, count_if(in_base AND NOT in_compact AND priority >= 90) AS critical_loss, sum(CASE WHEN in_base THEN 1 + priority ELSE 0 END) AS weight, sum(CASE WHEN in_base AND in_compact THEN 1 + priority ELSE 0 END) AS weight_kept,
+  string_agg(CASE WHEN in_base AND NOT in_compact AND n <= 12 THEN id END, '; ' ORDER BY n) AS omitted_ids, string_agg(CASE WHEN in_compact AND NOT in_base AND n <= 12 THEN id END, '; ' ORDER BY n) AS unexpected_ids FROM pairs GROUP BY branch_id),
+v AS (SELECT g.*, 1 - c.total_chars / {UNITS('t.text')} AS reduction, c.total_chars / 10000 AS utilisation, {RATIO('weight_kept', 'weight')} AS recall, (critical - critical_loss) / greatest(critical, 1) AS critical_recall, greatest({TOKENS('t.text')} - c.tokens, 0) AS saved FROM g JOIN costed c USING (branch_id) JOIN full_text t USING (branch_id))"""
+
+
+@query(rf"""{_HELD}, said AS (
+  SELECT branch_id, 0 AS rank, 2 AS rule, 'critical-loss' AS code, 'criticalRecall=' || regexp_replace(CAST(critical_recall AS VARCHAR), '\.0$', '') AS evidence FROM v WHERE critical_loss > 0
+  UNION ALL SELECT branch_id, 1, 3, 'priority-recall', 'priorityWeightedRecall=' || {FIXED('recall', 3)} FROM v WHERE recall < 1
+  UNION ALL SELECT branch_id, 0, 4, 'stale-or-unexpected', unexpected_ids FROM v WHERE unexpected > 0
+  UNION ALL SELECT branch_id, 2, 5, 'low-compression', 'reduction=' || {FIXED('reduction * 100', 1)} || '%' FROM v WHERE reduction < 0.15
+  UNION ALL SELECT branch_id, 1, 6, 'budget-pressure', 'budgetUtilization=' || {FIXED('utilisation', 3)} FROM v WHERE utilisation >= 0.9
+  UNION ALL SELECT branch_id, 2, 7, 'prune-low-priority', omitted_ids FROM v WHERE omitted > 0 AND critical_loss = 0
+  UNION ALL SELECT branch_id, 2, 8, 'index-heavy', 'indexOnly=' || index_only || '; baseline=' || baseline FROM v WHERE index_only > greatest(3, ceil(baseline * 0.5))
+  UNION ALL SELECT branch_id, 1, 9, 'context-contamination', 'duplicateExpanded=0; unexpected=' || unexpected FROM v WHERE unexpected > 0
+  UNION ALL SELECT branch_id, 2, 10, 'healthy-tradeoff', 'estimatedTokensSaved=' || saved || '; priorityWeightedRecall=1.000' FROM v WHERE saved > 0 AND recall = 1 AND unexpected = 0)
+SELECT branch_id, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY rank, rule) - 1 AS INTEGER) AS place, code, evidence FROM said""")
+def audit_evidence(spark, sf_dir):
+    """Contexts of all facts against a baseline without findings, as if these had been revoked: the evidence for each piece of advice."""
+    rows = facts(spark, sf_dir)
+    audited = audit.with_names(pack.full_contexts(rows.where("type != 'finding'")), settled(pack.contexts(rows)))
+    return audit.recommendations(audited).select("branch_id", "place", "code", F.array_join("evidence", "; ").alias("evidence"))
+
+
 # evaluation
 
 SCORES = "sc AS (SELECT conv_id, metric, (conv_id * prime) % 10001 / 100.0 AS score FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES " + ", ".join(f"('{m}', {p})" for m, p in zip(C.METRICS, fixtures.PRIMES)) + ") t(metric, prime))"
@@ -870,12 +902,25 @@ def config_layers(spark, sf_dir):
     return config.layered(rows)
 
 
-DOTENV = "# note\nA=1\nexport B = two words # tail\nC='x # y'\nD=\"a\\nb \\\"q\\\"\"\nE=\nF=\"open\nA=2\n  # G=3\nH=a#b\nI=\"x\\ty\\rz\"\n"
+#: A file of settings; what stands for the mark differs from file to file.
+DOTENV = "# note\nA=1\nexport B = two words @ # tail\nC='x # y'\nD=\"a\\nb \\\"q\\\"\"\nE=\nF=\"open\nA=@\n  # G=3\nH=a#b\nI=\"x\\ty\\rz\"\nJ=\"shut\" # skipped\nK= #@\nL='a' # 'b'\n1M=@\nN =\t\"@\\\\\"\nexport\tO=p=@\nQ\n"
 
 
-@query("SELECT * FROM (VALUES ('.env', 'A', '2'), ('.env', 'B', 'two words'), ('.env', 'C', 'x # y'), ('.env', 'D', 'a' || chr(10) || 'b \"q\"'), ('.env', 'E', ''), ('.env', 'H', 'a#b'), ('.env', 'I', 'x' || chr(9) || 'y' || chr(13) || 'z')) t(file, key, value)")
+@query("""SELECT 'f_' || event_id AS file, t.key, replace(t.value, '@', CAST(event_id AS VARCHAR)) AS value FROM events, (VALUES ('A', '@'), ('B', 'two words @'), ('C', 'x # y'), ('D', 'a' || chr(10) || 'b "q"'), ('E', ''), ('H', 'a#b'),
+  ('I', 'x' || chr(9) || 'y' || chr(13) || 'z'), ('K', '#@'), ('L', 'a'' # ''b'), ('N', '@\\'), ('O', 'p=@')) t(key, value)""")
 def dotenv_parse(spark, sf_dir):
-    return config.dotenv(spark.createDataFrame([(".env", DOTENV)], "file string, content string"))
+    n = F.col("event_id").cast("string")
+    return config.dotenv(fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit("f_"), n).alias("file"), F.replace(F.lit(DOTENV), F.lit("@"), n).alias("content")))
+
+
+@query("""SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id + 0.5 ELSE 0 END AS DOUBLE) AS tokens FROM events""")
+def cost_tokens(spark, sf_dir):
+    """Costs with a whole number, a fraction, a number in quotes, none, a list, and no JSON."""
+    n = F.col("event_id")
+    said = lambda body: F.concat(F.lit('{"estimatedTokens":'), body, F.lit("}"))
+    k = n % 6
+    cost = F.when(k == 0, said(n.cast("string"))).when(k == 1, said(F.concat(n.cast("string"), F.lit(".5")))).when(k == 2, said(F.lit('"7"'))).when(k == 3, "{}").when(k == 4, "[7]")
+    return fixtures.table(spark, sf_dir, "events").select("event_id", notices.cost_tokens(cost).alias("tokens"))
 
 
 @query("SELECT 's_' || conv_id AS id FROM conversations WHERE role = 'assistant' UNION SELECT 's_' || conv_id FROM conversations WHERE role <> 'assistant'")
@@ -950,6 +995,58 @@ def audit_report(spark, sf_dir):
     return rows.select("branch_id", F.from_json("report", "baseline_chars bigint, compact_chars bigint, tokens_saved bigint").alias("r")).select("branch_id", "r.*")
 
 
+@query(f"""{_AUDIT}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS i FROM (SELECT conv_id AS session_id, turn AS pos, role, text AS content FROM conversations)),
+t AS (SELECT session_id, CAST(sum(length('### ' || i || '. ' || role || chr(10) || content)) + 2 * (count(*) - 1) AS BIGINT) AS chars, count(*) AS n FROM n GROUP BY session_id),
+d AS (SELECT session_id, n, chars, CASE WHEN chars > 1000 THEN 1000 + {len(C.TRUNCATED)} ELSE chars END AS seen FROM t)
+SELECT 'b_src' || d.session_id AS branch_id, d.n AS messages, d.chars AS source_chars, d.seen AS analysed_chars, d.chars > 1000 AS truncated, baseline_chars, compact_chars,
+  CASE WHEN baseline_chars IS NOT NULL THEN 'active-pinned-facts' END AS kind, CASE WHEN baseline_chars IS NOT NULL THEN TRUE END AS complete, reduction, CAST(weighted_recall AS DOUBLE) AS recall,
+  CASE WHEN baseline_chars IS NOT NULL THEN d.session_id % 3 = 1 END AS active, d.session_id % 3 <> 2 AS has_status, o.n AS compared,
+  coalesce(CAST(critical_loss > 0 AS INTEGER) + CAST(weighted_recall < 1 AS INTEGER) + CAST(reduction < 0.15 AS INTEGER) + CAST(utilisation >= 0.9 AS INTEGER) + CAST(omitted > 0 AND critical_loss = 0 AS INTEGER) + CAST(index_only > greatest(3, ceil(baseline * 0.5)) AS INTEGER) + CAST(tokens_saved > 0 AND weighted_recall = 1 AS INTEGER), 0) AS n_advice
+FROM d LEFT JOIN d o ON o.session_id = d.session_id + 1 LEFT JOIN au ON au.branch_id = 'b_src' || d.session_id""")
+def inputs_report(spark, sf_dir):
+    """What was judged of each session, its branch's contexts and the session that follows, read back from the documents."""
+    full, packed = contexts(spark, sf_dir)
+    packed = settled(packed)
+    audited = settled(audit.with_names(full, packed))
+    n = F.col("session_id")
+    branch = lambda n: F.concat(F.lit("b_src"), n.cast("string")).alias("branch_id")
+    told = settled(transcript.rendered(messages(spark, sf_dir), 1000).select("session_id", "n_messages", "source_chars", "analysed_chars", "truncated"))
+    sizes = lambda name: audited.select("branch_id", F.col(name).alias("source_chars"), F.col(name).alias("analysed_chars"), F.lit(False).alias("truncated"))
+    on = F.when(n % 3 == 1, "true").otherwise("false")
+    parts = [F.concat(F.lit(f'"{x}":'), on) for x in reports.FLAGS] + [F.lit(f'"{x}":null') for x in reports.TIMES] + [F.lit(f'"{x}":1') for x in reports.COUNTERS]
+    parts += [F.when(n % 3 == 2, '"activationSource":"file"').otherwise('"activationSource":"none"'), F.lit('"contextCost":{' + ",".join(f'"{x}":2' for x in reports.COST) + "}")]
+    status = told.select(branch(n), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("status"))
+    rows = reports.inputs_report(audited, audit.recommendations(audited), told.select(branch(n), *told.columns[1:]), sizes("compact_chars"), sizes("baseline_chars"), status, told.select(branch(n - 1), *told.columns[1:]))
+    size = "struct<messages:bigint,sourceChars:bigint,analyzedChars:bigint,truncated:boolean,chars:bigint,kind:string>"
+    kind = f"struct<dialogue:{size},compactContext:{size},baselineContext:{size},runtime:struct<runtimeActive:boolean>,compressionAudit:struct<measurement:struct<complete:boolean>,recall:struct<priorityWeightedRecall:double>>,recommendations:array<struct<code:string>>,contextComparison:struct<reduction:double,runtimeActive:boolean>,comparisonDialogue:{size}>"
+    r = rows.select("branch_id", F.from_json("report", kind).alias("r"))
+    return r.select("branch_id", F.col("r.dialogue.messages").alias("messages"), F.col("r.dialogue.sourceChars").alias("source_chars"), F.col("r.dialogue.analyzedChars").alias("analysed_chars"), F.col("r.dialogue.truncated").alias("truncated"), F.col("r.baselineContext.chars").alias("baseline_chars"), F.col("r.compactContext.chars").alias("compact_chars"), F.col("r.baselineContext.kind").alias("kind"), F.col("r.compressionAudit.measurement.complete").alias("complete"), F.col("r.contextComparison.reduction").alias("reduction"), F.col("r.compressionAudit.recall.priorityWeightedRecall").alias("recall"), F.col("r.contextComparison.runtimeActive").alias("active"), F.col("r.runtime").isNotNull().alias("has_status"), F.col("r.comparisonDialogue.messages").alias("compared"), F.size("r.recommendations").alias("n_advice"))
+
+
+@query(rf"""{_MEANS}, t AS (SELECT conv_id, {ROUND2('right_score - left_score')} AS task_delta FROM l JOIN r USING (conv_id, metric) WHERE metric = 'task'),
+w AS (SELECT conv_id, turn, regexp_replace(text, '\A{C.JS_SPACE}+|{C.JS_SPACE}+\z', '', 'g') AS task FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, arg_max(task, turn) AS task, max(turn) AS message_index FROM w WHERE task <> '' GROUP BY conv_id),
+x AS (SELECT *, CASE WHEN conv_id % 9 > 0 AND conv_id % 7 > 0 THEN 1000 + conv_id % 700 - (900 + conv_id % 500) END AS saved FROM md JOIN t USING (conv_id) JOIN f USING (conv_id)),
+b AS (SELECT *, CASE WHEN mean_delta <= -5 OR task_delta <= -5 THEN 1 WHEN mean_delta >= 5 AND coalesce(saved, 0) > 0 THEN 2 WHEN abs(mean_delta) < 5 THEN 3 END AS band FROM x)
+SELECT conv_id, task, message_index, conv_id % 4 > 0 AS same_model, conv_id % 5 > 0 AS same_thinking, saved, CASE WHEN saved IS NOT NULL THEN -20 END AS output_delta, CASE WHEN saved IS NOT NULL AND conv_id % 2 = 0 THEN -0.25 END AS cost_delta, mean_delta,
+  CASE band WHEN 1 THEN 'quality-regression' WHEN 2 THEN 'quality-preserved-with-savings' WHEN 3 THEN 'quality-neutral' END AS code,
+  CASE WHEN band IS NOT NULL THEN 'meanDelta=' || {FIXED('mean_delta', 2)} || CASE band WHEN 1 THEN '; taskCompletionDelta=' || {FIXED('task_delta', 2)} WHEN 2 THEN '; inputTokensSaved=' || saved ELSE '' END END AS evidence FROM b""")
+def replay_report(spark, sf_dir):
+    """Reports on pairs of replays, read back."""
+    n = F.col("conv_id")
+    scored = evaluate.mean_deltas(*arms(spark, sf_dir), ["conv_id"])
+    delta = evaluate.deltas(*(x.where("metric = 'task'") for x in arms(spark, sf_dir)), ["conv_id"]).select("conv_id", F.col("delta").alias("task_delta"))
+    tasks = transcript.final_task(messages(spark, sf_dir)).select(F.col("session_id").alias("conv_id"), F.struct(F.col("task").alias("text"), F.col("pos").alias("message_index"), F.col("id").alias("message_id")).alias("task"))
+    arm = lambda model, thinking, read, wrote, cost, told: F.struct(F.lit("p").alias("provider"), model.alias("model"), thinking.alias("thinking"), F.lit(9).alias("context_chars"), F.lit(False).alias("truncated"), read.alias("input"), wrote.alias("output"), (read + wrote).alias("total"), cost.alias("cost"), told.alias("reported"))
+    base = arm(F.lit("m"), F.lit("off"), 1000 + n % 700, F.lit(50), F.lit(0.75), n % 9 > 0)
+    small = arm(F.when(n % 4 > 0, "m").otherwise("k"), F.when(n % 5 > 0, "off"), 900 + n % 500, F.lit(30), F.when(n % 2 == 0, 0.5), n % 7 > 0)
+    runs = scored.join(delta, "conv_id").join(tasks, "conv_id").select("conv_id", "task", base.alias("base"), small.alias("compact"), "left_mean", "right_mean", "mean_delta", "task_delta")
+    kind = "struct<methodology:struct<sameModel:boolean,sameThinkingLevel:boolean>,task:struct<text:string,messageIndex:bigint>,usageComparison:struct<inputTokensSaved:bigint,outputTokensDelta:bigint,costUsdDelta:double>,quality:struct<meanDelta:double>,recommendations:array<struct<code:string,evidence:array<string>>>>"
+    r = reports.replay_report(runs).select("conv_id", F.from_json("report", kind).alias("r"))
+    advice = F.get("r.recommendations", F.lit(0))
+    return r.select("conv_id", F.col("r.task.text").alias("task"), F.col("r.task.messageIndex").alias("message_index"), F.col("r.methodology.sameModel").alias("same_model"), F.col("r.methodology.sameThinkingLevel").alias("same_thinking"), F.col("r.usageComparison.inputTokensSaved").alias("saved"), F.col("r.usageComparison.outputTokensDelta").alias("output_delta"), F.col("r.usageComparison.costUsdDelta").alias("cost_delta"), F.col("r.quality.meanDelta").alias("mean_delta"), advice["code"].alias("code"), F.array_join(advice["evidence"], "; ").alias("evidence"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 550) || " + q(C.TRUNCATED) + " || right(text, 450) END AS text FROM documents")
 def text_truncate(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 1000).alias("text"))
@@ -1244,6 +1341,35 @@ def prompt_text(spark, sf_dir):
     return reports.prompts(packed.select("branch_id", F.concat(F.lit("go on with "), "branch_id").alias("task")), packed)
 
 
+def _TAGGED(tag: str, text: str) -> str:
+    taken = f" || {q(f'{chr(10)}{chr(10)}<{tag}-instructions>{prompts.TAKEN[tag]}</{tag}-instructions>')}" if tag in prompts.TAKEN else ""
+    return f"'<{tag}>' || chr(10) || {text} || chr(10) || '</{tag}>'{taken}"
+
+
+@query(f"""{_RENDER}, c AS (SELECT a.session_id, a.raw, CASE WHEN a.session_id % 3 = 0 THEN b.raw END AS other, CASE WHEN a.session_id % 2 = 0 THEN 'base ' || a.session_id END AS base, CASE WHEN a.session_id % 5 > 0 THEN 'ctx ' || a.session_id END AS small,
+  CASE WHEN a.session_id % 7 = 0 THEN '{{"on":true}}' END AS status FROM t a LEFT JOIN t b ON b.session_id = a.session_id + 1)
+SELECT session_id, concat_ws(chr(10) || chr(10), CASE WHEN other IS NULL THEN {q(prompts.EVALUATE)} ELSE {q(prompts.COMPARE)} END,
+  CASE WHEN other IS NULL THEN {_TAGGED('dialogue', 'raw')} ELSE concat_ws(chr(10) || chr(10), {_TAGGED('left-dialogue', 'raw')}, {_TAGGED('right-dialogue', 'other')}) END,
+  {_TAGGED('baseline-context', 'base')}, {_TAGGED('runtime', 'status')}, {_TAGGED('compact-context', 'small')}, CASE WHEN base IS NOT NULL AND small IS NOT NULL THEN {q(prompts.CONTEXTS)} END, CASE WHEN other IS NOT NULL THEN {q(prompts.BOTH_SIDES)} END, {q(prompts.CLOSING)}) AS prompt,
+  {q(C.RECOVERY_PROMPT)} || chr(10) || 'The shape is the one for ' || CASE WHEN other IS NULL THEN 'a single conversation.' ELSE 'two conversations.' END AS plea FROM c""")
+def prompt_evaluation(spark, sf_dir):
+    """What an evaluator is asked about each session, and what it is asked after an answer without JSON."""
+    n, said = F.col("session_id"), lambda name: F.concat(F.lit(name), n.cast("string"))
+    told = transcript.rendered(messages(spark, sf_dir), None).select("session_id", "text")
+    other = told.select((n - 1).alias("session_id"), F.col("text").alias("other")).where(n % 3 == 0)
+    rows = told.join(other, "session_id", "left")
+    made = prompts.evaluation(F.col("text"), F.col("other"), F.when(n % 2 == 0, said("base ")), F.when(n % 5 > 0, said("ctx ")), F.when(n % 7 == 0, '{"on":true}'), F.lit(None).cast("string"))
+    return rows.select("session_id", made.alias("prompt"), prompts.recovery(F.col("other").isNotNull()).alias("plea"))
+
+
+@query(f"""SELECT doc_id, concat_ws(chr(10) || chr(10), {q(prompts.REPLAYED)}, {_TAGGED('user-task', "'t' || doc_id")}, '<baseline-context>' || chr(10) || coalesce(text, '(none)') || chr(10) || '</baseline-context>', {_TAGGED('baseline-answer', "'a'")},
+  '<compact-context>' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '(none)' ELSE 'c' END || chr(10) || '</compact-context>', {_TAGGED('compact-answer', "''")}, {q(prompts.REPLAY_CLOSING)}) AS prompt FROM documents""")
+def prompt_replay_evaluation(spark, sf_dir):
+    n = F.col("doc_id")
+    made = prompts.replay_evaluation(F.concat(F.lit("t"), n.cast("string")), F.col("text"), F.lit("a"), F.when(n % 4 > 0, "c"), F.lit(None).cast("string"))
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", made.alias("prompt"))
+
+
 @query(f"""WITH {MESSAGES}, x AS (SELECT session_id, max(pos) + 1 AS pos, NULL AS id, 'system' AS role, 'ctx ' || session_id AS content FROM m WHERE session_id % 3 > 0 GROUP BY session_id)
 SELECT session_id, pos, id, role, content FROM m UNION ALL SELECT * FROM x""")
 def context_inject(spark, sf_dir):
