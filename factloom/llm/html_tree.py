@@ -2,7 +2,7 @@
 
 Inline elements do not make nodes; they only leave marks (link text, number of
 tags) on the run they stand in.  Every stretch of inline content between block
-boundaries becomes a leaf.  Unclosed and misnested tags, missing end tags and
+boundaries becomes a leaf; formulas are inline, without their annotations.  Unclosed and misnested tags, missing end tags and
 cut-off pages are handled as browsers do, as far as text is concerned.
 """
 
@@ -13,10 +13,12 @@ import re
 from dataclasses import dataclass, field
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+#: Formulas are read as inline content.
+INLINE |= frozenset("math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp noembed noframes iframe template noscript svg math".split())
+RAW = frozenset("script style title textarea xmp noembed noframes iframe template noscript svg annotation annotation-xml".split())
 #: Elements whose text is never page text.
-SILENT = frozenset("head script style title textarea noembed noframes iframe template noscript svg math select option datalist object audio video canvas map".split())
+SILENT = frozenset("head script style title textarea noembed noframes iframe template noscript svg select option datalist object audio video canvas map".split())
 #: Start tag -> open elements that it ends, up to the nearest of the stops.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -32,7 +34,7 @@ ENDS = {
 #: sign (quoted, or up to the next blank), or a name, in which quotes mean nothing.
 ATTRIBUTES = r"(?:[\s/]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?|[^\s/>=]++)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(/?)([A-Za-z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)",
     re.S,
 )
@@ -68,6 +70,7 @@ def parse(source: str | None, noscript: bool = False) -> list[Node]:
     places: dict[str, list[int]] = {}  # of a tag's open elements on the stack
     run: list[str] = []
     links = marks = open_links = silent = 0
+    formula = False
     at = 0
 
     def flush():
@@ -110,15 +113,19 @@ def parse(source: str | None, noscript: bool = False) -> list[Node]:
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA[") and not silent:
-                run.append(m[0][9:-3])
+            # elsewhere a marked section is a comment up to the next bracket, as any declaration
+            if formula and m[0].startswith("<![CDATA["):
+                end = source.find("]]>", m.start() + 9)
+                if not silent:
+                    run.append(source[m.start() + 9 : end if end >= 0 else length])
+                at = end + 3 if end >= 0 else length
             continue
         name = name.lower()
         if m[1]:
             if name == "a":
                 open_links = max(0, open_links - 1)
             elif name in INLINE:
-                pass
+                formula &= name != "math"
             elif k := last((name,)):
                 close(k)
             elif name == "p":
@@ -127,15 +134,20 @@ def parse(source: str | None, noscript: bool = False) -> list[Node]:
         if name in raw:
             # its content is not markup
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else length
-            if name in ("svg", "math"):
+            start, at = at, end.end() if end else length
+            if name == "svg" or name.startswith("annotation"):
                 continue
+            if name == "xmp" and not silent:
+                flush()
+                run.append(source[start : end.start() if end else length])
             flush() if name not in ("script", "style", "template", "noscript") else None
             continue
         if name in INLINE:
             marks += 1
             if name == "a":
                 open_links = 1
+            elif name == "math":
+                formula = not m[3].endswith("/")
             elif name == "br":
                 run.append(" ")
             continue

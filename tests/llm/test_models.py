@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,18 @@ def test_attributes_as_browsers_read_them():
     assert node.tokens == ("entry", "content")
 
 
+def test_formulas_raw_text_and_marked_sections():
+    assert texts("<p>Let <math><mi>x</mi></math> be one.") == ["Let x be one."]
+    assert texts("<p><math><semantics><mi>x</mi><annotation encoding='t'>\\x<b></annotation></semantics></math>, z") == ["x, z"]
+    assert texts("<p>a<xmp>shown <b> &amp; text</xmp>c<xmp>open") == ["a", "shown <b> &amp; text", "c", "open"]
+    assert texts("<head><xmp>q</xmp></head>z<svg><text>q</text></svg>") == ["z"]
+    assert texts("<p>x<math><mtext><![CDATA[a>b & c]]></mtext></math>y<![CDATA[p>q]]>") == ["xa>b & cyq]]>"]
+    assert texts("<math><![CDATA[abcdef") == ["abcdef"] and texts("<p>x<![CDATA[abcdef") == ["x"] and texts("<math/><![CDATA[z]]>w") == ["w"]
+    start = time.monotonic()
+    assert texts("<math>" + "<![CDATA[x" * 200_000) == ["x<![CDATA[" * 199_999 + "x"] and texts("<p>" + "<![CDATA[x>" * 200_000 + "y") == ["y"]
+    assert time.monotonic() - start < 20
+
+
 def test_noscript_counts_only_where_nothing_else_does(spark, forest):
     body = "".join(f"<p>Sentence number {k} of the story, which is long enough to be read.</p>" for k in range(6))
     pages = [f"<body><script>x()</script><noscript><article>{body}</article></noscript></body>", f"<body><noscript>Please switch scripts on.</noscript><article>{body}</article></body>"]
@@ -116,8 +129,6 @@ def test_noscript_counts_only_where_nothing_else_does(spark, forest):
 
 
 def test_deep_nesting_takes_linear_time(forest):
-    import time
-
     start = time.monotonic()
     for page in ("<div>" * 200_000 + "x" + "</div>" * 200_000, "<ul><li>" * 50_000 + "x", "<p><div>" * 50_000 + "<li>y"):
         assert len(html_extract.main_texts([page], forest)) == 1
