@@ -70,13 +70,21 @@ def preview(text: Column) -> Column:
     return F.when(utf16_length(flat) > C.PREVIEW_CHARS, F.concat(F.left(flat, F.lit(C.PREVIEW_CHARS - 1)), F.lit("…"))).otherwise(flat)
 
 
-def tokens(text: Column) -> Column:
-    """Estimated tokens: four units each, two where over 30 % of units lie above U+03FF."""
-    units = utf16_length(text)
-    wide = F.when(F.length(text) == F.octet_length(text), 0).otherwise(units - F.length(F.regexp_replace(text, r"[^\x{0000}-\x{03FF}]", "")))
+def wide_units(text: Column) -> Column:
+    """UTF-16 units above U+03FF."""
+    return F.when(F.length(text) == F.octet_length(text), 0).otherwise(utf16_length(text) - F.length(F.regexp_replace(text, r"[^\x{0000}-\x{03FF}]", "")))
+
+
+def tokens_of(units: Column, wide: Column) -> Column:
+    """Estimated tokens: four units each, two where over 30 % of units are wide."""
     return F.when(units == 0, F.lit(0)).otherwise(F.ceil(units / F.when(wide / units > 0.3, 2).otherwise(4))).cast("long")
 
 
+def tokens(text: Column) -> Column:
+    """Estimated tokens of a text."""
+    return tokens_of(utf16_length(text), wide_units(text))
+
+
 def day(millis: Column) -> Column:
     """UTC date of epoch milliseconds as text."""
     return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")

@@ -89,10 +89,23 @@ def facts_of(mentions: DataFrame) -> DataFrame:
 
 def compared(baseline: DataFrame, compact: DataFrame) -> DataFrame:
     """Full outer comparison by id: which facts are kept, lost or unexpected."""
-    base = facts_of(parse(baseline)).where("n_expanded > 0").select("branch_id", "id", "priority", F.col("place").alias("base_place"), F.lit(True).alias("in_base"))
+    base = facts_of(parse(baseline)).where("n_expanded > 0")
+    return _compared(base.select("branch_id", "id", "priority", F.col("place").alias("base_place")), compact)
+
+
+def _compared(base: DataFrame, compact: DataFrame) -> DataFrame:
+    base = base.withColumn("in_base", F.lit(True))
     small = facts_of(parse(compact)).select("branch_id", "id", "n_expanded", "payload_chars", F.col("place").alias("compact_place"), F.lit(True).alias("in_compact"))
     both = base.join(small, ["branch_id", "id"], "full_outer")
-    return both.select("branch_id", "id", "priority", F.coalesce("base_place", "compact_place").alias("place"), F.coalesce("n_expanded", F.lit(0)).alias("n_expanded"), F.coalesce("payload_chars", F.lit(0)).alias("payload_chars"), F.coalesce("in_base", F.lit(False)).alias("in_base"), F.coalesce("in_compact", F.lit(False)).alias("in_compact")).withColumn("kept", F.col("in_base") & F.col("in_compact"))
+    return both.select("branch_id", "id", "priority", "base_place", "compact_place", F.coalesce("n_expanded", F.lit(0)).alias("n_expanded"), F.coalesce("payload_chars", F.lit(0)).alias("payload_chars"), F.coalesce("in_base", F.lit(False)).alias("in_base"), F.coalesce("in_compact", F.lit(False)).alias("in_compact")).withColumn("kept", F.col("in_base") & F.col("in_compact"))
+
+
+def _state_sizes(facts: DataFrame) -> DataFrame:
+    """branch_id, baseline_chars, baseline_tokens of the full context of each branch, by sums over its facts."""
+    frame = f"{C.CONTEXT_HEADER}\n\n\n{C.CONTEXT_FOOTER}"
+    high = sum(ord(x) > 0x3FF for x in frame)
+    sums = facts.groupBy("branch_id").agg((F.sum(T.utf16_length(T.fact_xml()) + 1) + len(frame) - 1).alias("baseline_chars"), (F.sum(T.wide_units(F.col("text"))) + high).alias("wide"))
+    return sums.select("branch_id", F.col("baseline_chars").cast("long").alias("baseline_chars"), T.tokens_of(F.col("baseline_chars"), F.col("wide")).alias("baseline_tokens"))
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -123,25 +136,46 @@ def named(rows: DataFrame, limit: int = NAMED) -> DataFrame:
     Only ids that are on one side are ranked, and no more than ``limit`` of a kind are gathered.
     """
     odd = rows.where("in_base != in_compact")
-    place = F.row_number().over(Window.partitionBy("branch_id", "in_base").orderBy("place"))
+    place = F.row_number().over(Window.partitionBy("branch_id", "in_base").orderBy("base_place", "compact_place"))
     first = odd.withColumn("n", place).where(F.col("n") <= limit)
     ids = lambda here: F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("n", "id")))), lambda x: x["id"])
     return first.groupBy("branch_id").agg(ids(F.col("in_base")).alias("omitted_ids"), ids(~F.col("in_base")).alias("unexpected_ids"))
 
 
+def _named(audited: DataFrame, rows: DataFrame) -> DataFrame:
+    none = F.expr("cast(array() as array<string>)")
+    return audited.join(named(rows), "branch_id", "left").withColumns({c: F.coalesce(c, none) for c in ("omitted_ids", "unexpected_ids")})
+
+
 def with_names(baseline: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
     """The audit, with the ids that advice names as evidence.  The comparison by id is stored, for it is read twice."""
     rows = settled(compared(baseline, compact))
-    none = F.expr("cast(array() as array<string>)")
-    out = audit(baseline, compact, budget, rows).join(named(rows), "branch_id", "left")
-    return out.withColumns({c: F.coalesce(c, none) for c in ("omitted_ids", "unexpected_ids")})
+    return _named(audit(baseline, compact, budget, rows), rows)
+
+
+def of_state(facts: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET) -> DataFrame:
+    """The audit with names against the full context of each branch, which is never written: the facts are its mentions.
+
+    ``facts``: the state, one row per branch and id.  The rows are those of ``with_names``
+    over full contexts, but a branch of any size is read fact by fact and only ids are shuffled.
+    """
+    sound = F.col("id").rlike(_ID) & F.col("type").isin(*C.FACT_TYPES) & F.col("priority").between(0, 100)
+    place = F.struct((~F.col("hot")).alias("cold"), (-F.col("priority")).alias("p"), (-F.col("updated_at")).alias("t"), (-F.col("revision")).alias("r"), "id")
+    rows = settled(_compared(facts.where(sound).select("branch_id", "id", "priority", place.alias("base_place")), compact))
+    return _named(_audit(_state_sizes(facts), compact, budget, rows), rows)
 
 
 def audit(baseline: DataFrame, compact: DataFrame, budget: int = C.CONTEXT_BUDGET, rows: DataFrame | None = None) -> DataFrame:
     """The whole audit, one row per branch that has both contexts; ``rows``: their comparison, if it is there."""
-    size = lambda df, name: df.select("branch_id", T.utf16_length(F.col("text")).cast("long").alias(f"{name}_chars"), T.tokens(F.col("text")).alias(f"{name}_tokens"))
-    sizes = size(baseline, "baseline").join(size(compact, "compact"), "branch_id")
-    out = sizes.join(sets(compared(baseline, compact) if rows is None else rows), "branch_id")
+    return _audit(_sizes(baseline, "baseline"), compact, budget, compared(baseline, compact) if rows is None else rows)
+
+
+def _sizes(contexts: DataFrame, name: str) -> DataFrame:
+    return contexts.select("branch_id", T.utf16_length(F.col("text")).cast("long").alias(f"{name}_chars"), T.tokens(F.col("text")).alias(f"{name}_tokens"))
+
+
+def _audit(baseline_sizes: DataFrame, compact: DataFrame, budget: int, rows: DataFrame) -> DataFrame:
+    out = baseline_sizes.join(_sizes(compact, "compact"), "branch_id").join(sets(rows), "branch_id")
     c = F.col
     ids = F.greatest(c("compact"), F.lit(1))
     duplicates = F.greatest(c("occurrences") - c("expanded"), F.lit(0))

@@ -741,7 +741,7 @@ SELECT branch_id, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY rank,
 def audit_evidence(spark, sf_dir):
     """Contexts of all facts against a baseline without findings, as if these had been revoked: the evidence for each piece of advice."""
     rows = facts(spark, sf_dir)
-    audited = audit.with_names(pack.full_contexts(rows.where("type != 'finding'")), settled(pack.contexts(rows)))
+    audited = audit.of_state(rows.where("type != 'finding'"), settled(pack.contexts(rows)))
     return audit.recommendations(audited).select("branch_id", "place", "code", F.array_join("evidence", "; ").alias("evidence"))
 
 
@@ -1005,9 +1005,8 @@ SELECT 'b_src' || d.session_id AS branch_id, d.n AS messages, d.chars AS source_
 FROM d LEFT JOIN d o ON o.session_id = d.session_id + 1 LEFT JOIN au ON au.branch_id = 'b_src' || d.session_id""")
 def inputs_report(spark, sf_dir):
     """What was judged of each session, its branch's contexts and the session that follows, read back from the documents."""
-    full, packed = contexts(spark, sf_dir)
-    packed = settled(packed)
-    audited = settled(audit.with_names(full, packed))
+    rows = facts(spark, sf_dir)
+    audited = settled(audit.of_state(rows, settled(pack.contexts(rows))))
     n = F.col("session_id")
     branch = lambda n: F.concat(F.lit("b_src"), n.cast("string")).alias("branch_id")
     told = settled(transcript.rendered(messages(spark, sf_dir), 1000).select("session_id", "n_messages", "source_chars", "analysed_chars", "truncated"))

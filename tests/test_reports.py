@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, evaluate, prompts, reports
+from factloom.operators import audit, evaluate, pack, prompts, reports
 from factloom.sources import config
 
 
@@ -40,6 +40,15 @@ def test_evidence_names_ids_in_the_order_of_their_contexts(spark):
     assert said["context-contamination"] == ["duplicateExpanded=1", "unexpected=2"] and said["priority-recall"] == ["priorityWeightedRecall=0.025"]
 
 
+def test_state_is_audited_as_its_full_context(spark):
+    rows = [("b", f"cf_{k}", "finding", "x<&>" * k + "длинный текст 😀" * (k % 3), 5, 5 + k % 2, k % 4 == 0, k % 5, True, 1) for k in range(40)] + [("c", "cf_1", "decision", "ы" * 500, 5, 5, False, 99, True, 1), ("d", "no id", "decision", "t", 5, 5, False, 99, True, 1)]
+    facts = spark.createDataFrame(rows, "branch_id string, id string, type string, text string, created_at long, updated_at long, hot boolean, priority int, priority_explicit boolean, revision int")
+    compact = spark.createDataFrame([("b", '<fact id="cf_2" type="finding" p="2">t</fact>\n- cf_z · finding · p1'), ("c", ""), ("d", "")], "branch_id string, text string")
+    whole, parts = audit.with_names(pack.full_contexts(facts), compact), audit.of_state(facts, compact)
+    assert parts.columns == whole.columns and sorted(parts.collect()) == sorted(whole.collect())
+    assert parts.where("branch_id = 'b'").first().omitted_ids[0] == "cf_24"
+
+
 def test_advice_on_a_pair_of_replays(spark):
     cases = [(-5.0, 0.0, 1, "quality-regression", ["meanDelta=-5.00", "taskCompletionDelta=0.00"]), (5.0, 0.0, 7, "quality-preserved-with-savings", ["meanDelta=5.00", "inputTokensSaved=7"]), (5.0, 0.0, None, None, None), (0.005, 9.0, 0, "quality-neutral", ["meanDelta=0.01"])]
     rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, mean double, task double, saved long")
