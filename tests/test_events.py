@@ -259,3 +259,8 @@ def test_a_key_is_one_fold_behind_a_join_that_turns_into_a_broadcast(spark):
         for name in sizes:
             spark.conf.unset(name)
     assert sorted((r.k, r.n) for r in got) == sorted((str(k), 100) for k in range(40))
+
+
+def test_a_revoke_of_the_first_version_has_no_text_to_be_unsafe(spark):
+    rows = legacy.rebuild(entries(spark, {"version": 1, "op": "add", "fact": FIRST}, {"version": 1, "op": "revoke", "id": "cf_a", "at": 5}))
+    assert [(r.kind, r.code, r.effect) for r in rows.where("part = 'verdict' and seq = 1").collect()] == [("v1", "ok", "migrated")]
